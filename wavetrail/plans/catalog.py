@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavetrail.plans import delivery, detection, ingestion  # noqa: F401
+from wavetrail.plans import delivery, detection, ingestion, table_queries  # noqa: F401
 from wavetrail.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
