@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from wavetrail.plans import delivery, detection, ingestion, table_queries  # noqa: F401
+from wavetrail.plans import (  # noqa: F401
+    delivery,
+    detection,
+    ingestion,
+    processes,
+    table_queries,
+)
 from wavetrail.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
