@@ -193,11 +193,12 @@ def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return (
         models.join(packed, PID, "left")
         .withColumn("next", F.coalesce("next", F.create_map().cast("map<string,array<string>>")))
-        .select(PID, walked.alias("_w"))
+        # a generator, unlike a projection, is not evaluated again in later filters
+        .select(PID, F.inline(F.array(walked)))
         .select(
             PID,
-            F.array_union("_w.seen", "_w.frontier").alias("seen"),
-            (F.size("_w.frontier") > 0).alias("has_cycle"),
+            F.array_union("seen", "frontier").alias("seen"),
+            (F.size("frontier") > 0).alias("has_cycle"),
         )
     )
 

@@ -109,14 +109,13 @@ def wave_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFra
         distinct.join(models.drop("variables"), PID)
         .withColumn("_pairs", F.col("choices"))
         .withColumn("choices", F.map_from_entries("choices"))
-        .withColumn("_w", _walk())
+        # a generator, unlike a projection, is not evaluated again in later filters
+        .select(PID, "_pairs", F.inline(F.array(_walk())))
         .select(
             PID,
             F.col("_pairs").alias("choices"),
-            F.when(F.col("_w.status") == RUNNING, "hop_bound")
-            .otherwise(F.col("_w.status"))
-            .alias("status"),
-            F.col("_w.steps").alias("steps"),
+            F.when(F.col("status") == RUNNING, "hop_bound").otherwise(F.col("status")).alias("status"),
+            "steps",
         )
     )
     return chosen.join(routes, [PID, "choices"]).drop("choices")

@@ -6,6 +6,7 @@ from wavetrail.plans import (  # noqa: F401
     delivery,
     detection,
     ingestion,
+    landing,
     processes,
     table_queries,
 )
