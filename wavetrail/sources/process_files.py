@@ -9,6 +9,7 @@ only: a document that rebinds a prefix on an inner element is refused.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,14 +175,15 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
     """(doc_id, rule, subject) for everything the element schema cannot see."""
     kinds = [*NODE_KINDS, FLOW]
     known = ["definitions", "process", *kinds]
-    seen_elements = F.lit(0)
-    for kind in kinds:
-        per_process = lambda p, k=kind: F.coalesce(F.array_size(p[k]), F.lit(0))
-        seen_elements = seen_elements + F.aggregate(
-            F.coalesce(F.transform("_doc.process", per_process), F.array().cast("array<int>")),
-            F.lit(0),
-            lambda a, b: a + b,
-        )
+    # named elements of every process, as read by the element schema
+    per_process = lambda p: reduce(
+        lambda total, kind: total + F.coalesce(F.array_size(p[kind]), F.lit(0)), kinds, F.lit(0)
+    )
+    seen_elements = F.aggregate(
+        F.coalesce(F.transform("_doc.process", per_process), F.array().cast("array<int>")),
+        F.lit(0),
+        lambda a, b: a + b,
+    )
     rows = parsed.withColumn("_body", _stripped(F.coalesce("xml", F.lit(""))))
     rows = rows.withColumn("_tags", _tags(F.col("_body")))
     root = F.get("_tags", F.lit(0))["text"]
@@ -195,7 +197,7 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
         lambda t: (t["name"] != F.concat(F.coalesce(F.col("_model"), F.lit("?")), local(t)))
         | ~local(t).isin(*known),
     )
-    inner = F.slice("_tags", 2, F.greatest(F.size("_tags") - 1, F.lit(0)))
+    inner = F.filter("_tags", lambda t: local(t).isin("process", *kinds))
     unknown = F.flatten(
         F.transform(
             inner,
@@ -228,7 +230,10 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
         ),
         only_if(count_of("process") != 1, one("one_process")),
         only_if(F.col("_model").isNull(), one("namespace")),
-        only_if(n_kind != seen_elements, one("nested_element")),
+        only_if(
+            F.col("_doc._corrupt_record").isNull() & (n_kind != seen_elements),
+            one("nested_element"),
+        ),
         named("unknown_element", F.array_distinct(F.transform(foreign, lambda t: t["name"]))),
         named("unknown_attribute", F.array_distinct(unknown)),
     )
