@@ -331,7 +331,11 @@ def suppress_cooldown(breached: DataFrame, config: DetectorConfig) -> DataFrame:
     """
     columns = breached.columns
     rows = cut(breached)
-    light, heavy, n_heavy = split_by_weight(rows, WINDOW_KEY, config.heavy_rows)
+    few = min(config.fold_rows, config.heavy_rows)
+    is_small = rows.limit(few + 1).count() <= few
+    light, heavy, n_heavy = (
+        (rows, None, 0) if is_small else split_by_weight(rows, WINDOW_KEY, config.heavy_rows)
+    )
     bursts = over_history(
         light,
         WINDOW_KEY,
@@ -344,9 +348,9 @@ def suppress_cooldown(breached: DataFrame, config: DetectorConfig) -> DataFrame:
         heavy_rows=n_heavy,
         chunk_rows=config.chunk_rows,
     )
-    keys = [*WINDOW_KEY, "_burst"]
-    if rows.limit(config.fold_rows + 1).count() <= config.fold_rows:
+    if is_small:
         return _fold_bursts(bursts, config).select(*columns)
+    keys = [*WINDOW_KEY, "_burst"]
     bursts = cut(bursts)
     long_bursts = cut(heavy_groups(bursts, keys, config.fold_rows).select(*keys))
     if long_bursts.isEmpty():

@@ -31,11 +31,11 @@ def split_by_weight(
     df: DataFrame, keys: Sequence[str], limit: int
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """(rows of ordinary keys, rows of heavy keys or None, number of heavy rows)."""
-    heavy = cut(heavy_groups(df, keys, limit))
+    heavy = heavy_groups(df, keys, limit)
     total = heavy.agg(F.sum("_rows")).first()[0]
     if total is None:
         return df, None, 0
-    listed = small_side(heavy.select(*keys))
+    listed = small_side(cut(heavy.select(*keys)))
     on = list(keys)
     return df.join(listed, on, "left_anti"), df.join(listed, on, "left_semi"), int(total)
 

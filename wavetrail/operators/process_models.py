@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
+from wavetrail.session import cut, small_side
 
 # Element kinds and size limits.
 START, END, TASK, GATEWAY, FLOW = (
@@ -25,6 +26,8 @@ START, END, TASK, GATEWAY, FLOW = (
 NODE_KINDS = (START, END, TASK, GATEWAY)
 MAX_NODES = 500
 MAX_BYTES = 1 << 20
+# a flow element takes 50 bytes at least, so no document within the limit has more flows
+MAX_FLOWS = MAX_BYTES // 50
 
 PID = "process_id"
 
@@ -113,25 +116,41 @@ def branch_value_scope(nodes: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Incoming and outgoing flow counts that do not fit the kind of node."""
-    outgoing = flows.groupBy(PID, F.col("source").alias("id")).agg(F.count("*").alias("_out"))
-    incoming = flows.groupBy(PID, F.col("target").alias("id")).agg(F.count("*").alias("_in"))
-    joined = (
-        nodes.select(PID, "id", "kind")
-        .distinct()
-        .join(incoming, [PID, "id"], "left")
-        .join(outgoing, [PID, "id"], "left")
-        .fillna(0, ["_in", "_out"])
+    """Incoming and outgoing flow counts that do not fit the kind of node.
+
+    Nodes and flow ends are counted in one aggregation, combined before the shuffle.
+    """
+    known = nodes.filter(F.col("kind").isin(*NODE_KINDS))
+    zero, one = F.lit(0), F.lit(1)
+    no_kind = F.lit(None).cast("string").alias("kind")
+    ends = flows.select(
+        PID,
+        F.inline(
+            F.array(
+                F.struct(F.col("target").alias("id"), one.alias("_in"), zero.alias("_out")),
+                F.struct(F.col("source").alias("id"), zero.alias("_in"), one.alias("_out")),
+            )
+        ),
+    )
+    counted = (
+        known.select(PID, "id", "kind", zero.alias("_in"), zero.alias("_out"))
+        .unionByName(ends.select(PID, "id", no_kind, "_in", "_out"))
+        .groupBy(PID, "id")
+        .agg(
+            F.collect_set("kind").alias("_kinds"),
+            F.sum("_in").alias("_in"),
+            F.sum("_out").alias("_out"),
+        )
+        .select(PID, "id", F.explode("_kinds").alias("kind"), "_in", "_out")
     )
     kind = F.col("kind")
     fits = (
         F.when(kind == START, F.expr("_in = 0 and _out = 1"))
         .when(kind == END, F.expr("_in > 0 and _out = 0"))
         .when(kind == TASK, F.expr("_in > 0 and _out = 1"))
-        .when(kind == GATEWAY, F.expr("_in > 0 and _out >= 2"))
-        .otherwise(F.lit(True))
+        .otherwise(F.expr("_in > 0 and _out >= 2"))
     )
-    return _violation(joined.filter(~fits), "degrees", "id")
+    return _violation(counted.filter(~fits), "degrees", "id")
 
 
 def branch_values(nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -150,32 +169,48 @@ def has_tasks(processes: DataFrame, nodes: DataFrame) -> DataFrame:
 # --- walks ----------------------------------------------------------------
 
 
-def walkable(nodes: DataFrame) -> DataFrame:
-    """Models that can be walked: one start and at most 500 nodes."""
-    counts = nodes.groupBy(PID).agg(
-        F.count("*").alias("_n"),
-        F.count_if(F.col("kind") == START).alias("_starts"),
-        F.max(F.when(F.col("kind") == START, F.col("id"))).alias("start"),
-    )
-    return counts.filter((F.col("_n") <= MAX_NODES) & (F.col("_starts") == 1)).select(
-        PID, "start", F.col("_n").cast("int").alias("n_nodes")
-    )
+def oversize_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Models with more than 500 nodes, or more flows than a document can hold."""
+    many_nodes = nodes.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_NODES)
+    many_flows = flows.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_FLOWS)
+    return many_nodes.select(PID).unionByName(many_flows.select(PID)).distinct()
+
+
+def bounded_models(nodes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and flows of the models that fit in one row, partitioned by model.
+
+    A model that holds most of all rows is oversize: its rows are counted with a
+    partial aggregation and dropped before the shuffle. What is left has a
+    proven bound per model, so later steps group by model without another shuffle.
+    """
+    listed = cut(oversize_models(nodes, flows))
+    if not listed.isEmpty():
+        listed = small_side(listed)
+        nodes, flows = nodes.join(listed, PID, "left_anti"), flows.join(listed, PID, "left_anti")
+    return nodes.repartition(PID), flows.repartition(PID)
 
 
 def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per walkable model: `seen` (ids reached from the start) and `has_cycle`.
+    """Per model with one start, within the limits: `seen` (ids reached) and `has_cycle`.
 
-    The 500-node limit bounds the row a model is packed into, so one shuffle by
-    model replaces a join per hop. The frontier after k steps holds the nodes
-    at the end of a walk of k flows. A walk can end at one dangling target, so
-    a frontier that is not empty after one step more than there are nodes means
+    The limits bound the row a model is packed into, so one shuffle by model
+    replaces a join per hop. The frontier after k steps holds the nodes at the
+    end of a walk of k flows. A walk can end at one dangling target, so a
+    frontier that is not empty after one step more than there are nodes means
     that some walk repeats a node.
     """
-    models = walkable(nodes)
-    edges = (
-        flows.select(PID, "source", "target").distinct().join(models.select(PID), PID, "left_semi")
+    nodes, flows = bounded_models(nodes, flows)
+    is_start = F.col("kind") == START
+    models = (
+        nodes.groupBy(PID)
+        .agg(
+            F.count("*").cast("int").alias("n_nodes"),
+            F.count_if(is_start).alias("_starts"),
+            F.collect_list(F.when(is_start, F.col("id"))).alias("starts"),
+        )
+        .filter("_starts = 1")
     )
-    successors = edges.groupBy(PID, "source").agg(F.collect_list("target").alias("targets"))
+    successors = flows.groupBy(PID, "source").agg(F.collect_set("target").alias("targets"))
     packed = successors.groupBy(PID).agg(
         F.map_from_entries(F.collect_list(F.struct("source", "targets"))).alias("next")
     )
@@ -188,7 +223,7 @@ def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
             F.array_union(acc["seen"], acc["frontier"]).alias("seen"),
         )
 
-    start = F.struct(F.array("start").alias("frontier"), none.alias("seen"))
+    start = F.struct(F.col("starts").alias("frontier"), none.alias("seen"))
     walked = F.aggregate(F.sequence(F.lit(0), F.col("n_nodes")), start, step)
     return (
         models.join(packed, PID, "left")
@@ -284,8 +319,9 @@ def canonical_order(rows: DataFrame) -> DataFrame:
 
 def task_catalog(nodes: DataFrame) -> DataFrame:
     """Sorted task ids per model, for models within the node limit."""
-    within = nodes.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") <= MAX_NODES)
-    tasks = nodes.filter(F.col("kind") == TASK).join(within, PID, "left_semi")
+    counts = nodes.groupBy(PID).agg(F.count("*").alias("_n"))
+    listed = small_side(cut(counts.filter(F.col("_n") > MAX_NODES).select(PID)))
+    tasks = nodes.filter(F.col("kind") == TASK).join(listed, PID, "left_anti")
     return tasks.groupBy(PID).agg(F.array_sort(F.collect_set("id")).alias("task_ids"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import workflow_id
 from wavetrail.operators.ordered import first_per
+from wavetrail.session import cut
 
 RUN = ("tenant_id", "site_id", "workflow_id", "run_id")
 
@@ -79,8 +80,18 @@ def route_unavailable(steps: DataFrame, accepted: DataFrame, as_of: Column) -> D
     return walked.filter(F.col("hop") == F.col("stop_hop")).select(*RUN, "hop", "step_id")
 
 
-def _finished(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
-    return walk_steps(steps, accepted, as_of).filter(F.col("stop_hop").isNull())
+def finished_runs(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
+    """Per run without a stop: its ordered steps and the time of its last boundary."""
+    walked = walk_steps(steps, accepted, as_of).filter(F.col("stop_hop").isNull())
+    return walked.groupBy(*RUN).agg(
+        F.array_sort(F.collect_list(F.struct("hop", "step_id", "taken"))).alias("_steps"),
+        F.max("boundary").alias("_last"),
+    )
+
+
+def _drained(finished: DataFrame, accepted: DataFrame) -> DataFrame:
+    joined = accepted.join(finished.select(*RUN, "_last"), list(RUN))
+    return joined.filter(F.col("received_at") <= F.col("_last"))
 
 
 def run_accepted_alerts(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
@@ -88,11 +99,8 @@ def run_accepted_alerts(steps: DataFrame, accepted: DataFrame, as_of: Column) ->
 
     Rows rather than an array: a run may have any number of alerts.
     """
-    last = _finished(steps, accepted, as_of).groupBy(*RUN).agg(F.max("boundary").alias("_last"))
-    joined = accepted.join(last, list(RUN))
-    return joined.filter(F.col("received_at") <= F.col("_last")).select(
-        *RUN, "alert_id", "aisle", "received_at"
-    )
+    drained = _drained(finished_runs(steps, accepted, as_of), accepted)
+    return drained.select(*RUN, "alert_id", "aisle", "received_at")
 
 
 def run_results(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
@@ -100,13 +108,9 @@ def run_results(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFra
 
     The accepted alerts themselves are the rows of `run_accepted_alerts`.
     """
-    done = _finished(steps, accepted, as_of).groupBy(*RUN).agg(
-        F.array_sort(F.collect_list(F.struct("hop", "step_id", "taken"))).alias("_steps")
-    )
-    drained = run_accepted_alerts(steps, accepted, as_of).groupBy(*RUN).agg(
-        F.count("*").alias("n_accepted")
-    )
-    return done.join(drained, list(RUN), "left").select(
+    finished = cut(finished_runs(steps, accepted, as_of))
+    counts = _drained(finished, accepted).groupBy(*RUN).agg(F.count("*").alias("n_accepted"))
+    return finished.join(counts, list(RUN), "left").select(
         *RUN,
         F.transform("_steps", lambda s: s["step_id"]).alias("completed"),
         F.transform("_steps", lambda s: s["taken"]).alias("aisles"),

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
-from wavetrail.operators.process_models import END, GATEWAY, MAX_NODES, PID, START, TASK
-from wavetrail.session import small_side
+from wavetrail.operators.process_models import END, GATEWAY, PID, START, TASK, bounded_models
+from wavetrail.session import cut, small_side
 
 WAVE_KEY = ("tenant_id", "site_id", "wave_id")
 DONE, RUNNING = "done", "running"
@@ -22,34 +22,33 @@ def valid_input() -> Column:
 
 
 def packed_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """One row per model of at most 500 nodes: `graph`, `start`, `variables`, `n_nodes`.
+    """One row per model within the limits: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
 
-    `graph` maps a node id to its kind, step and targets by branch value.
+    `graph` maps a node id to its kind and step, `outgoing` a node id to its
+    targets by branch value.
     """
-    sizes = nodes.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") <= MAX_NODES)
-    kept = nodes.join(sizes.select(PID), PID, "left_semi").dropDuplicates([PID, "id"])
-    targets = (
-        flows.dropDuplicates([PID, "source", "value"])
-        .groupBy(PID, F.col("source").alias("id"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("value", "target"))).alias("targets"))
-    )
-    none = F.create_map().cast("map<string,string>")
-    entry = F.struct(
-        "id", "kind", "aisle", "alternative", "variable",
-        F.coalesce("targets", none).alias("targets"),
-    )
-    return (
-        kept.join(targets, [PID, "id"], "left")
+    nodes, flows = bounded_models(nodes, flows)
+    entry = F.struct("id", "kind", "aisle", "alternative", "variable")
+    is_start, is_gateway = F.col("kind") == START, F.col("kind") == GATEWAY
+    graphs = (
+        nodes.dropDuplicates([PID, "id"])
         .groupBy(PID)
         .agg(
             F.map_from_entries(F.collect_list(F.struct(F.col("id"), entry))).alias("graph"),
-            F.min(F.when(F.col("kind") == START, F.col("id"))).alias("start"),
-            F.array_sort(F.collect_set(F.when(F.col("kind") == GATEWAY, F.col("variable")))).alias(
-                "variables"
-            ),
+            F.array_min(F.collect_list(F.when(is_start, F.col("id")))).alias("start"),
+            F.array_sort(F.collect_set(F.when(is_gateway, F.col("variable")))).alias("variables"),
             F.count("*").cast("int").alias("n_nodes"),
         )
     )
+    targets = (
+        flows.dropDuplicates([PID, "source", "value"])
+        .groupBy(PID, "source")
+        .agg(F.map_from_entries(F.collect_list(F.struct("value", "target"))).alias("targets"))
+        .groupBy(PID)
+        .agg(F.map_from_entries(F.collect_list(F.struct("source", "targets"))).alias("outgoing"))
+    )
+    none = F.create_map().cast("map<string,map<string,string>>")
+    return graphs.join(targets, PID, "left").withColumn("outgoing", F.coalesce("outgoing", none))
 
 
 def _walk() -> Column:
@@ -64,9 +63,10 @@ def _walk() -> Column:
     def hop(acc: Column, _: Column) -> Column:
         node = acc["node"]
         kind = node["kind"]
-        branch = node["targets"][F.col("choices")[node["variable"]]]
+        targets = F.col("outgoing")[node["id"]]
+        branch = targets[F.col("choices")[node["variable"]]]
         # other nodes of a valid model have exactly one outgoing flow
-        target = F.when(kind == GATEWAY, branch).otherwise(F.get(F.map_values(node["targets"]), F.lit(0)))
+        target = F.when(kind == GATEWAY, branch).otherwise(F.get(F.map_values(targets), F.lit(0)))
         moved = F.struct(
             F.col("graph")[target].alias("node"),
             F.when((kind == GATEWAY) & target.isNull(), "no_branch").otherwise(RUNNING).alias("status"),
@@ -100,9 +100,15 @@ def _choices(waves: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+def used_models(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Packed models that some wave names, materialised: there are far fewer than waves."""
+    used = small_side(cut(waves.select(PID).distinct()))
+    return cut(packed_models(nodes.join(used, PID, "left_semi"), flows.join(used, PID, "left_semi")))
+
+
 def wave_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Per wave with valid input and a known model: `status` and `steps`."""
-    models = packed_models(nodes, flows)
+    models = used_models(waves, nodes, flows)
     chosen = _choices(waves, models)
     distinct = chosen.select(PID, "choices").distinct()
     routes = (
@@ -118,7 +124,7 @@ def wave_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFra
             "steps",
         )
     )
-    return chosen.join(routes, [PID, "choices"]).drop("choices")
+    return chosen.join(small_side(cut(routes)), [PID, "choices"]).drop("choices")
 
 
 def resolve_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -138,9 +144,11 @@ def route_errors(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
     """Waves without a route and why: invalid_input, unknown_process (absent or
     oversize model), no_branch, unknown_node or hop_bound."""
     bad = waves.filter(~valid_input()).select(*WAVE_KEY, PID, F.lit("invalid_input").alias("reason"))
-    models = packed_models(nodes, flows).select(PID)
-    lost = waves.filter(valid_input()).join(models, PID, "left_anti")
-    stopped = wave_routes(waves, nodes, flows).filter(F.col("status") != DONE)
+    walked = wave_routes(waves, nodes, flows)
+    lost = waves.filter(valid_input()).join(
+        small_side(cut(walked.select(PID).distinct())), PID, "left_anti"
+    )
+    stopped = walked.filter(F.col("status") != DONE)
     return (
         bad.unionByName(lost.select(*WAVE_KEY, PID, F.lit("unknown_process").alias("reason")))
         .unionByName(stopped.select(*WAVE_KEY, PID, F.col("status").alias("reason")))
