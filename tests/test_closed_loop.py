@@ -9,6 +9,7 @@ from wavetrail import schemas
 from wavetrail.operators import detector, ingest, outbox
 from wavetrail.operators import reroutes as rr
 from wavetrail.sources import sinks
+from wavetrail.streaming import delivery
 from wavetrail.streaming import detector as stream
 
 T0 = datetime(2024, 3, 1, 8)
@@ -104,3 +105,9 @@ def test_stream_gives_the_same_log_across_restarts(spark, tmp_path):
         ingest.ingest(landed, tokens), baselines, detector.DetectorConfig()
     ).collect()
     assert [(a.alert_id, a.mean_seconds) for a in alerts] == [(b.alert_id, b.mean_seconds) for b in batch]
+
+    for _ in range(2):  # a second run finds nothing new
+        log_stream = delivery.read_log_stream(spark, log, rows.schema)
+        delivery.deliver_reroutes(log_stream, str(tmp_path / "out"), str(tmp_path / "out-state"))
+    sent = spark.read.json(str(tmp_path / "out")).collect()
+    assert [(m.alert_id, m.aisle, m.run_id) for m in sent] == [(batch[0].alert_id, "A01", RUN_ID)]

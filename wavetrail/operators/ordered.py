@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from wavetrail.session import cut, small_side
 
+# more chunks than this cost the driver more than they save; chunks then grow and spill
+MAX_CHUNKS = 20_000
 CHUNK = "_chunk"
 HALO = "_halo"
 
@@ -48,7 +50,7 @@ def sorted_chunks(
     The result is materialised: chunk numbers come from sampled bounds, so they
     must be computed once and then read by every later step.
     """
-    parts = df.repartitionByRange(max(chunks, 2), *keys, *order)
+    parts = df.repartitionByRange(min(max(chunks, 2), MAX_CHUNKS), *keys, *order)
     return cut(parts.withColumn(CHUNK, F.spark_partition_id()))
 
 

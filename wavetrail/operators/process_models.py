@@ -4,7 +4,8 @@ Inputs: `processes(doc_id, process_id, is_executable, n_bytes)`,
 `nodes(process_id, id, kind, aisle, alternative, variable)` and
 `flows(process_id, id, source, target, value)`. Absent attributes are empty.
 Every check yields `(process_id, rule, subject)`; a model without a violation
-is valid.
+is valid. Rules that need the same grouping share one pass over the rows, so
+all checks together take a handful of shuffles.
 """
 
 from __future__ import annotations
@@ -32,138 +33,139 @@ MAX_FLOWS = MAX_BYTES // 50
 PID = "process_id"
 
 
-def _violation(rows: DataFrame, rule: str, subject: str | Column) -> DataFrame:
-    col = F.col(subject) if isinstance(subject, str) else subject
-    return rows.select(PID, F.lit(rule).alias("rule"), col.alias("subject"))
-
-
-def unknown_elements(nodes: DataFrame) -> DataFrame:
-    return _violation(nodes.filter(~F.col("kind").isin(*NODE_KINDS)), "unknown_element", "id")
-
-
-def executable(processes: DataFrame) -> DataFrame:
-    """Models not marked executable, and documents without exactly one process."""
-    off = processes.filter(~F.coalesce(F.col("is_executable") == "true", F.lit(False)))
-    several = processes.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n != 1")
-    shared = processes.join(several, "doc_id", "left_semi")
-    return _violation(off, "not_executable", PID).unionByName(
-        _violation(shared, "process_count", "doc_id")
+def _emit(rows: DataFrame, *rules: tuple[str, Column, Column]) -> DataFrame:
+    """One output row per rule (name, condition, subject) that holds for a row."""
+    entries = [
+        F.when(broken, F.struct(F.lit(name).alias("rule"), subject.alias("subject")))
+        for name, broken, subject in rules
+    ]
+    return rows.select(PID, F.explode(F.array_compact(F.array(*entries))).alias("_v")).select(
+        PID, "_v.rule", "_v.subject"
     )
 
 
-def size(processes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Text above 1 MiB or more than 500 nodes."""
-    big = processes.filter(F.col("n_bytes") > MAX_BYTES)
-    many = nodes.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_NODES)
-    return _violation(big, "size", F.lit("bytes")).unionByName(
-        _violation(many, "size", F.lit("nodes"))
+def node_rules(nodes: DataFrame) -> DataFrame:
+    """Rules on a single node: unknown_element, task_attrs, gateway_variable."""
+    kind, alternative = F.col("kind"), F.col("alternative")
+    bad_alternative = (alternative != "") & (
+        ~valid_id("alternative") | (alternative == F.col("aisle"))
+    )
+    node = F.col("id")
+    return _emit(
+        nodes,
+        ("unknown_element", ~kind.isin(*NODE_KINDS), node),
+        ("task_attrs", (kind == TASK) & (~valid_id("aisle") | bad_alternative), node),
+        ("gateway_variable", (kind == GATEWAY) & ~valid_id("variable"), node),
     )
 
 
-def ids(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Ids that are malformed, or repeated among process, nodes and flows."""
-    every = (
-        processes.select(PID, F.col(PID).alias("id"))
-        .unionByName(nodes.select(PID, "id"))
-        .unionByName(flows.select(PID, "id"))
-    )
-    counted = every.groupBy(PID, "id").agg(F.count("*").alias("_n"))
-    return _violation(counted.filter(~valid_id("id")), "invalid_id", "id").unionByName(
-        _violation(counted.filter("_n > 1"), "duplicate_id", "id")
+def process_rules(processes: DataFrame) -> DataFrame:
+    """Rules on a process and its document: not_executable, size (bytes), process_count."""
+    runs = F.coalesce(F.col("is_executable") == "true", F.lit(False))
+    single = _emit(
+        processes,
+        ("not_executable", ~runs, F.col(PID)),
+        ("size", F.col("n_bytes") > MAX_BYTES, F.lit("bytes")),
     )
+    several = processes.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n != 1")
+    shared = processes.join(several, "doc_id", "left_semi")
+    return single.unionByName(_emit(shared, ("process_count", F.lit(True), F.col("doc_id"))))
 
 
-def start_end(processes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Not exactly one start, or no end."""
-    counts = nodes.groupBy(PID).agg(
-        F.count_if(F.col("kind") == START).alias("_starts"),
-        F.count_if(F.col("kind") == END).alias("_ends"),
+def count_rules(processes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rules on node counts per model: size (nodes), start_end, has_tasks."""
+    kinds = nodes.select(PID, "kind").unionByName(
+        processes.select(PID, F.lit(None).cast("string").alias("kind"))
     )
-    all_models = processes.select(PID).join(counts, PID, "left").fillna(0, ["_starts", "_ends"])
-    return _violation(all_models.filter("_starts != 1"), "start_end", F.lit("start")).unionByName(
-        _violation(all_models.filter("_ends = 0"), "start_end", F.lit("end"))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = kinds.groupBy(PID).agg(
+        F.count("kind").alias("_nodes"),
+        of(START).alias("_starts"),
+        of(END).alias("_ends"),
+        of(TASK).alias("_tasks"),
+    )
+    return _emit(
+        counts,
+        ("size", F.col("_nodes") > MAX_NODES, F.lit("nodes")),
+        ("start_end", F.col("_starts") != 1, F.lit("start")),
+        ("start_end", F.col("_ends") == 0, F.lit("end")),
+        ("has_tasks", F.col("_tasks") == 0, F.col(PID)),
     )
 
 
-def task_attrs(nodes: DataFrame) -> DataFrame:
-    """Task aisle malformed, or an alternative that is malformed or equals the aisle."""
-    alt = F.col("alternative")
-    bad_alternative = (alt != "") & (~valid_id(alt) | (alt == F.col("aisle")))
-    bad = ~valid_id("aisle") | bad_alternative
-    return _violation(nodes.filter((F.col("kind") == TASK) & bad), "task_attrs", "id")
-
-
-def gateway_variable(nodes: DataFrame) -> DataFrame:
-    bad = (F.col("kind") == GATEWAY) & ~valid_id("variable")
-    return _violation(nodes.filter(bad), "gateway_variable", "id")
-
-
-def dangling(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Flows whose source or target is no node."""
-    known = nodes.select(PID, F.col("id").alias("_end")).distinct()
-    ends = flows.select(
-        PID, "id", F.explode(F.array("source", "target")).alias("_end")
-    ).distinct()
-    lost = ends.join(known, [PID, "_end"], "left_anti")
-    return _violation(lost, "dangling", F.concat("id", F.lit(":"), "_end"))
-
-
-def branch_value_scope(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """A value on a flow that does not leave a gateway."""
-    valued = flows.filter(F.col("value") != "")
-    others = nodes.filter(F.col("kind") != GATEWAY).select(PID, F.col("id").alias("source")).distinct()
-    return _violation(valued.join(others, [PID, "source"], "left_semi"), "branch_value_scope", "id")
+def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Rules on an id within its model: invalid_id, duplicate_id, dangling,
+    branch_value_scope, branch_values, degrees.
 
+    Everything known about an id (uses as id, node kinds, incoming and outgoing
+    flows, branch values) is summed in one aggregation, combined before the shuffle.
+    """
+    sums = ("_ids", "_nodes", "_in", "_out", "_valued", "_bad")
 
-def degrees(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Incoming and outgoing flow counts that do not fit the kind of node.
+    def fact(id_: str, kind: Column | None = None, **amounts: Column | int) -> Column:
+        values = [amounts.get(c, 0) for c in sums]
+        return F.struct(
+            F.col(id_).alias("id"),
+            (F.lit(None) if kind is None else kind).cast("string").alias("kind"),
+            *[
+                (F.lit(v) if isinstance(v, int) else v).cast("long").alias(c)
+                for c, v in zip(sums, values)
+            ],
+        )
 
-    Nodes and flow ends are counted in one aggregation, combined before the shuffle.
-    """
-    known = nodes.filter(F.col("kind").isin(*NODE_KINDS))
-    zero, one = F.lit(0), F.lit(1)
-    no_kind = F.lit(None).cast("string").alias("kind")
-    ends = flows.select(
-        PID,
-        F.inline(
-            F.array(
-                F.struct(F.col("target").alias("id"), one.alias("_in"), zero.alias("_out")),
-                F.struct(F.col("source").alias("id"), zero.alias("_in"), one.alias("_out")),
-            )
+    # unknown kinds are one kind here, so an id has at most five
+    known = F.when(F.col("kind").isin(*NODE_KINDS), F.col("kind")).otherwise("other")
+    branches = flows.groupBy(PID, "source", "value").agg(F.count("*").alias("_n"))
+    bad_value = ~valid_id("value") | (F.col("_n") > 1)
+    facts = [
+        processes.select(PID, F.inline(F.array(fact(PID, _ids=1)))),
+        nodes.select(PID, F.inline(F.array(fact("id", known, _ids=1, _nodes=1)))),
+        flows.select(PID, F.inline(F.array(fact("id", _ids=1), fact("target", _in=1)))),
+        branches.select(
+            PID,
+            F.inline(
+                F.array(
+                    fact(
+                        "source",
+                        _out=F.col("_n"),
+                        _valued=F.when(F.col("value") != "", F.col("_n")).otherwise(0),
+                        _bad=bad_value.cast("int"),
+                    )
+                )
+            ),
         ),
+    ]
+    union = facts[0]
+    for part in facts[1:]:
+        union = union.unionByName(part)
+    per_id = union.groupBy(PID, "id").agg(
+        F.collect_set("kind").alias("_kinds"), *[F.sum(c).alias(c) for c in sums]
     )
-    counted = (
-        known.select(PID, "id", "kind", zero.alias("_in"), zero.alias("_out"))
-        .unionByName(ends.select(PID, "id", no_kind, "_in", "_out"))
-        .groupBy(PID, "id")
-        .agg(
-            F.collect_set("kind").alias("_kinds"),
-            F.sum("_in").alias("_in"),
-            F.sum("_out").alias("_out"),
+    n_in, n_out = F.col("_in"), F.col("_out")
+
+    def misfit(kind: Column) -> Column:
+        return (
+            F.when(kind == START, (n_in != 0) | (n_out != 1))
+            .when(kind == END, (n_in == 0) | (n_out != 0))
+            .when(kind == TASK, (n_in == 0) | (n_out != 1))
+            .when(kind == GATEWAY, (n_in == 0) | (n_out < 2))
+            .otherwise(F.lit(False))
         )
-        .select(PID, "id", F.explode("_kinds").alias("kind"), "_in", "_out")
-    )
-    kind = F.col("kind")
-    fits = (
-        F.when(kind == START, F.expr("_in = 0 and _out = 1"))
-        .when(kind == END, F.expr("_in > 0 and _out = 0"))
-        .when(kind == TASK, F.expr("_in > 0 and _out = 1"))
-        .otherwise(F.expr("_in > 0 and _out >= 2"))
-    )
-    return _violation(counted.filter(~fits), "degrees", "id")
-
-
-def branch_values(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Gateways with a malformed or repeated branch value."""
-    gateways = nodes.filter(F.col("kind") == GATEWAY).select(PID, F.col("id").alias("source")).distinct()
-    counted = flows.groupBy(PID, "source", "value").agg(F.count("*").alias("_n"))
-    bad = counted.filter(~valid_id("value") | (F.col("_n") > 1)).select(PID, "source").distinct()
-    return _violation(bad.join(gateways, [PID, "source"], "left_semi"), "branch_values", "source")
 
-
-def has_tasks(processes: DataFrame, nodes: DataFrame) -> DataFrame:
-    tasks = nodes.filter(F.col("kind") == TASK).select(PID)
-    return _violation(processes.join(tasks, PID, "left_anti"), "has_tasks", PID)
+    subject = F.col("id")
+    return _emit(
+        per_id,
+        ("invalid_id", (F.col("_ids") > 0) & ~valid_id("id"), subject),
+        ("duplicate_id", F.col("_ids") > 1, subject),
+        ("dangling", (n_in + n_out > 0) & (F.col("_nodes") == 0), subject),
+        (
+            "branch_value_scope",
+            (F.col("_valued") > 0) & F.exists("_kinds", lambda k: k != GATEWAY),
+            subject,
+        ),
+        ("branch_values", (F.col("_bad") > 0) & F.array_contains("_kinds", GATEWAY), subject),
+        ("degrees", F.exists("_kinds", misfit), subject),
+    )
 
 
 # --- walks ----------------------------------------------------------------
@@ -191,7 +193,7 @@ def bounded_models(nodes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataF
 
 
 def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per model with one start, within the limits: `seen` (ids reached) and `has_cycle`.
+    """Per model with one start, within the limits: `ids`, `seen` (ids reached), `has_cycle`.
 
     The limits bound the row a model is packed into, so one shuffle by model
     replaces a join per hop. The frontier after k steps holds the nodes at the
@@ -207,6 +209,7 @@ def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
             F.count("*").cast("int").alias("n_nodes"),
             F.count_if(is_start).alias("_starts"),
             F.collect_list(F.when(is_start, F.col("id"))).alias("starts"),
+            F.collect_set("id").alias("ids"),
         )
         .filter("_starts = 1")
     )
@@ -229,23 +232,26 @@ def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
         models.join(packed, PID, "left")
         .withColumn("next", F.coalesce("next", F.create_map().cast("map<string,array<string>>")))
         # a generator, unlike a projection, is not evaluated again in later filters
-        .select(PID, F.inline(F.array(walked)))
+        .select(PID, "ids", F.inline(F.array(walked)))
         .select(
             PID,
+            "ids",
             F.array_union("seen", "frontier").alias("seen"),
             (F.size("frontier") > 0).alias("has_cycle"),
         )
     )
 
 
-def cycles(walked: DataFrame) -> DataFrame:
-    return _violation(walked.filter("has_cycle"), "cycle", PID)
-
-
-def unreachable(nodes: DataFrame, walked: DataFrame) -> DataFrame:
-    """Nodes not reached from the start."""
-    left = nodes.select(PID, "id").distinct().join(walked.select(PID, "seen"), PID)
-    return _violation(left.filter(~F.array_contains("seen", F.col("id"))), "unreachable", "id")
+def walk_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Rules on what the start reaches: cycle, unreachable."""
+    walked = walk(nodes, flows)
+    lost = F.transform(
+        F.array_except("ids", "seen"),
+        lambda n: F.struct(F.lit("unreachable").alias("rule"), n.alias("subject")),
+    )
+    cycle = F.array(F.struct(F.lit("cycle").alias("rule"), F.col(PID).alias("subject")))
+    found = F.when(F.col("has_cycle"), F.concat(cycle, lost)).otherwise(lost)
+    return walked.select(PID, F.inline(found))
 
 
 # --- everything -----------------------------------------------------------
@@ -273,27 +279,13 @@ RULE_ORDER = (
 
 def model_violations(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Violations of every rule."""
-    walked = walk(nodes, flows)
-    found = [
-        unknown_elements(nodes),
-        executable(processes),
-        size(processes, nodes),
-        ids(processes, nodes, flows),
-        start_end(processes, nodes),
-        task_attrs(nodes),
-        gateway_variable(nodes),
-        dangling(nodes, flows),
-        branch_value_scope(nodes, flows),
-        degrees(nodes, flows),
-        branch_values(nodes, flows),
-        cycles(walked),
-        unreachable(nodes, walked),
-        has_tasks(processes, nodes),
-    ]
-    union = found[0]
-    for part in found[1:]:
-        union = union.unionByName(part)
-    return union
+    return (
+        node_rules(nodes)
+        .unionByName(process_rules(processes))
+        .unionByName(count_rules(processes, nodes))
+        .unionByName(id_rules(processes, nodes, flows))
+        .unionByName(walk_rules(nodes, flows))
+    )
 
 
 def first_violation(violations: DataFrame) -> DataFrame:

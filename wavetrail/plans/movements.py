@@ -72,9 +72,9 @@ def baselines(spark: SparkSession) -> DataFrame:
         """
         select 't' || t as tenant_id, 's' || s as site_id, 'A0' || a as aisle,
                cast(30 as double) as mean, cast(16 as double) as stddev
-        from values (0), (1), (2) as tenants(t)
-        join (values (0), (1) as sites(s)) on true
-        join (values (1), (2) as aisles(a)) on true
+        from (select explode(array(0, 1, 2)) as t)
+        lateral view explode(array(0, 1)) sites as s
+        lateral view explode(array(1, 2)) aisles as a
         where not (t = 2 and s = 1 and a = 2)
         """
     )

@@ -55,11 +55,11 @@ RULES_SQL = {
         select process_id, 'gateway_variable' as rule, id as subject from nodes
         where kind = 'exclusiveGateway' and not {ID.format('variable')}""",
     "model_dangling": """
-        select distinct process_id, 'dangling' as rule, id || ':' || e as subject
-        from (select process_id, id, unnest([source, target]) as e from flows)
+        select distinct process_id, 'dangling' as rule, e as subject
+        from (select process_id, unnest([source, target]) as e from flows)
         where (process_id, e) not in (select process_id, id from nodes)""",
     "model_branch_value_scope": """
-        select f.process_id, 'branch_value_scope' as rule, f.id as subject from flows f
+        select distinct f.process_id, 'branch_value_scope' as rule, f.source as subject from flows f
         where f.value <> '' and exists (select 1 from nodes n where n.process_id = f.process_id
           and n.id = f.source and n.kind <> 'exclusiveGateway')""",
     "model_degrees": """
@@ -100,32 +100,35 @@ def _tables(spark, sf_dir):
     return models.processes(spark, sf_dir), models.nodes(spark, sf_dir), models.flows(spark, sf_dir)
 
 
-RULE_FUNCTIONS = {
-    "model_unknown_elements": lambda p, n, f: pm.unknown_elements(n),
-    "model_executable": lambda p, n, f: pm.executable(p),
-    "model_size": lambda p, n, f: pm.size(p, n),
-    "model_ids": pm.ids,
-    "model_start_end": lambda p, n, f: pm.start_end(p, n),
-    "model_task_attrs": lambda p, n, f: pm.task_attrs(n),
-    "model_gateway_variable": lambda p, n, f: pm.gateway_variable(n),
-    "model_dangling": lambda p, n, f: pm.dangling(n, f),
-    "model_branch_value_scope": lambda p, n, f: pm.branch_value_scope(n, f),
-    "model_degrees": lambda p, n, f: pm.degrees(n, f),
-    "model_branch_values": lambda p, n, f: pm.branch_values(n, f),
-    "model_cycles": lambda p, n, f: pm.cycles(pm.walk(n, f)),
-    "model_unreachable": lambda p, n, f: pm.unreachable(n, pm.walk(n, f)),
-    "model_has_tasks": lambda p, n, f: pm.has_tasks(p, n),
+# rule query -> (checks that find it, names of its rules)
+RULE_QUERIES = {
+    "model_unknown_elements": (lambda p, n, f: pm.node_rules(n), ["unknown_element"]),
+    "model_executable": (lambda p, n, f: pm.process_rules(p), ["not_executable", "process_count"]),
+    "model_size": (
+        lambda p, n, f: pm.process_rules(p).unionByName(pm.count_rules(p, n)), ["size"]
+    ),
+    "model_ids": (pm.id_rules, ["invalid_id", "duplicate_id"]),
+    "model_start_end": (lambda p, n, f: pm.count_rules(p, n), ["start_end"]),
+    "model_task_attrs": (lambda p, n, f: pm.node_rules(n), ["task_attrs"]),
+    "model_gateway_variable": (lambda p, n, f: pm.node_rules(n), ["gateway_variable"]),
+    "model_dangling": (pm.id_rules, ["dangling"]),
+    "model_branch_value_scope": (pm.id_rules, ["branch_value_scope"]),
+    "model_degrees": (pm.id_rules, ["degrees"]),
+    "model_branch_values": (pm.id_rules, ["branch_values"]),
+    "model_cycles": (lambda p, n, f: pm.walk_rules(n, f), ["cycle"]),
+    "model_unreachable": (lambda p, n, f: pm.walk_rules(n, f), ["unreachable"]),
+    "model_has_tasks": (lambda p, n, f: pm.count_rules(p, n), ["has_tasks"]),
 }
 
 
-def _rule_query(name, check) -> None:
+def _rule_query(name, check, rules) -> None:
     @query(name, _sql(RULES_SQL[name]))
     def violations(spark, sf_dir):
-        return check(*_tables(spark, sf_dir))
+        return check(*_tables(spark, sf_dir)).filter(F.col("rule").isin(*rules))
 
 
-for _name, _check in RULE_FUNCTIONS.items():
-    _rule_query(_name, _check)
+for _name, (_check, _rules) in RULE_QUERIES.items():
+    _rule_query(_name, _check, _rules)
 
 
 @query("model_violations", _sql(f"select rule, count(*) as n_violations from ({ALL_SQL}) group by 1"))
