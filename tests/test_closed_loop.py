@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from wavetrail import schemas
@@ -111,3 +113,40 @@ def test_stream_gives_the_same_log_across_restarts(spark, tmp_path):
         delivery.deliver_reroutes(log_stream, str(tmp_path / "out"), str(tmp_path / "out-state"))
     sent = spark.read.json(str(tmp_path / "out")).collect()
     assert [(m.alert_id, m.aisle, m.run_id) for m in sent] == [(batch[0].alert_id, "A01", RUN_ID)]
+
+
+def test_failed_commit_leaves_the_windows_untouched(spark, tmp_path):
+    """A batch whose write fails is processed again from the same state."""
+    tokens, baselines = inputs(spark)
+    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    stream.use_state_store(spark)
+    exports(spark, AISLES).coalesce(1).write.parquet(source)
+    calls = []
+
+    def write(batch, number):
+        calls.append(number)
+        if len(calls) == 1:
+            batch.count()  # the detector has run, the commit is lost
+            raise OSError("log unavailable")
+        batch.write.mode("append").parquet(log)
+
+    def run():
+        observations = ingest.ingest(
+            spark.readStream.schema(schemas.EXPORT).parquet(source), tokens
+        )
+        out = stream.detect_congestion_stream(observations, baselines, detector.DetectorConfig())
+        query = (
+            out.writeStream.foreachBatch(write)
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    run()
+    assert calls == [0, 0]
+    rows = spark.read.parquet(log)
+    assert rows.count() == 9
+    assert [a.mean_seconds for a in sinks.alerts_of(rows).collect()] == [17.0]

@@ -97,6 +97,8 @@ def test_files_are_read_and_oversize_text_is_dropped(spark, tmp_path):
     found = pf.read_process_models(spark, str(tmp_path), NS)
     assert found.processes.count() == 1 and found.nodes.count() == 7 and found.flows.count() == 7
     assert [r.rule for r in found.document_violations.collect()] == ["oversize"]
+    ordered = pm.canonical_order(found.flows).select("id").collect()
+    assert [r.id for r in ordered] == [f"g{i}" for i in range(1, 8)]
     summary = pm.model_summary(found.processes, found.nodes, found.flows).first()
     assert (summary.n_nodes, summary.n_flows) == (7, 7)
     assert pm.task_catalog(found.nodes).first().task_ids == ["fast", "one", "slow", "two"]
