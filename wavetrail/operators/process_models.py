@@ -100,26 +100,29 @@ def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
     Everything known about an id (uses as id, node kinds, incoming and outgoing
     flows, branch values) is summed in one aggregation, combined before the shuffle.
     """
-    sums = ("_ids", "_nodes", "_in", "_out", "_valued", "_bad")
+    # plain sums only: they stay in a hash aggregation, unlike collected sets
+    sums = ("_ids", "_nodes", "_starts", "_ends", "_tasks", "_gateways", "_in", "_out", "_valued", "_bad")
 
-    def fact(id_: str, kind: Column | None = None, **amounts: Column | int) -> Column:
+    def fact(id_: str, **amounts: Column | int) -> Column:
         values = [amounts.get(c, 0) for c in sums]
         return F.struct(
             F.col(id_).alias("id"),
-            (F.lit(None) if kind is None else kind).cast("string").alias("kind"),
             *[
                 (F.lit(v) if isinstance(v, int) else v).cast("long").alias(c)
                 for c, v in zip(sums, values)
             ],
         )
 
-    # unknown kinds are one kind here, so an id has at most five
-    known = F.when(F.col("kind").isin(*NODE_KINDS), F.col("kind")).otherwise("other")
+    is_kind = lambda kind: F.when(F.col("kind") == kind, 1).otherwise(0)
+    as_node = fact(
+        "id", _ids=1, _nodes=1, _starts=is_kind(START), _ends=is_kind(END), _tasks=is_kind(TASK),
+        _gateways=is_kind(GATEWAY),
+    )
     branches = flows.groupBy(PID, "source", "value").agg(F.count("*").alias("_n"))
     bad_value = ~valid_id("value") | (F.col("_n") > 1)
     facts = [
         processes.select(PID, F.inline(F.array(fact(PID, _ids=1)))),
-        nodes.select(PID, F.inline(F.array(fact("id", known, _ids=1, _nodes=1)))),
+        nodes.select(PID, F.inline(F.array(as_node))),
         flows.select(PID, F.inline(F.array(fact("id", _ids=1), fact("target", _in=1)))),
         branches.select(
             PID,
@@ -138,20 +141,14 @@ def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
     union = facts[0]
     for part in facts[1:]:
         union = union.unionByName(part)
-    per_id = union.groupBy(PID, "id").agg(
-        F.collect_set("kind").alias("_kinds"), *[F.sum(c).alias(c) for c in sums]
-    )
+    per_id = union.groupBy(PID, "id").agg(*[F.sum(c).alias(c) for c in sums])
     n_in, n_out = F.col("_in"), F.col("_out")
-
-    def misfit(kind: Column) -> Column:
-        return (
-            F.when(kind == START, (n_in != 0) | (n_out != 1))
-            .when(kind == END, (n_in == 0) | (n_out != 0))
-            .when(kind == TASK, (n_in == 0) | (n_out != 1))
-            .when(kind == GATEWAY, (n_in == 0) | (n_out < 2))
-            .otherwise(F.lit(False))
-        )
-
+    misfit = (
+        ((F.col("_starts") > 0) & ((n_in != 0) | (n_out != 1)))
+        | ((F.col("_ends") > 0) & ((n_in == 0) | (n_out != 0)))
+        | ((F.col("_tasks") > 0) & ((n_in == 0) | (n_out != 1)))
+        | ((F.col("_gateways") > 0) & ((n_in == 0) | (n_out < 2)))
+    )
     subject = F.col("id")
     return _emit(
         per_id,
@@ -160,11 +157,11 @@ def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
         ("dangling", (n_in + n_out > 0) & (F.col("_nodes") == 0), subject),
         (
             "branch_value_scope",
-            (F.col("_valued") > 0) & F.exists("_kinds", lambda k: k != GATEWAY),
+            (F.col("_valued") > 0) & (F.col("_nodes") > F.col("_gateways")),
             subject,
         ),
-        ("branch_values", (F.col("_bad") > 0) & F.array_contains("_kinds", GATEWAY), subject),
-        ("degrees", F.exists("_kinds", misfit), subject),
+        ("branch_values", (F.col("_bad") > 0) & (F.col("_gateways") > 0), subject),
+        ("degrees", misfit, subject),
     )
 
 
