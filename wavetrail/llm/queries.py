@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavetrail.llm import exact_dedup, pii
+from wavetrail.llm import exact_dedup, ngram_join, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +39,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
