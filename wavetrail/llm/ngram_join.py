@@ -34,8 +34,8 @@ BLOCK = 512
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows per band whose bands find a pair at `similarity` with `recall`."""
     best = (max_hashes, 1)
-    for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+    for rows in range(1, min(max_hashes, 64) + 1):
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows)))
         if bands * rows <= max_hashes:
             best = (bands, rows)
     return best

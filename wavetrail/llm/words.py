@@ -103,7 +103,7 @@ def shingles(word: np.ndarray, row: np.ndarray, size: int = 5) -> tuple[np.ndarr
     full = row[:n] == row[size - 1 : size - 1 + n]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     length = np.diff(np.r_[first, len(row)])
-    short = [(mix(np.uint64(n) + sequence(word[a : a + n], np.zeros(1, int))[0]), row[a]) for a, n in zip(first, length) if n < size]
+    short = [(mix(sequence(word[a : a + n], np.zeros(1, int), int(n)))[0], row[a]) for a, n in zip(first, length) if n < size]
     out, rows = total[full], row[:n][full]
     if short:
         out = np.r_[out, np.array([s for s, _ in short], np.uint64)]
