@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavetrail.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, pii, token_files, tokens, toxicity
+from wavetrail.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, pii, suffix_dedup, token_files, tokens, toxicity
 from wavetrail.llm.common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontaminate")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
