@@ -27,8 +27,8 @@ START, END, TASK, GATEWAY, FLOW = (
 NODE_KINDS = (START, END, TASK, GATEWAY)
 MAX_NODES = 500
 MAX_BYTES = 1 << 20
-# a flow element takes 50 bytes at least, so no document within the limit has more flows
-MAX_FLOWS = MAX_BYTES // 50
+# an element takes 16 bytes at least, so no document within the limit has more of them
+MAX_ELEMENTS = MAX_BYTES // 16
 
 PID = "process_id"
 
@@ -72,27 +72,59 @@ def process_rules(processes: DataFrame) -> DataFrame:
     return single.unionByName(_emit(shared, ("process_count", F.lit(True), F.col("doc_id"))))
 
 
-def count_rules(processes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rules on node counts per model: size (nodes), start_end, has_tasks."""
-    kinds = nodes.select(PID, "kind").unionByName(
-        processes.select(PID, F.lit(None).cast("string").alias("kind"))
+def count_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Rules on counts per model: size (nodes, elements), start_end, has_tasks."""
+    kinds = (
+        nodes.select(PID, "kind")
+        .unionByName(processes.select(PID, F.lit(None).cast("string").alias("kind")))
+        .unionByName(flows.select(PID, F.lit(FLOW).alias("kind")))
     )
     of = lambda kind: F.count_if(F.col("kind") == kind)
     counts = kinds.groupBy(PID).agg(
-        F.count("kind").alias("_nodes"),
+        F.count("kind").alias("_elements"),
+        of(FLOW).alias("_flows"),
         of(START).alias("_starts"),
         of(END).alias("_ends"),
         of(TASK).alias("_tasks"),
     )
     return _emit(
         counts,
-        ("size", F.col("_nodes") > MAX_NODES, F.lit("nodes")),
+        ("size", F.col("_elements") - F.col("_flows") > MAX_NODES, F.lit("nodes")),
+        ("size", F.col("_elements") > MAX_ELEMENTS, F.lit("elements")),
         ("start_end", F.col("_starts") != 1, F.lit("start")),
         ("start_end", F.col("_ends") == 0, F.lit("end")),
         ("has_tasks", F.col("_tasks") == 0, F.col(PID)),
     )
 
 
+def degree_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Rule on the incoming and outgoing flows of a node: degrees. One aggregation over thin rows."""
+    kind = F.col("kind")
+    known = [F.when(kind == k, 1).otherwise(0).cast("long") for k in NODE_KINDS]
+    none = F.lit(0).cast("long")
+    row = lambda id_, kinds, n_in, n_out: F.struct(
+        F.col(id_).alias("id"), *[k.alias(f"_k{i}") for i, k in enumerate(kinds)],
+        F.lit(n_in).cast("long").alias("_in"), F.lit(n_out).cast("long").alias("_out"),
+    )
+    zeros = [none] * len(NODE_KINDS)
+    rows = nodes.select(PID, F.inline(F.array(row("id", known, 0, 0)))).unionByName(
+        flows.select(PID, F.inline(F.array(row("source", zeros, 0, 1), row("target", zeros, 1, 0))))
+    )
+    per_id = rows.groupBy(PID, "id").agg(
+        *[F.sum(f"_k{i}").alias(f"_k{i}") for i in range(len(NODE_KINDS))],
+        F.sum("_in").alias("_in"), F.sum("_out").alias("_out"),
+    )
+    n_in, n_out = F.col("_in"), F.col("_out")
+    allowed = {
+        START: (n_in == 0) & (n_out == 1), END: (n_in > 0) & (n_out == 0),
+        TASK: (n_in > 0) & (n_out == 1), GATEWAY: (n_in > 0) & (n_out > 1),
+    }
+    misfit = F.lit(False)
+    for i, name in enumerate(NODE_KINDS):
+        misfit = misfit | ((F.col(f"_k{i}") > 0) & ~allowed[name])
+    return _emit(per_id, ("degrees", misfit, F.col("id")))
+
+
 def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Rules on an id within its model: invalid_id, duplicate_id, dangling,
     branch_value_scope, branch_values, degrees.
@@ -169,18 +201,18 @@ def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
 
 
 def oversize_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Models with more than 500 nodes, or more flows than a document can hold."""
-    many_nodes = nodes.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_NODES)
-    many_flows = flows.groupBy(PID).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_FLOWS)
-    return many_nodes.select(PID).unionByName(many_flows.select(PID)).distinct()
+    """Models with more elements than a document can hold; the size rule reports each of them."""
+    elements = nodes.select(PID).unionByName(flows.select(PID))
+    counts = elements.groupBy(PID).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") > MAX_ELEMENTS).select(PID)
 
 
 def bounded_models(nodes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and flows of the models that fit in one row, partitioned by model.
 
     A model that holds most of all rows is oversize: its rows are counted with a
-    partial aggregation and dropped before the shuffle. What is left has a
-    proven bound per model, so later steps group by model without another shuffle.
+    partial aggregation and dropped before the shuffle. What is left has the
+    bound of a document per model, so later steps group by model without another shuffle.
     """
     listed = cut(oversize_models(nodes, flows))
     if not listed.isEmpty():
@@ -189,66 +221,55 @@ def bounded_models(nodes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataF
     return nodes.repartition(PID), flows.repartition(PID)
 
 
-def walk(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per model with one start, within the limits: `ids`, `seen` (ids reached), `has_cycle`.
-
-    The limits bound the row a model is packed into, so one shuffle by model
-    replaces a join per hop. The frontier after k steps holds the nodes at the
-    end of a walk of k flows. A walk can end at one dangling target, so a
-    frontier that is not empty after one step more than there are nodes means
-    that some walk repeats a node.
-    """
-    nodes, flows = bounded_models(nodes, flows)
-    is_start = F.col("kind") == START
-    models = (
-        nodes.groupBy(PID)
-        .agg(
-            F.count("*").cast("int").alias("n_nodes"),
-            F.count_if(is_start).alias("_starts"),
-            F.collect_list(F.when(is_start, F.col("id"))).alias("starts"),
-            F.collect_set("id").alias("ids"),
-        )
-        .filter("_starts = 1")
-    )
-    successors = flows.groupBy(PID, "source").agg(F.collect_set("target").alias("targets"))
-    packed = successors.groupBy(PID).agg(
-        F.map_from_entries(F.collect_list(F.struct("source", "targets"))).alias("next")
-    )
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, _: Column) -> Column:
-        targets = F.transform(acc["frontier"], lambda n: F.coalesce(F.col("next")[n], none))
-        return F.struct(
-            F.array_distinct(F.flatten(targets)).alias("frontier"),
-            F.array_union(acc["seen"], acc["frontier"]).alias("seen"),
-        )
-
-    start = F.struct(F.col("starts").alias("frontier"), none.alias("seen"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.col("n_nodes")), start, step)
-    return (
-        models.join(packed, PID, "left")
-        .withColumn("next", F.coalesce("next", F.create_map().cast("map<string,array<string>>")))
-        # a generator, unlike a projection, is not evaluated again in later filters
-        .select(PID, "ids", F.inline(F.array(walked)))
-        .select(
-            PID,
-            "ids",
-            F.array_union("seen", "frontier").alias("seen"),
-            (F.size("frontier") > 0).alias("has_cycle"),
-        )
-    )
+def _walked(start: str, ids: list[str], edges: list[tuple[str, str]]) -> tuple[bool, list[str]]:
+    """(a walk from `start` can repeat a node, ids that no walk reaches)."""
+    follow: dict[str, list[str]] = {}
+    for source, target in edges:
+        follow.setdefault(source, []).append(target)
+    open_, done, cyclic = {start}, set(), False
+    stack = [(start, iter(follow.get(start, ())))]
+    while stack:
+        node, rest = stack[-1]
+        step = next(rest, None)
+        if step is None:
+            stack.pop()
+            open_.discard(node)
+            done.add(node)
+        elif step in open_:
+            cyclic = True
+        elif step not in done:
+            open_.add(step)
+            stack.append((step, iter(follow.get(step, ()))))
+    return cyclic, [i for i in ids if i not in done]
+
+
+def _walk_batches(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [[], [], []]
+        for pid, starts, ids, edges in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            cyclic, lost = _walked(starts[0], ids, [(e["source"], e["target"]) for e in edges or ()])
+            rows = [(pid, "cycle", pid)] * cyclic + [(pid, "unreachable", i) for i in lost]
+            for column, values in zip(found, zip(*rows)):
+                column += values
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], [PID, "rule", "subject"])
 
 
 def walk_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Rules on what the start reaches: cycle, unreachable."""
-    walked = walk(nodes, flows)
-    lost = F.transform(
-        F.array_except("ids", "seen"),
-        lambda n: F.struct(F.lit("unreachable").alias("rule"), n.alias("subject")),
+    """Rules on what the start reaches, for models with one start: cycle, unreachable.
+
+    Every model within the bound of a document is packed into one row by one shuffle and walked
+    once, in time linear in its elements; a join per hop would need one shuffle per node.
+    """
+    nodes, flows = bounded_models(nodes, flows)
+    models = nodes.groupBy(PID).agg(
+        F.collect_list(F.when(F.col("kind") == START, F.col("id"))).alias("starts"),
+        F.collect_set("id").alias("ids"),
     )
-    cycle = F.array(F.struct(F.lit("cycle").alias("rule"), F.col(PID).alias("subject")))
-    found = F.when(F.col("has_cycle"), F.concat(cycle, lost)).otherwise(lost)
-    return walked.select(PID, F.inline(found))
+    edges = flows.groupBy(PID).agg(F.collect_set(F.struct("source", "target")).alias("edges"))
+    packed = models.filter(F.size("starts") == 1).join(edges, PID, "left").select(PID, "starts", "ids", "edges")
+    return packed.mapInArrow(_walk_batches, f"{PID} string, rule string, subject string")
 
 
 # --- everything -----------------------------------------------------------
@@ -279,7 +300,7 @@ def model_violations(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -
     return (
         node_rules(nodes)
         .unionByName(process_rules(processes))
-        .unionByName(count_rules(processes, nodes))
+        .unionByName(count_rules(processes, nodes, flows))
         .unionByName(id_rules(processes, nodes, flows))
         .unionByName(walk_rules(nodes, flows))
     )
@@ -295,9 +316,22 @@ def first_violation(violations: DataFrame) -> DataFrame:
     )
 
 
-def valid_models(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Ids of models without any violation."""
-    broken = model_violations(processes, nodes, flows).select(PID).distinct()
+def refused_models(
+    processes: DataFrame, nodes: DataFrame, flows: DataFrame, document_violations: DataFrame | None = None
+) -> DataFrame:
+    """Ids of models with any violation, of the graph or of the document they come from."""
+    broken = model_violations(processes, nodes, flows).select(PID)
+    if document_violations is not None:
+        documents = document_violations.select("doc_id").distinct()
+        broken = broken.unionByName(processes.join(documents, "doc_id", "left_semi").select(PID))
+    return broken.distinct()
+
+
+def valid_models(
+    processes: DataFrame, nodes: DataFrame, flows: DataFrame, document_violations: DataFrame | None = None
+) -> DataFrame:
+    """Ids of models without any violation, of the graph or of their document."""
+    broken = refused_models(processes, nodes, flows, document_violations)
     return processes.select(PID).join(broken, PID, "left_anti")
 
 
@@ -307,11 +341,8 @@ def canonical_order(rows: DataFrame) -> DataFrame:
 
 
 def task_catalog(nodes: DataFrame) -> DataFrame:
-    """Sorted task ids per model, for models within the node limit."""
-    counts = nodes.groupBy(PID).agg(F.count("*").alias("_n"))
-    listed = small_side(cut(counts.filter(F.col("_n") > MAX_NODES).select(PID)))
-    tasks = nodes.filter(F.col("kind") == TASK).join(listed, PID, "left_anti")
-    return tasks.groupBy(PID).agg(F.array_sort(F.collect_set("id")).alias("task_ids"))
+    """Task ids per model, one row each: a model may have any number."""
+    return nodes.filter(F.col("kind") == TASK).select(PID, F.col("id").alias("task_id")).distinct()
 
 
 def model_summary(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -323,7 +354,11 @@ def model_summary(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> D
 
 
 def catalog_drift(stored: DataFrame, computed: DataFrame) -> DataFrame:
-    """Catalog rows that are only stored or only computed; none when nothing drifted."""
-    only_stored = stored.exceptAll(computed).withColumn("side", F.lit("stored"))
-    only_computed = computed.exceptAll(stored).withColumn("side", F.lit("computed"))
-    return only_stored.unionByName(only_computed)
+    """Catalog rows that are only stored or only computed; none when nothing drifted.
+
+    One signed count over both sides, combined before the shuffle.
+    """
+    columns = stored.columns
+    signed = stored.withColumn("_s", F.lit(1)).unionByName(computed.withColumn("_s", F.lit(-1)))
+    counts = signed.groupBy(*columns).agg(F.sum("_s").alias("_s")).filter("_s <> 0")
+    return counts.select(*columns, F.when(F.col("_s") > 0, "stored").otherwise("computed").alias("side"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
-from wavetrail.operators.process_models import END, GATEWAY, PID, START, TASK, bounded_models
+from wavetrail.operators.process_models import END, GATEWAY, PID, START, TASK, refused_models
 from wavetrail.session import cut, small_side
 
 WAVE_KEY = ("tenant_id", "site_id", "wave_id")
@@ -22,17 +22,15 @@ def valid_input() -> Column:
 
 
 def packed_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """One row per model within the limits: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
+    """One row per valid model: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
 
     `graph` maps a node id to its kind and step, `outgoing` a node id to its
-    targets by branch value.
+    targets by branch value. A valid model has a bounded number of nodes, each id once.
     """
-    nodes, flows = bounded_models(nodes, flows)
     entry = F.struct("id", "kind", "aisle", "alternative", "variable")
     is_start, is_gateway = F.col("kind") == START, F.col("kind") == GATEWAY
     graphs = (
-        nodes.dropDuplicates([PID, "id"])
-        .groupBy(PID)
+        nodes.groupBy(PID)
         .agg(
             F.map_from_entries(F.collect_list(F.struct(F.col("id"), entry))).alias("graph"),
             F.array_min(F.collect_list(F.when(is_start, F.col("id")))).alias("start"),
@@ -41,8 +39,7 @@ def packed_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
         )
     )
     targets = (
-        flows.dropDuplicates([PID, "source", "value"])
-        .groupBy(PID, "source")
+        flows.groupBy(PID, "source")
         .agg(F.map_from_entries(F.collect_list(F.struct("value", "target"))).alias("targets"))
         .groupBy(PID)
         .agg(F.map_from_entries(F.collect_list(F.struct("source", "targets"))).alias("outgoing"))
@@ -100,15 +97,26 @@ def _choices(waves: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def used_models(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Packed models that some wave names, materialised: there are far fewer than waves."""
+def named_models(
+    waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
+    document_violations: DataFrame | None = None,
+) -> DataFrame:
+    """Known models that some wave names, with `refused`: the model has a violation. Materialised."""
     used = small_side(cut(waves.select(PID).distinct()))
-    return cut(packed_models(nodes.join(used, PID, "left_semi"), flows.join(used, PID, "left_semi")))
-
-
-def wave_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per wave with valid input and a known model: `status` and `steps`."""
-    models = used_models(waves, nodes, flows)
+    known = processes.join(used, PID, "left_semi")
+    # a document is judged with all its processes, named by a wave or not
+    whole = processes.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    broken = refused_models(
+        whole, nodes.join(used, PID, "left_semi"), flows.join(used, PID, "left_semi"), document_violations
+    ).withColumn("_broken", F.lit(True))
+    listed = known.select(PID).distinct().join(broken, PID, "left")
+    return cut(listed.select(PID, F.coalesce("_broken", F.lit(False)).alias("refused")))
+
+
+def wave_routes(waves: DataFrame, named: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Per wave with valid input and a valid model of `named_models`: `status` and `steps`."""
+    valid = small_side(named.filter(~F.col("refused")).select(PID))
+    models = cut(packed_models(nodes.join(valid, PID, "left_semi"), flows.join(valid, PID, "left_semi")))
     chosen = _choices(waves, models)
     distinct = chosen.select(PID, "choices").distinct()
     routes = (
@@ -127,9 +135,13 @@ def wave_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFra
     return chosen.join(small_side(cut(routes)), [PID, "choices"]).drop("choices")
 
 
-def resolve_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Steps of every wave whose walk reaches an end: (hop, step_id, aisle, alternative)."""
-    done = wave_routes(waves, nodes, flows).filter(F.col("status") == DONE)
+def resolve_routes(
+    waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
+    document_violations: DataFrame | None = None,
+) -> DataFrame:
+    """Steps of every wave whose walk of a valid model reaches an end: (hop, step_id, aisle, alternative)."""
+    named = named_models(waves, processes, nodes, flows, document_violations)
+    done = wave_routes(waves, named, nodes, flows).filter(F.col("status") == DONE)
     return done.select(*WAVE_KEY, PID, F.posexplode("steps").alias("_pos", "_step")).select(
         *WAVE_KEY,
         PID,
@@ -140,16 +152,18 @@ def resolve_routes(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> Data
     )
 
 
-def route_errors(waves: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Waves without a route and why: invalid_input, unknown_process (absent or
-    oversize model), no_branch, unknown_node or hop_bound."""
-    bad = waves.filter(~valid_input()).select(*WAVE_KEY, PID, F.lit("invalid_input").alias("reason"))
-    walked = wave_routes(waves, nodes, flows)
-    lost = waves.filter(valid_input()).join(
-        small_side(cut(walked.select(PID).distinct())), PID, "left_anti"
-    )
-    stopped = walked.filter(F.col("status") != DONE)
-    return (
-        bad.unionByName(lost.select(*WAVE_KEY, PID, F.lit("unknown_process").alias("reason")))
-        .unionByName(stopped.select(*WAVE_KEY, PID, F.col("status").alias("reason")))
+def route_errors(
+    waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
+    document_violations: DataFrame | None = None,
+) -> DataFrame:
+    """Waves without a route and why: invalid_input, unknown_process, invalid_model or no_branch."""
+    named = named_models(waves, processes, nodes, flows, document_violations)
+    told = waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")).join(small_side(named), PID, "left")
+    reason = (
+        F.when(~F.col("_ok"), "invalid_input")
+        .when(F.col("refused").isNull(), "unknown_process")
+        .when(F.col("refused"), "invalid_model")
     )
+    early = told.select(*WAVE_KEY, PID, reason.alias("reason")).filter("reason is not null")
+    stopped = wave_routes(waves, named, nodes, flows).filter(F.col("status") != DONE)
+    return early.unionByName(stopped.select(*WAVE_KEY, PID, F.col("status").alias("reason")))

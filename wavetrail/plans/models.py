@@ -156,12 +156,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wave per order; more than a third of them share one model.
-
-    Models with a repeated node, branch value or an unknown element are left out:
-    which of their copies is walked is not defined.
-    """
-    model = F.col(K) % 1500
+    """One wave per order; a third of them share one model, the others name the model of their order."""
     k, priority = F.col(K), F.substring("o_orderpriority", 1, 1)
     variables = F.when(
         priority.isin("1", "2"), F.create_map(F.lit("service"), F.lit("express"))
@@ -170,9 +165,7 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("t", k % 3).alias("tenant_id"),
         _text("s", k % 2).alias("site_id"),
         F.when(k % 37 == 5, _text("bad ", k)).otherwise(_text("w", k)).alias("wave_id"),
-        F.when((k % 3 == 0) | (model % 41).isin(10, 11, 12), "p0")
-        .otherwise(_text("p", model))
-        .alias("process_id"),
+        F.when(k % 3 == 0, "p0").otherwise(_text("p", k)).alias("process_id"),
         variables.alias("variables"),
         k,
     )
@@ -184,7 +177,7 @@ STEP_ORIGIN = "2024-01-01 00:00:00"
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Started steps of run r0 of every resolved wave; the last hops have not started."""
     resolved = routes.resolve_routes(
-        waves(spark, sf_dir), nodes(spark, sf_dir), flows(spark, sf_dir)
+        waves(spark, sf_dir), processes(spark, sf_dir), nodes(spark, sf_dir), flows(spark, sf_dir)
     )
     origin = F.expr(f"timestamp_ntz '{STEP_ORIGIN}'")
     hours = F.expr("interval 1 hour")
@@ -282,7 +275,7 @@ counts as (
   select process_id, count(*) as n, count(*) filter (kind = 'startEvent') as starts from nodes group by 1
 ),
 walkable as (
-  select process_id, n from counts where n <= 500 and starts = 1
+  select process_id, n from counts where starts = 1
 ),
 known as (select distinct process_id, id from nodes),
 edges as (
@@ -303,13 +296,14 @@ WAVES_SQL = """,
 waves as (
   select 't' || o_orderkey % 3 as tenant_id, 's' || o_orderkey % 2 as site_id,
     case when o_orderkey % 37 = 5 then 'bad ' else 'w' end || o_orderkey as wave_id,
-    case when o_orderkey % 3 = 0 or o_orderkey % 1500 % 41 in (10, 11, 12) then 'p0' else 'p' || o_orderkey % 1500 end as process_id,
+    case when o_orderkey % 3 = 0 then 'p0' else 'p' || o_orderkey end as process_id,
     case when left(o_orderpriority, 1) in ('1', '2') then 'express'
          when left(o_orderpriority, 1) in ('3', '4') then 'standard' else '' end as service
   from orders
 ),
 good_waves as (select * from waves where regexp_matches(wave_id, '^[A-Za-z0-9_-]{1,64}$')),
-model_keys as (select process_id, count(*) as n from nodes group by 1 having count(*) <= 500),
+model_keys as (select process_id, count(*) as n from nodes
+               where process_id not in (select process_id from broken) group by 1),
 one_node as (select process_id, id, any_value(kind) as kind, any_value(aisle) as aisle,
                     any_value(alternative) as alternative, any_value(variable) as variable
              from nodes group by 1, 2),
