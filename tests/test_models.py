@@ -8,72 +8,108 @@ from wavetrail.operators import routes
 from wavetrail.sources import process_files as pf
 
 NS = "urn:test:extension"
-HEAD = f'<?xml version="1.0"?>\n<m:definitions xmlns:m="{pf.MODEL_NAMESPACE}" xmlns:af="{NS}" targetNamespace="urn:t">'
-BODY = """
-  <m:process id="proc" isExecutable="true">
-    <m:startEvent id="begin"/>
-    <m:serviceTask id="one" af:aisle="A01" af:alternative="A02"/>
-    <m:serviceTask id="two" af:aisle="A01"/>
-    <m:exclusiveGateway id="split" af:variable="service"/>
-    <m:serviceTask id="slow" af:aisle="PACK"/>
-    <m:serviceTask id="fast" af:aisle="EXPRESS"/>
-    <m:endEvent id="finish"/>
-    <m:sequenceFlow id="g1" sourceRef="begin" targetRef="one"/>
-    <m:sequenceFlow id="g2" sourceRef="one" targetRef="two"/>
-    <m:sequenceFlow id="g3" sourceRef="two" targetRef="split"/>
-    <m:sequenceFlow id="g4" sourceRef="split" targetRef="slow" af:value="standard"/>
-    <m:sequenceFlow id="g5" sourceRef="split" targetRef="fast" af:value="express"/>
-    <m:sequenceFlow id="g6" sourceRef="slow" targetRef="finish"/>
-    <m:sequenceFlow id="g7" sourceRef="fast" targetRef="finish"/>
-  </m:process>
-</m:definitions>"""
-GOOD = HEAD + BODY
-
-# name -> (document, a rule that must be reported)
-BROKEN = {
-    "non_executable": (GOOD.replace('isExecutable="true"', 'isExecutable="false"'), "not_executable"),
-    "parallel": (GOOD.replace("exclusiveGateway", "parallelGateway"), "unknown_element"),
-    "boundary": (GOOD.replace("<m:startEvent", '<m:boundaryEvent id="t"/><m:startEvent', 1), "unknown_element"),
-    "cycle": (GOOD.replace('targetRef="split"', 'targetRef="one"'), "cycle"),
-    "dangling": (GOOD.replace('targetRef="split"', 'targetRef="gone"'), "dangling"),
-    "duplicate_id": (GOOD.replace('id="two"', 'id="one"', 1), "duplicate_id"),
-    "unreachable": (GOOD.replace("<m:endEvent", '<m:serviceTask id="orphan" af:aisle="A"/><m:endEvent', 1), "unreachable"),
-    "duplicate_branch": (GOOD.replace('af:value="express"', 'af:value="standard"'), "branch_values"),
-    "foreign_attribute": (GOOD.replace('af:aisle="A01"', 'implementation="x" af:aisle="A01"', 1), "unknown_attribute"),
-    "unprefixed_aisle": (GOOD.replace('af:aisle="A01"', 'aisle="A01"', 1), "unknown_attribute"),
-    "wrong_namespace": (GOOD.replace(pf.MODEL_NAMESPACE, "urn:wrong"), "namespace"),
-    "wrong_extension": (GOOD.replace(NS, "urn:wrong"), "unknown_attribute"),
-    "doctype": ("<!DOCTYPE x>" + GOOD, "doctype"),
-    "nested_loop": (GOOD.replace('af:aisle="PACK"/>', 'af:aisle="PACK"><m:loop/></m:serviceTask>'), "unknown_element"),
-    "nested_task": (GOOD.replace('af:aisle="PACK"/>', 'af:aisle="PACK"><m:serviceTask id="in" af:aisle="A"/></m:serviceTask>'), "nested_element"),
-    "second_root": (GOOD + GOOD, "one_root"),
-    "second_process": (GOOD.replace("</m:definitions>", '<m:process id="q" isExecutable="true"/></m:definitions>'), "one_process"),
-    "text": (GOOD.replace("<m:endEvent", "words<m:endEvent", 1), "text"),
-    "oversize": (GOOD + " " * pf.MAX_BYTES, "oversize"),
-    "malformed": ("<a><b></a>", "malformed_xml"),
-    "blank": ("   ", "one_root"),
-    "bad_aisle": (GOOD.replace('af:aisle="PACK"', 'af:aisle="P K"'), "task_attrs"),
-    "same_alternative": (GOOD.replace('af:alternative="A02"', 'af:alternative="A01"'), "task_attrs"),
-    "no_variable": (GOOD.replace(' af:variable="service"', ""), "gateway_variable"),
-    "stray_value": (GOOD.replace('targetRef="split"', 'targetRef="split" af:value="x"'), "branch_value_scope"),
-    "two_starts": (GOOD.replace("<m:endEvent", '<m:startEvent id="b2"/><m:endEvent', 1), "start_end"),
-}
+
+
+def element(kind, inner="", **attributes):
+    """One element; keys that start with `x_` get the extension prefix."""
+    told = "".join(f' {"ex:" + k[2:] if k.startswith("x_") else k}="{v}"' for k, v in attributes.items())
+    return f"<b:{kind}{told}>{inner}</b:{kind}>" if inner else f"<b:{kind}{told}/>"
+
+
+def node(id_, kind, **extension):
+    return [kind, {"id": id_, **{f"x_{k}": v for k, v in extension.items()}}]
+
+
+def flow(source, target, **extension):
+    ends = {"id": f"{source}_{target}", "sourceRef": source, "targetRef": target}
+    return ["sequenceFlow", {**ends, **{f"x_{k}": v for k, v in extension.items()}}]
+
+
+def parts():
+    """A valid model as a list of elements: a test breaks one rule by changing the list."""
+    return [
+        node("in", "startEvent"), node("shelf", "serviceTask", aisle="C07", alternative="C08"),
+        node("bulk", "serviceTask", aisle="C07"), node("choice", "exclusiveGateway", variable="service"),
+        node("box", "serviceTask", aisle="PACK"), node("rush", "serviceTask", aisle="EXPRESS"),
+        node("out", "endEvent"), flow("in", "shelf"), flow("shelf", "bulk"), flow("bulk", "choice"),
+        flow("choice", "box", value="standard"), flow("choice", "rush", value="express"),
+        flow("box", "out"), flow("rush", "out"),
+    ]
+
+
+def document(elements, name="model", runs="true", before="", inner="", after="", namespace=pf.MODEL_NAMESPACE, extension=NS):
+    body = "".join(element(kind, **attributes) for kind, attributes in elements) + inner
+    process = element("process", body, id=name, isExecutable=runs)
+    return (f'{before}<b:definitions xmlns:b="{namespace}" xmlns:ex="{extension}" targetNamespace="urn:t">'
+            f"{process}{after}</b:definitions>")
+
+
+def changed(index, **values):
+    """The model with attributes of one element replaced; None removes one."""
+    out = parts()
+    merged = {**out[index][1], **values}
+    out[index][1] = {k: v for k, v in merged.items() if v is not None}
+    return out
+
+
+def defects():
+    """name -> (document of that name, rule it breaks), by rule of the checks."""
+    graph = {
+        "unknown_element": [[*parts(), node("side", "inclusiveGateway")]],
+        "invalid_id": [changed(2, id="b lk")],
+        "duplicate_id": [[*parts(), flow("rush", "out")], [*parts(), node("box", "serviceTask", aisle="C01")]],
+        "start_end": [[*parts(), node("in2", "startEvent")], [p for p in parts() if p[0] != "endEvent"]],
+        "task_attrs": [changed(4, x_aisle="two words"), changed(1, x_alternative="C07"), changed(2, x_aisle="")],
+        "gateway_variable": [changed(3, x_variable=None)],
+        "dangling": [changed(12, targetRef="nowhere")],
+        "branch_value_scope": [changed(8, x_value="express")],
+        "degrees": [[*parts(), flow("in", "bulk")], parts()[:11] + parts()[12:]],
+        "branch_values": [changed(11, x_value="standard"), changed(10, x_value="")],
+        "cycle": [changed(8, targetRef="shelf")],
+        "unreachable": [[*parts(), node("island", "serviceTask", aisle="C01")]],
+        "has_tasks": [[p for p in parts() if p[0] != "serviceTask"]],
+    }
+    out = {f"{rule}_{i}": (document(e, f"{rule}_{i}"), rule) for rule, cases in graph.items() for i, e in enumerate(cases)}
+
+    def add(rule, name, elements=None, **how):
+        out[name] = (document(elements or parts(), name, **how), rule)
+
+    add("not_executable", "idle", runs="false")
+    add("namespace", "other_standard", namespace="urn:other")
+    add("unknown_attribute", "other_extension", extension="urn:other")
+    add("unknown_attribute", "plain_aisle", changed(2, aisle="C07"))
+    add("unknown_attribute", "more_attributes", changed(4, script="run"))
+    add("doctype", "typed", before="<!DOCTYPE b:definitions>")
+    add("text", "prose", inner="some prose")
+    add("nested_element", "inside", inner=element("serviceTask", element("endEvent", id="deep"), id="outer", x_aisle="C01"))
+    add("unknown_element", "looped", inner=element("serviceTask", element("multiInstance"), id="outer", x_aisle="C01"))
+    add("one_process", "pair", after=element("process", id="pair_two", isExecutable="true"))
+    out["roots"] = (document(parts(), "roots") * 2, "one_root")
+    out["nothing"] = (" \n", "one_root")
+    out["torn"] = (document(parts(), "torn")[:-9], "malformed_xml")
+    out["huge"] = (document(parts(), "huge") + " " * pf.MAX_BYTES, "oversize")
+    return out
+
+
+BROKEN = defects()
+GOOD = document(parts(), "proc")
 
 
 @pytest.fixture(scope="module")
 def rules(spark):
     """Per document the set of reported rules."""
-    documents = {"good": GOOD, **{n: d for n, (d, _) in BROKEN.items()}}
-    documents["commented"] = GOOD.replace(
-        "<m:endEvent", '<!-- <x> words --><m:documentation>free <b>text</b></m:documentation><m:endEvent', 1
-    )
-    documents["default_namespace"] = GOOD.replace("xmlns:m=", "xmlns=").replace("<m:", "<").replace("</m:", "</")
-    # every document gets a process id of its own
-    rows = [(n, x.replace('id="proc"', f'id="{n}"')) for n, x in documents.items()]
+    documents = {"good": document(parts(), "good"), **{n: d for n, (d, _) in BROKEN.items()}}
+    notes = '<!-- <x> words --><b:documentation>free <b>text</b></b:documentation>'
+    documents["commented"] = document(parts(), "commented", inner=notes)
+    documents["default_namespace"] = document(parts(), "default_namespace").replace("xmlns:b=", "xmlns=").replace("<b:", "<").replace("</b:", "</")
+    rows = list(documents.items())
     found = pf.parse_process_models(
         spark.createDataFrame(rows, "doc_id string, xml string"), NS
     )
     graph = pm.model_violations(found.processes, found.nodes, found.flows)
+    tables = (found.processes, found.nodes, found.flows)
+    assert {r.process_id for r in pm.valid_models(*tables, found.document_violations).collect()} == {
+        "good", "commented", "default_namespace"}
     out = {n: set() for n in documents}
     for r in found.document_violations.collect():
         out[r.doc_id].add(r.rule)
@@ -98,10 +134,36 @@ def test_files_are_read_and_oversize_text_is_dropped(spark, tmp_path):
     assert found.processes.count() == 1 and found.nodes.count() == 7 and found.flows.count() == 7
     assert [r.rule for r in found.document_violations.collect()] == ["oversize"]
     ordered = pm.canonical_order(found.flows).select("id").collect()
-    assert [r.id for r in ordered] == [f"g{i}" for i in range(1, 8)]
+    assert [r.id for r in ordered] == sorted(a["id"] for k, a in parts() if k == "sequenceFlow")
     summary = pm.model_summary(found.processes, found.nodes, found.flows).first()
     assert (summary.n_nodes, summary.n_flows) == (7, 7)
-    assert pm.task_catalog(found.nodes).first().task_ids == ["fast", "one", "slow", "two"]
+    assert {r.task_id for r in pm.task_catalog(found.nodes).collect()} == {"shelf", "bulk", "box", "rush"}
+
+
+def test_a_long_tag_and_sections_are_refused_or_read(spark):
+    """Tags up to the size limit neither overflow a stack nor end the executor."""
+    spaces = document(parts(), "spaces").replace("<b:endEvent ", "<b:endEvent " + " " * 500_000)
+    quoted = document(changed(6, name="x>" * 200_000), "quoted")
+    section = document(parts(), "section", inner="<![CDATA[" + "<y>" * 100_000 + "]]>")
+    rows = [("spaces", spaces), ("quoted", quoted), ("section", section)]
+    found = pf.parse_process_models(spark.createDataFrame(rows, "doc_id string, xml string"), NS)
+    assert {r.doc_id for r in found.document_violations.collect()} == {"section"}
+    assert {r.process_id for r in pm.valid_models(found.processes, found.nodes, found.flows, found.document_violations).collect()} == {"spaces", "quoted"}
+
+
+def test_a_cyclic_model_of_any_number_of_flows_is_refused(spark):
+    for n in (104, 22_004, 70_000):
+        nodes = spark.range(4).selectExpr(
+            "'m' as process_id", "array('s', 'a', 'b', 'e')[id] as id",
+            "array('startEvent', 'serviceTask', 'serviceTask', 'endEvent')[id] as kind",
+            "'A' as aisle", "'' as alternative", "'' as variable")
+        flows = spark.range(n).selectExpr(
+            "'m' as process_id", "concat('f', id) as id", "if(id = 0, 's', if(id % 2 = 0, 'a', 'b')) as source",
+            "if(id = 0, 'a', if(id = 1, 'e', if(id % 2 = 0, 'b', 'a'))) as target", "'' as value")
+        processes = spark.createDataFrame([("d", "m", "true", 10)], "doc_id string, process_id string, is_executable string, n_bytes long")
+        rules = {r.rule for r in pm.model_violations(processes, nodes, flows).collect()}
+        assert ("cycle" if n < 60_000 else "size") in rules
+        assert pm.valid_models(processes, nodes, flows).isEmpty()
 
 
 def graph_frames(spark, models):
@@ -145,11 +207,13 @@ def test_walk_equals_depth_first_search(spark):
         edges = [(rng.choice(ids), rng.choice([*ids, "gone"])) for _ in range(rng.randrange(1, 10))]
         models[f"m{i}"] = (ids, edges)
     nodes, flows = graph_frames(spark, models)
-    got = {r.process_id: r for r in pm.walk(nodes, flows).collect()}
+    got = {(r.process_id, r.rule, r.subject) for r in pm.walk_rules(nodes, flows).collect()}
+    want = set()
     for name, (ids, edges) in models.items():
         reached, cyclic = brute(ids, edges)
-        assert set(got[name].seen) & set(ids) == reached
-        assert got[name].has_cycle == cyclic
+        want |= {(name, "unreachable", i) for i in ids if i not in reached}
+        want |= {(name, "cycle", name)} if cyclic else set()
+    assert got == want
 
 
 def test_node_limit(spark):
@@ -168,11 +232,13 @@ def test_node_limit(spark):
         [("t", "s", "w", "limit", None)],
         "tenant_id string, site_id string, wave_id string, process_id string, variables map<string,string>",
     )
-    assert routes.resolve_routes(waves, nodes, flows).count() == 498
+    assert routes.resolve_routes(waves, processes, nodes, flows).count() == 498
 
 
 def test_routes(spark):
-    found = pf.parse_process_models(spark.createDataFrame([("d", GOOD)], "doc_id string, xml string"), NS)
+    rows = [("d", GOOD), ("bad", document(parts(), "marred", inner="prose"))]
+    found = pf.parse_process_models(spark.createDataFrame(rows, "doc_id string, xml string"), NS)
+    tables = (found.processes, found.nodes, found.flows, found.document_violations)
     waves = spark.createDataFrame(
         [
             ("t", "s", "w1", "proc", {"service": "express"}),
@@ -181,13 +247,14 @@ def test_routes(spark):
             ("t", "s", "w4", "proc", {"service": "unknown"}),
             ("t", "s", "w 5", "proc", {"service": "express"}),
             ("t", "s", "w6", "absent", {"service": "express"}),
+            ("t", "s", "w7", "marred", {"service": "express"}),
         ],
         "tenant_id string, site_id string, wave_id string, process_id string, variables map<string,string>",
     )
-    steps = routes.resolve_routes(waves, found.nodes, found.flows).orderBy("wave_id", "hop").collect()
+    steps = routes.resolve_routes(waves, *tables).orderBy("wave_id", "hop").collect()
     assert [(r.wave_id, r.hop, r.step_id, r.aisle, r.alternative) for r in steps] == [
-        ("w1", 1, "one", "A01", "A02"), ("w1", 2, "two", "A01", ""), ("w1", 3, "fast", "EXPRESS", ""),
-        ("w2", 1, "one", "A01", "A02"), ("w2", 2, "two", "A01", ""), ("w2", 3, "slow", "PACK", ""),
+        ("w1", 1, "shelf", "C07", "C08"), ("w1", 2, "bulk", "C07", ""), ("w1", 3, "rush", "EXPRESS", ""),
+        ("w2", 1, "shelf", "C07", "C08"), ("w2", 2, "bulk", "C07", ""), ("w2", 3, "box", "PACK", ""),
     ]
-    errors = {r.wave_id: r.reason for r in routes.route_errors(waves, found.nodes, found.flows).collect()}
-    assert errors == {"w3": "no_branch", "w4": "no_branch", "w 5": "invalid_input", "w6": "unknown_process"}
+    errors = {r.wave_id: r.reason for r in routes.route_errors(waves, *tables).collect()}
+    assert errors == {"w3": "no_branch", "w4": "no_branch", "w 5": "invalid_input", "w6": "unknown_process", "w7": "invalid_model"}

@@ -44,8 +44,10 @@ _DOCUMENT = (
 )
 
 # one tag, with quoted attribute values that may hold `>`
-_TAG = r"""<([A-Za-z_][\w.:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>"""
-_ATTRIBUTE = r"""([A-Za-z_][\w.:-]*)\s*=\s*(?:"[^"]*"|'[^']*')"""
+# possessive quantifiers: a long tag is matched by a loop, not by recursion
+_TAG = r"""<([A-Za-z_][\w.:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
+_MARKUP = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|\s++"""
+_ATTRIBUTE = r"""([A-Za-z_][\w.:-]*+)\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
 
 
 @dataclass(frozen=True)
@@ -57,14 +59,16 @@ class ModelTables:
 
 
 def read_process_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file (doc_id, n_bytes, xml); the text of oversize files is not kept."""
-    text = spark.read.text(path, wholetext=True)
-    size = F.col("_metadata.file_size")
-    return text.select(
-        F.col("_metadata.file_path").alias("doc_id"),
-        size.alias("n_bytes"),
-        F.when(size <= MAX_BYTES, F.col("value")).alias("xml"),
-    )
+    """One row per file (doc_id, n_bytes, xml). The content of oversize files is never read.
+
+    The filter on `length` reaches the file source, which then skips their bytes.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    named = files.select(F.col("path").alias("doc_id"), F.col("length").alias("n_bytes"), "content")
+    small = named.filter(F.col("n_bytes") <= MAX_BYTES).withColumn("xml", F.decode("content", "UTF-8"))
+    large = named.filter(F.col("n_bytes") > MAX_BYTES).withColumn("xml", F.lit(None).cast("string"))
+    columns = ("doc_id", "n_bytes", "xml")
+    return small.select(*columns).unionByName(large.select(*columns))
 
 
 def read_process_models(spark: SparkSession, path: str, extension_namespace: str) -> ModelTables:
@@ -209,7 +213,7 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
     )
     n_kind = F.size(F.filter(names, lambda n: n.isin(*kinds)))
     count_of = lambda name: F.size(F.filter(names, lambda n: n == name))
-    stray_text = F.length(F.trim(F.regexp_replace("_body", r"(?s)<[^>]*>|\s", ""))) > 0
+    stray_text = F.length(F.trim(F.regexp_replace("_body", _MARKUP, ""))) > 0
     oversize = F.col("n_bytes") > MAX_BYTES
     one = lambda rule, subject="": F.array(
         F.struct(F.lit(rule).alias("rule"), F.lit(subject).alias("subject"))
