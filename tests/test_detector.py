@@ -143,3 +143,21 @@ def test_stored_events_change_nothing(spark):
     rows = frame(spark, [row(1, 20), row(2, 20), row(3, 20)])
     stored = frame(spark, [row(9, 1, event="e2")])
     assert {r.event_id for r in d.dedup_events(rows, ARRIVAL, stored).collect()} == {"e1", "e3"}
+
+
+@pytest.mark.parametrize("heavy_rows", [1, 1_000_000])
+def test_an_event_counts_once_whatever_the_size_of_its_runs(spark, heavy_rows):
+    """The same event id in two runs: the first arrival counts, in ordinary and in heavy runs."""
+    rows = [row(1, 20, event="x"), row(2, 20, event="x", run="other"), row(3, 20, event="y", run="other"),
+            row(4, 20, event="y"), row(5, 20, event="z"), row(6, 20, event="z", run="third")]
+    config = d.DetectorConfig(arrival=ARRIVAL, heavy_rows=heavy_rows, chunk_rows=1)
+    done = d.committed_windows(frame(spark, rows), base(spark), config)
+    assert sorted(r.seq for r in done.collect()) == [1, 3, 5]
+
+
+def test_a_second_batch_meets_the_stored_events(spark):
+    first, second = [row(i, 20) for i in range(3)], [row(i, 20) for i in range(5)]
+    config = d.DetectorConfig(arrival=ARRIVAL)
+    log = d.committed_windows(frame(spark, first), base(spark), config)
+    again = d.committed_windows(frame(spark, second), base(spark), config, log)
+    assert sorted(r.seq for r in again.collect()) == [3, 4]

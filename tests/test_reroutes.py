@@ -44,7 +44,7 @@ def test_forged_and_repeated_signals_are_ignored(spark):
     r = rr.run_results(steps, accepted, F.lit(minute(9))).first()
     assert (r.completed, r.aisles, r.n_accepted) == (["p1", "p2", "pack"], ["A01", "A02", "PACK"], 1)
     alerts = rr.run_accepted_alerts(steps, accepted, F.lit(minute(9))).collect()
-    assert [a.alert_id for a in alerts] == ["good"]
+    assert [(a.place, a.alert_id, a.received_at) for a in alerts] == [(1, "good", minute(1.5))]
 
 
 def test_signal_at_the_boundary_counts_and_after_the_last_step_does_not(spark):
@@ -68,9 +68,13 @@ def test_steps_not_started_use_as_of(spark):
     waiting = [(s, a, alt, None) for s, a, alt, _ in STEPS]
     steps, signals = frames(spark, waiting, [signal(at=5)])
     accepted = rr.accept_signals(steps, signals)
-    taken = lambda at: [r.taken for r in rr.apply_reroutes(steps, accepted, F.lit(at)).orderBy("hop").collect()]
+    taken = lambda at: [r.taken for r in rr.planned_steps(steps, accepted, F.lit(at)).orderBy("hop").collect()]
     assert taken(minute(4)) == ["A01", "A01", "PACK"]
     assert taken(minute(5)) == ["A02", "A02", "PACK"]
+    # nothing has happened yet: no step is executed, no run is finished or lacks a reroute
+    assert rr.apply_reroutes(steps, accepted, F.lit(minute(9))).isEmpty()
+    results = rr.run_results(steps, accepted, F.lit(minute(9)))
+    assert results.isEmpty() and rr.reroute_missing(results).isEmpty()
 
 
 def test_runs_without_reroute_are_named(spark):

@@ -175,12 +175,6 @@ def dedup_events(
     return first.join(stored.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
 
 
-def _committed_by_run(valid: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Dedup on one exchange by run: the event id is a hash over the run."""
-    keyed = valid.repartition(*RUN_KEY)
-    return first_per(keyed, [*RUN_KEY, "event_id"], arrival)
-
-
 # --- rolling window -------------------------------------------------------
 
 
@@ -365,26 +359,34 @@ def suppress_cooldown(breached: DataFrame, config: DetectorConfig) -> DataFrame:
 
 
 def committed_windows(
-    observations: DataFrame, baselines: DataFrame, config: DetectorConfig
+    observations: DataFrame,
+    baselines: DataFrame,
+    config: DetectorConfig,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Gate, baseline join, dedup and rolling mean; one exchange for ordinary runs."""
-
-    def valid(rows: DataFrame) -> DataFrame:
-        joined = join_baselines(gate_observations(rows), baselines)
-        return baseline_threshold(joined, config.sigma)
+    """Gate, baseline join, dedup on (tenant, event) and rolling mean.
 
-    light, heavy, n_heavy = split_by_weight(observations, RUN_KEY, config.heavy_rows)
-    light = _committed_by_run(valid(light), config.arrival)
-    if heavy is not None:
-        heavy = dedup_events(valid(heavy), config.arrival)
+    The dedup key does not contain the run, so dedup and windows have an exchange each: an
+    event may be sent for two runs, and only its first arrival counts, whatever the run's size.
+    Events in `stored` are committed already. Runs are weighed by their valid rows.
+    """
+    joined = join_baselines(gate_observations(observations), baselines)
+    valid = baseline_threshold(joined, config.sigma)
+    first = dedup_events(valid, config.arrival, stored)
+    light, heavy, n_heavy = split_by_weight(
+        first, RUN_KEY, config.heavy_rows, counted=gate_observations(observations).select(*RUN_KEY)
+    )
     return rolling_mean(light, config, heavy, n_heavy)
 
 
 def detect_congestion(
-    observations: DataFrame, baselines: DataFrame, config: DetectorConfig
+    observations: DataFrame,
+    baselines: DataFrame,
+    config: DetectorConfig,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Alerts: one row per breach that fires."""
-    breached = breaches(committed_windows(observations, baselines, config))
+    """Alerts: one row per breach that fires; `stored` holds events committed before."""
+    breached = breaches(committed_windows(observations, baselines, config, stored))
     needed = dict.fromkeys(
         [*WINDOW_KEY, "event_id", *config.arrival, "session_start", "mean_seconds", "threshold"]
     )

@@ -30,10 +30,13 @@ def heavy_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 
 
 def split_by_weight(
-    df: DataFrame, keys: Sequence[str], limit: int
+    df: DataFrame, keys: Sequence[str], limit: int, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of ordinary keys, rows of heavy keys or None, number of heavy rows)."""
-    heavy = heavy_groups(df, keys, limit)
+    """(rows of ordinary keys, rows of heavy keys or None, number of heavy rows).
+
+    `counted`, cheaper to compute, has at least the rows of `df` and is counted in its place.
+    """
+    heavy = heavy_groups(df if counted is None else counted, keys, limit)
     total = heavy.agg(F.sum("_rows")).first()[0]
     if total is None:
         return df, None, 0

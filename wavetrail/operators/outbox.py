@@ -46,13 +46,11 @@ def dispatch_scope(alerts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def truncate_error(message: Column) -> Column:
     """The first 2000 bytes of the text; a character cut in half is left out."""
-    head = F.substring(F.encode(message, "UTF-8"), 1, MAX_ERROR_BYTES).cast("string")
-    repaired = F.regexp_replace(F.make_valid_utf8(head), "�+$", "")
-    return (
-        F.when(F.octet_length(message) <= MAX_ERROR_BYTES, message)
-        .when(F.is_valid_utf8(head), head)
-        .otherwise(repaired)
-    )
+    data = F.encode(message, "UTF-8")
+    # a character has at most four bytes: the longest of these prefixes that is valid ends with a whole one
+    heads = [F.substring(data, 1, MAX_ERROR_BYTES - i).cast("string") for i in range(4)]
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads], F.make_valid_utf8(heads[0]))
+    return F.when(F.octet_length(message) <= MAX_ERROR_BYTES, message).otherwise(whole)
 
 
 def is_dead(attempts_before: Column, max_attempts: int = MAX_ATTEMPTS) -> Column:
@@ -103,9 +101,13 @@ def dead_letters(alerts: DataFrame) -> DataFrame:
 def attempted(
     alerts: DataFrame, outcomes: DataFrame, tokens: DataFrame, now: Column, k: int = PASS_LIMIT
 ) -> DataFrame:
-    """Alerts of one pass with the outcome of their signal (ok, error)."""
+    """Alerts of one pass with the outcome of their signal (ok, error), one row per alert.
+
+    Of several outcomes of one alert a success counts; else the first error in order.
+    """
     chosen = pending_top_k(dispatch_scope(alerts, tokens), now, k).select(*ALERT_KEY)
-    return chosen.join(outcomes.select(*ALERT_KEY, "ok", "error"), list(ALERT_KEY))
+    once = outcomes.groupBy(*ALERT_KEY).agg(F.bool_or("ok").alias("ok"), F.min("error").alias("error"))
+    return chosen.join(once, list(ALERT_KEY))
 
 
 def dispatch_pass(
@@ -143,7 +145,7 @@ def dispatch_failures(
     failed = attempted(alerts, outcomes, tokens, now, k).filter(~F.col("ok"))
     prefix = F.concat(F.lit("alert "), "alert_id", F.lit(": "))
     report = failed.select(*ALERT_KEY, F.concat(prefix, "error").alias("message"))
-    lost = unmatched(alerts, outcomes).select(*ALERT_KEY, F.lit(NOT_FOUND).alias("message"))
+    lost = unmatched(alerts, outcomes.select(*ALERT_KEY).distinct()).select(*ALERT_KEY, F.lit(NOT_FOUND).alias("message"))
     return report.unionByName(lost)
 
 

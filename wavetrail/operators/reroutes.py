@@ -68,10 +68,15 @@ def walk_steps(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFram
 
 
 def apply_reroutes(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
-    """Executed steps with the aisle taken; a run ends before its first closed step."""
+    """Executed steps with the aisle taken: those that have started, before the run's first closed step."""
+    return planned_steps(steps, accepted, as_of).filter(F.col("started_at").isNotNull())
+
+
+def planned_steps(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
+    """Executed steps and those still to come, with the aisle they would take at `as_of`."""
     walked = walk_steps(steps, accepted, as_of)
-    executed = F.col("stop_hop").isNull() | (F.col("hop") < F.col("stop_hop"))
-    return walked.filter(executed).drop("stop_hop", "boundary")
+    open_ = F.col("stop_hop").isNull() | (F.col("hop") < F.col("stop_hop"))
+    return walked.filter(open_).drop("stop_hop", "boundary")
 
 
 def route_unavailable(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
@@ -81,12 +86,14 @@ def route_unavailable(steps: DataFrame, accepted: DataFrame, as_of: Column) -> D
 
 
 def finished_runs(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
-    """Per run without a stop: its ordered steps and the time of its last boundary."""
+    """Per run whose steps have all started, none of them closed: its ordered steps and last boundary."""
     walked = walk_steps(steps, accepted, as_of).filter(F.col("stop_hop").isNull())
-    return walked.groupBy(*RUN).agg(
+    runs = walked.groupBy(*RUN).agg(
         F.array_sort(F.collect_list(F.struct("hop", "step_id", "taken"))).alias("_steps"),
         F.max("boundary").alias("_last"),
+        F.bool_and(F.col("started_at").isNotNull()).alias("_all"),
     )
+    return runs.filter("_all").drop("_all")
 
 
 def _drained(finished: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -95,12 +102,13 @@ def _drained(finished: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def run_accepted_alerts(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
-    """Alerts drained by the finished runs, one row each, in order of `received_at`.
+    """Alerts drained by the finished runs, one row each, numbered in order of acceptance.
 
     Rows rather than an array: a run may have any number of alerts.
     """
     drained = _drained(finished_runs(steps, accepted, as_of), accepted)
-    return drained.select(*RUN, "alert_id", "aisle", "received_at")
+    place = F.row_number().over(Window.partitionBy(*RUN).orderBy("received_at", "alert_id"))
+    return drained.select(*RUN, place.cast("long").alias("place"), "alert_id", "aisle", "received_at")
 
 
 def run_results(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:

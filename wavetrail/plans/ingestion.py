@@ -166,7 +166,7 @@ def project_observation(spark, sf_dir):
     with_(
         SPANS_SQL + "," + BASELINES_SQL,
         """select export_id, count(*) as rejected_spans,
-                  'invalid movement identity, tenant, timestamps, or attributes' as error_message
+                  'some spans were refused, their reasons are in span_rejects' as error_message
            from decoded left join baselines b using (tenant_id, site_id, aisle)
            where reject_reason is not null or b.mean is null
            group by export_id""",

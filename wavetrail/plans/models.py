@@ -341,7 +341,7 @@ resolved as (
 steps as (
   select *, 'picking/' || tenant_id || '/' || wave_id as workflow_id, 'r0' as run_id,
     case when hop <= 6 then timestamp '{STEP_ORIGIN}' + hop * interval '1' hour
-         else timestamp '{STEP_ORIGIN}' + interval '7' hour end as boundary
+         else timestamp '{STEP_ORIGIN}' + interval '7' hour end as boundary, hop <= 6 as started
   from resolved
 ),
 signals as (
@@ -382,11 +382,11 @@ judged as (
 ),
 stops as (
   select tenant_id, site_id, workflow_id, run_id, min(hop) filter (taken is null) as stop_hop,
-         max(boundary) as last_boundary
+         max(boundary) as last_boundary, bool_and(started) as all_started
   from judged group by all
 ),
 drained as (
   select a.* from accepted a join stops s using (tenant_id, site_id, workflow_id, run_id)
-  where s.stop_hop is null and a.received_at <= s.last_boundary
+  where s.stop_hop is null and s.all_started and a.received_at <= s.last_boundary
 )
 """

@@ -283,7 +283,7 @@ def blocked_since(spark, sf_dir):
     "apply_reroutes",
     _route_sql(
         f"""select {RUN_SQL}, hop, step_id, aisle, taken
-            from judged join stops using ({RUN_SQL}) where stop_hop is null or hop < stop_hop"""
+            from judged join stops using ({RUN_SQL}) where started and (stop_hop is null or hop < stop_hop)"""
     ),
 )
 def apply_reroutes(spark, sf_dir):
@@ -326,7 +326,7 @@ def run_identity(spark, sf_dir):
         f"""select {RUN_SQL}, completed, aisles, coalesce(n, 0) as n_accepted
             from (select {RUN_SQL}, string_agg(step_id, ',' order by hop) as completed,
                          string_agg(taken, ',' order by hop) as aisles
-                  from judged join stops using ({RUN_SQL}) where stop_hop is null group by all)
+                  from judged join stops using ({RUN_SQL}) where stop_hop is null and all_started group by all)
             left join (select {RUN_SQL}, count(*) as n from drained group by all) using ({RUN_SQL})"""
     ),
 )
@@ -342,17 +342,20 @@ def run_results(spark, sf_dir):
 
 @query(
     "run_accepted_alerts",
-    _route_sql(f"select {RUN_SQL}, alert_id, aisle from drained"),
+    _route_sql(
+        f"""select {RUN_SQL}, row_number() over (partition by {RUN_SQL} order by received_at, alert_id) as place,
+              alert_id, aisle, cast(received_at as varchar) as received_at from drained"""
+    ),
 )
 def run_accepted_alerts(spark, sf_dir):
     rows = rr.run_accepted_alerts(*_accepted(spark, sf_dir), models.as_of())
-    return rows.select(*rr.RUN, "alert_id", "aisle")
+    return rows.withColumn("received_at", F.col("received_at").cast("string"))
 
 
 @query(
     "reroute_missing",
     _route_sql(
-        f"""select {RUN_SQL} from stops where stop_hop is null
+        f"""select {RUN_SQL} from stops where stop_hop is null and all_started
             and ({RUN_SQL}) not in (select {RUN_SQL} from drained)"""
     ),
 )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.operators import tables
+from wavetrail.operators.ordered import global_positions
 from wavetrail.plans import stored
 from wavetrail.plans.movements import with_
 from wavetrail.plans.registry import query, table
@@ -67,37 +68,29 @@ def q_unique(spark, sf_dir):
     return _events(spark, sf_dir).select("event_type", "user_id").distinct()
 
 
-@query(
-    "q_order_asc",
-    _alerts_sql(
-        """select row_number() over (order by next_attempt_at asc nulls last, alert_id) as place,
-                  alert_id from alerts qualify place <= 200"""
-    ),
-)
-def q_order_asc(spark, sf_dir):
-    """Nulls come last, as in the reference's database."""
-    ordered = stored.alerts(spark, sf_dir).orderBy(F.asc_nulls_last("next_attempt_at"), "alert_id")
-    return _numbered(ordered.limit(200).select("next_attempt_at", "alert_id"), F.asc_nulls_last)
+def _ordered_sql(by: str) -> str:
+    return _alerts_sql(f"select row_number() over (order by {by}, alert_id) as place, alert_id from alerts")
 
 
-def _numbered(top: DataFrame, by) -> DataFrame:
-    """Place of each of the few rows left by a limit."""
-    from pyspark.sql import Window
+def _placed(rows: DataFrame, *by) -> DataFrame:
+    """The place of every row in the whole order, from range chunks and their counts."""
+    keys = {f"_k{i}": c for i, c in enumerate(by)}
+    keyed = rows.select("alert_id", *[c.alias(k) for k, c in keys.items()])
+    placed = global_positions(keyed, [*keys, "alert_id"], 32, "place")
+    return placed.select(F.col("place").cast("long").alias("place"), "alert_id")
 
-    place = F.row_number().over(Window.orderBy(by("next_attempt_at"), "alert_id"))
-    return top.select(place.cast("long").alias("place"), "alert_id")
 
+@query("q_order_asc", _ordered_sql("next_attempt_at asc nulls last"))
+def q_order_asc(spark, sf_dir):
+    """Nulls come last, as in the reference's database."""
+    at = F.col("next_attempt_at")
+    return _placed(stored.alerts(spark, sf_dir), at.isNull(), at)
 
-@query(
-    "q_order_desc",
-    _alerts_sql(
-        """select row_number() over (order by next_attempt_at desc nulls first, alert_id) as place,
-                  alert_id from alerts qualify place <= 200"""
-    ),
-)
+
+@query("q_order_desc", _ordered_sql("next_attempt_at desc nulls first"))
 def q_order_desc(spark, sf_dir):
-    ordered = stored.alerts(spark, sf_dir).orderBy(F.desc_nulls_first("next_attempt_at"), "alert_id")
-    return _numbered(ordered.limit(200).select("next_attempt_at", "alert_id"), F.desc_nulls_first)
+    at = F.col("next_attempt_at")
+    return _placed(stored.alerts(spark, sf_dir), at.isNotNull(), -F.unix_micros(at.cast("timestamp")))
 
 
 @query(
@@ -149,21 +142,16 @@ def q_count(spark, sf_dir):
     return _events(spark, sf_dir).filter("event_type = 'error'").agg(F.count("*").alias("n"))
 
 
-@query(
-    "q_exist",
-    """select event_type, exists(select 1 from events e where e.event_type = t.event_type
-              and e.value > 200) as found
-       from (select distinct event_type from events) t""",
-)
+@query("q_exist", "select exists(select 1 from events where event_type = 'error' and value > 200) as found")
 def q_exist(spark, sf_dir):
-    """One flag per event type; a lone `isEmpty` is the scalar form."""
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.bool_or(F.col("value") > 200).alias("found"))
+    """Each task stops at its first hit, and one row decides."""
+    hit = _events(spark, sf_dir).filter("event_type = 'error' and value > 200").limit(1)
+    return hit.agg((F.count("*") > 0).alias("found"))
 
 
-@query("q_select", "select distinct o_custkey, o_orderstatus from orders where o_totalprice > 1000")
+@query("q_select", "select o_custkey, o_orderstatus from orders where o_totalprice > 1000")
 def q_select(spark, sf_dir):
-    rows = _orders(spark, sf_dir).filter("o_totalprice > 1000")
-    return rows.select("o_custkey", "o_orderstatus").distinct()
+    return _orders(spark, sf_dir).filter("o_totalprice > 1000").select("o_custkey", "o_orderstatus")
 
 
 @query(
@@ -226,9 +214,7 @@ def _priority():
 # built lazily: a Column needs a running session
 ORDER_PREDICATES = {
     "p_eq": (lambda: _priority() == "1-URGENT", "o_orderpriority = '1-URGENT'"),
-    "p_neq": (lambda: _priority() != "1-URGENT", "o_orderpriority <> '1-URGENT'"),
     "p_in": (lambda: _priority().isin("1-URGENT", "5-LOW"), "o_orderpriority in ('1-URGENT', '5-LOW')"),
-    "p_not_in": (lambda: ~_priority().isin("1-URGENT", "5-LOW"), "o_orderpriority not in ('1-URGENT', '5-LOW')"),
     "p_gt": (lambda: F.col("o_totalprice") > 250000, "o_totalprice > 250000"),
     "p_gte": (lambda: _priority() >= "3-MEDIUM", "o_orderpriority >= '3-MEDIUM'"),
     "p_lt": (lambda: _priority() < "3-MEDIUM", "o_orderpriority < '3-MEDIUM'"),
@@ -251,11 +237,16 @@ ORDER_PREDICATES = {
         lambda: (_priority() == "1-URGENT") | (F.col("o_orderstatus") == "F"),
         "o_orderpriority = '1-URGENT' or o_orderstatus = 'F'",
     ),
-    "p_not": (
-        lambda: ~((_priority() == "1-URGENT") | (F.col("o_orderkey") % 2 == 0)), "not (o_orderpriority = '1-URGENT' or o_orderkey % 2 = 0)"
-    ),
 }
+DUE = "timestamp '2000-01-01 00:00:00'"
+# on a nullable column: a comparison with null, and its negation, keep no row
 ALERT_PREDICATES = {
+    "p_neq": (lambda: F.col("next_attempt_at") != F.expr(DUE), f"next_attempt_at <> {DUE}"),
+    "p_not_in": (
+        lambda: ~F.col("next_attempt_at").isin(F.expr(DUE), F.lit(None)) | (F.col("attempts") == 3),
+        f"next_attempt_at not in ({DUE}, null) or attempts = 3",
+    ),
+    "p_not": (lambda: ~(F.col("next_attempt_at") > F.expr(DUE)), f"not (next_attempt_at > {DUE})"),
     "p_is_nil": (lambda: F.col("delivered_at").isNull(), "delivered_at is null"),
     "p_not_nil": (lambda: F.col("next_attempt_at").isNotNull(), "next_attempt_at is not null"),
 }

@@ -6,11 +6,15 @@ committed by one file: a Parquet folder has no transaction over two tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavetrail.operators.ordered import first_per
+from wavetrail.operators.receipts import RECEIPT_KEY
+from wavetrail.operators.tenancy import pair_violations
+
 ALERT_FIELDS = (
     "alert_id",
     "tenant_id",
@@ -36,21 +40,41 @@ def alerts_of(log: DataFrame) -> DataFrame:
     return log.filter(F.col("alert").isNotNull()).select("alert.*", "event_id")
 
 
-def _append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("tenant_id").parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _append(rows: DataFrame, path: str, key: Sequence[str], arrival: Sequence[str] = ()) -> None:
+    """Append the rows whose unique key is not stored yet; a repeated write changes nothing.
+
+    Of rows with one key the first in `arrival` order is kept. Files are gathered by tenant; a
+    large tenant is spread over several tasks.
+    """
+    if not rows.filter(F.col("tenant_id").isNull()).isEmpty():
+        raise PermissionError("row without a tenant")
+    fresh = first_per(rows, key, arrival) if arrival else rows.dropDuplicates(list(key))
+    if _exists(rows.sparkSession, path):
+        stored = rows.sparkSession.read.parquet(path).select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in key])
+        fresh = fresh.join(stored, list(key), "left_anti")
+    fresh.hint("rebalance", "tenant_id").write.mode("append").partitionBy("tenant_id").parquet(path)
 
 
 def write_observation_log(log: DataFrame, path: str) -> None:
-    """Append log rows in one commit."""
-    _append(log, path)
+    """Append log rows in one commit; refuses an alert of another tenant than its observation."""
+    if not pair_violations(log).isEmpty():
+        raise PermissionError("alert of another tenant")
+    _append(log, path, ("tenant_id", "event_id"))
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    _append(alerts, path)
+    """Append alerts that are not stored yet."""
+    _append(alerts, path, ("tenant_id", "alert_id"))
 
 
-def write_receipts(receipts: DataFrame, path: str) -> None:
-    _append(receipts, path)
+def write_receipts(receipts: DataFrame, path: str, arrival: Sequence[str] = ()) -> None:
+    """Append receipts of tasks that have none yet."""
+    _append(receipts, path, RECEIPT_KEY, arrival)
 
 
 def reroute_messages(alerts: DataFrame) -> DataFrame:
