@@ -56,7 +56,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    in_link = heading = in_part = in_article = 0
+    in_link = heading = in_part = in_article = hidden = 0
     found_article = False
 
     def close() -> None:
@@ -66,7 +66,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 m = len(" ".join(html.unescape(" ".join(linked)).split()).split(" ")) if linked else 0
-                out.append(Block(text, n, min(1.0, m / n), int(in_part > 0), 2 if in_article else 0, heading))
+                out.append(Block(text, n, min(1.0, m / n), int(in_part > 0 or hidden > 0), 2 if in_article else 0, heading))
             parts, linked = [], []
 
     def pop() -> None:
@@ -92,10 +92,12 @@ def blocks(page: str) -> list[Block]:
         if name not in BLOCK_TAGS:
             continue
         close()
+        hidden = int(not ends and bool(_GONE.search(m.group(3))))  # of a tag that holds no other block
         if len(name) == 2 and name[0] == "h" and name[1].isdigit():
             heading = 0 if ends else 1
         if name not in NESTING:
             continue
+        gone, hidden = hidden, 0
         if ends:
             if any(tag == name for tag, _, _ in stack):
                 while stack[-1][0] != name:
@@ -108,8 +110,7 @@ def blocks(page: str) -> list[Block]:
         is_part = int(name in PARTS or name not in OUTER and bool(names & PART_WORDS))
         if name == "header" and in_article and not names & PART_WORDS:
             is_part = 0  # the head of an article belongs to it
-        if _GONE.search(attributes):
-            is_part = 1
+        is_part = is_part or gone
         if attributes.endswith("/"):
             continue
         found_article |= bool(is_article)

@@ -31,7 +31,8 @@ from wavetrail.llm.tokens import encoder
 from wavetrail.session import small_side
 
 WIDTH = 2048
-#: A source with less than 1/QUEUES of all tokens shares the last queue: this bounds the number of queues.
+#: A source with less than 1/QUEUES of all tokens shares the last queue: this bounds the number of
+#: queues. Every queue must have a token per window at least, so narrow windows have fewer (width / 4).
 QUEUES = 512
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -149,10 +150,11 @@ def pack(docs: DataFrame, path: str, end_id: int, targets: dict[str | None, floa
     sums = stored.groupBy("source", "part").agg(F.sum("n").alias("n"))
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
     total = by_source.agg(F.sum("n")).first()[0] or 0
-    own = [(r["source"], r["n"]) for r in by_source.where(F.col("n") * QUEUES >= total).orderBy(F.desc("n"), "source").limit(QUEUES).collect()]
+    queues = max(1, min(QUEUES, width // 4))
+    own = [(r["source"], r["n"]) for r in by_source.where(F.col("n") * queues >= total).orderBy(F.desc("n"), "source").limit(queues).collect()]
     rest = total - sum(n for _, n in own)
     totals = [n for _, n in own]
-    if rest * QUEUES >= total > 0 and rest:
+    if rest * queues >= total > 0 and rest:
         totals.append(rest)
     elif rest and totals:
         totals[-1] += rest  # too small for a queue: it follows the smallest one
@@ -160,7 +162,7 @@ def pack(docs: DataFrame, path: str, end_id: int, targets: dict[str | None, floa
         totals = [rest]
     if targets:
         unit = 1 << 20
-        weights = [max(unit // QUEUES, round(unit * targets.get(own[k][0], 0.0))) if k < len(own) and own[k][0] in targets else unit // QUEUES for k in range(len(totals))]
+        weights = [max(unit // queues, round(unit * targets.get(own[k][0], 0.0))) if k < len(own) else unit // queues for k in range(len(totals))]
     else:
         weights = totals
     plan = Plan(totals, weights, width)

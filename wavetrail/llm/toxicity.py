@@ -5,7 +5,7 @@ states, clean and toxic; the field has a weight per feature, a bias and a 2 x 2
 matrix. Labels exist per document, so tokens are labelled first: in documents marked toxic, a
 token is toxic if one of its features is far more frequent in toxic than in clean documents.
 The field is fitted to those labels by its likelihood; forward-backward marginals of a text give
-toxic spans (marginal of 1/2 or more), and two sums over marginals give the document's score
+toxic spans (marginal of 1/2 or more), and sums over marginals give the document's score
 through a logistic function fitted to the document labels.
 
 Fitted on a bounded sample: `SAMPLE` labelled training documents per class (smallest hash of
@@ -45,7 +45,7 @@ class Field:
     weights: np.ndarray
     bias: float = -4.0
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    head: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    head: np.ndarray = field(default_factory=lambda: np.zeros(4))
     marks: np.ndarray = field(default_factory=lambda: np.zeros(1 << 22, bool))
 
     def mark(self) -> Field:
@@ -146,14 +146,17 @@ def fit_chain(feature: list[np.ndarray], label: np.ndarray, size: int, rounds: i
     """Weights, bias and moves by gradient ascent (Adam) on the penalised log-likelihood of the windows.
 
     feature: arrays (time, windows) of places in the lexicon, -1 for none; label: the same shape.
+    Each round sees a random half of the kinds of feature, so that a stem alone can tell.
     """
+    rng = np.random.default_rng(0)
     weights, bias, move = np.zeros(size), -2.0, np.zeros((2, 2))
     state = [np.zeros(size + 5), np.zeros(size + 5)]
     n = label.size
     pair = np.array([[np.sum((label[:-1] == i) & (label[1:] == j)) for j in (0, 1)] for i in (0, 1)], float)
     for step in range(1, rounds + 1):
         emit = np.full(label.shape, bias)
-        for f in feature:
+        seen = [f for f, keep in zip(feature, rng.random(len(feature)) < 0.5) if keep] or feature
+        for f in seen:
             emit += np.where(f >= 0, weights[f], 0.0)
         ahead, back = messages(emit, move)
         p = 1 / (1 + np.exp(-(ahead + back)))
@@ -162,7 +165,7 @@ def fit_chain(feature: list[np.ndarray], label: np.ndarray, size: int, rounds: i
         joint /= joint.sum((0, 1))
         slope = label - p
         grad = np.zeros(size + 5)
-        for f in feature:
+        for f in seen:
             grad[:size] += np.bincount(f[f >= 0], slope[f >= 0], size)
         grad[size] = slope.sum()
         grad[size + 1 :] = (pair - joint.sum((2, 3))).ravel()
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMP
         n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         prior = math.log((n[1] + 0.5) / (n[0] + 0.5))
         if not n[0] or not n[1]:
-            return Field(np.zeros(0, np.uint64), np.zeros(0), head=np.array([min(prior, -1e-6) if not n[1] else prior, 0.0, 0.0])).mark()
+            return Field(np.zeros(0, np.uint64), np.zeros(0), head=np.array([min(prior, -1e-6) if not n[1] else prior, 0.0, 0.0, 0.0])).mark()
         counted = rows.select("text", "toxic").mapInArrow(_counted, "feature long, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         odds = F.log(((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("b") + 0.5) / (n[0] + 1)))
         best = counted.where("a >= 3").withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.log(F.col("a") + 1)), "feature").limit(LEXICON).collect()
@@ -268,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMP
                 label.append(y)
                 last = c
     if not feature:
-        return Field(np.zeros(0, np.uint64), np.zeros(0), head=np.array([prior, 0.0, 0.0])).mark()
+        return Field(np.zeros(0, np.uint64), np.zeros(0), head=np.array([prior, 0.0, 0.0, 0.0])).mark()
     take = np.unique(np.linspace(0, len(feature) - 1, WINDOWS).astype(int))
     cube, y = np.stack([feature[i] for i in take], 1), np.stack([label[i] for i in take], 1)
     weights, bias, move = fit_chain([cube[:, :, k] for k in range(cube.shape[2])], y, len(model.keys))
@@ -280,14 +283,21 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMP
         near = at < len(emit)
         emit[at[near]] += np.where(feats[near] >= 0, weights[feats[near]], 0).sum(1)
         p = marginals(emit, np.zeros(len(emit), np.int64), move)
-        x.append(_summary(p[at[near]]))
+        x.append(_summary(p[at[near]], length))
         label.append(toxic)
     model.head = fit_head(np.array(x), np.array(label, float))
     return model
 
 
-def _summary(p: np.ndarray) -> list[float]:
-    return [1.0, float(p.max()), math.log1p(float(p[p >= 0.5].sum()))] if len(p) else [1.0, 0.0, 0.0]
+def _summary(p: np.ndarray, tokens: int) -> list[float]:
+    """Largest marginal, log of the toxic tokens, and log of their density in the text."""
+    if not len(p):
+        return _CLEAN
+    total = float(p[p >= 0.5].sum())
+    return [1.0, float(p.max()), math.log1p(total), math.log1p(100 * total / (tokens + 20))]
+
+
+_CLEAN = [1.0, 0.0, 0.0, 0.0]
 
 
 # --- scoring -------------------------------------------------------------------------------
@@ -313,10 +323,10 @@ def score_texts(texts: pa.Array, model: Field) -> tuple[np.ndarray, list[list[tu
         begin = np.searchsorted(row, np.arange(last - first + 1))
         chars = np.cumsum((data & 0xC0) != 0x80)
         for i in range(last - first):
-            x = [1.0, 0.0, 0.0]
+            x = _CLEAN
             if busy[i]:
                 mine = np.arange(begin[i], begin[i + 1])
-                x = _summary(p[mine[hit[mine]]])
+                x = _summary(p[mine[hit[mine]]], len(mine))
                 bad = mine[p[mine] >= 0.5]
                 zero = chars[offsets[i]] - 1
                 spans[first + i] = [(int(chars[start[k]] - 1 - zero), int(chars[end[k] - 1] - zero)) for k in bad]
