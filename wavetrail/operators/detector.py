@@ -162,6 +162,14 @@ def missing_baseline(observations: DataFrame, baselines: DataFrame) -> DataFrame
     return observations.join(small_side(keys), list(AISLE_KEY), "left_anti")
 
 
+def entry_reason(observations: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Adds `entry_reason`: why the detector refuses a row (gate, no_baseline), null when it enters."""
+    known = small_side(baselines.select(*AISLE_KEY).distinct().withColumn("_known", F.lit(True)))
+    joined = observations.join(known, list(AISLE_KEY), "left")
+    unknown = F.when(F.col("_known").isNull(), "no_baseline")
+    return joined.withColumn("entry_reason", F.coalesce(gate_reason(), unknown)).drop("_known")
+
+
 # --- dedup ----------------------------------------------------------------
 
 

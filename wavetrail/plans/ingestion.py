@@ -173,10 +173,5 @@ def project_observation(spark, sf_dir):
     ),
 )
 def partial_success(spark, sf_dir):
-    decoded = _decoded(spark, sf_dir)
-    observations = ingest.project_observation(decoded)
-    entered = detector.gate_observations(observations)
-    refused = detector.gate_rejects(observations).select("export_id").unionByName(
-        detector.missing_baseline(entered, baselines(spark)).select("export_id")
-    )
-    return ingest.partial_success(decoded, refused)
+    known = baselines(spark)
+    return ingest.partial_success(_decoded(spark, sf_dir), lambda rows: detector.entry_reason(rows, known))
