@@ -10,11 +10,13 @@ empty, matches stay inside documents, and strings are judged on the input.
 2. An anchor with a single distinct piece, in which it comes once, holds no further repeat. The pieces of all other
    anchors are dealt out by anchor to collections of bounded size; an anchor with more than
    `CROWD` pieces is dealt out window by window instead, by the hash of the window.
-3. In each collection the order of all suffixes is built column-wise for all pieces at once: each
-   round inserts one symbol per piece, from its end to its start, into the Burrows-Wheeler
+3. In each collection the order of all suffixes is built column-wise for all documents at once: each
+   round inserts one symbol per document, from its end to its start, into the Burrows-Wheeler
    transform and updates the common prefixes; both are sequences that a round reads and writes
-   from front to back. Neighbours with `LENGTH` common bytes are equal windows; every one but the
-   first in the corpus is a repeat.
+   from front to back. A symbol is a string of `SYMBOL` bytes, and a piece is a document once for
+   each of its first `SYMBOL` offsets, so that every window starts with a symbol of one document.
+   Neighbours with `LENGTH` common bytes are equal windows; every one but the first in the corpus
+   is a repeat.
 
 Rows that share a doc_id count as one document given more than once. A null doc_id is before all
 others.
@@ -35,8 +37,10 @@ from wavetrail.llm import words as W
 from wavetrail.llm.common import Scratch, whole_texts
 
 LENGTH, ANCHOR = 100, 32
+#: Bytes of a symbol; it divides LENGTH.
+SYMBOL = 20
 #: Windows of one piece at most, pieces of one collection about, pieces of an anchor that stay together.
-RUN, COLLECTION, CROWD = 128, 1_500, 1_500
+RUN, COLLECTION, CROWD = 128, 400, 10_000
 _RUNS = "doc_id long, start int, n int, anchor long, piece long, loops boolean, again boolean"
 
 
@@ -101,19 +105,18 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "start", "n", "anchor", "piece", "loops", "again"])
 
 
-def column_wise(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, offset and common prefix with its predecessor of every suffix, in suffix order.
+def column_wise(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, offset and common prefix with its predecessor of every suffix, in suffix order.
 
-    Round j inserts the suffixes of length j: the new suffix of a piece is the symbol before its
-    last one, put in front of it; its rank follows from counting that symbol in the transform.
+    `flat` holds the symbols (codes from 1) of all documents one after the other. Round j inserts
+    the suffixes of length j: the new suffix of a document is the symbol before its last one, put
+    in front of it; its rank follows from counting that symbol in the transform.
     """
-    m = len(pieces)
-    size = np.array([len(p) for p in pieces])
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    m = len(size)
     base = np.cumsum(size) - size
-    owner, offset, common = np.arange(m), size.copy(), np.zeros(m, np.int16)
+    owner, offset, common = np.arange(m, dtype=np.int32), size.astype(np.int32), np.zeros(m, np.int16)
     # symbol before each suffix, 0 at the start of a piece
-    before = flat[base + size - 1].astype(np.uint16) + 1
+    before = flat[base + size - 1]
     rank = np.arange(m)  # of the longest suffix of each piece so far
     active = np.arange(m)
     while len(active):
@@ -144,7 +147,7 @@ def column_wise(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         new[target] = True
         grown = []
         lead = base[active] + after - 1
-        symbol_before = np.where(after > 0, flat[np.maximum(lead, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
+        symbol_before = np.where(after > 0, flat[np.maximum(lead, 0)], 0).astype(flat.dtype)
         for old, value in ((before, symbol_before), (owner, active), (offset, after), (common, to_prev)):
             out = np.empty(len(new), old.dtype)
             out[new] = value[nth]
@@ -163,15 +166,33 @@ def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(padded, np.stack([low, high], 1).ravel())[::2]
 
 
+def phased(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces as documents of symbols: codes, symbols per document, piece and first offset of each document."""
+    length = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    at = np.arange(max(len(data) - width + 1, 0))
+    code = np.unique(W.range_hashes(W.prefix_hashes(data), at, at + width), return_inverse=True)[1] + 1
+    piece, phase = np.repeat(np.arange(len(pieces)), width), np.tile(np.arange(width), len(pieces))
+    size = np.maximum((length[piece] - phase) // width, 0)
+    some = size > 0
+    piece, phase, size = piece[some], phase[some], size[some]
+    first = (np.cumsum(length) - length)[piece] + phase
+    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    flat = code[np.repeat(first, size) + nth * width]
+    return flat.astype(np.uint16 if len(data) < 65_000 else np.uint32), size, piece, phase
+
+
 def _repeats(group: pd.DataFrame) -> pd.DataFrame:
     """Ranges of repeated windows in one collection: every equal window but the first in the corpus."""
     group = group.drop_duplicates(["doc_id", "start"])
     doc, start = group["doc_id"].to_numpy(), group["start"].to_numpy()
-    owner, offset, common = column_wise(group["bytes"].tolist())
-    length = np.array([len(b) for b in group["bytes"]])
-    same = np.cumsum(common < LENGTH)  # number of the class of equal windows
-    window = offset <= length[owner] - LENGTH
-    own, at, cls = doc[owner[window]], start[owner[window]] + offset[window], same[window]
+    flat, size, piece, phase = phased(group["bytes"].tolist(), SYMBOL)
+    owner, offset, common = column_wise(flat, size)
+    whole = LENGTH // SYMBOL
+    same = np.cumsum(common < whole)  # number of the class of equal windows
+    window = size[owner] - offset >= whole
+    owner, offset = owner[window], offset[window]
+    own, at, cls = doc[piece[owner]], start[piece[owner]] + phase[owner] + offset * SYMBOL, same[window]
     order = np.lexsort((at, own, cls))
     own, at, cls = own[order], at[order], cls[order]
     later = np.r_[False, cls[1:] == cls[:-1]]
