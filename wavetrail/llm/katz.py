@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +50,31 @@ _LOWER[65:91] += 32
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word of a batch, in order."""
-    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for first, _, data, offsets in W.text_chunks(texts, lower=False):
         data = _LOWER[data]
         start, end, row = W.word_ranges(data, offsets, _KIND)
         hashes.append(W.range_hashes(W.prefix_hashes(data), start, end))
-        rows.append(row + first)
+        rows.append((row + first).astype(np.int32))
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+#: Bytes of text and rows that are counted or asked for at once.
+PART_BYTES, PART_ROWS = 12 << 20, 1 << 14
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of bounded size (a longer text stays whole); column 1 is the text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            limit = (ends[first - 1] if first else 0) + PART_BYTES
+            last = max(first + 1, min(int(np.searchsorted(ends, limit, "right")), first + PART_ROWS))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of a 64-bit hash: its high bits, scaled."""
     return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -74,7 +91,7 @@ def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         train = ~np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
         word, row = tokens(batch.column(1))
         keys, counts = np.unique(word[train[row]], return_counts=True)
@@ -82,7 +99,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], vocabulary, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         train = ~np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
         word, row = tokens(batch.column(1))
         pair, of = pairs(vocabulary.value.classes(word), row, batch.num_rows)
@@ -215,18 +232,21 @@ def _asks(batches: Iterator[pa.RecordBatch], vocabulary, buckets: int, salts: np
     names = [x.split()[0] for x in _ASKED.split(", ")]
     kinds = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
     turn = 0
-    for batch in batches:
+    for batch in _parts(batches):
         ids = batch.column(0).to_numpy()
         word, row = tokens(batch.column(1))
         cls = vocabulary.value.classes(word)
         if part == "words":
             key, of = word[cls == REST], row[cls == REST]
+            order = np.argsort(key, kind="stable")  # the bucket grows with the key
+            key, of = key[order], of[order]
             bucket = _bucket(key, buckets)
         else:
+            # bucket, pair and row in one number: 18, 32 and 14 bits
             key, of = pairs(cls, row, batch.num_rows)
-            bucket = _bucket(_spread(key), buckets)
-        order = np.lexsort((of, key, bucket))
-        key, of, bucket = key[order], of[order], bucket[order]
+            whole = np.sort((_bucket(_spread(key), buckets) << np.uint64(46)) | (key.astype(np.uint64) << np.uint64(14)) | of.astype(np.uint64))
+            bucket, of = whole >> np.uint64(46), (whole & np.uint64(PART_ROWS - 1)).astype(np.int64)
+            key = ((whole >> np.uint64(14)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         same = np.r_[False, (key[1:] == key[:-1]) & (of[1:] == of[:-1])]
         first = np.flatnonzero(~same)
         times = np.diff(np.r_[first, len(key)])
@@ -296,7 +316,7 @@ def _direct(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Record
     """What the vocabulary alone tells of each document: its share of the base, known words, tokens."""
     voc = vocabulary.value
     log_count = np.log10(voc.counts + 0.1)
-    for batch in batches:
+    for batch in _parts(batches):
         word, row = tokens(batch.column(1))
         cls = voc.classes(word)
         own = cls != REST
@@ -352,7 +372,7 @@ def score(docs: DataFrame, modulus: int = 10, vocabulary_size: int = VOCABULARY)
     # a row is named by its id and text, so that repeated or missing ids stay apart
     texts = ids.select(F.xxhash64("doc_id", "text").alias("row_id"), "text", "held")
     size = ids.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held")).cast("long"))).first()
-    buckets = max(8, math.ceil((size[0] or 0) / 6 / BUCKET_TOKENS))
+    buckets = min(max(8, math.ceil((size[0] or 0) / 6 / BUCKET_TOKENS)), 1 << 18)
     train_docs = size[1] or 0
 
     counted = texts.mapInArrow(lambda it: _word_counts(it, buckets), _COUNTS).groupBy("bucket").applyInPandas(lambda g: _merged(g, "<u8"), _COUNTS)
