@@ -55,3 +55,15 @@ def test_an_error_is_cut_between_characters(spark):
     texts = ["x" * 1999 + "é", "x" * 1998 + "é", "x" * 1997 + "\ufffd" + "y", "x" * 1996 + "\ufffd\ufffd"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(outbox.truncate_error(F.col("t")).alias("t"))
     assert [r.t for r in rows.collect()] == ["x" * 1999, texts[1], texts[2][:-1], "x" * 1996 + "\ufffd"]
+
+
+def test_a_stream_reaches_both_sinks_once(spark, tmp_path):
+    source, archive, log, state = (str(tmp_path / n) for n in ("in", "archive", "log", "state"))
+    schema = f"tenant_id string, event_id string, alert {ALERT}"
+    for slice_ in (["e0", "e1"], ["e1", "e2"]):  # an event comes again in the second run
+        log_rows = spark.createDataFrame([("t", e, None) for e in slice_], schema)
+        log_rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        sinks.fan_out_stream(stream, archive, lambda rows: sinks.write_observation_log(rows, log), state)
+    assert spark.read.parquet(archive).count() == 4
+    assert sorted(r.event_id for r in spark.read.parquet(log).collect()) == ["e0", "e1", "e2"]

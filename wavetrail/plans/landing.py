@@ -159,7 +159,7 @@ def validate_baselines(spark, sf_dir):
     with_(
         PART_BASELINES_SQL,
         """select aisle, case when isnan(mean) then 'none' when mean > 1e307 then 'infinite'
-             else cast(cast(floor((mean + 2.5 * stddev) * 100) as bigint) as varchar) end as threshold
+             else cast(try_cast(floor((mean + 2.5 * stddev) * 100) as bigint) as varchar) end as threshold
            from part_baselines""",
     ),
 )

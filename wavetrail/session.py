@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def local_session(cores: int | str = 8, app: str = "wavetrail") -> SparkSession:
@@ -60,12 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast only if a bounded count proves it small.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcast only if a bounded read proves it small in rows and in bytes.
 
-    Beyond the bound the side is returned unmarked: the join then shuffles and
-    adaptive execution splits skewed keys.
+    Bytes are measured on the text of the rows, nested values included. Beyond either bound the
+    side is returned unmarked: the join then shuffles and adaptive execution splits skewed keys.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    width = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if size[0] <= max_rows and size[1] <= max_bytes else df

@@ -99,3 +99,26 @@ def fan_out(
     exports.write.mode("append").parquet(archive_path)
     archived = exports.sparkSession.read.schema(exports.schema).parquet(archive_path)
     analyse(archived)
+
+
+def fan_out_stream(
+    exports: DataFrame, archive_path: str, analyse: Callable[[DataFrame], None], checkpoint: str
+) -> None:
+    """Deliver every available micro-batch of a stream to the archive and to `analyse`, then stop.
+
+    A micro-batch has a folder of its own, so one that is repeated after a failure replaces what
+    it wrote before; `analyse` must be a writer that a repetition does not harm.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        path = f"{archive_path}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        analyse(batch.sparkSession.read.schema(batch.schema).parquet(path))
+
+    started = (
+        exports.writeStream.foreachBatch(deliver)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
