@@ -28,6 +28,15 @@ def hold_out(modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 0, F.lit(True))
 
 
+def bounded_sample(rows: DataFrame, key, size: int, total: int) -> DataFrame:
+    """About `size` of `total` rows, at most twice as many: those whose hash of `key` is small.
+
+    A filter that every task applies on its own: nothing is sorted and no task gathers the sample.
+    """
+    least = F.lit(-(1 << 63) + min(size, max(total, 1)) * ((1 << 64) - 1) // max(total, 1))
+    return rows.where(F.xxhash64(*key) <= least).limit(2 * size)
+
+
 class Scratch:
     """Tables written below `spark.checkpoint.dir`, which every executor can read."""
 

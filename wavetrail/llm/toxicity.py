@@ -8,8 +8,8 @@ The field is fitted to those labels by its likelihood; forward-backward marginal
 toxic spans (marginal of 1/2 or more), and sums over marginals give the document's score
 through a logistic function fitted to the document labels.
 
-Fitted on a bounded sample: `SAMPLE` labelled training documents per class (smallest hash of
-their id), copies of a text counted once, `LEXICON` features, `WINDOWS` windows around tokens
+Fitted on a bounded sample: about `SAMPLE` labelled training documents per class (small hash of
+their id, twice as many at most), copies of a text counted once, `LEXICON` features, `WINDOWS` windows around tokens
 with such a feature. Scoring reads every whole text, in one pass without a shuffle.
 
 Null or empty texts get the score of a text without a toxic token. Labels that are null are not
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavetrail.llm import words as W
-from wavetrail.llm.common import hold_out
+from wavetrail.llm.common import bounded_sample, hold_out
 
 SAMPLE, LEXICON, WINDOWS, REACH = 3_000, 20_000, 4_000, 8
 PREFIXES = (3, 4, 5, 6, 7)
 SEGMENT = 256
+#: Bound of (m00 + m11 - m01 - m10) / 2: a state is then forgotten within about 110 tokens (`burn_in`).
+PULL = 2.0
 
 
 @dataclass
@@ -175,6 +177,8 @@ def fit_chain(feature: list[np.ndarray], label: np.ndarray, size: int, rounds: i
         change = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-6)
         weights, bias = weights + change[:size], bias + change[size]
         move = np.clip(move + change[size + 1 :].reshape(2, 2), -4, 4)
+        pull = abs(move[0, 0] + move[1, 1] - move[0, 1] - move[1, 0]) / 2
+        move = move * min(1.0, PULL / max(pull, 1e-9))
     return weights, float(bias), move
 
 
@@ -192,13 +196,14 @@ def fit_head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, size: int) -> DataFrame:
-    """`text`, `toxic` of at most `size` training documents per class, each text once."""
+    """`text`, `toxic` of about `size` training documents per class (twice as many at most), each text once."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~hold_out(modulus))
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for y in (0, 1)]
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    chosen = [bounded_sample(known.where(F.col("toxic") == y), ("doc_id",), size, totals.get(y, 0)) for y in (0, 1)]
     picked = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("__id"), "toxic")
     texts = docs.select(docs["doc_id"].cast("long").alias("__doc"), docs["text"].cast("string").alias("text"))
-    joined = texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).where("text is not null")  # at most 2 x size rows
+    joined = texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).where("text is not null")  # at most 4 x size rows
     return joined.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic")
 
 
