@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,21 +219,23 @@ def katz_part(keys: np.ndarray, counts: np.ndarray, ratio: list[float], unigram:
 # --- evaluation ----------------------------------------------------------------------------
 
 
-_ASKED = "bucket int, salt int, model boolean, keys binary, a binary, b binary, c binary"
+_ASKED = "bucket int, salt int, model boolean, keys binary, a binary, b binary, c binary, part long"
+_TOLD = "part long, ids binary, sums binary"
 
 
-def _asked_row(bucket: int, salt: int, keys: np.ndarray, docs: np.ndarray, times: np.ndarray, runs: np.ndarray, kind: str) -> tuple:
+def _asked_row(bucket: int, salt: int, keys: np.ndarray, docs: np.ndarray, times: np.ndarray, runs: np.ndarray, kind: str, part: int) -> tuple:
     ids, local = np.unique(docs, return_inverse=True)
     packed = np.concatenate([runs.astype("<u4"), local.astype("<u4")]).tobytes()
-    return bucket, salt, False, keys.astype(kind).tobytes(), packed, times.astype("<u4").tobytes(), ids.astype("<i8").tobytes()
+    return bucket, salt, False, keys.astype(kind).tobytes(), packed, times.astype("<u4").tobytes(), ids.astype("<i8").tobytes(), part
 
 
 def _asks(batches: Iterator[pa.RecordBatch], vocabulary, buckets: int, salts: np.ndarray, part: str) -> Iterator[pa.RecordBatch]:
     """Distinct keys of a batch with the documents that have them, by bucket."""
     names = [x.split()[0] for x in _ASKED.split(", ")]
-    kinds = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-    turn = 0
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4, pa.int64())
+    turn, number = 0, TaskContext.get().partitionId() << 32
     for batch in _parts(batches):
+        number += 1
         ids = batch.column(0).to_numpy()
         word, row = tokens(batch.column(1))
         cls = vocabulary.value.classes(word)
@@ -247,6 +250,8 @@ def _asks(batches: Iterator[pa.RecordBatch], vocabulary, buckets: int, salts: np
             whole = np.sort((_bucket(_spread(key), buckets) << np.uint64(46)) | (key.astype(np.uint64) << np.uint64(14)) | of.astype(np.uint64))
             bucket, of = whole >> np.uint64(46), (whole & np.uint64(PART_ROWS - 1)).astype(np.int64)
             key = ((whole >> np.uint64(14)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        if not len(key):
+            continue
         same = np.r_[False, (key[1:] == key[:-1]) & (of[1:] == of[:-1])]
         first = np.flatnonzero(~same)
         times = np.diff(np.r_[first, len(key)])
@@ -256,13 +261,13 @@ def _asks(batches: Iterator[pa.RecordBatch], vocabulary, buckets: int, salts: np
             turn += 1
             head = np.flatnonzero(np.r_[True, key[s][1:] != key[s][:-1]])
             runs = np.diff(np.r_[head, s.stop - s.start])
-            rows.append(_asked_row(b, turn % int(salts[b]), key[s][head], ids[of[s]], times[s], runs, "<u8" if part == "words" else "<u4"))
-        columns = list(zip(*rows)) or [()] * 7
+            rows.append(_asked_row(b, turn % int(salts[b]), key[s][head], ids[of[s]], times[s], runs, "<u8" if part == "words" else "<u4", number))
+        columns = list(zip(*rows)) or [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
 def _answers(batches: Iterator[pa.RecordBatch], vocabulary, part: str) -> Iterator[pa.RecordBatch]:
-    """Sums per document: the rows of a bucket follow its part of the model."""
+    """Sums per document of each part of a batch, packed: the rows of a bucket follow its part of the model."""
     voc = vocabulary.value
     unigram = voc.log_unigram()
     held = None
@@ -294,7 +299,17 @@ def _answers(batches: Iterator[pa.RecordBatch], vocabulary, part: str) -> Iterat
                 base, score, count = sums
             else:
                 score = sums[0]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(base), pa.array(score), pa.array(count.round().astype(np.int64)), pa.array(np.zeros(len(ids), np.int64))], _PARTS)
+            packed = np.stack([base, score, count]).astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]]), pa.array([row["c"]]), pa.array([packed])], ["part", "ids", "sums"])
+
+
+def _gathered(group: pd.DataFrame) -> pd.DataFrame:
+    """Sums per document over all buckets that a part of a batch asked: at most `PART_ROWS` documents."""
+    ids = np.concatenate([np.frombuffer(b, "<i8") for b in group["ids"]])
+    sums = np.concatenate([np.frombuffer(b, "<f8").reshape(3, -1) for b in group["sums"]], axis=1)
+    docs, which = np.unique(ids, return_inverse=True)
+    base, score, known = (np.bincount(which, s, len(docs)) for s in sums)
+    return pd.DataFrame({"row_id": docs, "base": base, "score": score, "n_known": known.round().astype(np.int64), "n_tokens": np.zeros(len(docs), np.int64)})
 
 
 def _lookup(keys: np.ndarray, known: tuple | None, key_kind: str, value_kind: str, other: float) -> np.ndarray:
@@ -334,10 +349,11 @@ def _sum_parts(docs: DataFrame, models: DataFrame, vocabulary, buckets: int, loa
         salts[b] = math.ceil(n / (2 * mean))
     shares = docs.sparkSession.createDataFrame([(int(b), int(s)) for b, s in enumerate(salts) if s > 1], "bucket int, shares int")
     parts = models.join(F.broadcast(shares), "bucket", "left")  # at most one row per bucket
-    parts = parts.select("bucket", F.explode(F.expr("sequence(0, coalesce(shares, 1) - 1)")).alias("salt"), F.lit(True).alias("model"), "keys", "a", "b", "c")
+    parts = parts.select("bucket", F.explode(F.expr("sequence(0, coalesce(shares, 1) - 1)")).alias("salt"), F.lit(True).alias("model"), "keys", "a", "b", "c", F.lit(None).cast("long").alias("part"))
     asked = docs.mapInArrow(lambda it: _asks(it, vocabulary, buckets, salts, part), _ASKED)
     met = asked.union(parts).repartition(int(salts.sum()), "bucket", "salt").sortWithinPartitions("bucket", "salt", F.desc("model"))
-    return met.mapInArrow(lambda it: _answers(it, vocabulary, part), _SUMS)
+    told = met.mapInArrow(lambda it: _answers(it, vocabulary, part), _TOLD)
+    return told.groupBy("part").applyInPandas(_gathered, _SUMS)
 
 
 def _small_counts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
