@@ -92,6 +92,23 @@ def test_scores_equal_the_plain_model(docs, vocabulary):
         assert math.isclose(r.score, score, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("hot", [500_000, 30])
+def test_every_training_word_has_its_own_pairs(docs, hot):
+    # more words than the former cap of 65,000, in pairs that only repeat in whole
+    texts = corpus() + [" ".join(f"v{k}" for k in range(i, i + 8_000)) for i in range(0, 72_000, 8_000) for _ in (0, 1)]
+    split = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    prob, _, counts, _ = brute.katz(split, held, len(texts) * 8_000, katz.discounts)
+    assert len(counts) > 65_000
+    got = {r.doc_id: r for r in katz.score(docs(texts), hot_tokens=hot).collect()}
+    assert sorted(got) == [*range(len(texts))]
+    for i in [*range(30), *range(120, len(texts))]:
+        logs = {x: math.log10(prob(*x)) for x in set(zip(["<start>", *split[i]], [t if counts[t] else "<rest>" for t in split[i]]))}
+        want = sum(logs[x] for x in zip(["<start>", *split[i]], [t if counts[t] else "<rest>" for t in split[i]]))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), i
+        assert got[i].n_known == sum(counts[t] > 0 for t in split[i])
+
+
 def test_an_empty_corpus_has_no_scores(docs):
     assert katz.score(docs([])).isEmpty()
 
