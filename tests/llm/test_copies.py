@@ -8,6 +8,7 @@ import pytest
 
 from tests.llm import brute
 from wavetrail.llm import decontaminate, exact_dedup, ngram_join, suffix_dedup
+from wavetrail.llm.common import Scratch
 
 
 def prose(rng, n):
@@ -93,6 +94,26 @@ def test_repeated_strings(docs, monkeypatch, crowd):
     assert got == brute.removal(pairs)
 
 
+def test_windows_of_a_crowded_anchor_do_not_meet_in_one_collection(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 20)
+    rng, met = random.Random(8), []
+    passage = prose(rng, 60)
+    texts = [prose(rng, 30) + passage + prose(rng, 30) for _ in range(60)]
+    put = Scratch.put
+
+    def watched(self, df, part):
+        out = put(self, df, part)
+        if part == "pieces":
+            met.extend(r.crowd for r in out.where("not again").collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", watched)
+    table = docs(texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(table).collect()}
+    assert got == brute.removal(dict(enumerate(texts)))
+    assert max(met, default=0) <= 20
+
+
 def test_benchmark_items_inside_long_documents(docs, spark):
     rng = random.Random(7)
     items = {i: prose(rng, n) for i, n in enumerate((3, 5, 6, 9, 20, 33, 70, 300))} | {90: None, 91: "", 92: "??"}

@@ -8,8 +8,11 @@ empty, matches stay inside documents, and strings are judged on the input.
    strings in it. Equal windows have equal anchors. Neighbouring windows with one anchor form a
    piece; equal pieces are merged: all but the first are repeats as a whole.
 2. An anchor with a single distinct piece, in which it comes once, holds no further repeat. The pieces of all other
-   anchors are dealt out by anchor to collections of bounded size; an anchor with more than
-   `CROWD` pieces is dealt out window by window instead, by the hash of the window.
+   anchors are dealt out by anchor to collections of bounded size. An anchor with more than about
+   `CROWD` pieces (told from a sample of documents) is left out of all this: its windows, one by
+   one, are reduced to their first place by two-step aggregation, every other place is a repeat,
+   and the one window that is left needs no collection. An anchor that the sample missed is dealt
+   out window by window, by the hash of the window.
 3. In each collection the order of all suffixes is built column-wise for all documents at once: each
    round inserts one symbol per document, from its end to its start, into the Burrows-Wheeler
    transform and updates the common prefixes; both are sequences that a round reads and writes
@@ -84,8 +87,13 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[start], start - offsets[row[start]], count, anchor, W.mix(piece + count.astype(np.uint64)), times > 1
 
 
-def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch; `again` marks those that an earlier place in the batch has too."""
+def _crowded(anchor: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Whether each anchor is in sorted `crowded`."""
+    return crowded[np.minimum(np.searchsorted(crowded, anchor), len(crowded) - 1)] == anchor if len(crowded) else np.zeros(len(anchor), bool)
+
+
+def _filed(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch, without crowded anchors; `again` marks those that an earlier place in the batch has too."""
     for batch in batches:
         ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
         found = [[] for _ in range(6)]
@@ -94,6 +102,8 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for store, values in zip(found, (ids[first + row], *rest)):
                 store.append(values)
         doc, start, n, anchor, piece, loops = (np.concatenate(f) for f in found)
+        thin = ~_crowded(anchor, crowded)
+        doc, start, n, anchor, piece, loops = (x[thin] for x in (doc, start, n, anchor, piece, loops))
         order = np.lexsort((start, doc, piece, anchor))
         doc, start, n, anchor, piece, loops = doc[order], start[order], n[order], anchor[order], piece[order], loops[order]
         again = np.r_[False, (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1])]
@@ -105,6 +115,39 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "start", "n", "anchor", "piece", "loops", "again"])
 
 
+def _ranges(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the ranges that windows cover."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + LENGTH)][: len(doc)])
+    return doc[first], at[first], at[np.r_[first[1:], len(at)][: len(first)] - 1] + LENGTH
+
+
+def _crowd_windows(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of crowded anchors: the first place of each in the batch with its hash, all others as ranges without."""
+    for batch in batches:
+        ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+        found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for first, _, data, offsets in W.text_chunks(batch.column(1), lower=False):
+            row, start, n, anchor, _, _ = runs(data, offsets)
+            some = _crowded(anchor, crowded)
+            row, start, n = row[some], start[some], n[some]
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row = np.repeat(row, n)
+            place = offsets[row] + at
+            for store, values in zip(found, (W.range_hashes(W.prefix_hashes(data), place, place + LENGTH), ids[first + row], at)):
+                store.append(values)
+        window, doc, at = (np.concatenate(f) for f in found)
+        order = np.lexsort((at, doc, window))
+        window, doc, at = window[order], doc[order], at[order]
+        later = np.r_[False, window[1:] == window[:-1]][: len(window)]
+        own, s, e = _ranges(doc[later], at[later])
+        window, doc, at = window[~later], doc[~later], at[~later]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.r_[doc, own], pa.int64()), pa.array(np.r_[at, s].astype(np.int32)), pa.array(np.r_[at + LENGTH, e].astype(np.int32)),
+            pa.concat_arrays([pa.array(window.view(np.int64)), pa.nulls(len(own), pa.int64())])], ["doc_id", "s", "e", "window"])
+
+
 def column_wise(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, offset and common prefix with its predecessor of every suffix, in suffix order.
 
@@ -239,7 +282,12 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """`doc_id`, `s`, `e`: byte ranges to remove; ranges of a document may overlap."""
     null_id = F.lit(int(np.iinfo(np.int64).min))
     texts = whole_texts(docs).withColumn("doc_id", F.coalesce("doc_id", null_id))
-    filed = texts.mapInArrow(_filed, _RUNS)
+    # one document in `rate`: an anchor that is missed is only dealt out less evenly
+    rate = max(1, min(64, CROWD // 128))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).mapInArrow(lambda it: _filed(it, np.zeros(0, np.uint64)), _RUNS)
+    many = sample.where("not again").groupBy("anchor").count().where(F.col("count") > CROWD // (2 * rate)).select("anchor").collect()
+    crowded = np.sort(np.array([r["anchor"] for r in many], np.int64).view(np.uint64))
+    filed = texts.mapInArrow(lambda it: _filed(it, crowded), _RUNS)
     # places that repeat an earlier one of their batch need no company: they are dealt out evenly
     key = F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))
     keyed = filed.withColumn("key", key)
@@ -255,7 +303,13 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = open_pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "crowd")).alias("wanted"))
     fetched = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(lambda it: _fetched(it, tasks), "doc_id long, start int, bytes binary, task long")
     found = fetched.groupBy("task").applyInPandas(_repeats, "doc_id long, s int, e int")
-    return whole.union(found)
+    ranges = whole.union(found)
+    if len(crowded):
+        windows = scratch.put(texts.mapInArrow(lambda it: _crowd_windows(it, crowded), "doc_id long, s int, e int, window long"), "windows")
+        firsts = windows.where("window is not null").groupBy("window").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
+        others = windows.join(firsts, "window").where(F.struct("doc_id", "s") != F.col("first"))
+        ranges = ranges.union(windows.where("window is null").select("doc_id", "s", "e")).union(others.select("doc_id", "s", "e"))
+    return ranges
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
