@@ -58,6 +58,17 @@ def test_main_text(spark, docs):
     assert sum(html_text.is_main(x) == bool(y) for x, y in rows) >= 0.95 * len(rows)
 
 
+def test_hidden_elements_end_where_they_end():
+    text = lambda page: " ".join(" ".join(b.text for b in html_text.blocks(page)).split())
+    assert text('<p>one <svg width="1"/>two</p><p>three</p>') == "one two three"
+    assert text("<p>one <svg><text>x</text></svg>two</p>") == "one two"
+    assert text("<html><head><title>t</title><script>'<p>'</script><body><p>one</p></body></html>") == "one"
+    assert text("<head><meta charset=utf-8><title>t</title><p>one</p>") == "one"
+    assert text("<head><title>t</title></head><p>one</p>") == "one"
+    assert text("<p>one <math><mi>x</mi></math> two</p>") == "one x two"
+    assert text("<p>one</p><script src='a'/>code</script><p>two</p>") == "one two"
+
+
 def corpus(n=120, seed=2):
     rng = random.Random(seed)
     lexicon = [f"w{i}" for i in range(60)]

@@ -26,13 +26,19 @@ BLOCK_TAGS = frozenset("address article aside blockquote body br caption center
 PARTS = frozenset("nav header footer aside form menu dialog fieldset select".split())
 OUTER = frozenset("html body main article".split())
 NESTING = frozenset("article aside details dialog div dl fieldset figure footer form header li main menu nav ol section select table td tr ul head".split())
-HIDDEN = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "button", "head")
+HIDDEN = ("script", "style", "noscript", "template", "textarea")
+CLOSABLE = ("svg", "iframe", "object", "canvas", "button")  # hidden too; "/>" ends them
 # Words of class, id and role that name page parts and the article.
 PART_WORDS = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted promotion recommended related reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
-_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+_RAW = "|".join(HIDDEN)
+#: What ends a head: its end tag (taken too), the body, or the first tag of the flow where end tags are left out.
+_HEAD_END = r"</head\b|<body\b|<(?:" + "|".join(sorted(BLOCK_TAGS - {"head", "html", "title", "body"})) + r"|a|span|img|b|i|em|strong)\b"
+_SKIP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(" + "|".join(CLOSABLE) + r")\b[^>]*+(?:(?<=/)>|>.*?(?:</\2\s*>|\Z)|\Z)"
+    r"|<head\b[^>]*+(?:(?<=/)>|>(?:[^<]++|<!--.*?(?:-->|\Z)|<(" + _RAW + r"|title)\b.*?(?:</\3\s*>|\Z)|(?!" + _HEAD_END + r")<)*+(?:</head\s*>)?|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*+>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _WORD = re.compile(r"[a-z]+")
