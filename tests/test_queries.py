@@ -1,5 +1,8 @@
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -15,7 +18,7 @@ SAMPLE = [
     "detect_congestion", "observation_outcome", "span_rejects", "partial_success", "dispatch_pass",
     "outbox_state", "record_receipts", "immutable_columns", "model_first_violation", "resolve_routes",
     "run_results", "q_offset", "q_order_desc", "q_group_by", "p_not", "dml_update", "read_baselines",
-    "read_process_models", "write_observation_log",
+    "read_process_models", "write_observation_log", "baseline_threshold",
 ]
 
 
@@ -35,6 +38,16 @@ def test_every_query_has_sql_that_binds(con):
         con.execute("explain " + text)
 
 
+def test_entry_imports_without_the_optional_parts(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/wavetrail", tmp_path / "wavetrail", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+
+
 def test_entry_gives_alerts(spark):
     assert entry.entry(spark).count() > 0
 

@@ -158,17 +158,20 @@ def validate_baselines(spark, sf_dir):
     "baseline_threshold",
     with_(
         PART_BASELINES_SQL,
-        """select aisle, case when isnan(mean) then 'none' when mean > 1e307 then 'infinite'
-             else cast(try_cast(floor((mean + 2.5 * stddev) * 100) as bigint) as varchar) end as threshold
+        """select aisle, case when isnan(mean + 2.5 * stddev) then 'none'
+             when isinf(mean + 2.5 * stddev) then 'infinite'
+             when abs(mean + 2.5 * stddev) >= 1e15 then 'large'
+             else cast(cast(floor((mean + 2.5 * stddev) * 100) as bigint) as varchar) end as threshold
            from part_baselines""",
     ),
 )
 def baseline_threshold(spark, sf_dir):
-    """In whole hundredths; a threshold without a number or without a bound is named."""
+    """In whole hundredths; a threshold that is no number, infinite or beyond 1e15 is named."""
     rows = d.baseline_threshold(_part_baselines(spark, sf_dir), CONFIG.sigma)
     level = F.col("threshold")
     whole = F.floor(level * 100).cast("string")
-    named = F.when(F.isnan(level), "none").when(level == float("inf"), "infinite").otherwise(whole)
+    named = F.when(F.isnan(level), "none").when(F.abs(level) == float("inf"), "infinite")
+    named = named.when(F.abs(level) >= 1e15, "large").otherwise(whole)
     return rows.select("aisle", named.alias("threshold"))
 
 
