@@ -5,22 +5,39 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from wavetrail.llm import packing, token_files, tokens
 
 WORD, BYTE = tokens.public_path("word_bpe_49k.json"), tokens.public_path("byte_bpe_50k.json")
-ODD = ["", "  ", "a  b\n\n c", "it's don't  we'll", "x y 　 z", "é é", "!\x1c? \x1d a", "<|endoftext|> hi", "ΑΣ ΑΣ\nİx",
+ODD = ["", "  ", "a  b\n\n c", "it's don't  we'll", "x y 　 z", "é é", "!\x1c? \x1d a", "<|endoftext|> hi", "hi  <|endoftext|>there<|startoftext|> <|end", "ΑΣ ΑΣ\nİx",
        "\ttab\r\nnew ", "12 345,6 ... ??? $$$", "日本語 テキスト", "a\u0085b c", "​ x", "a   b Ünï  ÉÇ", None, "end ", " Ünï", "a 　 b", "word " * 3_000]
 
 
+def library(texts, path, plain=False):
+    """Ids as the library gives them for each whole text, by a tokenizer of its own."""
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = plain
+    return [np.array(own.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts]
+
+
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_pieces_give_the_ids_of_the_whole_text(path):
-    encoder = tokens.Encoder(path)
+def test_pieces_give_the_ids_of_the_whole_text(path, plain):
+    encoder = tokens.Encoder(path, plain)
     got = []
     for first, last, ids, offsets in encoder.encode(pa.array(ODD)):
         got += [ids[offsets[i] : offsets[i + 1]] for i in range(last - first)]
-    want = encoder.raw([t or "" for t in ODD])
+    want = library(ODD, path, plain)
     assert all(np.array_equal(a, b) for a, b in zip(got, want)) and len(got) == len(want)
+    assert any(49406 <= i for ids in want for i in ids) != plain or path == BYTE
+
+
+def test_a_small_memo_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_IDS", 20)
+    encoder = tokens.Encoder(BYTE)
+    for text, want in zip(ODD * 2, library(ODD, BYTE) * 2):
+        assert all(np.array_equal(ids, want) for _, _, ids, _ in encoder.encode(pa.array([text], pa.string())))
 
 
 def test_words_of_the_format_round_trip():
@@ -36,7 +53,7 @@ def test_words_of_the_format_round_trip():
 
 
 def expected(texts, path, end):
-    return [np.r_[ids, np.uint32(end)].astype("<u4") for ids in tokens.Encoder(path).raw([t or "" for t in texts])]
+    return [np.r_[ids, np.uint32(end)].astype("<u4") for ids in library(texts, path)]
 
 
 def test_token_files_are_read_back_in_order(docs, monkeypatch):

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetrail.llm.common import Scratch
-from wavetrail.llm.tokens import encoder
+from wavetrail.llm.tokens import closed, encoder
 from wavetrail.session import small_side
 
 WIDTH = 2048
@@ -102,19 +103,28 @@ class Plan:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Ids of each document and how many its source has before it in this partition."""
-    part, before = TaskContext.get().partitionId(), {}
+    """Ids of each document and how many its source has before it in this partition.
+
+    Rows come in the order of their source, so a partition knows its sources one after another.
+    """
+    part, source, before = TaskContext.get().partitionId(), None, 0
     for batch in batches:
         for first, last, ids, offsets in encoder(path).encode(batch.column(2)):
-            rows = []
-            for i in range(last - first):
-                own = np.r_[ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)]
-                source = batch.column(1)[first + i].as_py()
-                at = before.get(source, 0)
-                before[source] = at + len(own)
-                rows.append((batch.column(0)[first + i].as_py(), source, part, at, len(own), own.astype("<u4" if wide else "<u2").tobytes()))
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "source", "part", "at", "n", "ids"])
+            ids, offsets = closed(ids, offsets, end_id)
+            n = last - first
+            sources = batch.column(1).slice(first, n)
+            runs = pc.run_end_encode(sources)
+            at, low = np.empty(n, np.int64), 0
+            for name, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if name != source:
+                    source, before = name, 0
+                at[low:high] = before + offsets[low:high] - offsets[low]
+                before, low = int(before + offsets[high] - offsets[low]), high
+            held = ids.astype("<u4" if wide else "<u2")
+            cuts = pa.array((offsets * held.itemsize).astype(np.int32)).buffers()[1]
+            binary = pa.Array.from_buffers(pa.binary(), n, [None, cuts, pa.py_buffer(held)])
+            columns = [batch.column(0).slice(first, n), sources, pa.array(np.full(n, part, np.int32)), pa.array(at), pa.array(np.diff(offsets)), binary]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "part", "at", "n", "ids"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], plan: Plan, wide: bool, keep_ids: bool) -> Iterator[pa.RecordBatch]:

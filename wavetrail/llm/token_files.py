@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetrail.llm.common import Scratch, whole_texts
-from wavetrail.llm.tokens import encoder
+from wavetrail.llm.tokens import closed, encoder
 
 BLOCK_IDS = 1 << 16
 EVERY = 1024
@@ -96,27 +96,31 @@ def unpack(words: np.ndarray, n_ids: int, escapes: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Documents are gathered until they hold `BLOCK_IDS` ids; the one that reaches it closes the block."""
     shard, block, base = TaskContext.get().partitionId(), 0, 0
-    ids, docs, ends, held = [], [], [], 0
+    ids, docs, sizes, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        whole = np.concatenate(ids)
+        whole, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
         words, word_base, escapes = pack(whole)
-        row = {"shard": [shard], "block": [block], "base": [base], "doc_ids": [docs], "doc_ends": [ends], "n_ids": [len(whole)],
+        row = {"shard": [shard], "block": [block], "base": [base], "doc_ids": [pa.concat_arrays(docs)], "doc_ends": [ends], "n_ids": [len(whole)],
                "words": [words.tobytes()], "word_base": [word_base], "escapes": [escapes.tobytes()]}
         return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
     for batch in batches:
         for first, last, found, offsets in encoder(path).encode(batch.column(1)):
-            for i in range(last - first):
-                ids.append(np.r_[found[offsets[i] : offsets[i + 1]], np.uint32(end_id)])
-                held += len(ids[-1])
-                docs.append(batch.column(0)[first + i].as_py())
-                ends.append(held)
+            found, offsets = closed(found, offsets, end_id)
+            low, n = 0, last - first
+            while low < n:
+                high = min(n, int(np.searchsorted(offsets, offsets[low] + BLOCK_IDS - held)))
+                ids.append(found[offsets[low] : offsets[high]])
+                docs.append(batch.column(0).slice(first + low, high - low))
+                sizes.append(np.diff(offsets[low : high + 1]))
+                held, low = held + len(ids[-1]), high
                 if held >= BLOCK_IDS:
                     yield flush()
                     block, base = block + 1, base + held
-                    ids, docs, ends, held = [], [], [], 0
+                    ids, docs, sizes, held = [], [], [], 0
     if ids:
         yield flush()
 
@@ -132,20 +136,18 @@ def token_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "shard", "at", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = unpack(np.frombuffer(row["words"], "<u8"), row["n_ids"], np.frombuffer(row["escapes"], "<u4").reshape(-1, 2))
-            ends = row["doc_ends"]
-            parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
-            columns = [
-                pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int32()),
-                pa.array([row["base"] + a for a in [0, *ends][: len(parts)]], pa.int64()), pa.array([len(p) for p in parts], pa.int64()),
-                pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
-            ]
-            names = ["doc_id", "shard", "at", "n_tokens", "ids_crc32"]
+        shard, _, base, docs, doc_ends, n_ids, words, _, escapes = batch.columns
+        for r in range(batch.num_rows):
+            ids = unpack(np.frombuffer(words[r].as_buffer(), "<u8"), n_ids[r].as_py(), np.frombuffer(escapes[r].as_buffer(), "<u4").reshape(-1, 2))
+            cuts = np.r_[0, doc_ends[r].values.to_numpy()]
+            held, at = memoryview(ids.astype("<u4")).cast("B"), (4 * cuts).tolist()
+            crc = np.fromiter((zlib.crc32(held[a:b]) for a, b in zip(at, at[1:])), np.int64, len(cuts) - 1)
+            n = len(cuts) - 1
+            columns = [docs[r].values, pa.array(np.full(n, shard[r].as_py(), np.int32)), pa.array(base[r].as_py() + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(crc)]
             if keep_ids:
-                columns.append(pa.array(parts, pa.list_(pa.int64())))
-                names.append("ids")
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
 

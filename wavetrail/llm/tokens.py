@@ -4,6 +4,7 @@ Both tokenizers split a text before any white space that follows another charact
 what lies between independently. Texts are therefore cut there, on Arrow buffers; each distinct
 piece is encoded once by the library, many joined into one call, and the ids of a batch are
 gathered by index. A piece that the join could change is encoded alone. Null counts as empty.
+The memo finds a piece by its 64-bit hash, in sorted arrays of a bounded size.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ MEMO_IDS = 6_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_JOINABLE = re.compile(rb"[\t\n\r ]+(?:[\x21-\x7e \t\n\r]|\xc3[\x80-\xbf])*(?:[\x21-\x7e]|\xc3[\x80-\xbf])")
-_encoders: dict[str, Encoder] = {}
+_JOINABLE = np.zeros(256, bool)
+_JOINABLE[[9, 10, 13, *range(32, 127), 0xC3]] = True
+#: Pieces in one joined call.
+_PART = 512
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -42,58 +46,99 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:-1])
 
 
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes of all elements of the ranges [start, start + size), one range after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
-    def __init__(self, path: str):
+    """Ids of whole texts as `Tokenizer.encode(text, add_special_tokens=False)` gives them.
+
+    `plain`: strings of special tokens inside a text are ordinary text; by default they become
+    the special id, as the library does it.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.drops_space = any(n.endswith("</w>") for n in names)
         self.width = np.array([len(n) - 4 * (self.drops_space and n.endswith("</w>")) for n in names])
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added):
+            raise ValueError("added tokens that look at white space around them are not supported")
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.start, self.length, self.key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.order, self.slot = np.zeros(0, np.int64), np.zeros(1 << 20, np.int32)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text straight from the library."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of joinable pieces: one call, cut again by the bytes that each id stands for."""
-        out = []
-        for low in range(0, len(pieces), 512):
-            part = pieces[low : low + 512]
-            ids = self.raw([b"".join(part).decode()])[0]
-            size = [len(b"".join(p.split())) if self.drops_space else len(p) for p in part]
-            reached = np.cumsum(self.width[ids])
-            ends = np.searchsorted(reached, np.cumsum(size)) + 1
-            if len(ids) == 0 or ends[-1] != len(ids) or not np.array_equal(reached[ends - 1], np.cumsum(size)):
-                out += self.raw([p.decode() for p in part])  # a normaliser changed a length
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces data[start, end), one after another, and how many each has."""
+        ids, count = [], np.zeros(len(start), np.int64)
+        odd = np.r_[0, np.cumsum(~(_JOINABLE[data] | (data >= 0x80) & (data < 0xC0) & (np.r_[np.uint8(0), data[:-1]] == 0xC3)))]
+        solid = np.r_[0, np.cumsum(~_SPACE[data])] if self.drops_space else np.arange(len(data) + 1)
+        join = (odd[end] == odd[start]) & _SPACE[data[start]] & ~_SPACE[data[end - 1]]
+        joined, alone = np.flatnonzero(join), np.flatnonzero(~join)
+        parts = [joined[k : k + _PART] for k in range(0, len(joined), _PART)]
+        texts = [data[gather(start[p], end[p] - start[p])].tobytes().decode() for p in parts]
+        order = []
+        for part, found in zip(parts, self.raw(texts)):
+            want, reached = np.cumsum(solid[end[part]] - solid[start[part]]), np.cumsum(self.width[found])
+            ends = np.searchsorted(reached, want) + 1
+            if len(found) == 0 or ends[-1] != len(found) or not np.array_equal(reached[ends - 1], want):
+                alone = np.r_[alone, part]  # a normaliser changed a length
             else:
-                out += np.split(ids, ends[:-1])
-        return out
-
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        join = [_JOINABLE.fullmatch(p) is not None for p in pieces]
-        joined = iter(self._joined([p for p, j in zip(pieces, join) if j]))
-        alone = iter(self.raw([p.decode() for p, j in zip(pieces, join) if not j]))
-        found = [next(joined) if j else next(alone) for j in join]
-        sizes = np.array([len(f) for f in found], np.int64)
-        total, n = int(sizes.sum()), len(found)
-        while self.used + total > len(self.pool):
+                ids.append(found)
+                order.append(part)
+                count[part] = np.diff(np.r_[0, ends])
+        single = self.raw([data[a:b].tobytes().decode() for a, b in zip(start[alone].tolist(), end[alone].tolist())])
+        ids += single
+        order.append(alone)
+        count[alone] = [len(i) for i in single]
+        place, ids = np.concatenate(order), np.concatenate([np.zeros(0, np.uint32), *ids])
+        at = np.zeros(len(start), np.int64)
+        at[place] = np.cumsum(count[place]) - count[place]
+        return ids[gather(at, count)], count
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        ids, count = self._pieces(data, start, end)
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros(len(self.pool), np.uint32)]
-        while self.known + n > len(self.start):
-            self.start = np.r_[self.start, np.zeros(len(self.start), np.int64)]
-            self.length = np.r_[self.length, np.zeros(len(self.length), np.int64)]
-        self.pool[self.used : self.used + total] = np.concatenate(found)
-        self.start[self.known : self.known + n] = self.used + np.cumsum(sizes) - sizes
-        self.length[self.known : self.known + n] = sizes
-        self.memo.update(zip(keys, range(self.known, self.known + n)))
-        self.used, self.known = self.used + total, self.known + n
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start = np.r_[self.start, self.used + np.cumsum(count) - count]
+        self.length, self.key = np.r_[self.length, count], np.r_[self.key, keys]
+        self.order = np.argsort(self.key, kind="stable")
+        self.slot[(keys >> np.uint64(44)).astype(np.int64)] = np.arange(len(self.key) - len(keys), len(self.key))
+        self.used += len(ids)
+
+    def _places(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where the memo has each piece; unknown ones are encoded first."""
+        if self.used > MEMO_IDS:
+            self._forget()
+        out = self.slot[(keys >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+        missed = np.flatnonzero(self.key[out] != keys) if len(self.key) else np.arange(len(keys))
+        if len(missed):
+            asked, first, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+            for known in (False, True):
+                at = np.minimum(np.searchsorted(self.key, asked, sorter=self.order), max(len(self.key) - 1, 0))
+                hit = self.key[self.order[at]] == asked if len(self.key) else np.zeros(len(asked), bool)
+                if known or hit.all():
+                    break
+                new = missed[first[~hit]]
+                self._learn(asked[~hit], data, start[new], end[new])
+            out[missed] = self.order[at][which]
+        return out
 
     def encode(self, texts: pa.Array):
         """Runs of rows: (first, last, ids of all its texts, offsets of each text in them)."""
@@ -103,27 +148,28 @@ class Encoder:
                 yield first, last, np.zeros(0, np.uint32), np.zeros(last - first + 1, np.int64)
                 continue
             end = np.r_[start[1:], len(data)]
-            keys, at, which = np.unique(W.range_hashes(W.prefix_hashes(data), start, end), return_index=True, return_inverse=True)
-            if self.used > MEMO_IDS:
-                self._forget()
-            listed = keys.tolist()
-            new = [i for i, k in enumerate(listed) if k not in self.memo]
-            if new:
-                self._learn([listed[i] for i in new], [data[start[a] : end[a]].tobytes() for a in at[new].tolist()])
-            place = np.array([self.memo[k] for k in listed])[which]
+            place = self._places(W.range_hashes(W.prefix_hashes(data), start, end), data, start, end)
             size = self.length[place]
             ends = np.cumsum(size)
-            ids = self.pool[np.repeat(self.start[place] - (ends - size), size) + np.arange(ends[-1])]
+            ids = self.pool[gather(self.start[place], size)]
             piece = np.searchsorted(start, offsets)
             yield first, last, ids, np.r_[0, ends][piece]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The encoder of a file, made once in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
+
+
+def closed(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """`ids` with an end id after each text, and the new offsets."""
+    n = len(offsets) - 1
+    out = np.full(len(ids) + n, end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
+    return out, offsets + np.arange(n + 1)
 
 
 def public_path(name: str) -> str:
