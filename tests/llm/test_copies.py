@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
 from wavetrail.llm import decontaminate, exact_dedup, ngram_join, suffix_dedup
+from wavetrail.llm import words as W
 from wavetrail.llm.common import Scratch
 
 
@@ -114,7 +116,7 @@ def test_windows_of_a_crowded_anchor_do_not_meet_in_one_collection(docs, monkeyp
     assert max(met, default=0) <= 20
 
 
-def test_benchmark_items_inside_long_documents(docs, spark):
+def test_benchmark_items_inside_long_documents(docs, spark, monkeypatch):
     rng = random.Random(7)
     items = {i: prose(rng, n) for i, n in enumerate((3, 5, 6, 9, 20, 33, 70, 300))} | {90: None, 91: "", 92: "??"}
     items[93] = items[4]
@@ -131,6 +133,20 @@ def test_benchmark_items_inside_long_documents(docs, spark):
     left = decontaminate.drop_contaminated(docs(texts), table)
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - {d for d, _, _ in want}
     assert left.columns == docs([]).columns
+    kept = [i for i, t in items.items() if brute.shingles(t)]
+    index = decontaminate.Index(kept, W.sets([items[i] for i in kept]), 0.8)
+    for size in (16, 64, 256):  # long texts in slices; the large items above a slice
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        got = [(r, kept[i], shared) for r, i, shared, _ in index.matches(pa.array(texts, pa.string()))]
+        assert sorted(got) == sorted(want)
+
+
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(prose(rng, 300) + "日本" * rng.randrange(50) for _ in range(5))
+    want = W.sets([text])[0]
+    monkeypatch.setattr(W, "CHUNK", 64)
+    assert (W.sets([text])[0] == want).all()
 
 
 def test_empty_tables(docs, spark):

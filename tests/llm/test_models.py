@@ -157,6 +157,17 @@ def labelled_corpus(n=400):
     return texts, toxic
 
 
+def test_calibration_sees_hits_anywhere():
+    rng = np.random.default_rng(2)
+    move, bias, length = np.array([[0.4, -0.6], [-0.3, 0.5]]), -2.0, 90_000
+    at = np.unique(np.r_[0, rng.integers(0, length, 40), 70_000 + np.arange(9), length - 1])
+    gain = rng.normal(2, 2, len(at))
+    emit = np.full(length, bias)
+    emit[at] += gain
+    want = toxicity.marginals(emit, np.zeros(length, np.int64), move)[at]
+    assert np.allclose(toxicity._hit_marginals(at, gain, length, bias, move), want)
+
+
 def test_toxic_documents_and_spans(docs, spark):
     texts, toxic = labelled_corpus()
     extra = [None, "", "It is a KRUXOLI.", "é vile", "plain " * 30_000]

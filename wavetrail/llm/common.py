@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from wavetrail.session import new_table_path
 
+#: Bytes of one Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
+
 
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; a cluster may use --py-files instead."""
+    """Let Python workers import this package from where the driver has it; a cluster may use --py-files instead.
+
+    Arrow batches are bounded by bytes too, so that long texts do not add up in a worker; a
+    smaller bound of the session stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") in ("67108864", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

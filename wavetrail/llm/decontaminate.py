@@ -32,6 +32,8 @@ from wavetrail.llm.ngram_join import minima
 SIZE, CONTAINMENT, MISS = 5, 0.8, 1e-6
 #: Item values (signatures and n-grams) held by one task at once; 8 bytes each.
 BROADCAST_VALUES = 2_000_000
+#: N-grams of documents that are searched at once (a power of two).
+SLICE = 1 << 14
 
 
 def least_jaccard(containment: float = CONTAINMENT) -> float:
@@ -69,34 +71,63 @@ class Index:
         return W.mix(values.astype(np.uint64) + (np.arange(1, len(values) + 1, dtype=np.uint64) << np.uint64(32))[:, None])
 
     def search(self, gram: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
-        """Candidate (row, item) pairs for documents given by n-grams in text order and their rows."""
+        """Candidate (row, item) pairs for documents given by n-grams in text order and their rows.
+
+        N-grams are searched in runs of whole rows of at most `SLICE`. A longer row is searched in
+        slices that overlap by a block of the largest class whose windows fit into a slice; its
+        larger classes start from the block minima of those slices.
+        """
         found: set[tuple[int, int]] = set()
         if not len(gram) or not self.classes:
             return []
-        # blocks of 2^c n-grams that never cross rows; two neighbours make a window of class c
-        change = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        at = np.arange(len(gram)) - np.repeat(change, np.diff(np.r_[change, len(gram)]))
-        begin = np.flatnonzero(at % (1 << self.lowest) == 0)
-        low, of = minima(gram, begin, self.n), row[begin]
-        for c in range(self.lowest, max(self.classes) + 1):
-            if c > self.lowest:  # merge pairs of blocks inside each row
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        ends, k = np.r_[first[1:], len(gram)], 0
+        fits = SLICE.bit_length() - 2
+        while k < len(first):
+            a = int(first[k])
+            last = max(k + 1, int(np.searchsorted(ends, a + SLICE, "right")))
+            b = int(ends[last - 1])
+            if b - a <= SLICE:
+                blocks = np.concatenate([np.arange(x, y, 1 << self.lowest) for x, y in zip(first[k:last], ends[k:last])]) - a
+                self._levels(minima(gram[a:b], blocks, self.n), row[a:b][blocks], self.lowest, max(self.classes), found)
+            else:
+                tops = []
+                for low in range(a, b, SLICE):
+                    part = gram[low : min(b, low + SLICE + (1 << fits))]
+                    if self.lowest <= fits:
+                        blocks = np.arange(0, len(part), 1 << self.lowest)
+                        self._levels(minima(part, blocks, self.n), np.full(len(blocks), row[a]), self.lowest, fits, found)
+                    if max(self.classes) > fits:
+                        tops.append(minima(part[:SLICE], np.arange(0, min(SLICE, b - low), 1 << fits), self.n))
+                if tops:
+                    top = np.concatenate(tops, axis=1)
+                    self._levels(top, np.full(top.shape[1], row[a]), fits, max(self.classes), found, fits + 1)
+            k = last
+        return sorted(found)
+
+    def _levels(self, low: np.ndarray, of: np.ndarray, level: int, last: int, found: set, asked: int = 0) -> None:
+        """Windows of the classes from `level` to `last`, made of two neighbouring blocks of a row each.
+
+        `low`: minima of blocks of 2^level n-grams; classes below `asked` are passed through only.
+        """
+        for c in range(level, last + 1):
+            if c > level:  # merge pairs of blocks inside each row
                 start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 nth = np.arange(len(of)) - np.repeat(start, np.diff(np.r_[start, len(of)]))
                 keep = np.flatnonzero(nth % 2 == 0)
                 low, of = np.minimum.reduceat(low, keep, axis=1), of[keep]
-            if c not in self.classes:
+            if c not in self.classes or c < asked:
                 continue
-            same = np.r_[of[1:] == of[:-1], False]
-            window = low.copy()
-            window[:, same] = np.minimum(low[:, same], low[:, np.flatnonzero(same) + 1])
+            same = np.flatnonzero(np.r_[of[1:] == of[:-1], False])
             keys, owner, marks = self.classes[c]
-            value = self.keyed(window)
-            maybe = np.argwhere(marks[(value >> np.uint64(44)).astype(np.int64)])
-            probe = value[maybe[:, 0], maybe[:, 1]]
-            a, b = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-            for k in np.flatnonzero(b > a):
-                found.update((int(of[maybe[k, 1]]), int(i)) for i in owner[a[k] : b[k]])
-        return sorted(found)
+            for k in range(self.n):  # one hash function at a time
+                window = low[k].copy()
+                window[same] = np.minimum(window[same], low[k][same + 1])
+                value = W.mix(window.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(32)))
+                maybe = np.flatnonzero(marks[(value >> np.uint64(44)).astype(np.int64)])
+                a, b = np.searchsorted(keys, value[maybe], "left"), np.searchsorted(keys, value[maybe], "right")
+                for i in np.flatnonzero(b > a):
+                    found.update((int(of[maybe[i]]), int(x)) for x in owner[a[i] : b[i]])
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(row, item number, shared n-grams, n-grams of the item) of verified pairs."""

@@ -148,7 +148,7 @@ class Encoder:
                 yield first, last, np.zeros(0, np.uint32), np.zeros(last - first + 1, np.int64)
                 continue
             end = np.r_[start[1:], len(data)]
-            place = self._places(W.range_hashes(W.prefix_hashes(data), start, end), data, start, end)
+            place = self._places(W.hash_ranges(data, start, end), data, start, end)
             size = self.length[place]
             ends = np.cumsum(size)
             ids = self.pool[gather(self.start[place], size)]

@@ -283,17 +283,26 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMP
     model.weights, model.bias, model.move = weights, bias, move
     x, label = [], []
     for toxic, length, at, feats in docs_hit:
-        # only the surroundings of hits can differ from a clean text
-        emit = np.full(min(length, 1 << 16), bias)
-        near = at < len(emit)
-        emit[at[near]] += np.where(feats[near] >= 0, weights[feats[near]], 0).sum(1)
-        p = marginals(emit, np.zeros(len(emit), np.int64), move)
-        x.append(_summary(p[at[near]], length))
+        x.append(_summary(_hit_marginals(at, np.where(feats >= 0, weights[feats], 0).sum(1), length, bias, move), length))
         label.append(toxic)
     model.head = fit_head(np.array(x), np.array(label, float))
     return model
 
 
+def _hit_marginals(at: np.ndarray, gain: np.ndarray, length: int, bias: float, move: np.ndarray) -> np.ndarray:
+    """Marginals of the tokens `at` of a text whose other tokens have no known feature.
+
+    Only stretches of `burn_in` tokens on both sides of each hit are computed, wherever in the text they are.
+    """
+    if not len(at):
+        return np.zeros(0)
+    reach = burn_in(move)
+    place = np.unique(np.clip(at[:, None] + np.arange(-reach, reach + 1), 0, length - 1))
+    emit, own = np.full(len(place), bias), np.searchsorted(place, at)
+    emit[own] += gain
+    return marginals(emit, np.cumsum(np.r_[0, np.diff(place) > 1]), move)[own]
+
+
 def _summary(p: np.ndarray, tokens: int) -> list[float]:
     """Largest marginal, log of the toxic tokens, and log of their density in the text."""
     if not len(p):

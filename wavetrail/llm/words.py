@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
@@ -25,13 +25,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_MUL ** i and _INV ** i modulo 2 ** 64 for i < n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_MUL, _INV)):
-            table = np.full(max(n, CHUNK + 1), base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers[0][:n], _powers[1][:n]
+    """_MUL ** i and _INV ** i modulo 2 ** 64 for i < n; only tables of a chunk's size are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_MUL, _INV):
+        table = np.full(max(n, CHUNK + 1), base, np.uint64)
+        table[0] = 1
+        made.append(np.cumprod(table, out=table))
+    if n <= CHUNK + 1:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,11 +89,23 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _IS_WO
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ascending ranges data[start, end), from slices of about a chunk at a time."""
+    out, low = np.empty(len(start), np.uint64), 0
+    while low < len(start):
+        base = int(start[low])
+        high = max(low + 1, int(np.searchsorted(end, base + CHUNK, "right")))
+        prefix = prefix_hashes(data[base : int(end[high - 1])])
+        out[low:high] = range_hashes(prefix, start[low:high] - base, end[low:high] - base)
+        low = high
+    return out
+
+
 def words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows [first, last): hash of every word and its row, counted from `first`."""
     for first, last, data, offsets in text_chunks(texts):
         start, end, row = word_ranges(data, offsets)
-        yield first, last, range_hashes(prefix_hashes(data), start, end), row
+        yield first, last, hash_ranges(data, start, end), row
 
 
 def shingles(word: np.ndarray, row: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
