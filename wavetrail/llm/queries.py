@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavetrail.llm import decontaminate, exact_dedup, html_text, katz, ngram_join, packing, pii, suffix_dedup, token_files, tokens, toxicity
+from wavetrail.llm import bpe, decontaminate, exact_dedup, html_text, katz, ngram_join, packing, pii, suffix_dedup, token_files, tokens, toxicity
 from wavetrail.llm.common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_katz")
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json"))

@@ -83,7 +83,7 @@ class Encoder:
         """Ids of each text straight from the library."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces data[start, end), one after another, and how many each has."""
         ids, count = [], np.zeros(len(start), np.int64)
         odd = np.r_[0, np.cumsum(~(_JOINABLE[data] | (data >= 0x80) & (data < 0xC0) & (np.r_[np.uint8(0), data[:-1]] == 0xC3)))]
@@ -112,7 +112,7 @@ class Encoder:
         return ids[gather(at, count)], count
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        ids, count = self._pieces(data, start, end)
+        ids, count = self.pieces(data, start, end)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros(len(self.pool), np.uint32)]
         self.pool[self.used : self.used + len(ids)] = ids
