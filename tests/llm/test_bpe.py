@@ -26,7 +26,7 @@ def brute(text):
 @pytest.mark.parametrize("limit", [1, 400, 1 << 24])
 def test_encoding_and_decoding_equal_the_library(docs, limit):
     rows = [(3 * i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (None, None), (3, "a  b\n\n c"), (3, "other"), (7, "the the the " * 2_000)]
-    got = bpe.encode_decode(docs(rows).repartition(3), BYTE, keep=True, limit=limit).collect()
+    got = bpe.encode_decode(docs(rows).repartition(3), BYTE, keep=True, limit=limit, part_bytes=limit * 50).collect()
     want = sorted([(i, *brute(t)) for i, t in rows], key=str)
     assert sorted([tuple(r) for r in got], key=str) == want
 
@@ -36,10 +36,19 @@ def test_an_empty_table_and_the_columns(docs):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.isEmpty()
 
 
-def test_each_distinct_word_is_encoded_once(docs):
-    split = bpe.split_words(docs(["a b a b a", "b a", " c  c"] * 5).coalesce(1))
-    table = bpe.encoded_words(split.where("number is not null"), BYTE).collect()
-    assert sorted(bytes(r.word) for r in table) == sorted([b" a", b" b", b" c", b"  c", b"a", b"b"])
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    listed = [[b"a", b" b", b" c"], [b" c", b"a", b"x"], [b"a"]]
+    rows = []
+    for words in listed:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        rows.append(chunks.squeezed(data, chunks.to_varints(np.array([len(w) for w in words]))[0]))
+    asked, plain = [], bpe.encoder(BYTE).pieces
+    monkeypatch.setattr(bpe.encoder(BYTE), "pieces", lambda data, start, end: asked.extend(data[a:b].tobytes() for a, b in zip(start, end)) or plain(data, start, end))
+    out = bpe._encoded(pa.table({"chunk": [5, 6, 7], "part": pa.array([2] * 3, pa.int32()), "data": rows}), BYTE)
+    assert sorted(asked) == [b" b", b" c", b"a", b"x"]
+    for words, row in zip(listed, out["ids"]):
+        ids, ends, begin = bpe._dictionary(pa.table({"part": [2], "ids": [row.as_py()]}), 3)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [brute(w.decode())[3] for w in words] and begin[2] == 0
 
 
 def test_decoding_any_ids(spark, docs):

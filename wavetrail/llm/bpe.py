@@ -3,14 +3,16 @@
 1. `split_words`: every whole text is split before white space that follows another character, where
    byte-level BPE never merges. A run of about `CHUNK_BYTES` of text, the chunk, numbers its distinct
    words; a document becomes its word numbers in order of position.
-2. `encoded_words`: the words of all chunks are made distinct by a shuffle, and each is encoded once.
-3. `with_bytes`: the ids of a word are exploded, joined with the table id -> piece (one row per entry
-   of the vocabulary, which bounds the broadcast) and put together in their order.
-4. `encode_decode`: ids and bytes go back to the chunks that have the word (one row per chunk and
-   word) and from there to every position of its documents.
+2. `encoded_words`: the table of distinct words, partitioned by a hash of the word. A chunk sends its
+   words to each part in one packed row, and each distinct word of the corpus is encoded once there.
+3. `encode_decode`: the ids go back to the chunks that have the word, and from there to every position
+   of their documents. Decoding joins each id with its piece (`id_to_piece`, one row per entry of the
+   vocabulary, which bounds it) and puts the bytes together by position.
 
-The written table of step 1 fixes the chunks, so a lost executor repeats no numbering. Chunks and
-words bound every group: no task sees more than one chunk's documents and dictionary.
+Words, codes and ids travel as packed and compressed rows: as plain rows, one per chunk and word, they
+took three times the input on disk. The written table of step 1 fixes the chunks, so a lost executor
+repeats no numbering. Every group is bounded: a chunk by its text, a part by the number of parts, which
+grows with the text; a hot word is one entry per chunk.
 
 Defined results: null counts as empty and has no ids; rows with the same id, or without one, are
 each encoded on their own; an empty table gives an empty one; other columns are not read. Strings of
@@ -29,15 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetrail.llm import words as W
-from wavetrail.llm.chunks import Numbers, binary, flat, from_varints, pick, to_varints
+from wavetrail.llm.chunks import Numbers, binary, expanded, flat, from_varints, pick, squeezed, to_varints
 from wavetrail.llm.common import Scratch, whole_texts
 from wavetrail.llm.tokens import encoder, gather, piece_starts
 
-#: Bytes of text that share a dictionary; a chunk ends with the document that reaches it.
-CHUNK_BYTES = 16 << 20
+#: Bytes of text that share a dictionary; a chunk ends with the run of documents that reaches it.
+CHUNK_BYTES = 32 << 20
+#: Bytes of text whose chunks' words meet in one part of the table of distinct words.
+PART_BYTES = 64 << 20
 #: Word occurrences that are put back at once.
 AT_ONCE = 1 << 19
-_SPLIT = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("number", pa.int32()), ("word", pa.binary())])
+_SPLIT = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("part", pa.int32()), ("data", pa.binary())])
+SPLIT = "chunk long, doc_ids array<long>, part int, data binary"
 
 
 def byte_pieces(path: str) -> dict[int, bytes]:
@@ -55,7 +60,7 @@ def byte_pieces(path: str) -> dict[int, bytes]:
 
 
 def id_to_piece(spark: SparkSession, path: str) -> DataFrame:
-    """`id`, `piece` (bytes): one row per entry of the vocabulary."""
+    """`id`, `piece` (bytes) of the entries of the vocabulary, whose number bounds the table."""
     return spark.createDataFrame(sorted(byte_pieces(path).items()), "id int, piece binary")
 
 
@@ -91,53 +96,82 @@ class _Words:
         return pick(self.bytes[0], self.ends[0], number)
 
 
-def _split(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    part, count, held, words = TaskContext.get().partitionId(), 0, 0, _Words()
-
-    def listed() -> Iterator[pa.RecordBatch]:
-        n = words.numbers.n
-        for low in range(0, n, 1 << 16):
-            rows = np.arange(low, min(n, low + (1 << 16)))
-            out = binary(*words.words(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part << 32 | count)), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(rows.astype(np.int32)), out], schema=_SPLIT)
+def _split(batches: Iterator[pa.RecordBatch], parts: int, limit: int) -> Iterator[pa.RecordBatch]:
+    task, count, held, words, runs = TaskContext.get().partitionId(), 0, 0, _Words(), []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        """The chunk: its words by part, frequent ones first, and its documents.
+
+        The word at place i of part k has the number i * parts + k, so that frequent words have short codes.
+        """
+        n, chunk = words.numbers.n, task << 32 | count
+        often = np.bincount(np.concatenate([np.zeros(0, np.int32), *(c for _, c, _ in runs)]), minlength=n)
+        data, ends = words.words(np.arange(n))
+        part = (W.hash_ranges(data, ends[:-1], ends[1:]) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((-often, part))
+        first = np.searchsorted(part[order], np.arange(parts + 1))
+        code = np.empty(n, np.int64)
+        code[order] = (np.arange(n) - first[part[order]]) * parts + part[order]
+        for docs, number, cuts in runs:
+            held, size = to_varints(code[number])
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "doc_ids": docs, "part": None, "data": squeezed(held, np.r_[0, np.cumsum(size)][cuts])}], schema=_SPLIT)
+        for k in np.flatnonzero(np.diff(first)):
+            mine, mine_ends = pick(data, ends, order[first[k] : first[k + 1]])
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "doc_ids": None, "part": int(k), "data": squeezed(mine, to_varints(np.diff(mine_ends))[0])}], schema=_SPLIT)
 
     for batch in batches:
         for first, last, data, offsets in W.text_chunks(batch.column(1), lower=False):
             start = piece_starts(data, offsets)
             number = words.code(data, start, np.r_[start[1:], len(data)].astype(np.int64)) if len(start) else np.zeros(0, np.int64)
-            out, size = to_varints(number)
-            cuts = np.r_[0, np.cumsum(size)][np.searchsorted(start, offsets)]
-            n = last - first
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part << 32 | count)), batch.column(0).slice(first, n), binary(out, cuts), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_SPLIT)
+            runs.append((batch.column(0).slice(first, last - first).to_pylist(), number.astype(np.int32), np.searchsorted(start, offsets)))
             held += len(data)
             if held >= limit:
-                yield from listed()
-                count, held, words = count + 1, 0, _Words()
-    yield from listed()
-
+                yield from whole()
+                count, held, words, runs = count + 1, 0, _Words(), []
+    if runs:
+        yield from whole()
 
-def split_words(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
-    """Rows of documents (`chunk`, `doc_id`, `codes`) and of words (`chunk`, `number`, `word`).
 
-    `codes` are the numbers of the document's words by position, as bytes of seven bits.
-    """
-    return whole_texts(docs).mapInArrow(lambda it: _split(it, limit), "chunk long, doc_id long, codes binary, number int, word binary")
+def split_words(docs: DataFrame, parts: int, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of documents (`chunk`, `doc_ids`, codes as `data`) and of words (`chunk`, `part`, words as `data`)."""
+    return whole_texts(docs).mapInArrow(lambda it: _split(it, parts, limit), SPLIT)
 
 
 # --- the table of distinct words ---------------------------------------------------------------
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = flat(batch.column(0))
-        ids, count = encoder(path).pieces(data, offsets[:-1], offsets[1:])
-        cuts = np.r_[0, np.cumsum(count)].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)))], ["word", "ids"])
+def _unpacked(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of the words of all rows, and the number of words up to each row."""
+    pools, sizes, counts = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [0]
+    for row in rows:
+        pool, lengths = expanded(row.as_buffer())
+        pools.append(pool)
+        sizes.append(from_varints(lengths)[0])
+        counts.append(len(sizes[-1]))
+    return np.concatenate(pools), np.r_[0, np.cumsum(np.concatenate(sizes))], np.cumsum(counts)
+
+
+def _encoded(table: pa.Table, path: str) -> pa.Table:
+    """One part: each distinct word is encoded once; every chunk gets the ids of its words, in its order."""
+    data, offsets, ends = _unpacked(table["data"])
+    distinct = _Words()
+    number = distinct.code(data, offsets[:-1], offsets[1:])
+    pool, cuts = distinct.words(np.arange(distinct.numbers.n))
+    ids, count = encoder(path).pieces(pool, cuts[:-1], cuts[1:])
+    id_ends = np.r_[0, np.cumsum(count)]
+    out = []
+    for low, high in zip(ends, ends[1:]):
+        own, own_ends = pick(ids, id_ends, number[low:high])
+        out.append(squeezed(own.astype("<u4").view(np.uint8).reshape(-1, 4).T, to_varints(np.diff(own_ends))[0]))
+    return pa.table({"chunk": table["chunk"], "part": table["part"], "ids": pa.array(out, pa.binary())})
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """`word`, `ids` of each distinct non-empty word of `words(word binary)`, each encoded once."""
-    return words.select("word").distinct().mapInArrow(lambda it: _encoded(it, path), "word binary, ids array<int>")
+    """`chunk`, `part`, `ids` (packed) for the packed words `chunk`, `part`, `data` of all chunks."""
+    return words.groupBy("part").applyInArrow(lambda table: _encoded(table, path), "chunk long, part int, ids binary")
+
+
+# --- ids and their pieces ----------------------------------------------------------------------
 
 
 def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,52 +227,64 @@ def decode(rows: DataFrame, key: str, path: str) -> DataFrame:
 # --- back to positions -----------------------------------------------------------------------------
 
 
-def _placed(docs: pa.Table, words: pa.Table, keep: bool) -> pa.Table:
+def _dictionary(rows: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a chunk's words, their offsets, and where the words of each part begin."""
+    by = dict(zip(rows["part"].to_pylist(), rows["ids"]))
+    ids, sizes, begin = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], np.zeros(parts, np.int64)
+    known = 0
+    for k in sorted(by):
+        planes, lengths = expanded(by[k].as_buffer())
+        ids.append(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel())
+        sizes.append(from_varints(lengths)[0])
+        begin[k] = known
+        known += len(sizes[-1])
+    return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(sizes))], begin
+
+
+def _placed(docs: pa.Table, words: pa.Table, parts: int, pieces, keep: bool) -> pa.Table:
     """Ids and text of each document of one chunk, from its codes and the chunk's dictionary."""
-    order = np.argsort(words["number"].to_numpy()) if words.num_rows else np.zeros(0, np.int64)
-    if not np.array_equal(words["number"].to_numpy()[order], np.arange(len(order))):
-        raise RuntimeError("the dictionary of a chunk is not whole")
-    ids, id_ends = pick(*_aligned(flat(words["ids"]), 4), order)
-    piece, piece_ends = pick(*flat(words["bytes"]), order)
-    codes, cuts = flat(docs["codes"])
-    value, ends = from_varints(codes)
-    begin = np.searchsorted(ends, cuts[:-1], "right")
-    stop = np.searchsorted(ends, cuts[1:], "right")
-    n, ids_hash, text_hash, all_ids, texts = [], [], [], [], []
-    low = 0
-    while low < docs.num_rows:
-        high = max(low + 1, int(np.searchsorted(stop, begin[low] + AT_ONCE, "right")))
-        number = value[begin[low] : stop[high - 1]]
-        own, own_ends = pick(ids, id_ends, number)
-        held, held_ends = pick(piece, piece_ends, number)
-        cut = np.r_[begin[low:high], stop[high - 1]] - begin[low]
-        a, b = own_ends[cut].tolist(), held_ends[cut].tolist()
-        for k in range(high - low):
-            mine, text = own[a[k] : a[k + 1]], held[b[k] : b[k + 1]].tobytes().decode("utf-8", "replace")
-            n.append(len(mine))
-            ids_hash.append(hashlib.sha256(mine.tobytes()).hexdigest())
-            text_hash.append(hashlib.sha256(text.encode()).hexdigest())
-            if keep:
-                all_ids.append(mine.astype(np.int64))
-                texts.append(text)
-        low = high
-    columns = {"doc_id": docs["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
+    ids, id_ends, begin = _dictionary(words, parts)
+    piece, piece_ends = pieces.value
+    listed, n, ids_hash, text_hash, all_ids, texts = [], [], [], [], [], []
+    for row, doc_ids in zip(docs["data"], docs["doc_ids"]):
+        codes, cuts = expanded(row.as_buffer())
+        value, ends = from_varints(codes)
+        at = np.searchsorted(ends, cuts.view("<i8"), "right")  # words before each document
+        listed += doc_ids.as_py()
+        low = 0
+        while low < len(at) - 1:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + AT_ONCE, "right")) - 1)
+            number = value[at[low] : at[high]]
+            own, own_ends = pick(ids, id_ends, begin[number % parts] + number // parts)
+            held, held_ends = pick(piece, piece_ends, own.astype(np.int64))  # the join of ids and pieces
+            a = own_ends[at[low : high + 1] - at[low]]
+            b = held_ends[a].tolist()
+            a = a.tolist()
+            for k in range(high - low):
+                mine, text = own[a[k] : a[k + 1]], held[b[k] : b[k + 1]].tobytes().decode("utf-8", "replace")
+                n.append(len(mine))
+                ids_hash.append(hashlib.sha256(mine.tobytes()).hexdigest())
+                text_hash.append(hashlib.sha256(text.encode()).hexdigest())
+                if keep:
+                    all_ids.append(mine.astype(np.int64))
+                    texts.append(text)
+            low = high
+    columns = {"doc_id": pa.array(listed, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
     if keep:
         columns |= {"ids": pa.array(all_ids, pa.list_(pa.int64())), "decoded": pa.array(texts, pa.string())}
     return pa.table(columns)
 
 
-def _aligned(held: tuple[np.ndarray, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets as elements of `width` bytes."""
-    return np.frombuffer(held[0].tobytes(), f"<u{width}"), held[1] // width
-
-
-def encode_decode(docs: DataFrame, path: str, keep: bool = False, limit: int = CHUNK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, keep: bool = False, limit: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document: `doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`; with `keep` also `ids` and `decoded`."""
-    split = Scratch(docs.sparkSession, "bpe").put(split_words(docs, limit), "words")
-    words = split.where("number is not null").select("chunk", "number", "word")
-    table = with_bytes(encoded_words(words, path), "word", path)
-    told = words.join(table, words["word"] == table["key"]).select("chunk", "number", "ids", "bytes")
-    coded = split.where("number is null").select(F.col("chunk").alias("own"), "doc_id", "codes")
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
+    parts = -(-total // part_bytes) + 1
+    split = Scratch(spark, "bpe").put(split_words(docs, parts, limit), "words")
+    told = encoded_words(split.where("part is not null").select("chunk", "part", "data"), path)
+    coded = split.where("part is null").select(F.col("chunk").alias("own"), "doc_ids", "data")
+    of = byte_pieces(path)
+    listed = [of.get(i, b"") for i in range(max(of) + 1)]
+    pieces = spark.sparkContext.broadcast((np.frombuffer(b"".join(listed), np.uint8), np.cumsum([0, *map(len, listed)])))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep else "")
-    return coded.groupBy("own").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _placed(left, right, keep), schema)
+    return coded.groupBy("own").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _placed(left, right, parts, pieces, keep), schema)

@@ -64,6 +64,23 @@ def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, end
 
 
+_ZSTD = pa.Codec("zstd", compression_level=6)
+
+
+def squeezed(*parts: np.ndarray) -> bytes:
+    """Arrays as one compressed value; `expanded` gives their bytes back."""
+    sizes = np.array([len(parts), *(p.nbytes for p in parts)], "<u8")
+    whole = sizes.tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    return len(whole).to_bytes(8, "little") + _ZSTD.compress(whole, asbytes=True)
+
+
+def expanded(held: memoryview | bytes) -> list[np.ndarray]:
+    whole = np.frombuffer(_ZSTD.decompress(memoryview(held)[8:], decompressed_size=int.from_bytes(held[:8], "little")), np.uint8)
+    n = int(whole[:8].view("<u8")[0])
+    ends = 8 * (n + 1) + np.r_[0, np.cumsum(whole[8 : 8 * (n + 1)].view("<u8").astype(np.int64))]
+    return [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
 class Numbers:
     """Numbers of 64-bit keys in the order in which they come first."""
 
