@@ -140,20 +140,62 @@ class Encoder:
             out[missed] = self.order[at][which]
         return out
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start that are encoded independently."""
+        return piece_starts(data, offsets)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given by their UTF-8 bytes and the offsets of each, and the offsets of their ids."""
+        start = self.starts(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        end = np.r_[start[1:], len(data)]
+        place = self._places(W.hash_ranges(data, start, end), data, start, end)
+        size = self.length[place]
+        return self.pool[gather(self.start[place], size)], np.r_[0, np.cumsum(size)][np.searchsorted(start, offsets)]
+
     def encode(self, texts: pa.Array):
         """Runs of rows: (first, last, ids of all its texts, offsets of each text in them)."""
         for first, last, data, offsets in W.text_chunks(texts, lower=False):
-            start = piece_starts(data, offsets)
-            if not len(start):
-                yield first, last, np.zeros(0, np.uint32), np.zeros(last - first + 1, np.int64)
-                continue
-            end = np.r_[start[1:], len(data)]
-            place = self._places(W.hash_ranges(data, start, end), data, start, end)
-            size = self.length[place]
-            ends = np.cumsum(size)
-            ids = self.pool[gather(self.start[place], size)]
-            piece = np.searchsorted(start, offsets)
-            yield first, last, ids, np.r_[0, ends][piece]
+            yield first, last, *self.encode_bytes(data, offsets)
+
+
+class PieceEncoder(Encoder):
+    """Ids of texts by a sentencepiece model that adds a space; the texts are given with that space.
+
+    No piece of the vocabulary has a space after another character, so texts are cut there and every
+    piece begins with a space: the one that the model adds by itself.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model, self.drops_space = SentencePieceProcessor(model_file=path), False
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(re.search("[^\u2581]\u2581", n) for n in names) or self.model.encode("a  b ", out_type=str)[-1] != "\u2581":
+            raise ValueError("a model is needed whose pieces have spaces in front only and that keeps spaces")
+        self.space = self.model.piece_to_id("\u2581")
+        self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(names)]
+        self._forget()
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        before = np.r_[np.uint8(0), data[:-1]]
+        mark = np.r_[(data == 32) & (before != 32), False]
+        mark[offsets] = True
+        return np.flatnonzero(mark[:-1])
+
+    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode() for a, b in zip((start + 1).tolist(), end.tolist())]
+        found = [ids or [self.space] for ids in self.model.encode(texts, num_threads=1)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum())), count
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of a sentencepiece model, made once in each Python worker."""
+    if (path, True) not in _encoders:
+        _encoders[path, True] = PieceEncoder(path)
+    return _encoders[path, True]
 
 
 def encoder(path: str, plain: bool = False) -> Encoder:
