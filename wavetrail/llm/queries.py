@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavetrail.llm import alignment, bpe, decontaminate, exact_dedup, html_text, katz, ngram_join, packing, pii, suffix_dedup, token_files, tokens, toxicity
+from wavetrail.llm import alignment, bpe, decontaminate, exact_dedup, html_text, katz, ngram_join, packing, pii, suffix_dedup, token_files, tokens, toxicity, whitening
 from wavetrail.llm.common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json"), tokens.public_path("piece_bpe_32k.model"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
