@@ -66,6 +66,39 @@ def test_repeated_rows_are_copies_of_each_other(docs):
     assert [(r.class_id, r.n_links, r.n_copies) for r in got] == [(1, 3, 4)] * 4
 
 
+def test_near_copies_with_shared_and_missing_ids(docs):
+    rng = random.Random(9)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (5, a + " tail"), (5, b), (None, a), (None, c), (None, c + " end"), (7, b), (7, b), (8, ""), (8, ""), (None, None), (2, "one two"), (2, "one two")]
+    table = docs(rows).withColumnsRenamed({"digest": "row", "score": "key", "kept": "stays"})
+    left = ngram_join.drop_near_copies(table)
+    assert left.columns == table.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    want = [(1, a), (5, b), (8, ""), (8, ""), (None, None), (2, "one two")]
+    loose = [g for g in got if g not in want]
+    assert [g for g in got if g in want] == sorted(want, key=str) and len(loose) == 1 and loose[0] in [(None, c), (None, c + " end")]
+    assert all(tuple(r)[2:] == ("en", "s", 0, 1, "x", 0.5, True) for r in left.collect())
+
+
+def test_exact_copies_leave_the_callers_columns_alone(docs):
+    table = docs([(1, "a"), (2, "a"), (3, "b"), (3, "b"), (None, "c"), (None, "c")]).withColumnsRenamed({"score": "row", "source": "word", "lang": "mask"})
+    got = sorted((tuple(r) for r in exact_dedup.drop_copies(table).collect()), key=str)
+    assert got == sorted([(i, t, "en", "s", 0, 1, "x", 0.5, True) for i, t in ((2, "a"), (3, "b"), (None, "c"))], key=str)
+
+
+def test_repeats_with_shared_and_missing_ids(docs):
+    rng = random.Random(11)
+    s, t, u = (prose(rng, 40) for _ in range(3))
+    rows = [(None, s + " a"), (None, "b " + s + " c"), (None, prose(rng, 40)), (7, t), (7, u + " y " + t), (3, u), (3, u), (9, t), (7, None)]
+    order = sorted({(i is not None, i or 0, hashlib.sha256((x or "").encode()).hexdigest(), x or "") for i, x in rows})
+    result = brute.removal({k: key[3] for k, key in enumerate(order)})
+    of = {key[:3]: result[k] for k, key in enumerate(order)}
+    want = sorted((str(i), *of[(i is not None, i or 0, hashlib.sha256((x or "").encode()).hexdigest())]) for i, x in rows)
+    got = suffix_dedup.removal_report(docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sum(w[2] for w in want) > 300
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.999, 256)
     assert bands * rows <= 256 and 1 - (1 - 0.8**rows) ** bands >= 0.999

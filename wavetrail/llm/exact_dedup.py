@@ -98,7 +98,9 @@ def drop_copies(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> Data
     bits = filter_bits(rows.count())
     second = scratch.put(repeated_bits(rows, bits), "bits")
     small = second.limit(broadcast_words + 1).count() <= broadcast_words
-    keep = candidates(rows, second, bits, small).where("maybe").groupBy("digest").agg(F.max("doc_id").alias("__keep"))
-    texts = candidates(docs.withColumn("digest", _digest(docs["text"])), second, bits, small)
-    maybe = texts.where("maybe").join(keep, "digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))
-    return texts.where(~F.col("maybe")).select(docs.columns).union(maybe.dropDuplicates(["digest"]).select(docs.columns))
+    keep = candidates(rows, second, bits, small).where("maybe").groupBy("digest").agg(F.max("doc_id").alias("keep"))
+    # the caller's columns travel inside one, so that no name of theirs meets a name of ours
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    texts = candidates(docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), _digest(docs["text"]).alias("digest")), second, bits, small)
+    maybe = texts.where("maybe").join(keep, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep")))
+    return texts.where(~F.col("maybe")).select("row.*").union(maybe.dropDuplicates(["digest"]).select("row.*"))

@@ -9,7 +9,7 @@ count of links per member and a spanning forest of the verified links.
 
 Defined results: null or empty text, or text without a word, has no links and is its own class;
 texts of one to four words count as one n-gram. Repeated rows (same id and text) are copies of
-each other. A null id is treated as an id of its own, below all others.
+each other. A null id is an id of its own: a class has it only if none of its rows has another.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.llm import words as W
@@ -83,15 +83,20 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -
             ends = np.zeros(last - first + 1, np.int32)
             ends[has + 1] = bands
             yield pa.RecordBatch.from_arrays([
-                ids.slice(first, last - first), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                ids.slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(lists.reshape(-1).view(np.int64))),
-            ], ["doc_id", "h1", "h2", "bands"])
+            ], ["doc_id", "key", "h1", "h2", "bands"])
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int = SIZE) -> DataFrame:
-    """`doc_id`, 128 bits of the word sequence, band hashes (none for a text without words)."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return thin.mapInArrow(lambda it: _sign(it, bands, rows, size), "doc_id long, h1 long, h2 long, bands array<long>")
+    """`doc_id`, `key` of the text, 128 bits of the word sequence, band hashes (none for a text without words)."""
+    thin = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _key(docs["text"]).alias("key"))
+    return thin.mapInArrow(lambda it: _sign(it, bands, rows, size), "doc_id long, key long, h1 long, h2 long, bands array<long>")
+
+
+def _key(text: Column) -> Column:
+    """With its id, what tells a row from others: 64 bits of the text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -182,6 +187,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SI
     A class is a connected part of the graph of links; `n_links` counts the other documents
     with similarity of at least `similarity`, copies included.
     """
+    found = _classes(docs, similarity, size, recall, block)
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, similarity: float, size: int = SIZE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """`near_classes` with `key` and `root`, the node of the class (null for a text without words)."""
     bands, rows = choose_bands(similarity, recall)
     scratch = Scratch(docs.sparkSession, "ngram")
     signed = scratch.put(signatures(docs, bands, rows, size), "signatures")
@@ -202,16 +213,27 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SI
     nodes = reps.select(F.col("h1").alias("node"), "h2", "doc_id", "copies").join(links, "node", "left").join(classes, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     lowest = nodes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    info = nodes.join(lowest, "root").select(F.col("node").alias("h1"), "h2", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    whole = worded.select("doc_id", "h1", "h2").join(info, ["h1", "h2"]).select(
-        "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    alone = signed.where("size(bands) = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    info = nodes.join(lowest, "root").select(F.col("node").alias("h1"), "h2", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    whole = worded.select("doc_id", "key", "h1", "h2").join(info, ["h1", "h2"]).select(
+        "doc_id", "key", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    alone = signed.where("size(bands) = 0").select("doc_id", "key", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return whole.union(alone)
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` without near copies: of each class the document with the smallest id stays, all columns kept."""
-    classes = near_classes(docs, similarity)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = Scratch(docs.sparkSession, "ngram").put(gone, "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """`docs` without near copies: of each class one row stays, all its columns kept.
+
+    That is the row with the smallest id (a row without id only if no other has one; among equal
+    ids the text decides); of rows with the same id and text any one. Texts without words all stay.
+    """
+    rows = _classes(docs, similarity).where("root is not null").select("doc_id", "key", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    each = rows.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    keep = each.groupBy("root").agg(F.min(rank).alias("keep"))
+    judged = each.join(keep, "root").select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), "n", rank.eqNullSafe(F.col("keep")).alias("stays"))
+    judged = Scratch(docs.sparkSession, "ngram").put(judged.where("n > 1 or not stays"), "judged")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), _key(docs["text"]).alias("key"))
+    same = held["doc_id"].eqNullSafe(judged["id"]) & (held["key"] == judged["text_key"])
+    once = held.join(judged, same, "left_anti")
+    again = held.join(judged.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "key"])
+    return once.union(again).select("row.*")

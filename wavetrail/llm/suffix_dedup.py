@@ -21,7 +21,8 @@ empty, matches stay inside documents, and strings are judged on the input.
    Neighbours with `LENGTH` common bytes are equal windows; every one but the first in the corpus
    is a repeat.
 
-Rows that share a doc_id count as one document given more than once. A null doc_id is before all
+Rows that share a doc_id and a text count as one document given more than once; rows that share only
+the doc_id, or have none, are documents of their own (see `remove_repeats`). A null doc_id is before all
 others.
 """
 
@@ -330,14 +331,38 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
 
+def _numbered(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """`texts` with `row_id`: the id, or a number in the order of (id, text) where ids are missing or shared.
+
+    A null id comes first; rows with the same id and text have one number. Numbers are made from a
+    range partitioning, whose tasks follow each other in this order.
+    """
+    unsound = texts.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not unsound:
+        return texts.withColumn("row_id", F.col("doc_id"))
+    keyed = texts.withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    keys = keyed.select("doc_id", "key").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = scratch.put(keys.select(F.col("doc_id").alias("id"), F.col("key").alias("of"), F.monotonically_increasing_id().alias("row_id")), "rows")
+    joined = keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["id"]) & (keyed["key"] == keys["of"]))
+    return scratch.put(joined.select("doc_id", "text", "row_id"), "numbered")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per document: `doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept` (bytes), `spans`."""
+    """Per document: `doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept` (bytes), `spans`.
+
+    Rows that share an id but not the text are documents of their own, in the order of their
+    SHA-256; rows without an id are too, before all others. Rows with the same id and text are one
+    document given more than once: each gets the result of that document.
+    """
     scratch = Scratch(docs.sparkSession, "suffix")
-    ranges = repeated_ranges(docs, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    texts = _numbered(whole_texts(docs), scratch)
+    own = texts.select(F.col("row_id").alias("doc_id"), "text")
+    if "numbered" in scratch.paths:
+        own = own.dropDuplicates(["doc_id"])
+    ranges = repeated_ranges(own, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     ranges = ranges.withColumnRenamed("doc_id", "__id")
-    null_id = F.lit(int(np.iinfo(np.int64).min))
-    texts = whole_texts(docs)
-    joined = texts.join(ranges, F.coalesce(texts["doc_id"], null_id) == ranges["__id"], "left").select("doc_id", "text", "ranges")
+    joined = texts.join(ranges, texts["row_id"] == ranges["__id"], "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<s:long,e:long>>"
     return joined.mapInArrow(_cleaned, schema)
 
