@@ -5,6 +5,8 @@ import pytest
 
 from tests.reference_detector import outcomes
 from wavetrail.operators import detector as d
+from wavetrail.sources.incremental import run_slice
+from wavetrail.sources.sinks import observation_log
 
 SCHEMA = (
     "tenant_id string, site_id string, aisle string, workflow_id string, run_id string, task_id string,"
@@ -161,3 +163,61 @@ def test_a_second_batch_meets_the_stored_events(spark):
     log = d.committed_windows(frame(spark, first), base(spark), config)
     again = d.committed_windows(frame(spark, second), base(spark), config, log)
     assert sorted(r.seq for r in again.collect()) == [3, 4]
+
+
+def brute_alerts(rows, config, known):
+    names = [c.split()[0] for c in SCHEMA.split(",")]
+    told = outcomes([dict(zip(names, r)) for r in rows], known, config)
+    return sorted(r[6] for r, o in zip(rows, told) if o == "alert")
+
+
+@pytest.mark.parametrize(
+    "seed, plan", [(5, {}), (6, dict(heavy_rows=25, chunk_rows=9)), (7, dict(heavy_rows=10, chunk_rows=4, fold_rows=2, window=5))]
+)
+def test_slices_over_a_log_fire_the_alerts_of_one_run(spark, tmp_path, seed, plan):
+    config = d.DetectorConfig(
+        **{"window": 3, **plan}, arrival=ARRIVAL, cooldown=timedelta(seconds=60), idle_ttl=timedelta(seconds=80)
+    )
+    rows = random_rows(seed)
+    known = {("a", "s", "A01"): (10.0, 2.0), ("b", "s", "A01"): (8.0, 1.0)}
+    baselines = base(spark, *[(*k, *v) for k, v in known.items()])
+    path, got, state = str(tmp_path / "log"), [], None
+    cuts = [0, 90, 91, 250, len(rows)]
+    for low, high in zip(cuts, cuts[1:]):
+        part = frame(spark, rows[low:high])
+        before = spark.read.parquet(path) if low else None
+        alerts = run_slice(part, baselines, config, path)
+        got += [r.event_id for r in alerts.collect()]
+        assert run_slice(part, baselines, config, path).isEmpty()  # given again: nothing happens
+        log = spark.read.parquet(path)
+        fresh = log if before is None else log.join(before, ["tenant_id", "event_id"], "left_anti")
+        whole = d.window_state(log, config)
+        state = whole if state is None else d.advance_state(state, fresh, config)
+        plain = d.window_state(log.drop("session_start", "is_full", "mean_seconds"), config)
+        told = [sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (whole, state, plain)]
+        assert told[0] == told[1] == told[2]
+    assert sorted(got) == brute_alerts(rows, config, known) and len(got) > 3
+
+
+def test_a_kept_state_stands_for_the_log(spark):
+    config = d.DetectorConfig(arrival=ARRIVAL, cooldown=timedelta(seconds=60), idle_ttl=timedelta(seconds=50))
+    rows = [row(i, 20, at=20 * i) for i in range(12)]
+    first = d.committed_windows(frame(spark, rows[:5]), base(spark), config)
+    log = observation_log(first, d.alerts_of_windows(first, config))
+    state = d.window_state(log, config)
+    again = d.detect_congestion(frame(spark, rows[3:]), base(spark), config, log, state)
+    assert sorted(r.event_id for r in again.collect()) == ["e11", "e5", "e8"]
+    paused = [row(99, 20, at=20 * 4 + 51), row(100, 20, at=132), row(101, 20, at=133)]  # a new session rearms
+    assert [r.event_id for r in d.detect_congestion(frame(spark, paused), base(spark), config, log).collect()] == ["e101"]
+
+
+def test_outcomes_read_their_input_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    frame(spark, random_rows(8, 50)).write.parquet(path)
+    config = d.DetectorConfig(arrival=ARRIVAL)
+    plan = d.ranked_entries(spark.read.schema(SCHEMA).parquet(path), base(spark), config)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1
+    out = d.observation_outcome(spark.read.schema(SCHEMA).parquet(path), base(spark), config)
+    assert path not in out._jdf.queryExecution().executedPlan().toString()  # the rest reads what was written
+    assert out.columns[:-1] == [c.split()[0] for c in SCHEMA.split(",")] and out.count() == 50

@@ -18,12 +18,19 @@ def test_first_at_or_after(spark):
     nodes = spark.createDataFrame([(g, t) for g in times for t in times[g]], "g string, t long")
     probes = [(g, rng.randrange(5200)) for g in ("x", "y") for _ in range(80)]
     asked = spark.createDataFrame(sorted(set(probes)), "g string, _probe long")
-    for width in (1, 37, 10_000):
-        for r in o.first_at_or_after(nodes, asked, ["g"], "t", width).collect():
+    for width, fan in ((1, 4096), (1, 3), (37, 2), (10_000, 4096)):
+        for r in o.first_at_or_after(nodes, asked, ["g"], "t", width, fan).collect():
             at = bisect.bisect_left(times[r.g], r._probe)
             assert r._hit == (times[r.g][at] if at < 60 else None)
 
 
+def test_no_task_orders_all_bins_of_a_key(spark):
+    bins = spark.range(5_000).select(F.lit("k").alias("g"), (F.col("id") * 3).alias("b"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    for levels in (0, 1, 2, 3):
+        got = {r.b: r.n for r in o.later_minimum(bins, ["g"], "b", "v", "n", fan=16, levels=levels).collect()}
+        assert got == {3 * i: next((j for j in range(i + 1, 5_000) if j % 7 == 0), None) for i in range(5_000)}
+
+
 def test_follow_jumps(spark):
     jumps = spark.createDataFrame(
         [("x", i, i + 3 if i + 3 < 40 else None) for i in range(40)], "g string, t long, nxt long"

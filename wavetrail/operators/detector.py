@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import alert_id, valid_id
 from wavetrail.operators.ordered import (
+    SEED,
     HALO,
     first_at_or_after,
     first_per,
@@ -38,6 +39,8 @@ EVENT_KEY = ("tenant_id", "event_id")
 MAX_AGE = timedelta(minutes=5)
 MAX_AHEAD = timedelta(minutes=1)
 MAX_SECONDS = 3600.0
+# start of the open session, on rows known from before
+CARRIED = "_carried"
 
 
 @dataclass(frozen=True)
@@ -183,6 +186,76 @@ def dedup_events(
     return first.join(stored.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
 
 
+# --- state of the windows -------------------------------------------------
+
+
+def _last_rows(rows: DataFrame, config: DetectorConfig) -> DataFrame:
+    """State from rows (window key, arrival, seconds, session_start, `_fired`)."""
+    latest = Window.partitionBy(*WINDOW_KEY).orderBy(*[F.col(c).desc() for c in config.arrival])
+    # a rank filter: Spark keeps the last rows of a key per task before they are shuffled
+    tail = rows.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") < config.window)
+    value = F.struct(*config.arrival, "seconds")
+    tails = tail.groupBy(*WINDOW_KEY).agg(
+        F.sort_array(F.collect_list(value)).alias("tail"),
+        F.max("session_start").alias("session_start"),
+    )
+    fired = rows.groupBy(*WINDOW_KEY).agg(F.max("_fired").alias("last_alert"))
+    current = F.when(F.col("last_alert") >= F.col("session_start"), F.col("last_alert"))
+    return tails.join(fired, list(WINDOW_KEY)).withColumn("last_alert", current)
+
+
+def window_state(log: DataFrame, config: DetectorConfig) -> DataFrame:
+    """State after a log, one row per window key.
+
+    `tail`: the last N - 1 rows (arrival, seconds); `session_start` of the open session;
+    `last_alert`: when it fired last in that session, or null. `log` has committed rows with a
+    nullable `alert` (with `fired_at`); where it has no `session_start`, sessions are told anew.
+    """
+    if "session_start" not in log.columns:
+        log = rolling_mean(*_rolling_input(log, config))
+    return _last_rows(
+        log.select(
+            *WINDOW_KEY, *config.arrival, "seconds", "session_start", F.col("alert.fired_at").alias("_fired")
+        ),
+        config,
+    )
+
+
+def _rolling_input(rows: DataFrame, config: DetectorConfig):
+    light, heavy, n_heavy = split_by_weight(rows, RUN_KEY, config.heavy_rows)
+    return light, config, heavy, n_heavy
+
+
+def state_of_keys(state: DataFrame, observations: DataFrame) -> DataFrame:
+    """The rows of a state whose window keys `observations` have."""
+    keys = observations.select(*WINDOW_KEY).distinct()
+    return state.join(small_side(keys), list(WINDOW_KEY), "left_semi")
+
+
+def advance_state(state: DataFrame, log_slice: DataFrame, config: DetectorConfig) -> DataFrame:
+    """`window_state` of a log and a slice after it, from the state of the log and the slice alone."""
+    before = state.select(*WINDOW_KEY, F.explode("tail").alias("_row"), "session_start", "last_alert")
+    columns = [*WINDOW_KEY, *config.arrival, "seconds", "session_start"]
+    known = before.select(
+        *WINDOW_KEY, "_row.*", "session_start", F.col("last_alert").alias("_fired")
+    )
+    fresh = log_slice.select(*columns, F.col("alert.fired_at").alias("_fired"))
+    return _last_rows(known.unionByName(fresh), config)
+
+
+def _seeds(state: DataFrame) -> DataFrame:
+    """The tails of a state as rows that come before new ones."""
+    rows = state.select(*WINDOW_KEY, F.explode("tail").alias("_row"), F.col("session_start").alias(CARRIED))
+    return rows.select(*WINDOW_KEY, "_row.*", CARRIED, F.lit(True).alias(SEED))
+
+
+def _seeded(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """`rows` and, before them, the seeds of a state."""
+    if state is None:
+        return rows
+    return rows.withColumn(SEED, F.lit(False)).unionByName(_seeds(state), allowMissingColumns=True)
+
+
 # --- rolling window -------------------------------------------------------
 
 
@@ -199,16 +272,17 @@ def _rolling(config: DetectorConfig):
             rows.withColumn("_opens", opens)
             .withColumn("_rn", F.row_number().over(w))
             .withColumn("_first", F.max(F.when(F.col("_opens"), F.col("_rn"))).over(running))
-            .withColumn(
-                "session_start",
-                F.max(F.when(F.col("_opens") & ~F.col(HALO), F.col(CLOCK))).over(running),
-            )
+            .withColumn("session_start", opened(rows, running))
             .withColumn("mean_seconds", F.avg("seconds").over(last_n))
             .withColumn("is_full", F.col("_rn") - F.col("_first") + 1 >= config.window)
             .withColumn("mean_seconds", F.when(F.col("is_full"), F.col("mean_seconds")))
-            .drop("_opens", "_rn", "_first")
+            .drop("_opens", "_rn", "_first", CARRIED)
         )
 
+    def opened(rows: DataFrame, running) -> Column:
+        start = F.max(F.when(F.col("_opens") & ~F.col(HALO), F.col(CLOCK))).over(running)
+        return F.greatest(start, F.max(CARRIED).over(running)) if CARRIED in rows.columns else start
+
     return compute
 
 
@@ -218,7 +292,8 @@ def rolling_mean(
     """Adds `session_start`, `is_full` and `mean_seconds` (null until N values are present).
 
     A session opens with the first row of a window key and after a pause longer
-    than `idle_ttl`. `heavy` holds the rows of runs too large for one task.
+    than `idle_ttl`. `heavy` holds the rows of runs too large for one task. Rows
+    flagged `SEED` are the last ones of a log; they are not returned.
     """
     return over_history(
         committed,
@@ -324,13 +399,23 @@ def _jump_bursts(bursts: DataFrame, config: DetectorConfig) -> DataFrame:
     )
 
 
-def suppress_cooldown(breached: DataFrame, config: DetectorConfig) -> DataFrame:
+def suppress_cooldown(
+    breached: DataFrame, config: DetectorConfig, state: DataFrame | None = None
+) -> DataFrame:
     """Breaches that fire: none fired within `cooldown` before them in the session.
 
     A breach at least one cooldown after the breach before it always fires, so
     breaches split into bursts that are folded on their own. Suppressed breaches
-    do not restart the clock.
+    do not restart the clock. The last alert of a key's `state` stands before its
+    breaches as one that has fired already.
     """
+    if state is not None:
+        known = state.filter(F.col("last_alert").isNotNull()).select(
+            *WINDOW_KEY, F.col("last_alert").alias(CLOCK), "session_start", F.lit(True).alias(SEED)
+        )
+        both = breached.withColumn(SEED, F.lit(False)).unionByName(known, allowMissingColumns=True)
+        plain = both.withColumnRenamed(SEED, "_known")
+        return suppress_cooldown(plain, config).filter(~F.col("_known")).drop("_known")
     columns = breached.columns
     rows = cut(breached)
     few = min(config.fold_rows, config.heavy_rows)
@@ -371,16 +456,18 @@ def committed_windows(
     baselines: DataFrame,
     config: DetectorConfig,
     stored: DataFrame | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Gate, baseline join, dedup on (tenant, event) and rolling mean.
 
     The dedup key does not contain the run, so dedup and windows have an exchange each: an
     event may be sent for two runs, and only its first arrival counts, whatever the run's size.
-    Events in `stored` are committed already. Runs are weighed by their valid rows.
+    Events in `stored` are committed already; windows go on from `state`, which comes from rows that
+    arrived before. Runs are weighed by their valid rows.
     """
     joined = join_baselines(gate_observations(observations), baselines)
     valid = baseline_threshold(joined, config.sigma)
-    first = dedup_events(valid, config.arrival, stored)
+    first = _seeded(dedup_events(valid, config.arrival, stored), state)
     light, heavy, n_heavy = split_by_weight(
         first, RUN_KEY, config.heavy_rows, counted=gate_observations(observations).select(*RUN_KEY)
     )
@@ -392,13 +479,30 @@ def detect_congestion(
     baselines: DataFrame,
     config: DetectorConfig,
     stored: DataFrame | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
-    """Alerts: one row per breach that fires; `stored` holds events committed before."""
-    breached = breaches(committed_windows(observations, baselines, config, stored))
+    """Alerts: one row per breach that fires.
+
+    `stored` is the log of what was committed before (see `observation_log`): its events count no
+    more, and windows, sessions and cooldowns go on where it ends. `state`, kept by
+    `advance_state`, spares reading it from the log. Slices must come in arrival order.
+    """
+    if state is None and stored is not None:
+        state = window_state(stored, config)
+    if state is not None:
+        state = cut(state_of_keys(state, observations))
+    rolled = committed_windows(observations, baselines, config, stored, state)
+    return alerts_of_windows(rolled, config, state)
+
+
+def alerts_of_windows(
+    rolled: DataFrame, config: DetectorConfig, state: DataFrame | None = None
+) -> DataFrame:
+    """The alerts that committed windows fire after the alerts of `state`."""
     needed = dict.fromkeys(
         [*WINDOW_KEY, "event_id", *config.arrival, "session_start", "mean_seconds", "threshold"]
     )
-    fired = suppress_cooldown(breached.select(*needed), config)
+    fired = suppress_cooldown(breaches(rolled).select(*needed), config, state)
     return fired.select(
         alert_id("tenant_id", "event_id").alias("alert_id"),
         *WINDOW_KEY,
@@ -409,32 +513,52 @@ def detect_congestion(
     )
 
 
+SALTS = 64
+
+
+def ranked_entries(
+    observations: DataFrame, baselines: DataFrame, config: DetectorConfig
+) -> DataFrame:
+    """Every input row with `threshold`, `entry_reason` and `_first`: the first arrival of its event.
+
+    Rows that do not enter are dealt out by a hash. Arrivals of one event are ranked in `SALTS`
+    parts first and then their winners, so a hot event never meets in one task.
+    """
+    known = baseline_threshold(baselines, config.sigma).dropDuplicates(list(AISLE_KEY))
+    known = known.select(*AISLE_KEY, "threshold", F.lit(True).alias("_known"))
+    joined = observations.join(small_side(known), list(AISLE_KEY), "left")
+    unknown = F.when(F.col("_known").isNull(), "no_baseline")
+    rows = joined.withColumn("entry_reason", F.coalesce(gate_reason(), unknown)).drop("_known")
+    enters = F.col("entry_reason").isNull()
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*config.arrival), F.lit(SALTS)) + 1)
+    order = [F.col(c) for c in config.arrival]
+    in_part = Window.partitionBy(*EVENT_KEY, "_salt", enters).orderBy(*order)
+    rows = rows.withColumn("_rank", F.when(enters, F.row_number().over(in_part)))
+    winner = F.coalesce(F.col("_rank") == 1, F.lit(False))
+    rows = rows.withColumn("_salt", F.when(winner, 0).otherwise(F.col("_salt")))
+    among = Window.partitionBy(*EVENT_KEY, "_salt").orderBy(*order)
+    return rows.withColumn("_first", winner & (F.row_number().over(among) == 1)).drop("_rank", "_salt")
+
+
 def observation_outcome(
     observations: DataFrame, baselines: DataFrame, config: DetectorConfig
 ) -> DataFrame:
-    """Every input row with `outcome`: a reject reason, no_baseline, duplicate, committed or alert."""
-    marked = observations.withColumn("outcome", gate_reason())
-    rejected = marked.filter(F.col("outcome").isNotNull())
-    entered = marked.filter(F.col("outcome").isNull())
-    unknown = missing_baseline(entered, baselines).withColumn("outcome", F.lit("no_baseline"))
-    valid = entered.join(
-        small_side(baselines.select(*AISLE_KEY)), list(AISLE_KEY), "left_semi"
-    )
-    # arrival order is unique, so joining on it as well leaves no hot join key
-    key = [*EVENT_KEY, *config.arrival]
-    first = dedup_events(valid, config.arrival).select(*key, F.lit(True).alias("_first"))
-    alerts = detect_congestion(observations, baselines, config).select(
-        *EVENT_KEY, F.lit(True).alias("_fired")
+    """Every input row with `outcome`: a reject reason, no_baseline, duplicate, committed or alert.
+
+    The input is read once: rows are gated, joined and ranked with a flag, and written. What the
+    windows need comes from there, and only alerts, one per event, are joined back to the first
+    arrivals; all other rows have their outcome already.
+    """
+    ranked = cut(ranked_entries(observations, baselines, config))
+    first = ranked.filter("_first")
+    needed = dict.fromkeys([*WINDOW_KEY, "event_id", *config.arrival, "seconds", "threshold"])
+    alerts = alerts_of_windows(rolling_mean(*_rolling_input(first.select(*needed), config)), config)
+    fired = alerts.select(*EVENT_KEY, F.lit(True).alias("_fired"))
+    columns = observations.columns
+    rest = ranked.filter(~F.col("_first")).select(
+        *columns, F.coalesce("entry_reason", F.lit("duplicate")).alias("outcome")
     )
-    accepted = (
-        valid.join(first, key, "left")
-        .join(alerts, list(EVENT_KEY), "left")
-        .withColumn(
-            "outcome",
-            F.when(F.col("_first").isNull(), "duplicate")
-            .when(F.col("_fired"), "alert")
-            .otherwise("committed"),
-        )
-        .drop("_first", "_fired")
+    told = first.join(fired, list(EVENT_KEY), "left").select(
+        *columns, F.when(F.col("_fired"), "alert").otherwise("committed").alias("outcome")
     )
-    return rejected.unionByName(unknown).unionByName(accepted)
+    return rest.unionByName(told)

@@ -21,6 +21,8 @@ from wavetrail.session import cut, small_side
 MAX_CHUNKS = 20_000
 CHUNK = "_chunk"
 HALO = "_halo"
+# rows known from before: they take part like a halo and are not returned
+SEED = "_seed"
 
 
 def heavy_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -107,16 +109,23 @@ def over_history(
 
     `compute` may look back `lookback` rows and must add `segment`: a value that
     grows along the order and is null for rows whose segment began before the
-    first non-halo row it sees.
+    first non-halo row it sees. Rows of `df` and `heavy` with a true `SEED` column
+    come before the others of their key; they count as halo and are left out of
+    the result, but the `segment` that `compute` gives them is carried on.
     """
-    light = compute(df.withColumn(HALO, F.lit(False)), list(keys)).drop(HALO)
+    seeded = SEED in df.columns
+    seed = F.coalesce(F.col(SEED), F.lit(False)) if seeded else F.lit(False)
+    light = compute(df.withColumn(HALO, seed), list(keys))
+    light = light.filter(~F.col(HALO)).drop(HALO, SEED) if seeded else light.drop(HALO)
     if heavy is None:
         return light
     chunks = -(-heavy_rows // chunk_rows)
     chunked = sorted_chunks(heavy, keys, order, chunks)
     group = [*keys, CHUNK]
-    done = compute(with_halo(chunked, keys, order, lookback, payload), group)
-    done = done.filter(~F.col(HALO)).drop(HALO)
+    rows = with_halo(chunked, keys, order, lookback, payload)
+    own = ~F.col(HALO)
+    rows = rows.withColumn("_own", own).withColumn(HALO, F.col(HALO) | seed)
+    done = compute(rows, group).filter("_own")
     # summary: one row per (key, chunk)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -125,9 +134,10 @@ def over_history(
         .select(*group, F.max("_last").over(before).alias("_carry"))
     )
     filled = (
-        done.join(carry, group, "left")
+        done.filter(~F.col(HALO))
+        .join(carry, group, "left")
         .withColumn(segment, F.coalesce(F.col(segment), F.col("_carry")))
-        .drop("_carry", CHUNK)
+        .drop("_carry", "_own", CHUNK, HALO, SEED)
     )
     return light.unionByName(filled)
 
@@ -152,13 +162,44 @@ def global_positions(
     )
 
 
+#: Bins that one task of a level of the bin index orders at most.
+FAN = 4096
+
+
+def later_minimum(
+    bins: DataFrame, keys: Sequence[str], at: str, value: str, name: str, fan: int = FAN, levels: int = 2
+) -> DataFrame:
+    """`bins` (one row per keys and `at`) with `name`: the least `value` of the later bins of the key.
+
+    An index of `levels` levels: a bin looks at the rest of its group of `fan` bins, then at the later
+    groups through their minima, which are looked up in the same way. No task orders more than `fan`
+    bins below the top level, which has one row per fan ** levels bins. `value` grows with `at`.
+    """
+    later = lambda *by: F.min(value).over(
+        Window.partitionBy(*by).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    if not levels:
+        return bins.withColumn(name, later(*keys))
+    up, least, beyond = f"_up{levels}", f"_least{levels}", f"_beyond{levels}"
+    grouped = bins.withColumn(up, F.floor(F.col(at) / fan).cast("long"))
+    groups = grouped.groupBy(*keys, up).agg(F.min(value).alias(least))
+    above = later_minimum(groups, keys, up, least, beyond, fan, levels - 1).drop(least)
+    return (
+        grouped.withColumn(name, later(*keys, up))
+        .join(above, [*keys, up])
+        .withColumn(name, F.coalesce(name, beyond))
+        .drop(up, beyond)
+    )
+
+
 def first_at_or_after(
-    nodes: DataFrame, probes: DataFrame, keys: Sequence[str], at: str, width: int
+    nodes: DataFrame, probes: DataFrame, keys: Sequence[str], at: str, width: int, fan: int = FAN
 ) -> DataFrame:
     """For each probe (keys, `_probe`, ...) the smallest node `at` >= `_probe`, as `_hit`.
 
     Both sides fall into time bins of `width`; the bin minimum bridges to later
-    bins, so neither a range join nor a per-key sort of all rows is needed.
+    bins through an index in levels, so neither a range join, nor a per-key sort
+    of all rows, nor one of all bins is needed.
     """
     on = [*keys, "_bin"]
     bin_of = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
@@ -169,15 +210,8 @@ def first_at_or_after(
     right = right.withColumn("_node", F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
     node_time = F.when(F.col("_node") == 1, F.col("_t"))
-    later_bins = (
-        Window.partitionBy(*keys).orderBy(F.col("_bin").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bins = (
-        both.groupBy(*on)
-        .agg(F.min(node_time).alias("_first"))
-        .select(*on, F.min("_first").over(later_bins).alias("_next_bin"))
-    )
+    bins = both.groupBy(*on).agg(F.min(node_time).alias("_first"))
+    bins = later_minimum(bins, keys, "_bin", "_first", "_next_bin", fan).drop("_first")
     from_end = (
         Window.partitionBy(*on).orderBy(F.col("_t").desc(), F.col("_node").desc())
         .rowsBetween(Window.unboundedPreceding, 0)

@@ -13,6 +13,8 @@ from wavetrail.plans.movements import (
     with_,
 )
 from wavetrail.plans.registry import query
+from wavetrail.session import new_table_path
+from wavetrail.sources.incremental import run_slice
 
 KEYS = "tenant_id, site_id, aisle, workflow_id, run_id"
 ROW = "seq, redelivery"
@@ -185,6 +187,59 @@ def detect_congestion(spark, sf_dir):
     )
 
 
+def _alerts_in_slices(spark, sf_dir, slices=3):
+    """Alerts of slices of equal length in time, each run over the log of those before it."""
+    rows = completed_movements(spark, sf_dir)
+    clock = F.unix_micros(F.col("received_at").cast("timestamp"))
+    first, last = rows.agg(F.min(clock), F.max(clock)).first()
+    path, out = new_table_path(spark, "log"), None
+    step = ((last or 0) - (first or 0)) // slices + 1
+    for k in range(slices):
+        mine = F.floor((clock - (first or 0)) / step) == k
+        alerts = run_slice(rows.filter(mine), baselines(spark), CONFIG, path)
+        out = alerts if out is None else out.unionByName(alerts)
+    return out
+
+
+@query(
+    "detect_congestion_slices",
+    _sql(
+        f"""select alert_id, {KEYS}, event_id, round(mean_seconds, 6) as mean_seconds,
+                   threshold_seconds, cast(fired_at as varchar) as fired_at from alerts"""
+    ),
+)
+def detect_congestion_slices(spark, sf_dir):
+    """Three slices, each given the log so far, fire the alerts of one run."""
+    return _alerts_in_slices(spark, sf_dir).select(
+        "alert_id",
+        *d.WINDOW_KEY,
+        "event_id",
+        F.round("mean_seconds", 6).alias("mean_seconds"),
+        "threshold_seconds",
+        F.col("fired_at").cast("string").alias("fired_at"),
+    )
+
+
+@query(
+    "suppress_cooldown_slices",
+    _sql(f"select {KEYS}, seq, cast(received_at as varchar) as fired_at from cooled where fires"),
+)
+def suppress_cooldown_slices(spark, sf_dir):
+    """Cooldowns that begin in one half of the breaches and end in the other."""
+    rows = completed_movements(spark, sf_dir)
+    rolled = d.committed_windows(rows, baselines(spark), CONFIG)
+    breached = d.breaches(rolled).select(*d.WINDOW_KEY, *CONFIG.arrival, "session_start")
+    middle = rows.agg(F.percentile_approx(F.unix_micros(F.col("received_at").cast("timestamp")), 0.5)).first()[0]
+    early = F.unix_micros(F.col("received_at").cast("timestamp")) <= (middle or 0)
+    before = d.suppress_cooldown(breached.filter(early), CONFIG)
+    state = before.groupBy(*d.WINDOW_KEY).agg(F.max(F.struct("received_at", "session_start")).alias("_last"))
+    state = state.select(*d.WINDOW_KEY, F.col("_last.received_at").alias("last_alert"), "_last.session_start")
+    after = d.suppress_cooldown(breached.filter(~early), CONFIG, state)
+    return before.unionByName(after).select(
+        *d.WINDOW_KEY, "seq", F.col("received_at").cast("string").alias("fired_at")
+    )
+
+
 @query(
     "observation_outcome",
     _sql(

@@ -45,6 +45,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def stored_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log at `path`, or None before the first write."""
+    return spark.read.parquet(path) if _exists(spark, path) else None
+
+
 def _append(rows: DataFrame, path: str, key: Sequence[str], arrival: Sequence[str] = ()) -> None:
     """Append the rows whose unique key is not stored yet; a repeated write changes nothing.
 
