@@ -105,9 +105,35 @@ def test_every_token_is_packed_once(docs, targets):
 
 def test_sources_too_small_for_a_queue_are_packed_too(docs):
     texts = ["word " * 900, *ODD]
-    got = packing.pack(docs(texts, {i: f"s{i}" for i in range(len(texts))}), BYTE, 1, width=16).collect()
+    got = packing.pack(docs(texts, {i: f"s{i}" for i in range(len(texts))}), BYTE, 1, width=16, keep_ids=True).collect()
+    want = expected(texts, BYTE, 1)
     places = [(r.sequence_id, r.offset + k) for r in got for k in range(r.length)]
-    assert len(places) == len(set(places)) == sum(map(len, expected(texts, BYTE, 1)))
+    assert len(places) == len(set(places)) == sum(map(len, want))
+    for r in got:
+        own = want[r.doc_id][r.start : r.start + r.length]
+        assert r.ids == own.tobytes() and r.ids_crc32 == zlib.crc32(own.tobytes()) and r.doc_tokens == len(want[r.doc_id])
+
+
+@pytest.mark.parametrize("targets", [None, {"s3": 0.02, "big": 0.5}])
+def test_two_thousand_small_sources_keep_their_share(spark, targets):
+    """A source of half the tokens and 2,000 of a few hundred each: every stretch has both, and the small ones mixed."""
+    reach = [(i, "word " * (300 + i % 7), f"s{i % 2_000}") for i in range(4_000)] + [(10_000 + i, "other " * 3_000, "big") for i in range(400)]
+    table = spark.createDataFrame(reach, "doc_id long, text string, source string").repartition(8)
+    pieces = packing.pack(table, BYTE, 1, targets)
+    got = pieces.join(table.select("doc_id", "source"), "doc_id").groupBy("sequence_id", "source").sum("length").collect()
+    total = {}
+    for r in got:
+        total[r.source] = total.get(r.source, 0) + r[2]
+    assert sum(total.values()) == table.count() + sum(t.count(" ") for _, t, _ in reach) + sum(t.endswith(" ") for _, t, _ in reach)
+    windows = sum(total.values()) // 2048
+    tenth = {}
+    for r in got:
+        if r.source != "big":
+            tenth.setdefault(r.source, [0] * 10)[min(9, 10 * r.sequence_id // windows)] += r[2]
+    if targets is None:  # each small source has its share of each tenth, to within a quantum and a window
+        assert all(abs(x - total[s] / 10) <= 2 * packing.QUANTUM for s, held in tenth.items() for x in held)
+    else:  # the small source with a target comes first, with 4 % of the windows
+        assert tenth["s3"][0] == total["s3"]
 
 
 def test_nothing_to_pack(docs):
