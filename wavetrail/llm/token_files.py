@@ -40,6 +40,8 @@ EVERY = 1024
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE_FROM = (1 << 20) - 1
+#: Widths of the table, from one bit on, that a number of so many bits does not fit.
+_WIDER = np.array([int((WIDTHS[2:] < b).sum()) for b in range(65)])
 SCHEMA = "shard int, block int, base long, doc_ids array<long>, doc_ends array<long>, n_ids long, words binary, word_base array<int>, escapes binary"
 
 
@@ -51,15 +53,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stored = ids + np.uint64(1)
     stored[escaped] = 0
     n = len(stored)
-    bits = np.zeros(n, np.int64)
-    for width in WIDTHS[2:]:
-        bits += stored >> np.uint64(width) > 0
+    bits = _WIDER[np.frexp(stored.astype(float))[1]]
     take, choice = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at = np.arange(n)
+    over = np.zeros(n + 1 + COUNTS[0], np.int32)  # ids before each place that are too wide; none beyond the end
     for s in range(len(COUNTS) - 1, 1, -1):
-        wide = np.where(bits > s - 2, at, n)
-        room = np.minimum.accumulate(wide[::-1])[::-1] - at  # ids from here that fit the width
-        fits = (room >= COUNTS[s]) | (room == n - at) & (room > 0)
+        np.cumsum(bits > s - 2, out=over[1 : n + 1])
+        over[n + 1 :] = over[n]
+        fits = over[COUNTS[s] : COUNTS[s] + n] == over[:n]
         take[fits], choice[fits] = COUNTS[s], s
     start, i, steps = [], 0, take.tolist()
     while i < n:
