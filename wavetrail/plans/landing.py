@@ -57,18 +57,22 @@ def read_span_exports(spark, sf_dir):
 def read_span_stream(spark, sf_dir):
     path, out = new_table_path(spark, "exports"), new_table_path(spark, "stream-out")
     exports(spark, sf_dir).write.parquet(path)
-    rows = readers.read_span_stream(spark, path, "parquet", max_files=4)
+    rows = readers.read_span_stream(spark, path, "parquet", max_bytes=1 << 20)
     stream.run_to_log(_export_summary(rows), out, new_table_path(spark, "stream-state"))
     return spark.read.parquet(out)
 
 
 @query("fan_out", EXPORT_SQL)
 def fan_out(spark, sf_dir):
-    """The archive and the analysed output come from the same export rows."""
-    archive, out = new_table_path(spark, "archive"), new_table_path(spark, "analysed")
-    sinks.fan_out(
-        exports(spark, sf_dir), archive, lambda rows: _export_summary(rows).write.parquet(out)
-    )
+    """Two runs of a stream deliver the same export rows to the archive and to the analysed output."""
+    landed, archive, out, state = (new_table_path(spark, n) for n in ("landed", "archive", "analysed", "fan-state"))
+    rows, later = exports(spark, sf_dir), F.crc32("export_id") % 2
+    for part in (0, 1):
+        rows.filter(later == part).write.mode("append").parquet(landed)
+        arrivals = readers.read_span_stream(spark, landed, "parquet", max_files=16)
+        sinks.fan_out_stream(
+            arrivals, archive, lambda batch: _export_summary(batch).write.mode("append").parquet(out), state
+        )
     archived = spark.read.parquet(archive).select("export_id")
     return spark.read.parquet(out).join(archived, "export_id", "left_semi")
 

@@ -18,12 +18,24 @@ def read_span_exports(spark: SparkSession, path: str, fmt: str = "json") -> Data
 
 
 def read_span_stream(
-    spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "json",
+    max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """The same exports as a stream; `max_files` bounds one micro-batch."""
+    """The same exports as a stream; one micro-batch has at most `max_files` files or `max_bytes`.
+
+    A micro-batch has one file at least, so a file above `max_bytes` comes alone. Spark takes one
+    of the two bounds.
+    """
+    if max_files is not None and max_bytes is not None:
+        raise ValueError("bound a micro-batch by files or by bytes, not by both")
     reader = spark.readStream.schema(schemas.EXPORT).format(fmt)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.load(path)
 
 

@@ -1,10 +1,14 @@
-"""The detector as a stateful stream, keyed by (tenant, workflow, run).
+"""The detector as a stream of two stateful stages.
 
-State of a run: the events already committed, and per (site, aisle) the last
-values, the last alert and the last arrival. Rows of one micro-batch are taken
-in arrival order, so the answer equals that of the batch operator as long as
-micro-batches arrive in order. `read_span_stream(max_files=...)` bounds what
-one task sees of a run at a time.
+The first stage is keyed by (tenant, event) and lets the first copy of an event pass, whatever
+its run. The second is keyed by the window, (tenant, site, aisle, workflow, run), and keeps its
+last values, last alert and last arrival, so a hot run is spread over its windows. Rows of a
+micro-batch are taken in arrival order, so the answer equals that of the batch operator as long
+as micro-batches arrive in order; `read_span_stream` bounds a micro-batch in files or bytes.
+
+The watermark of the stream follows the arrival clock by `lateness`. It drops no row: it only says
+when a window has been idle for so long that its next row would begin a new session anyway, and the
+state of such windows is removed. Each event leaves one flag in the first stage, for good.
 """
 
 from __future__ import annotations
@@ -21,12 +25,9 @@ from wavetrail.functions.identity import alert_id
 from wavetrail.operators import detector as d
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LATENESS = timedelta(minutes=10)
 
-EVENT = T.StructType([T.StructField("event_id", T.StringType())])
 FLAG = T.StructType([T.StructField("seen", T.BooleanType())])
-PLACE = T.StructType(
-    [T.StructField("site_id", T.StringType()), T.StructField("aisle", T.StringType())]
-)
 WINDOW = T.StructType(
     [
         T.StructField("values", T.ArrayType(T.DoubleType())),
@@ -51,79 +52,125 @@ OUTPUT = T.StructType(
 )
 
 
-class RunDetector(StatefulProcessor):
-    """Dedup, rolling mean and cooldown of one run."""
+def _arrival(n: int):
+    """Sort key of rows in arrival order (columns `_o0`, `_o1`, ...); nulls first, as in Spark."""
+    names = [f"_o{i}" for i in range(n)]
+    return lambda row: [(row[c] is not None, row[c]) for c in names]
+
+
+class FirstCopy(StatefulProcessor):
+    """The first copy of an event; later ones end here."""
+
+    def __init__(self, config: d.DetectorConfig):
+        self.arrival = _arrival(len(config.arrival))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", FLAG)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield min(rows, key=self.arrival)
+
+    def close(self) -> None:
+        pass
+
+
+class WindowDetector(StatefulProcessor):
+    """Rolling mean, session and cooldown of one window key."""
 
     def __init__(self, config: d.DetectorConfig):
         micros = timedelta(microseconds=1)
+        self.arrival = _arrival(len(config.arrival))
         self.window = config.window
-        self.cooldown = int(config.cooldown / micros)
-        self.idle_ttl = int(config.idle_ttl / micros)
-        self.n_arrival = len(config.arrival)
+        self.cooldown = config.cooldown // micros
+        self.idle_ttl = config.idle_ttl // micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", EVENT, FLAG)
-        self.windows = handle.getMapState("windows", PLACE, WINDOW)
+        self.handle = handle
+        self.state = handle.getValueState("window", WINDOW)
+
+    def _wake(self, last_seen: int) -> None:
+        self.handle.registerTimer((last_seen + self.idle_ttl) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # `_order` is the arrival tuple as one struct; its first entry is the clock
-        for row in sorted(rows, key=lambda r: tuple(r["_order"])):
-            event = (row["event_id"],)
-            if self.seen.containsKey(event):
-                continue
-            now, place = row["_now"], (row["site_id"], row["aisle"])
-            values, last_alert = [], None
-            if self.windows.containsKey(place):
-                values, last_alert, last_seen = self.windows.getValue(place)
-                if now - last_seen > self.idle_ttl:
-                    values, last_alert = [], None
+        known = self.state.exists()
+        values, last_alert, last_seen = self.state.get() if known else ([], None, None)
+        for row in sorted(rows, key=self.arrival):
+            now = row["_now"]
+            if last_seen is not None and now - last_seen > self.idle_ttl:
+                values, last_alert = [], None
             values = [*values, row["seconds"]][-self.window :]
             mean, fired = None, False
-            rearmed = last_alert is None or now - last_alert >= self.cooldown
             if len(values) == self.window:
                 total = 0.0
                 for value in values:  # plain left-to-right sum, as in the batch window
                     total += value
                 mean = total / self.window
+                rearmed = last_alert is None or now - last_alert >= self.cooldown
                 fired = rearmed and mean >= row["threshold"]
-            self.seen.updateValue(event, (True,))
-            self.windows.updateValue(place, (values, now if fired else last_alert, now))
+            last_alert, last_seen = (now if fired else last_alert), now
             yield Row(
                 **{c: row[c] for c in FIELDS},
                 mean_seconds=mean,
                 threshold_seconds=row["threshold"],
                 fired=fired,
             )
+        self.state.update((values, last_alert, last_seen))
+        if not known:
+            self._wake(last_seen)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """One timer per window: it removes an idle window and is set again for one with new rows."""
+        last_seen = self.state.get()[2]
+        if timerValues.getCurrentWatermarkInMs() * 1000 > last_seen + self.idle_ttl:
+            self.state.clear()
+        else:
+            self._wake(last_seen)
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
 def detect_congestion_stream(
-    observations: DataFrame, baselines: DataFrame, config: d.DetectorConfig
+    observations: DataFrame,
+    baselines: DataFrame,
+    config: d.DetectorConfig,
+    lateness: timedelta = LATENESS,
 ) -> DataFrame:
     """Streaming observation log: committed rows with a nullable `alert` struct.
 
-    The session needs the RocksDB state provider, see `use_state_store`.
+    A window is removed once the arrival clock, less `lateness`, is past its idle time. The session
+    needs the RocksDB state provider, see `use_state_store`.
     """
     valid = d.baseline_threshold(
         d.join_baselines(d.gate_observations(observations), baselines), config.sigma
     )
     clock = F.col(d.CLOCK).cast("timestamp")
-    keyed = valid.select(
+    # the column of the watermark goes no further than this, so that no stage takes a row for late
+    delay = f"{lateness // timedelta(milliseconds=1)} milliseconds"
+    keyed = valid.withColumn("_mark", clock).withWatermark("_mark", delay).select(
         *[c for c in FIELDS if c not in ("observed_at", d.CLOCK)],
         F.col("observed_at").cast("timestamp").alias("observed_at"),
         clock.alias(d.CLOCK),
         "threshold",
         F.unix_micros(clock).alias("_now"),
-        F.struct(F.unix_micros(clock).alias("_us"), *config.arrival[1:]).alias("_order"),
+        F.unix_micros(clock).alias("_o0"),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(config.arrival[1:], 1)],
     )
-    committed = keyed.groupBy(*d.RUN_KEY).transformWithState(
-        statefulProcessor=RunDetector(config),
-        outputStructType=OUTPUT,
+    firsts = keyed.groupBy(*d.EVENT_KEY).transformWithState(
+        statefulProcessor=FirstCopy(config),
+        outputStructType=keyed.schema,
         outputMode="Append",
         timeMode="None",
     )
+    committed = firsts.groupBy(*d.WINDOW_KEY).transformWithState(
+        statefulProcessor=WindowDetector(config),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
     alert = F.struct(
         alert_id("tenant_id", "event_id").alias("alert_id"),
         "tenant_id", "site_id", "aisle", "workflow_id", "run_id", "mean_seconds",
