@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 # a cross-section; tools/compare.py runs all of them
 SAMPLE = [
-    "detect_congestion", "observation_outcome", "span_rejects", "partial_success", "dispatch_pass",
+    "detect_congestion", "observation_outcome", "span_rejects", "partial_success", "dispatch_pass", "dispatch_loop", "write_reroutes",
     "outbox_state", "record_receipts", "immutable_columns", "model_first_violation", "resolve_routes",
     "run_results", "q_offset", "q_order_desc", "q_group_by", "p_not", "dml_update", "read_baselines",
     "read_process_models", "write_observation_log", "baseline_threshold",

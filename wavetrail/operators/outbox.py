@@ -98,16 +98,17 @@ def dead_letters(alerts: DataFrame) -> DataFrame:
     return alerts.filter(F.col("dead") & F.col("delivered_at").isNull())
 
 
+def one_outcome(outcomes: DataFrame) -> DataFrame:
+    """One outcome per alert: a success counts; else the first error in order."""
+    return outcomes.groupBy(*ALERT_KEY).agg(F.bool_or("ok").alias("ok"), F.min("error").alias("error"))
+
+
 def attempted(
     alerts: DataFrame, outcomes: DataFrame, tokens: DataFrame, now: Column, k: int = PASS_LIMIT
 ) -> DataFrame:
-    """Alerts of one pass with the outcome of their signal (ok, error), one row per alert.
-
-    Of several outcomes of one alert a success counts; else the first error in order.
-    """
+    """Alerts of one pass with the outcome of their signal (ok, error), one row per alert."""
     chosen = pending_top_k(dispatch_scope(alerts, tokens), now, k).select(*ALERT_KEY)
-    once = outcomes.groupBy(*ALERT_KEY).agg(F.bool_or("ok").alias("ok"), F.min("error").alias("error"))
-    return chosen.join(once, list(ALERT_KEY))
+    return chosen.join(one_outcome(outcomes), list(ALERT_KEY))
 
 
 def dispatch_pass(

@@ -10,6 +10,8 @@ from wavetrail.plans import stored
 from wavetrail.plans.movements import with_
 from wavetrail.plans.registry import query
 from wavetrail.plans.stored import ALERTS_SQL, NOW_TEXT, OUTBOX_SQL, RECEIPTS_SQL
+from wavetrail.session import new_table_path
+from wavetrail.streaming import delivery
 
 STATE_SQL = """tenant_id, alert_id, coalesce(cast(delivered_at as varchar), '') as delivered_at,
     last_error, attempts, coalesce(cast(next_attempt_at as varchar), '') as next_attempt_at, dead"""
@@ -226,6 +228,56 @@ def outbox_state(spark, sf_dir):
     return _state(rows)
 
 
+# three passes: the failures of the first two are due again in the third
+PASS_TIMES = ("2000-01-01 00:00:00", "2000-01-01 00:00:01", "2000-01-01 00:00:10")
+
+
+@query(
+    "dispatch_loop",
+    f"""with alerts as (
+          select 't' || o_custkey % 3 as tenant_id, 'al_' || o_orderkey as alert_id, o_orderkey,
+                 row_number() over (partition by o_custkey % 3 order by o_orderdate, 'al_' || o_orderkey) as rn
+          from orders),
+        third as (
+          select alert_id from (
+            select alert_id, row_number() over (partition by tenant_id order by rn) as place
+            from alerts where tenant_id <> 't2' and (rn > 200 or o_orderkey % 4 = 0))
+          where place <= 100),
+        log as (
+          select tenant_id, alert_id, o_orderkey, n, timestamp '2000-01-01 00:00:00' + n * interval '1' second as tried_at
+          from (select *, case when rn <= 100 then 0 when rn <= 200 then 1 end as n from alerts)
+          where n is not null and tenant_id <> 't2'
+          union all
+          select tenant_id, alert_id, o_orderkey, 10, timestamp '2000-01-01 00:00:10'
+          from alerts where alert_id in (select alert_id from third)),
+        sums as (
+          select alert_id, count(*) filter (o_orderkey % 4 = 0) as failed,
+                 max(tried_at) filter (o_orderkey % 4 = 0) as last_at,
+                 min(tried_at) filter (o_orderkey % 4 <> 0) as done
+          from log group by 1)
+        select {STATE_SQL} from (
+          select tenant_id, alert_id, done as delivered_at, case when failed > 0 then 'busy' else '' end as last_error,
+                 coalesce(failed, 0) as attempts, false as dead,
+                 last_at + cast(pow(2, failed) as integer) * interval '1' second as next_attempt_at
+          from alerts left join sums using (alert_id))""",
+)
+def dispatch_loop(spark, sf_dir):
+    """Three passes as a stream of ticks, then the state of the outbox from its attempt log."""
+    ticks, path, memory = (new_table_path(spark, n) for n in ("ticks", "attempts", "passes"))
+    times = spark.createDataFrame([(t,) for t in PASS_TIMES], "at string")
+    times.select(F.col("at").cast("timestamp_ntz")).repartitionByRange(len(PASS_TIMES), "at").write.parquet(ticks)
+    alerts, number = stored.alerts(spark, sf_dir), F.substring_index("alert_id", "_", -1).cast("long")
+
+    def signal(chosen):
+        failed = number % 4 == 0
+        return chosen.select(
+            "tenant_id", "alert_id", (~failed).alias("ok"), F.when(failed, "busy").otherwise("").alias("error"))
+
+    stream = spark.readStream.schema("at timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(ticks)
+    delivery.dispatch_stream(stream, lambda: alerts, path, signal, stored.tokens(spark), memory)
+    return _state(outbox.outbox_state(alerts, delivery.read_attempts(spark, path)))
+
+
 # --- receipts -------------------------------------------------------------
 
 RECEIPT_COLUMNS = ("tenant_id", "workflow_id", "run_id", "task_id", "aisle", "l_suppkey", "l_partkey")

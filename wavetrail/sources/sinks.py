@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from wavetrail.operators.ordered import first_per
 from wavetrail.operators.receipts import RECEIPT_KEY
 from wavetrail.operators.tenancy import pair_violations
+from wavetrail.session import cut
+from wavetrail.sources import commits
 
 ALERT_FIELDS = (
     "alert_id",
@@ -27,6 +29,9 @@ ALERT_FIELDS = (
     "fired_at",
 )
 REROUTE_FIELDS = ("alert_id", "tenant_id", "site_id", "workflow_id", "run_id", "aisle")
+ATTEMPT_KEY = ("tenant_id", "alert_id", "attempt")
+MESSAGE_KEY = ("tenant_id", "alert_id")
+MAX_TENANTS = 1000
 
 
 def observation_log(committed: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -40,46 +45,65 @@ def alerts_of(log: DataFrame) -> DataFrame:
     return log.filter(F.col("alert").isNotNull()).select("alert.*", "event_id")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def stored_log(spark: SparkSession, path: str) -> DataFrame | None:
     """The log at `path`, or None before the first write."""
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    return spark.read.parquet(path) if commits.has_rows(spark, path) else None
+
+
+def _tenants(rows: DataFrame) -> list[str] | None:
+    """The tenants of a batch, to prune partitions by; None where they are many."""
+    found = [r.tenant_id for r in rows.select("tenant_id").distinct().limit(MAX_TENANTS + 1).collect()]
+    return found if len(found) <= MAX_TENANTS else None
 
 
 def _append(rows: DataFrame, path: str, key: Sequence[str], arrival: Sequence[str] = ()) -> None:
     """Append the rows whose unique key is not stored yet; a repeated write changes nothing.
 
     Of rows with one key the first in `arrival` order is kept. Files are gathered by tenant; a
-    large tenant is spread over several tasks.
+    large tenant is spread over several tasks. `rows` are read several times, so they come materialised. Only the key columns of the tenants of the batch are
+    read from the stored files. Of two writers at once, one waits for the other (`commits`).
     """
-    if not rows.filter(F.col("tenant_id").isNull()).isEmpty():
+    spark, tenants = rows.sparkSession, _tenants(rows)
+    if (None in tenants) if tenants is not None else not rows.filter(F.col("tenant_id").isNull()).isEmpty():
         raise PermissionError("row without a tenant")
-    fresh = first_per(rows, key, arrival) if arrival else rows.dropDuplicates(list(key))
-    if _exists(rows.sparkSession, path):
-        stored = rows.sparkSession.read.parquet(path).select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in key])
-        fresh = fresh.join(stored, list(key), "left_anti")
-    fresh.hint("rebalance", "tenant_id").write.mode("append").partitionBy("tenant_id").parquet(path)
+    once = first_per(rows, key, arrival) if arrival else rows.dropDuplicates(list(key))
+
+    def fresh() -> DataFrame:
+        stored = stored_log(spark, path)
+        if stored is None:
+            return once
+        if tenants is not None:
+            stored = stored.filter(F.col("tenant_id").cast("string").isin(tenants))
+        keys = stored.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in key])
+        return once.join(keys, list(key), "left_anti")
+
+    commits.append_once(
+        spark, path, fresh,
+        lambda new, place: new.hint("rebalance", "tenant_id").write.partitionBy("tenant_id").parquet(place),
+    )
 
 
 def write_observation_log(log: DataFrame, path: str) -> None:
     """Append log rows in one commit; refuses an alert of another tenant than its observation."""
-    if not pair_violations(log).isEmpty():
+    rows = cut(log)
+    if not pair_violations(rows).isEmpty():
         raise PermissionError("alert of another tenant")
-    _append(log, path, ("tenant_id", "event_id"))
+    _append(rows, path, ("tenant_id", "event_id"))
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """Append alerts that are not stored yet."""
-    _append(alerts, path, ("tenant_id", "alert_id"))
+    _append(cut(alerts), path, ("tenant_id", "alert_id"))
 
 
 def write_receipts(receipts: DataFrame, path: str, arrival: Sequence[str] = ()) -> None:
     """Append receipts of tasks that have none yet."""
-    _append(receipts, path, RECEIPT_KEY, arrival)
+    _append(cut(receipts), path, RECEIPT_KEY, arrival)
+
+
+def write_attempts(attempts: DataFrame, path: str) -> None:
+    """Append delivery attempts, one for each (alert, number of the attempt)."""
+    _append(attempts, path, ATTEMPT_KEY)
 
 
 def reroute_messages(alerts: DataFrame) -> DataFrame:
@@ -90,8 +114,24 @@ def reroute_messages(alerts: DataFrame) -> DataFrame:
 
 
 def write_reroutes(alerts: DataFrame, path: str) -> None:
-    """Append reroute messages as JSON lines."""
-    reroute_messages(alerts).select("value").write.mode("append").text(path)
+    """Append reroute messages as JSON lines, one for each (tenant, alert), whoever writes and how often.
+
+    A message whose alert has one already is left out, also with other content; a missing tenant or
+    alert id is a value like any other. A write that was killed leaves nothing to be read.
+    """
+    spark = alerts.sparkSession
+    ids = [F.get_json_object("value", f"$.{c}").alias(c) for c in MESSAGE_KEY]
+    messages = reroute_messages(alerts).select("value", *ids)
+    once = cut(first_per(messages, MESSAGE_KEY, ["value"])).alias("new")
+
+    def fresh() -> DataFrame:
+        if not commits.has_rows(spark, path):
+            return once
+        sent = spark.read.text(path).select(*ids).alias("sent")
+        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"sent.{c}")) for c in MESSAGE_KEY]
+        return once.join(sent, same, "left_anti")
+
+    commits.append_once(spark, path, fresh, lambda new, place: new.select("value").write.text(place))
 
 
 def fan_out(
