@@ -146,7 +146,8 @@ def test_failed_commit_leaves_the_windows_untouched(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         run()
     run()
-    assert calls == [0, 0]
+    # a later micro-batch without rows only moves the clock of the timers
+    assert calls[:2] == [0, 0] and 0 not in calls[2:]
     rows = spark.read.parquet(log)
     assert rows.count() == 9
     assert [a.mean_seconds for a in sinks.alerts_of(rows).collect()] == [17.0]

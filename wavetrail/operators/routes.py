@@ -100,17 +100,20 @@ def _choices(waves: DataFrame, models: DataFrame) -> DataFrame:
 def named_models(
     waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
     document_violations: DataFrame | None = None,
-) -> DataFrame:
-    """Known models that some wave names, with `refused`: the model has a violation. Materialised."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Known models that some wave names, with `refused` (the model has a violation), their nodes and flows.
+
+    All three are materialised: nodes and flows are filtered once, and every rule and the packing read
+    the written rows.
+    """
     used = small_side(cut(waves.select(PID).distinct()))
+    nodes, flows = cut(nodes.join(used, PID, "left_semi")), cut(flows.join(used, PID, "left_semi"))
     known = processes.join(used, PID, "left_semi")
     # a document is judged with all its processes, named by a wave or not
     whole = processes.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    broken = refused_models(
-        whole, nodes.join(used, PID, "left_semi"), flows.join(used, PID, "left_semi"), document_violations
-    ).withColumn("_broken", F.lit(True))
+    broken = refused_models(whole, nodes, flows, document_violations).withColumn("_broken", F.lit(True))
     listed = known.select(PID).distinct().join(broken, PID, "left")
-    return cut(listed.select(PID, F.coalesce("_broken", F.lit(False)).alias("refused")))
+    return cut(listed.select(PID, F.coalesce("_broken", F.lit(False)).alias("refused"))), nodes, flows
 
 
 def wave_routes(waves: DataFrame, named: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ def resolve_routes(
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Steps of every wave whose walk of a valid model reaches an end: (hop, step_id, aisle, alternative)."""
-    named = named_models(waves, processes, nodes, flows, document_violations)
+    named, nodes, flows = named_models(waves, processes, nodes, flows, document_violations)
     done = wave_routes(waves, named, nodes, flows).filter(F.col("status") == DONE)
     return done.select(*WAVE_KEY, PID, F.posexplode("steps").alias("_pos", "_step")).select(
         *WAVE_KEY,
@@ -157,7 +160,7 @@ def route_errors(
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Waves without a route and why: invalid_input, unknown_process, invalid_model or no_branch."""
-    named = named_models(waves, processes, nodes, flows, document_violations)
+    named, nodes, flows = named_models(waves, processes, nodes, flows, document_violations)
     told = waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")).join(small_side(named), PID, "left")
     reason = (
         F.when(~F.col("_ok"), "invalid_input")
