@@ -46,6 +46,18 @@ def test_finding_many_matches_in_one_text_is_not_quadratic(docs):
     assert got.more > 30_000
 
 
+def test_the_fit_counts_the_spans_of_all_texts(spark):
+    n = 9_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("é a@b.example.com or 1.2.300."), F.col("id") % 7).alias("text"))
+    values, weight, positive = pii.training_rows(rows)
+    heavy = 3 * n / 200  # an address, a refused ip and its three digits as a refused card
+    assert weight.sum() == pytest.approx(3 * n + heavy * len(pii.EXAMPLES))
+    assert positive.sum() == pytest.approx(n + heavy * sum(y for *_, y in pii.EXAMPLES))
+    model = pii.fit_trees((values, weight, positive))
+    score = pii.tree_scores(model, values)
+    assert score[(positive > heavy)].min() > 0 > score[(positive == 0) & (weight > heavy)].max()
+
+
 def test_redaction_hides_every_span(docs):
     rows = pii.redact(docs(["é mail a@b.example.com now", None, "plain"])).orderBy("doc_id").collect()
     assert [r.redacted for r in rows] == ["é mail " + "█" * 15 + " now", "", "plain"]

@@ -3,7 +3,7 @@
 Main path in DataFrame functions only. Generators are regular expressions; some propose what
 a format check confirms (the base spans), others propose obfuscated or loosely written forms
 and overlap the base. Every candidate gets features of its format and of the 24 characters
-before it. Boosted depth-two trees, fitted to a bounded sample, are evaluated as a sum of
+before it. Boosted depth-two trees, fitted to the spans of all texts, are evaluated as a sum of
 CASE expressions; a calibrated threshold per kind selects further spans. Base spans stay.
 
 Offsets are code points, end exclusive. A null text counts as empty and has no span.
@@ -14,11 +14,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetrail.llm.common import bounded_sample
-
 KINDS = ("email", "ip", "card", "phone")
 
 # Fixed values of the contract, written with possessive quantifiers and a start guard, which
@@ -47,8 +46,6 @@ CUES = {
     "phone": r"tel|phone|call|fon|anruf|mobil|fax|appel",
 }
 CONTEXT = 24
-#: Rows of text and candidates that the fit may use.
-FIT_TEXTS, FIT_CANDIDATES = 4_000, 20_000
 ROUNDS, RATE, PRECISION = 20, 0.3, 0.98
 
 
@@ -203,93 +200,95 @@ def candidate_rows(docs: DataFrame, spans: Column) -> DataFrame:
     return rows.select(*[named[f].cast("int").alias(f) for f in FEATURES], F.col("c.base").alias("base"))
 
 
-def training_rows(docs: DataFrame, max_texts: int = FIT_TEXTS, max_candidates: int = FIT_CANDIDATES) -> list[tuple]:
-    """Distinct feature rows (features, weight, positive weight) of a bounded sample and of `EXAMPLES`.
+def training_rows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct feature rows of all texts and of `EXAMPLES`: (values, weights, positive weights).
 
-    Base spans are positive, matches that fail the check of their kind are negative. The sample
-    is about `max_texts` documents with a small hash of id and text, at most twice as many; at most
-    `max_candidates` distinct feature rows come to the driver.
+    Base spans are positive, matches that fail the check of their kind are negative. Spark counts
+    them by feature row, so what the driver fits on grows with the kinds of spans (features are
+    small whole numbers), not with the texts.
     """
     spark = docs.sparkSession
-    sample = bounded_sample(docs.select("doc_id", "text"), ("doc_id", "text"), max_texts, docs.count())
-    text = F.coalesce(sample["text"], F.lit(""))
+    text = F.coalesce(docs["text"], F.lit(""))
     refused = F.concat(*[F.when(text.rlike("[0-9]"), _checked(_spans(text, BASE[k], k, False), k, False)).otherwise(F.array().cast(_EMPTY)) for k in KINDS[1:]])
-    rows = candidate_rows(sample, F.concat(base_spans(text), refused))
-    known = rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base").cast("long")).alias("pos")).orderBy(F.desc("n"), *FEATURES).limit(max_candidates)
+    rows = candidate_rows(docs, F.concat(base_spans(text), refused))
+    known = rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base").cast("long")).alias("pos")).toArrow()
     written = spark.createDataFrame([(KINDS.index(k), b, v, y) for k, b, v, y in EXAMPLES], "kind int, before string, value string, y int")
     named = features(F.col("kind"), F.col("value"), F.col("before"))
-    written = written.select(*[named[f].cast("int").alias(f) for f in FEATURES], F.col("y"))
-    total = [(tuple(r[:-2]), float(r["n"]), float(r["pos"])) for r in known.collect()]
-    heavy = max(1.0, sum(n for _, n, _ in total) / 200)
-    return total + [(tuple(r[:-1]), heavy, heavy * r["y"]) for r in written.collect()]
+    written = written.select(*[named[f].cast("int").alias(f) for f in FEATURES], F.col("y")).toArrow()
+
+    def column(name):
+        return np.concatenate([t.column(name).to_numpy().astype(np.int16) for t in (known, written)])
+
+    values = np.stack([column(f) for f in FEATURES], axis=1)
+    n, pos = (known.column(c).to_numpy().astype(np.float64) for c in ("n", "pos"))
+    heavy = max(1.0, n.sum() / 200)
+    weight = np.concatenate([n, np.full(len(EXAMPLES), heavy)])
+    positive = np.concatenate([pos, heavy * written.column("y").to_numpy()])
+    # one order of rows, so that sums do not depend on the order of arrival
+    order = np.lexsort((positive, weight, *values.T[::-1]))
+    return values[order], weight[order], positive[order]
 
 
-def fit_trees(rows: list[tuple], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list]:
+def fit_trees(rows: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list]:
     """Depth-two trees on the logistic loss: (start, [(f, t, low, high)]), low and high being (f, t, left, right).
 
     Each split is chosen by the second-order gain over all thresholds of all features.
     """
-    pos, n = sum(p for _, _, p in rows), sum(w for _, w, _ in rows)
+    values, weight, positive = rows
+    pos, n = float(positive.sum()), float(weight.sum())
     start = math.log((pos + 1) / (n - pos + 1))
-    score = [start] * len(rows)
+    score = np.full(len(weight), start)
     trees = []
 
     def leaf(ids, g, h):
-        return rate * sum(g[i] for i in ids) / (sum(h[i] for i in ids) + 1.0)
+        return rate * float(g[ids].sum()) / (float(h[ids].sum()) + 1.0)
 
     def split(ids, g, h):
         best = (1e-9, 0, 10**6)
-        sg, sh = sum(g[i] for i in ids), sum(h[i] for i in ids)
+        sg, sh = g[ids].sum(), h[ids].sum()
         for f in range(len(FEATURES)):
-            by: dict[int, list[float]] = {}
-            for i in ids:
-                at = by.setdefault(rows[i][0][f], [0.0, 0.0])
-                at[0] += g[i]
-                at[1] += h[i]
-            a = b = 0.0
-            for v in sorted(by)[:-1]:
-                a, b = a + by[v][0], b + by[v][1]
-                gain = a * a / (b + 1) + (sg - a) ** 2 / (sh - b + 1) - sg * sg / (sh + 1)
-                if gain > best[0] + 1e-12:
-                    best = (gain, f, v)
+            found, place = np.unique(values[ids, f], return_inverse=True)
+            a = np.cumsum(np.bincount(place, g[ids], len(found)))[:-1]
+            b = np.cumsum(np.bincount(place, h[ids], len(found)))[:-1]
+            gains = a * a / (b + 1) + (sg - a) ** 2 / (sh - b + 1) - sg * sg / (sh + 1)
+            if len(gains) and gains.max() > best[0] + 1e-12:
+                best = (float(gains.max()), f, int(found[gains.argmax()]))
         return best[1], best[2]
 
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        g = [y - w * q for (_, w, y), q in zip(rows, p)]
-        h = [w * q * (1 - q) for (_, w, _), q in zip(rows, p)]
-        f, t = split(range(len(rows)), g, h)
+        p = 1 / (1 + np.exp(-score))
+        g, h = positive - weight * p, weight * p * (1 - p)
+        f, t = split(np.arange(len(weight)), g, h)
         sides = []
-        for ids in ([i for i, r in enumerate(rows) if r[0][f] <= t], [i for i, r in enumerate(rows) if r[0][f] > t]):
+        for ids in (np.flatnonzero(values[:, f] <= t), np.flatnonzero(values[:, f] > t)):
             f2, t2 = split(ids, g, h)
-            left, right = [i for i in ids if rows[i][0][f2] <= t2], [i for i in ids if rows[i][0][f2] > t2]
+            left, right = ids[values[ids, f2] <= t2], ids[values[ids, f2] > t2]
             a, b = leaf(left, g, h), leaf(right, g, h)
             sides.append((f2, t2, a, b))
-            for group, value in ((left, a), (right, b)):
-                for i in group:
-                    score[i] += value
+            score[left] += a
+            score[right] += b
         trees.append((f, t, *sides))
     return start, trees
 
 
-def tree_score(model: tuple[float, list], values: tuple) -> float:
-    total = model[0]
-    for f, t, low, high in model[1]:
-        f2, t2, a, b = low if values[f] <= t else high
-        total += a if values[f2] <= t2 else b
+def tree_scores(model: tuple[float, list], values: np.ndarray) -> np.ndarray:
+    total = np.full(len(values), model[0])
+    for f, t, (f2, t2, a, b), (f3, t3, c, d) in model[1]:
+        low, high = np.where(values[:, f2] <= t2, a, b), np.where(values[:, f3] <= t3, c, d)
+        total += np.where(values[:, f] <= t, low, high)
     return total
 
 
-def thresholds(model, rows: list[tuple], precision: float = PRECISION) -> list[float]:
+def thresholds(model, rows: tuple[np.ndarray, np.ndarray, np.ndarray], precision: float = PRECISION) -> list[float]:
     """Per kind the lowest score at which the fitted rows reach the wanted precision; at least 0."""
+    values, weight, positive = rows
+    score = tree_scores(model, values)
     out = []
     for k in range(len(KINDS)):
-        ranked = sorted(((tree_score(model, v), n, p) for v, n, p in rows if v[0] == k), reverse=True)
-        best, n, p = math.inf, 0.0, 0.0
-        for s, w, y in ranked:
-            n, p = n + w, p + y
-            if p / n >= precision:
-                best = s
+        mine = np.flatnonzero(values[:, 0] == k)
+        ranked = mine[np.lexsort((positive[mine], weight[mine], score[mine]))[::-1]]
+        good = np.cumsum(positive[ranked]) / np.cumsum(weight[ranked]) >= precision
+        best = float(score[ranked[good]].min()) if good.any() else math.inf
         out.append(max(0.0, best - 1e-9))
     return out
 
@@ -303,13 +302,13 @@ def score_column(model: tuple[float, list], feats: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(model[0]))
 
 
-def find_spans(docs: DataFrame, max_texts: int = FIT_TEXTS) -> DataFrame:
+def find_spans(docs: DataFrame) -> DataFrame:
     """`docs` with `base_spans` and `more_spans`: array<struct<kind, s, e, value, base>>.
 
-    Further spans never repeat a base span of the same kind and range. The fit reads a bounded
-    sample; the rest is one projection without a shuffle.
+    Further spans never repeat a base span of the same kind and range. The fit counts the spans of
+    all texts by their features; the rest is one projection without a shuffle.
     """
-    rows = training_rows(docs, max_texts)
+    rows = training_rows(docs)
     model = fit_trees(rows)
     limits = thresholds(model, rows)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -337,17 +336,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def span_report(docs: DataFrame, max_texts: int = FIT_TEXTS) -> DataFrame:
+def span_report(docs: DataFrame) -> DataFrame:
     """Per document: counts of base spans by kind, hash of the base spans, all spans as text."""
-    out = find_spans(docs.select("doc_id", "text"), max_texts)
+    out = find_spans(docs.select("doc_id", "text"))
     every = F.array_sort(F.array_distinct(F.transform(F.concat("base_spans", "more_spans"), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))))
     counts = [F.size(_of_kind("base_spans", k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(_joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
-def redact(docs: DataFrame, max_texts: int = FIT_TEXTS) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """`docs` with `redacted`: every character inside a selected span, base or further, becomes a block sign."""
-    out = find_spans(docs, max_texts)
+    out = find_spans(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = F.array_sort(F.transform(F.concat("base_spans", "more_spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
 
