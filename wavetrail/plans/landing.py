@@ -6,7 +6,7 @@ test, so every query works on data derived from the driver tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.operators import detector as d
@@ -249,40 +249,88 @@ EXTENSION = "urn:example:picking"
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    """One XML document per model document; every model holds a bounded number of tags."""
-    quoted = lambda name, col: F.concat(F.lit(f' {name}="'), col, F.lit('"'))
-    extra = lambda name, col: F.when(
-        F.col(col) != "", quoted(f"af:{name}", F.col(col))
-    ).otherwise("")
-    node = F.concat(
-        F.lit("<bpmn:"), "kind", quoted("id", F.col("id")), extra("aisle", "aisle"),
-        extra("alternative", "alternative"), extra("variable", "variable"), F.lit("/>"),
+    """One XML document per order key, written in its row; every model holds a bounded number of tags.
+
+    A key that n orders have gives n processes, each with n copies of every tag, as grouped rows would.
+    """
+    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+
+    def tag(kind, id_, **extensions) -> Column:
+        parts = [F.lit("<bpmn:"), lit(kind), F.lit(' id="'), lit(id_), F.lit('"')]
+        for name, value in extensions.items():
+            quoted = F.concat(F.lit(f' af:{name}="'), lit(value), F.lit('"'))
+            parts.append(F.when(lit(value) != "", quoted).otherwise(""))
+        return F.concat(*parts, F.lit("/>"))
+
+    def flow(id_, source, target, value="") -> Column:
+        ends = F.concat(lit(id_), F.lit('" sourceRef="'), lit(source), F.lit('" targetRef="'), lit(target))
+        return tag("sequenceFlow", ends, value=value)
+
+    k, d, n, extra = F.col(models.K), F.col("d"), F.col("n"), F.col("extra")
+    text, task = models.text, "serviceTask"
+    only = lambda condition, *tags: F.when(condition, F.concat(*tags)).otherwise("")
+    each = lambda last, of: F.array_join(
+        F.transform(F.filter(F.sequence(F.lit(0), last), lambda i: i > 0), of), ""
     )
-    flow = F.concat(
-        F.lit("<bpmn:sequenceFlow"), quoted("id", F.col("id")), quoted("sourceRef", F.col("source")),
-        quoted("targetRef", F.col("target")), extra("value", "value"), F.lit("/>"),
+
+    def pick(i: Column) -> Column:
+        aisle = text("A0", (k + i) % 3 + 1)
+        alternative = F.when((k + i) % 4 == 0, "").otherwise(text("B0", (k + i) % 3 + 1))
+        node = tag(
+            task, text("t", i), aisle=F.when((d == 3) & (i == 1), "A 1").otherwise(aisle),
+            alternative=F.when((d == 4) & (i == 1), aisle).otherwise(alternative),
+        )
+        after = F.when(d == 6, "missing").when(d == 8, "t1").otherwise(F.when(extra > 0, "x1").otherwise("gate"))
+        target = F.when(i == n, after).otherwise(text("t", i + 1))
+        id_ = F.when((d == 18) & (i == 1), "t1").otherwise(text("f", i))
+        return F.concat(node, flow(id_, text("t", i), target, F.when((d == 7) & (i == n), "stray").otherwise("")))
+
+    def link(c: Column) -> Column:
+        target = F.when(c == extra, "gate").otherwise(text("x", c + 1))
+        return F.concat(tag(task, text("x", c), aisle="C01"), flow(text("g", c), text("x", c), target))
+
+    body = F.concat(
+        tag("startEvent", "start"),
+        only(
+            d != 15, each(n, pick), each(extra, link),
+            tag(F.when(d == 11, "parallelGateway").otherwise("exclusiveGateway"), "gate",
+                variable=F.when(d == 5, "").otherwise("service")),
+            tag(task, "pack_std", aisle="PACK"), tag(task, "pack_exp", aisle="EXPRESS"),
+            only(d == 9, tag(task, "orphan", aisle="A01")), only(d == 12, tag(task, "t1", aisle="A01")),
+            only(d == 16, tag(task, "u1", aisle="A01"), tag(task, "u2", aisle="A01")),
+        ),
+        only(d == 1, tag("startEvent", "start2")), only(d != 2, tag("endEvent", "end")),
+        flow("f0", "start", F.when(d == 15, "end").otherwise("t1")),
+        only(
+            d != 15, flow("b1", "gate", "pack_std", "standard"),
+            only(d != 14, flow("b2", "gate", "pack_exp", F.when(d == 10, "standard").otherwise("express"))),
+            flow("e1", "pack_std", "end"), flow("e2", "pack_exp", "end"),
+            only(d == 16, flow("u12", "u1", "u2"), flow("u21", "u2", "u1")),
+        ),
     )
-    tags = models.nodes(spark, sf_dir).select("process_id", node.alias("tag")).unionByName(
-        models.flows(spark, sf_dir).select("process_id", flow.alias("tag"))
+    small = F.concat(
+        tag("startEvent", "start"), tag(task, "only", aisle="A01"), tag("endEvent", "end"),
+        flow("f0", "start", "only"), flow("f1", "only", "end"),
     )
-    bodies = tags.groupBy("process_id").agg(F.concat_ws("", F.collect_list("tag")).alias("body"))
-    process = F.concat(
-        F.lit("<bpmn:process"), quoted("id", F.col("process_id")),
-        quoted("isExecutable", F.col("is_executable")), F.lit(">"), "body", F.lit("</bpmn:process>"),
+    process = lambda id_, runs, inner: F.repeat(
+        F.concat(
+            F.lit('<bpmn:process id="'), id_, F.lit('" isExecutable="'), lit(runs), F.lit('">'),
+            F.repeat(inner, F.col("_n")), F.lit("</bpmn:process>"),
+        ),
+        F.col("_n"),
     )
     head = (
         '<?xml version="1.0"?><bpmn:definitions '
         f'xmlns:bpmn="{process_files.MODEL_NAMESPACE}" xmlns:af="{EXTENSION}">'
     )
-    return (
-        models.processes(spark, sf_dir)
-        .join(bodies, "process_id")
-        .groupBy("doc_id")
-        .agg(F.concat_ws("", F.collect_list(process)).alias("_all"))
-        .select(
-            "doc_id",
-            F.concat(F.lit(head), F.col("_all"), F.lit("</bpmn:definitions>")).alias("xml"),
-        )
+    orders = models.shape(spark, sf_dir).filter(k.isNotNull())
+    orders = orders.groupBy(*orders.columns).agg(F.count("*").cast("int").alias("_n"))
+    return orders.select(
+        text("doc", k).alias("doc_id"),
+        F.concat(
+            F.lit(head), process(F.col("process_id"), F.when(d == 17, "false").otherwise("true"), body),
+            F.when(d == 19, process(text("q", k), "true", small)).otherwise(""), F.lit("</bpmn:definitions>"),
+        ).alias("xml"),
     )
 
 
@@ -299,11 +347,7 @@ def _documents(spark, sf_dir) -> DataFrame:
 def read_process_models(spark, sf_dir):
     path = new_table_path(spark, "documents")
     _documents(spark, sf_dir).write.parquet(path)
-    found = process_files.parse_process_models(spark.read.parquet(path), EXTENSION)
-    blank = lambda *names: {n: F.lit("") for n in names}
-    nodes = found.nodes.withColumns(blank("source", "target", "value"))
-    flows = found.flows.withColumns({"kind": F.lit("sequenceFlow"), **blank("aisle", "alternative", "variable")})
-    return nodes.unionByName(flows)
+    return process_files.parse_process_models(spark.read.parquet(path), EXTENSION).elements
 
 
 @query(

@@ -16,11 +16,11 @@ from wavetrail.plans.registry import table
 K = "o_orderkey"
 
 
-def _text(*parts) -> Column:
+def text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: key, defect number, number of picks and of extra chain tasks."""
     k = F.col(K)
     return table(spark, sf_dir, "orders").select(
@@ -28,21 +28,21 @@ def _shape(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 41).cast("int").alias("d"),
         (k % 5 + 1).cast("int").alias("n"),
         F.when(k % 1009 == 17, 500).when(k % 1009 == 18, 100).otherwise(0).alias("extra"),
-        F.when(k % 41 == 13, _text("p ", k)).otherwise(_text("p", k)).alias("process_id"),
+        F.when(k % 41 == 13, text("p ", k)).otherwise(text("p", k)).alias("process_id"),
     )
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shape(spark, sf_dir)
+    rows = shape(spark, sf_dir)
     first = rows.select(
-        _text("doc", F.col(K)).alias("doc_id"),
+        text("doc", F.col(K)).alias("doc_id"),
         "process_id",
         F.when(F.col("d") == 17, "false").otherwise("true").alias("is_executable"),
         F.when(F.col("d") == 20, 1048577).otherwise(4000).cast("long").alias("n_bytes"),
     )
     second = rows.filter("d = 19").select(
-        _text("doc", F.col(K)).alias("doc_id"),
-        _text("q", F.col(K)).alias("process_id"),
+        text("doc", F.col(K)).alias("doc_id"),
+        text("q", F.col(K)).alias("process_id"),
         F.lit("true").alias("is_executable"),
         F.lit(4000).cast("long").alias("n_bytes"),
     )
@@ -65,94 +65,94 @@ def _flow(id_, source, target, value="") -> Column:
     )
 
 
-def _only_if(condition: str, *entries: Column) -> Column:
-    """The entries where the condition holds, else no entries."""
-    return F.when(F.expr(condition), F.array(*entries)).otherwise(F.slice(F.array(*entries), 1, 0))
+def _elements(rows: DataFrame, fixed: Column) -> DataFrame:
+    """One row per element: pick `i`, task `c` of the chain, or fixed element `j`, each from 1.
 
+    Plain columns after one generator, so that a reader computes only the columns it uses.
+    """
+    picks, i = F.greatest("n", F.lit(0)), F.col("_i")
+    numbered = rows.withColumn("_n", picks).withColumn("_i", F.explode(F.sequence(F.lit(1), picks + F.col("extra") + fixed)))
+    return numbered.withColumns({"i": i, "c": i - F.col("_n"), "j": i - F.col("_n") - F.col("extra")})
 
-def _numbers(last: str) -> Column:
-    return F.expr(f"filter(sequence(0, {last}), i -> i > 0)")
+
+def _by_place(pick, chain, *fixed) -> Column:
+    """The value of an element by its place; a string is a literal."""
+    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+    value = F.when(F.col("i") <= F.col("_n"), lit(pick)).when(F.col("j") <= 0, lit(chain))
+    for j, one in enumerate(fixed, 1):
+        value = value.when(F.col("j") == j, lit(one))
+    return value.otherwise("")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shape(spark, sf_dir)
+    rows = shape(spark, sf_dir)
     k, d = F.col(K), F.col("d")
-
-    def pick(i: Column) -> Column:
-        aisle = _text("A0", (k + i) % 3 + 1)
-        alternative = F.when((k + i) % 4 == 0, "").otherwise(_text("B0", (k + i) % 3 + 1))
-        first = i == 1
-        return _node(
-            _text("t", i),
-            "serviceTask",
-            F.when((d == 3) & first, "A 1").otherwise(aisle),
-            F.when((d == 4) & first, aisle).otherwise(alternative),
-        )
-
-    picks = F.transform(_numbers("n"), pick)
-    chain = F.transform(_numbers("extra"), lambda i: _node(_text("x", i), "serviceTask", "C01"))
-    gate_kind = F.when(d == 11, "parallelGateway").otherwise("exclusiveGateway")
-    gate = _node("gate", gate_kind, variable=F.when(d == 5, "").otherwise("service"))
-    no_tasks = F.expr("d = 15")
-    body = F.concat(
-        picks, chain, F.array(gate),
-        F.array(_node("pack_std", "serviceTask", "PACK"), _node("pack_exp", "serviceTask", "EXPRESS")),
-        _only_if("d = 9", _node("orphan", "serviceTask", "A01")),
-        _only_if("d = 12", _node("t1", "serviceTask", "A01")),
-        _only_if("d = 16", _node("u1", "serviceTask", "A01"), _node("u2", "serviceTask", "A01")),
-    )
-    listed = F.concat(
-        F.array(_node("start", "startEvent")),
-        F.when(no_tasks, F.slice(body, 1, 0)).otherwise(body),
-        _only_if("d = 1", _node("start2", "startEvent")),
-        _only_if("d != 2", _node("end", "endEvent")),
+    more = F.when(d == 16, 7).when(d.isin(1, 9, 12), 6).otherwise(5)
+    i, j = F.col("i"), F.col("j")
+    aisle = text("A0", (k + i) % 3 + 1)
+    alternative = F.when((k + i) % 4 == 0, "").otherwise(text("B0", (k + i) % 3 + 1))
+    first_pick = i == 1
+    task, seventh = "serviceTask", F.when(d == 16, "A01").otherwise("")
+    listed = _elements(rows, more).filter(
+        ((d != 15) | j.isin(1, 5)) & ((d != 2) | (j != 5))
+    ).select(
+        "process_id",
+        _by_place(
+            text("t", i), text("x", F.col("c")), "start", "gate", "pack_std", "pack_exp", "end",
+            F.when(d == 1, "start2").when(d == 9, "orphan").when(d == 12, "t1").otherwise("u1"), "u2",
+        ).alias("id"),
+        _by_place(
+            task, task, "startEvent", F.when(d == 11, "parallelGateway").otherwise("exclusiveGateway"), task, task,
+            "endEvent", F.when(d == 1, "startEvent").otherwise(task), task,
+        ).alias("kind"),
+        _by_place(
+            F.when((d == 3) & first_pick, "A 1").otherwise(aisle), "C01", "", "", "PACK", "EXPRESS", "",
+            F.when(d == 1, "").otherwise("A01"), "A01",
+        ).alias("aisle"),
+        _by_place(F.when((d == 4) & first_pick, aisle).otherwise(alternative), "").alias("alternative"),
+        _by_place("", "", "", F.when(d == 5, "").otherwise("service")).alias("variable"),
     )
-    first = rows.select("process_id", F.explode(listed).alias("x")).select("process_id", "x.*")
     small = F.array(
         _node("start", "startEvent"), _node("only", "serviceTask", "A01"), _node("end", "endEvent")
     )
     second = rows.filter("d = 19").select(
-        _text("q", k).alias("process_id"), F.explode(small).alias("x")
+        text("q", k).alias("process_id"), F.explode(small).alias("x")
     ).select("process_id", "x.*")
-    return first.unionByName(second)
+    return listed.unionByName(second)
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shape(spark, sf_dir)
+    rows = shape(spark, sf_dir)
     n, extra, d = F.col("n"), F.col("extra"), F.col("d")
+    i, c, j = F.col("i"), F.col("c"), F.col("j")
     after_picks = F.when(extra > 0, "x1").otherwise("gate")
     last_target = (
         F.when(d == 6, "missing").when(d == 8, "t1").otherwise(after_picks)
     )
-
-    def pick(i: Column) -> Column:
-        target = F.when(i == n, last_target).otherwise(_text("t", i + 1))
-        value = F.when((d == 7) & (i == n), "stray").otherwise("")
-        flow_id = F.when((d == 18) & (i == 1), "t1").otherwise(_text("f", i))
-        return _flow(flow_id, _text("t", i), target, value)
-
-    picks = F.transform(_numbers("n"), pick)
-    chain = F.transform(
-        _numbers("extra"),
-        lambda i: _flow(
-            _text("g", i), _text("x", i), F.when(i == extra, "gate").otherwise(_text("x", i + 1))
-        ),
-    )
-    express = F.when(d == 10, "standard").otherwise("express")
-    full = F.concat(
-        F.array(_flow("f0", "start", "t1")), picks, chain,
-        F.array(_flow("b1", "gate", "pack_std", "standard")),
-        _only_if("d != 14", _flow("b2", "gate", "pack_exp", express)),
-        F.array(_flow("e1", "pack_std", "end"), _flow("e2", "pack_exp", "end")),
-        _only_if("d = 16", _flow("u12", "u1", "u2"), _flow("u21", "u2", "u1")),
+    listed = _elements(rows, F.when(d == 16, 7).otherwise(5)).filter(
+        ((d != 15) | (j == 1)) & ((d != 14) | (j != 3))
+    ).select(
+        "process_id",
+        _by_place(
+            F.when((d == 18) & (i == 1), "t1").otherwise(text("f", i)), text("g", c),
+            "f0", "b1", "b2", "e1", "e2", "u12", "u21",
+        ).alias("id"),
+        _by_place(text("t", i), text("x", c), "start", "gate", "gate", "pack_std", "pack_exp", "u1", "u2").alias("source"),
+        _by_place(
+            F.when(i == n, last_target).otherwise(text("t", i + 1)),
+            F.when(c == extra, "gate").otherwise(text("x", c + 1)),
+            F.when(d == 15, "end").otherwise("t1"), "pack_std", "pack_exp", "end", "end", "u2", "u1",
+        ).alias("target"),
+        _by_place(
+            F.when((d == 7) & (i == n), "stray").otherwise(""), "", "", "standard",
+            F.when(d == 10, "standard").otherwise("express"),
+        ).alias("value"),
     )
-    listed = F.when(d == 15, F.array(_flow("f0", "start", "end"))).otherwise(full)
-    first = rows.select("process_id", F.explode(listed).alias("x")).select("process_id", "x.*")
     small = F.array(_flow("f0", "start", "only"), _flow("f1", "only", "end"))
     second = rows.filter("d = 19").select(
-        _text("q", F.col(K)).alias("process_id"), F.explode(small).alias("x")
+        text("q", F.col(K)).alias("process_id"), F.explode(small).alias("x")
     ).select("process_id", "x.*")
-    return first.unionByName(second)
+    return listed.unionByName(second)
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,10 +162,10 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
         priority.isin("1", "2"), F.create_map(F.lit("service"), F.lit("express"))
     ).when(priority.isin("3", "4"), F.create_map(F.lit("service"), F.lit("standard")))
     return table(spark, sf_dir, "orders").select(
-        _text("t", k % 3).alias("tenant_id"),
-        _text("s", k % 2).alias("site_id"),
-        F.when(k % 37 == 5, _text("bad ", k)).otherwise(_text("w", k)).alias("wave_id"),
-        F.when(k % 3 == 0, "p0").otherwise(_text("p", k)).alias("process_id"),
+        text("t", k % 3).alias("tenant_id"),
+        text("s", k % 2).alias("site_id"),
+        F.when(k % 37 == 5, text("bad ", k)).otherwise(text("w", k)).alias("wave_id"),
+        F.when(k % 3 == 0, "p0").otherwise(text("p", k)).alias("process_id"),
         variables.alias("variables"),
         k,
     )
@@ -183,7 +183,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.expr("interval 1 hour")
     return resolved.select(
         "tenant_id", "site_id",
-        _text("picking/", F.col("tenant_id"), "/", F.col("wave_id")).alias("workflow_id"),
+        text("picking/", F.col("tenant_id"), "/", F.col("wave_id")).alias("workflow_id"),
         F.lit("r0").alias("run_id"),
         "wave_id", "hop", "step_id", "aisle", "alternative",
         F.when(F.col("hop") <= 6, origin + hours * F.col("hop")).alias("started_at"),
@@ -198,12 +198,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One signal per order line; alert ids repeat, some tenants and sites are foreign."""
     k, line, supp = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
     aisles = F.array(*[F.lit(a) for a in ("A01", "A02", "B01", "B02", "PACK", "Z99", "A03")])
-    tenant = _text("t", k % 3)
+    tenant = text("t", k % 3)
     return table(spark, sf_dir, "lineitem").select(
-        F.when(supp % 13 == 2, "").otherwise(_text("al_", F.col("l_partkey") % 40)).alias("alert_id"),
+        F.when(supp % 13 == 2, "").otherwise(text("al_", F.col("l_partkey") % 40)).alias("alert_id"),
         F.when(supp % 7 == 0, "other").otherwise(tenant).alias("tenant_id"),
-        F.when(supp % 11 == 0, "s9").otherwise(_text("s", k % 2)).alias("site_id"),
-        _text("picking/", tenant, "/w", k).alias("workflow_id"),
+        F.when(supp % 11 == 0, "s9").otherwise(text("s", k % 2)).alias("site_id"),
+        text("picking/", tenant, "/w", k).alias("workflow_id"),
         F.lit("r0").alias("run_id"),
         F.get(aisles, line - 1).alias("aisle"),
         (

@@ -56,6 +56,7 @@ class ModelTables:
     nodes: DataFrame
     flows: DataFrame
     document_violations: DataFrame
+    elements: DataFrame
 
 
 def read_process_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -91,12 +92,20 @@ def _stripped(xml: Column) -> Column:
 
 
 def _tags(body: Column) -> Column:
-    """Opening tags as (name, attributes)."""
+    """Opening tags as (name, text of the attributes)."""
     names = F.regexp_extract_all(body, F.lit(_TAG), F.lit(1))
     texts = F.regexp_extract_all(body, F.lit(_TAG), F.lit(2))
     return F.arrays_zip(names.alias("name"), texts.alias("text"))
 
 
+def _read_tags(tags: Column) -> Column:
+    """Tags with `local`, the name without prefix, and `attributes`, their names: each check uses them."""
+    return F.transform(tags, lambda t: F.struct(
+        t["name"].alias("name"), t["text"].alias("text"), F.substring_index(t["name"], ":", -1).alias("local"),
+        F.regexp_extract_all(t["text"], F.lit(_ATTRIBUTE), F.lit(1)).alias("attributes"),
+    ))
+
+
 def _prefix(root: Column, namespace: str | Column) -> Column:
     """Prefix (with its colon) the root tag binds to a namespace; empty for the default, else null."""
     uri = F.lit(namespace) if isinstance(namespace, str) else namespace
@@ -114,9 +123,9 @@ def _prefix(root: Column, namespace: str | Column) -> Column:
     )
 
 
-def _unknown_attributes(tag: Column, local: Column, extension: Column) -> Column:
+def _unknown_attributes(tag: Column, extension: Column) -> Column:
     """Attribute names a tag must not carry."""
-    names = F.regexp_extract_all(tag["text"], F.lit(_ATTRIBUTE), F.lit(1))
+    names, local = tag["attributes"], tag["local"]
     allowed = F.array().cast("array<string>")
     for kind, plain in PLAIN_ATTRIBUTES.items():
         own = F.array(*[F.lit(a) for a in plain])
@@ -172,7 +181,19 @@ def parse_process_models(documents: DataFrame, extension_namespace: str) -> Mode
         text(F.col("_f._targetRef")).alias("target"),
         text(F.col("_f._value")).alias("value"),
     )
-    return ModelTables(processes, nodes, flows, _document_violations(parsed, extension_namespace))
+    # nodes and flows as one table: each document is parsed once, not once for either
+    blank = lambda *names: [F.lit("").alias(n) for n in names]
+    of_node = ("id", "kind", "aisle", "alternative", "variable")
+    as_node = lambda n: F.struct(*[n[c].alias(c) for c in of_node], *blank("source", "target", "value"))
+    as_flow = lambda f: F.struct(
+        text(f["_id"]).alias("id"), F.lit(FLOW).alias("kind"), *blank("aisle", "alternative", "variable"),
+        text(f["_sourceRef"]).alias("source"), text(f["_targetRef"]).alias("target"), text(f["_value"]).alias("value"),
+    )
+    both = F.concat(
+        F.transform(listed, as_node), F.transform(F.coalesce(F.col(f"_p.{FLOW}"), F.array().cast(_FLOW)), as_flow)
+    )
+    elements = found.select("process_id", F.explode(both).alias("_e")).select("process_id", "_e.*")
+    return ModelTables(processes, nodes, flows, _document_violations(parsed, extension_namespace), elements)
 
 
 def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFrame:
@@ -190,10 +211,11 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
     )
     rows = parsed.withColumn("_body", _stripped(F.coalesce("xml", F.lit(""))))
     rows = rows.withColumn("_tags", _tags(F.col("_body")))
+    rows = rows.withColumn("_tags", _read_tags(F.col("_tags")))
     root = F.get("_tags", F.lit(0))["text"]
     rows = rows.withColumn("_model", _prefix(root, MODEL_NAMESPACE))
     rows = rows.withColumn("_ext", _prefix(root, extension_namespace))
-    local = lambda t: F.element_at(F.split(t["name"], ":"), -1)
+    local = lambda t: t["local"]
 
     names = F.transform("_tags", local)
     foreign = F.filter(
@@ -206,7 +228,7 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
         F.transform(
             inner,
             lambda t: F.transform(
-                _unknown_attributes(t, local(t), F.col("_ext")),
+                _unknown_attributes(t, F.col("_ext")),
                 lambda a: F.concat(local(t), F.lit("@"), a),
             ),
         )
