@@ -258,3 +258,35 @@ def test_routes(spark):
     ]
     errors = {r.wave_id: r.reason for r in routes.route_errors(waves, *tables).collect()}
     assert errors == {"w3": "no_branch", "w4": "no_branch", "w 5": "invalid_input", "w6": "unknown_process", "w7": "invalid_model"}
+
+
+def test_elements_are_nodes_and_flows_in_one_table(spark):
+    rows = [("d", GOOD), ("none", document([], "empty"))]
+    found = pf.parse_process_models(spark.createDataFrame(rows, "doc_id string, xml string"), NS)
+    both = {(r.process_id, r.id, r.kind, r.aisle, r.alternative, r.variable, "", "", "") for r in found.nodes.collect()}
+    both |= {(r.process_id, r.id, "sequenceFlow", "", "", "", r.source, r.target, r.value) for r in found.flows.collect()}
+    got = found.elements.select("process_id", "id", "kind", "aisle", "alternative", "variable", "source", "target", "value")
+    assert {tuple(r) for r in got.collect()} == both and got.count() == len(both) > 10
+
+
+def test_equal_graphs_are_judged_once(spark):
+    ids = ["s", "a", "b", "e"]
+    looped = [("s", "a"), ("a", "b"), ("b", "a"), ("b", "e")]
+    nodes, flows = graph_frames(spark, {f"m{i}": (ids, looped) for i in range(40)} | {"a": (ids, looped), "bad id": (ids, looped)})
+    flows = flows.withColumn("id", F.concat("source", F.lit("_"), "target"))
+    names = [f"m{i}" for i in range(40)] + ["a", "bad id", "void"]
+    processes = spark.createDataFrame([(n, n, "true", 10) for n in [*names, "m3"]], "doc_id string, process_id string, is_executable string, n_bytes long")
+    models, listed = pm.packed_models(processes, nodes, flows)
+    judged = []
+
+    def check(named, *tables):
+        judged.append(named.count())
+        return pm._walk_rules(named, *tables)
+
+    assert listed is None and pm.graph_rules(models, check).count() == 42
+    assert judged == [2]  # the graph of 42 models, and that of the model without elements
+    found = {tuple(r) for r in pm.model_violations(processes, nodes, flows).collect()}
+    assert {(m, "cycle", m) for m in names[:-1]} == {v for v in found if v[1] == "cycle"}
+    assert {v for v in found if v[1] in ("invalid_id", "duplicate_id")} == {
+        ("m3", "duplicate_id", "m3"), ("a", "duplicate_id", "a"), ("bad id", "invalid_id", "bad id")}
+    assert {v for v in found if v[0] == "void"} == {("void", "start_end", "start"), ("void", "start_end", "end"), ("void", "has_tasks", "void")}

@@ -4,8 +4,8 @@ Inputs: `processes(doc_id, process_id, is_executable, n_bytes)`,
 `nodes(process_id, id, kind, aisle, alternative, variable)` and
 `flows(process_id, id, source, target, value)`. Absent attributes are empty.
 Every check yields `(process_id, rule, subject)`; a model without a violation
-is valid. Rules that need the same grouping share one pass over the rows, so
-all checks together take a handful of shuffles.
+is valid. The rows of a model are packed by one shuffle; graphs that are equal
+but for the id of their model are judged once, whatever number of models has them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
-from wavetrail.session import cut, small_side
+from wavetrail.session import cut, small_side, written
 
 # Element kinds and size limits.
 START, END, TASK, GATEWAY, FLOW = (
@@ -125,7 +125,7 @@ def degree_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return _emit(per_id, ("degrees", misfit, F.col("id")))
 
 
-def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+def _id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Rules on an id within its model: invalid_id, duplicate_id, dangling,
     branch_value_scope, branch_values, degrees.
 
@@ -207,20 +207,6 @@ def oversize_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return counts.filter(F.col("_n") > MAX_ELEMENTS).select(PID)
 
 
-def bounded_models(nodes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and flows of the models that fit in one row, partitioned by model.
-
-    A model that holds most of all rows is oversize: its rows are counted with a
-    partial aggregation and dropped before the shuffle. What is left has the
-    bound of a document per model, so later steps group by model without another shuffle.
-    """
-    listed = cut(oversize_models(nodes, flows))
-    if not listed.isEmpty():
-        listed = small_side(listed)
-        nodes, flows = nodes.join(listed, PID, "left_anti"), flows.join(listed, PID, "left_anti")
-    return nodes.repartition(PID), flows.repartition(PID)
-
-
 def _walked(start: str, ids: list[str], edges: list[tuple[str, str]]) -> tuple[bool, list[str]]:
     """(a walk from `start` can repeat a node, ids that no walk reaches)."""
     follow: dict[str, list[str]] = {}
@@ -256,13 +242,12 @@ def _walk_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], [PID, "rule", "subject"])
 
 
-def walk_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+def _walk_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Rules on what the start reaches, for models with one start: cycle, unreachable.
 
-    Every model within the bound of a document is packed into one row by one shuffle and walked
-    once, in time linear in its elements; a join per hop would need one shuffle per node.
+    Every model is packed into one row by one shuffle and walked once, in time linear in its
+    elements; a join per hop would need one shuffle per node.
     """
-    nodes, flows = bounded_models(nodes, flows)
     models = nodes.groupBy(PID).agg(
         F.collect_list(F.when(F.col("kind") == START, F.col("id"))).alias("starts"),
         F.collect_set("id").alias("ids"),
@@ -272,6 +257,106 @@ def walk_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return packed.mapInArrow(_walk_batches, f"{PID} string, rule string, subject string")
 
 
+# --- equal graphs ---------------------------------------------------------
+
+_NODE, _FLOW = ("id", "kind", "aisle", "alternative", "variable"), ("id", "source", "target", "value")
+
+
+def packed_models(
+    processes: DataFrame, nodes: DataFrame, flows: DataFrame, used: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """One written row per model: `nodes`, `flows`, `n_processes`; and the ids of oversize models, if there are any.
+
+    A model that holds most of all rows is oversize: its rows are counted with a partial
+    aggregation and dropped before the shuffle. What is left has the bound of a document per
+    model and is combined per task before it is shuffled. With `used`, only its models are kept.
+    """
+    listed = cut(oversize_models(nodes, flows))
+    if listed.isEmpty():
+        listed = None
+    else:
+        listed = small_side(listed)
+        processes, nodes, flows = (t.join(listed, PID, "left_anti") for t in (processes, nodes, flows))
+    none = F.lit(None)
+    node, flow = F.struct(*_NODE), F.struct(*_FLOW)
+    rows = nodes.select(PID, node.alias("_n"), none.alias("_f"), F.lit(0).alias("_p"))
+    rows = rows.unionByName(flows.select(PID, none.alias("_n"), flow.alias("_f"), F.lit(0).alias("_p")))
+    rows = rows.unionByName(processes.select(PID, none.alias("_n"), none.alias("_f"), F.lit(1).alias("_p")))
+    models = rows.groupBy(PID).agg(
+        F.collect_list("_n").alias("nodes"), F.collect_list("_f").alias("flows"), F.sum("_p").alias("n_processes")
+    )
+    if used is not None:
+        models = models.join(used, PID, "left_semi")
+    return written(models, "models"), listed
+
+
+def _graph() -> Column:
+    """What the rules on a graph read: ids and kinds of the nodes, the flows."""
+    nodes = F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["kind"].alias("kind")))
+    return F.struct(nodes.alias("nodes"), F.col("flows").alias("flows"))
+
+
+def graph_rules(models: DataFrame, *checks) -> DataFrame:
+    """Violations that the checks find in packed models; the id of a model takes no part in them.
+
+    Rows that are equal in nodes (id, kind) and flows, in the order they were packed, are one
+    graph: each is judged once under a number of its own, and what was found is joined back.
+    """
+    graphs = models.select(_graph().alias("graph")).distinct()
+    graphs = written(graphs.withColumn(PID, F.monotonically_increasing_id().cast("string")), "graphs")
+    tables = (
+        graphs.select(PID), graphs.select(PID, F.inline("graph.nodes")), graphs.select(PID, F.inline("graph.flows"))
+    )
+    found = checks[0](*tables)
+    for check in checks[1:]:
+        found = found.unionByName(check(*tables))
+    broken = found.groupBy(PID).agg(F.collect_list(F.struct("rule", "subject")).alias("_found"))
+    broken = written(graphs.join(broken, PID).select("graph", "_found"), "broken")
+    rows = models.select(PID, _graph().alias("graph")).join(small_side(broken), "graph").select(PID, F.inline("_found"))
+    # these name the model itself
+    own = F.when(F.col("rule").isin("has_tasks", "cycle"), F.col(PID)).otherwise(F.col("subject"))
+    return rows.select(PID, "rule", own.alias("subject"))
+
+
+def _element_id_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    return _id_rules(nodes.select(PID).limit(0), nodes, flows)
+
+
+def _model_id_rules(models: DataFrame) -> DataFrame:
+    """invalid_id and duplicate_id of the id of a model, where its elements alone do not break them."""
+    mine = lambda items: F.size(F.filter(items, lambda x: x["id"].eqNullSafe(F.col(PID))))
+    named, own = F.col("n_processes"), mine("nodes") + mine("flows")
+    rows = models.select(PID, named.alias("_c"), own.alias("_own")).filter("_c > 0 and _own < 2")
+    return _emit(
+        rows,
+        ("invalid_id", (F.col("_own") == 0) & ~valid_id(PID), F.col(PID)),
+        ("duplicate_id", F.col("_c") + F.col("_own") > 1, F.col(PID)),
+    )
+
+
+def _with_oversize(found: DataFrame, listed: DataFrame | None, tables: tuple, *checks) -> DataFrame:
+    """`found` and the violations of the oversize models, whose rows are never packed."""
+    if listed is not None:
+        large = [t.join(listed, PID, "left_semi") for t in tables]
+        for check in checks:
+            found = found.unionByName(check(*large))
+    return found
+
+
+def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Rules on an id within its model: invalid_id, duplicate_id, dangling,
+    branch_value_scope, branch_values, degrees."""
+    models, listed = packed_models(processes, nodes, flows)
+    found = graph_rules(models, _element_id_rules).unionByName(_model_id_rules(models))
+    return _with_oversize(found, listed, (processes, nodes, flows), _id_rules)
+
+
+def walk_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """Rules on what the start reaches, for models with one start: cycle, unreachable."""
+    none = nodes.select(PID).limit(0)
+    return graph_rules(packed_models(none, nodes, flows)[0], _walk_rules)
+
+
 # --- everything -----------------------------------------------------------
 
 # Order in which the first violation of a model is named.
@@ -295,15 +380,17 @@ RULE_ORDER = (
 )
 
 
+def packed_violations(models: DataFrame) -> DataFrame:
+    """Violations of every rule on nodes, flows and ids of packed models."""
+    graph = graph_rules(models, count_rules, _element_id_rules, _walk_rules)
+    return graph.unionByName(_model_id_rules(models))
+
+
 def model_violations(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Violations of every rule."""
-    return (
-        node_rules(nodes)
-        .unionByName(process_rules(processes))
-        .unionByName(count_rules(processes, nodes, flows))
-        .unionByName(id_rules(processes, nodes, flows))
-        .unionByName(walk_rules(nodes, flows))
-    )
+    models, listed = packed_models(processes, nodes, flows)
+    found = node_rules(nodes).unionByName(process_rules(processes)).unionByName(packed_violations(models))
+    return _with_oversize(found, listed, (processes, nodes, flows), count_rules, _id_rules)
 
 
 def first_violation(violations: DataFrame) -> DataFrame:
@@ -316,23 +403,23 @@ def first_violation(violations: DataFrame) -> DataFrame:
     )
 
 
-def refused_models(
-    processes: DataFrame, nodes: DataFrame, flows: DataFrame, document_violations: DataFrame | None = None
-) -> DataFrame:
-    """Ids of models with any violation, of the graph or of the document they come from."""
-    broken = model_violations(processes, nodes, flows).select(PID)
-    if document_violations is not None:
-        documents = document_violations.select("doc_id").distinct()
-        broken = broken.unionByName(processes.join(documents, "doc_id", "left_semi").select(PID))
-    return broken.distinct()
+def document_refused(processes: DataFrame, document_violations: DataFrame | None) -> DataFrame | None:
+    """Ids of models from a document with a violation."""
+    if document_violations is None:
+        return None
+    documents = document_violations.select("doc_id").distinct()
+    return processes.join(documents, "doc_id", "left_semi").select(PID)
 
 
 def valid_models(
     processes: DataFrame, nodes: DataFrame, flows: DataFrame, document_violations: DataFrame | None = None
 ) -> DataFrame:
     """Ids of models without any violation, of the graph or of their document."""
-    broken = refused_models(processes, nodes, flows, document_violations)
-    return processes.select(PID).join(broken, PID, "left_anti")
+    broken = model_violations(processes, nodes, flows).select(PID)
+    refused = document_refused(processes, document_violations)
+    if refused is not None:
+        broken = broken.unionByName(refused)
+    return processes.select(PID).join(broken.distinct(), PID, "left_anti")
 
 
 def canonical_order(rows: DataFrame) -> DataFrame:

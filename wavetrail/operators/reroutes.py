@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import workflow_id
 from wavetrail.operators.ordered import first_per
-from wavetrail.session import cut
+from wavetrail.session import written
 
 RUN = ("tenant_id", "site_id", "workflow_id", "run_id")
 
@@ -116,7 +116,7 @@ def run_results(steps: DataFrame, accepted: DataFrame, as_of: Column) -> DataFra
 
     The accepted alerts themselves are the rows of `run_accepted_alerts`.
     """
-    finished = cut(finished_runs(steps, accepted, as_of))
+    finished = written(finished_runs(steps, accepted, as_of), "finished")
     counts = _drained(finished, accepted).groupBy(*RUN).agg(F.count("*").alias("n_accepted"))
     return finished.join(counts, list(RUN), "left").select(
         *RUN,

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
-from wavetrail.operators.process_models import END, GATEWAY, PID, START, TASK, refused_models
-from wavetrail.session import cut, small_side
+from wavetrail.operators.process_models import (
+    END, GATEWAY, PID, START, TASK, document_refused, node_rules, packed_models, packed_violations, process_rules,
+)
+from wavetrail.session import small_side, written
 
 WAVE_KEY = ("tenant_id", "site_id", "wave_id")
 DONE, RUNNING = "done", "running"
@@ -21,31 +23,27 @@ def valid_input() -> Column:
     return valid_id("tenant_id") & valid_id("site_id") & valid_id("wave_id")
 
 
-def packed_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """One row per valid model: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
+def model_graphs(models: DataFrame) -> DataFrame:
+    """Per valid packed model: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
 
     `graph` maps a node id to its kind and step, `outgoing` a node id to its
     targets by branch value. A valid model has a bounded number of nodes, each id once.
     """
-    entry = F.struct("id", "kind", "aisle", "alternative", "variable")
-    is_start, is_gateway = F.col("kind") == START, F.col("kind") == GATEWAY
-    graphs = (
-        nodes.groupBy(PID)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col("id"), entry))).alias("graph"),
-            F.array_min(F.collect_list(F.when(is_start, F.col("id")))).alias("start"),
-            F.array_sort(F.collect_set(F.when(is_gateway, F.col("variable")))).alias("variables"),
-            F.count("*").cast("int").alias("n_nodes"),
-        )
+    of_kind = lambda kind, field: F.transform(
+        F.filter("nodes", lambda n: n["kind"] == kind), lambda n: n[field]
     )
-    targets = (
-        flows.groupBy(PID, "source")
-        .agg(F.map_from_entries(F.collect_list(F.struct("value", "target"))).alias("targets"))
-        .groupBy(PID)
-        .agg(F.map_from_entries(F.collect_list(F.struct("source", "targets"))).alias("outgoing"))
+    sources = F.array_distinct(F.transform("flows", lambda f: f["source"]))
+    targets = lambda s: F.map_from_entries(F.transform(
+        F.filter("flows", lambda f: f["source"] == s), lambda f: F.struct(f["value"], f["target"])
+    ))
+    return models.select(
+        PID,
+        F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["id"], n))).alias("graph"),
+        F.array_min(of_kind(START, "id")).alias("start"),
+        F.array_sort(F.array_distinct(of_kind(GATEWAY, "variable"))).alias("variables"),
+        F.size("nodes").alias("n_nodes"),
+        F.map_from_entries(F.transform(sources, lambda s: F.struct(s, targets(s)))).alias("outgoing"),
     )
-    none = F.create_map().cast("map<string,map<string,string>>")
-    return graphs.join(targets, PID, "left").withColumn("outgoing", F.coalesce("outgoing", none))
 
 
 def _walk() -> Column:
@@ -100,26 +98,32 @@ def _choices(waves: DataFrame, models: DataFrame) -> DataFrame:
 def named_models(
     waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
     document_violations: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Known models that some wave names, with `refused` (the model has a violation), their nodes and flows.
+) -> tuple[DataFrame, DataFrame]:
+    """Known models that some wave names, with `refused` (the model has a violation), and their packed rows.
 
-    All three are materialised: nodes and flows are filtered once, and every rule and the packing read
-    the written rows.
+    Both are materialised: nodes and flows are packed once, and every rule and the walk read the
+    written rows.
     """
-    used = small_side(cut(waves.select(PID).distinct()))
-    nodes, flows = cut(nodes.join(used, PID, "left_semi")), cut(flows.join(used, PID, "left_semi"))
+    used = small_side(written(waves.select(PID).distinct(), "used"))
+    models, listed = packed_models(processes, nodes, flows, used)
     known = processes.join(used, PID, "left_semi")
     # a document is judged with all its processes, named by a wave or not
     whole = processes.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    broken = refused_models(whole, nodes, flows, document_violations).withColumn("_broken", F.lit(True))
-    listed = known.select(PID).distinct().join(broken, PID, "left")
-    return cut(listed.select(PID, F.coalesce("_broken", F.lit(False)).alias("refused"))), nodes, flows
-
-
-def wave_routes(waves: DataFrame, named: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    found = packed_violations(models).unionByName(process_rules(whole))
+    found = found.unionByName(node_rules(models.select(PID, F.inline("nodes"))))
+    # an oversize model breaks the size rule
+    for refused in (document_refused(whole, document_violations), listed):
+        if refused is not None:
+            found = found.select(PID).unionByName(refused.select(PID))
+    broken = found.select(PID).distinct().withColumn("_broken", F.lit(True))
+    named = known.select(PID).distinct().join(broken, PID, "left")
+    return written(named.select(PID, F.coalesce("_broken", F.lit(False)).alias("refused")), "named"), models
+
+
+def wave_routes(waves: DataFrame, named: DataFrame, models: DataFrame) -> DataFrame:
     """Per wave with valid input and a valid model of `named_models`: `status` and `steps`."""
     valid = small_side(named.filter(~F.col("refused")).select(PID))
-    models = cut(packed_models(nodes.join(valid, PID, "left_semi"), flows.join(valid, PID, "left_semi")))
+    models = written(model_graphs(models.join(valid, PID, "left_semi")), "valid")
     chosen = _choices(waves, models)
     distinct = chosen.select(PID, "choices").distinct()
     routes = (
@@ -135,7 +139,7 @@ def wave_routes(waves: DataFrame, named: DataFrame, nodes: DataFrame, flows: Dat
             "steps",
         )
     )
-    return chosen.join(small_side(cut(routes)), [PID, "choices"]).drop("choices")
+    return chosen.join(small_side(written(routes, "routes")), [PID, "choices"]).drop("choices")
 
 
 def resolve_routes(
@@ -143,8 +147,8 @@ def resolve_routes(
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Steps of every wave whose walk of a valid model reaches an end: (hop, step_id, aisle, alternative)."""
-    named, nodes, flows = named_models(waves, processes, nodes, flows, document_violations)
-    done = wave_routes(waves, named, nodes, flows).filter(F.col("status") == DONE)
+    named, models = named_models(waves, processes, nodes, flows, document_violations)
+    done = wave_routes(waves, named, models).filter(F.col("status") == DONE)
     return done.select(*WAVE_KEY, PID, F.posexplode("steps").alias("_pos", "_step")).select(
         *WAVE_KEY,
         PID,
@@ -160,7 +164,7 @@ def route_errors(
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Waves without a route and why: invalid_input, unknown_process, invalid_model or no_branch."""
-    named, nodes, flows = named_models(waves, processes, nodes, flows, document_violations)
+    named, models = named_models(waves, processes, nodes, flows, document_violations)
     told = waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")).join(small_side(named), PID, "left")
     reason = (
         F.when(~F.col("_ok"), "invalid_input")
@@ -168,5 +172,5 @@ def route_errors(
         .when(F.col("refused"), "invalid_model")
     )
     early = told.select(*WAVE_KEY, PID, reason.alias("reason")).filter("reason is not null")
-    stopped = wave_routes(waves, named, nodes, flows).filter(F.col("status") != DONE)
+    stopped = wave_routes(waves, named, models).filter(F.col("status") != DONE)
     return early.unionByName(stopped.select(*WAVE_KEY, PID, F.col("status").alias("reason")))

@@ -11,7 +11,7 @@ from wavetrail.plans import models
 from wavetrail.plans.models import MODELS_SQL, STEPS_SQL, WALK_SQL, WAVES_SQL
 from wavetrail.plans.movements import with_
 from wavetrail.plans.registry import query
-from wavetrail.session import cut
+from wavetrail.session import written
 
 ID = "regexp_matches({}, '^[A-Za-z0-9_-]{{1,64}}$')"
 
@@ -250,8 +250,8 @@ RUN_SQL = "tenant_id, site_id, workflow_id, run_id"
 
 def _accepted(spark, sf_dir):
     """Steps and accepted signals as tables: both are read more than once."""
-    steps = cut(models.steps(spark, sf_dir))
-    return steps, cut(rr.accept_signals(steps, models.signals(spark, sf_dir)))
+    steps = written(models.steps(spark, sf_dir), "steps")
+    return steps, written(rr.accept_signals(steps, models.signals(spark, sf_dir)), "accepted")
 
 
 @query("allowed_aisles", _route_sql(f"select {RUN_SQL}, aisle from allowed where aisle <> ''"))
