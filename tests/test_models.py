@@ -290,3 +290,44 @@ def test_equal_graphs_are_judged_once(spark):
     assert {v for v in found if v[1] in ("invalid_id", "duplicate_id")} == {
         ("m3", "duplicate_id", "m3"), ("a", "duplicate_id", "a"), ("bad id", "invalid_id", "bad id")}
     assert {v for v in found if v[0] == "void"} == {("void", "start_end", "start"), ("void", "start_end", "end"), ("void", "has_tasks", "void")}
+
+
+def test_routes_of_equal_graphs_are_walked_once(spark, monkeypatch):
+    """Models that differ in nothing but their id share one walk; an aisle or a null makes another graph."""
+    def nodes_of(pid, aisle, alternative=""):
+        return [(pid, "s", "startEvent", "", "", ""), (pid, "a", "serviceTask", aisle, alternative, ""), (pid, "e", "endEvent", "", "", "")]
+
+    names = [f"m{i}" for i in range(30)]
+    rows = [r for n in names for r in nodes_of(n, "A1")] + nodes_of("other", "A2") + nodes_of("null", "A1", None)
+    rows += nodes_of("split", "A, B") + nodes_of("f1", "A1")
+    nodes = spark.createDataFrame(rows, "process_id string, id string, kind string, aisle string, alternative string, variable string")
+    pids = [*names, "other", "null", "split", "f1"]
+    flows = spark.createDataFrame(
+        [f for p in pids for f in [(p, "f1", "s", "a", ""), (p, "f2", "a", "e", "")]],
+        "process_id string, id string, source string, target string, value string",
+    )
+    processes = spark.createDataFrame([(p, p, "true", 10) for p in pids], "doc_id string, process_id string, is_executable string, n_bytes long")
+    keys, graphs = pm.shared_graphs(pm.packed_models(processes, nodes, flows)[0])
+    named = {r.process_id: r.graph_id for r in keys.collect()}
+    # "f1" has a flow of its own name, and the graph of the others
+    assert len({named[n] for n in [*names, "f1"]}) == 1 and graphs.count() == 4 == len(set(named.values()))
+    walked = []
+    packed = routes.model_graphs
+    monkeypatch.setattr(routes, "model_graphs", lambda g: walked.append(g.count()) or packed(g))
+    waves = spark.createDataFrame(
+        [("t", "s", f"w_{p}", p, None) for p in pids],
+        "tenant_id string, site_id string, wave_id string, process_id string, variables map<string,string>",
+    )
+    steps = {r.process_id: (r.hop, r.step_id, r.aisle) for r in routes.resolve_routes(waves, processes, nodes, flows).collect()}
+    assert {p: s for p, s in steps.items() if p in names} == {n: (1, "a", "A1") for n in names}
+    assert steps["other"] == (1, "a", "A2") and "split" not in steps and "f1" not in steps
+    assert walked[0] <= 3
+
+
+def test_orders_are_spread_before_they_become_models(spark, tmp_path, monkeypatch):
+    from wavetrail.plans import models as plan
+
+    spark.range(1000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(plan, "ORDERS_PER_TASK", 25)
+    assert plan.nodes(spark, str(tmp_path)).rdd.getNumPartitions() >= 40
+    assert plan.flows(spark, str(tmp_path)).rdd.getNumPartitions() >= 40

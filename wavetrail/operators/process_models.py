@@ -265,7 +265,8 @@ _NODE, _FLOW = ("id", "kind", "aisle", "alternative", "variable"), ("id", "sourc
 def packed_models(
     processes: DataFrame, nodes: DataFrame, flows: DataFrame, used: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """One written row per model: `nodes`, `flows`, `n_processes`; and the ids of oversize models, if there are any.
+    """One written row per model: `nodes`, `flows`, `n_processes`, `n_own` (elements named like the model), `content`
+    (a digest of nodes and flows) and `row`, its number; and the ids of oversize models, if there are any.
 
     A model that holds most of all rows is oversize: its rows are counted with a partial
     aggregation and dropped before the shuffle. What is left has the bound of a document per
@@ -287,50 +288,66 @@ def packed_models(
     )
     if used is not None:
         models = models.join(used, PID, "left_semi")
+    mine = lambda items: F.size(F.filter(items, lambda x: x["id"].eqNullSafe(F.col(PID))))
+    whole = F.struct("nodes", "flows")
+    models = models.withColumns({
+        "n_own": mine("nodes") + mine("flows"),
+        # the text alone does not tell a separator inside a value, the hash alone skips nulls
+        "content": F.concat(F.sha2(whole.cast("string"), 256), F.hex(F.xxhash64(whole))),
+        "row": F.monotonically_increasing_id(),
+    })
     return written(models, "models"), listed
 
 
-def _graph() -> Column:
-    """What the rules on a graph read: ids and kinds of the nodes, the flows."""
-    nodes = F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["kind"].alias("kind")))
-    return F.struct(nodes.alias("nodes"), F.col("flows").alias("flows"))
+def shared_graphs(models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packed models as two written tables, `keys` and `graphs`.
+
+    `keys`: per model its `graph_id`, `n_processes` and `n_own`. `graphs`: one row per different graph with `nodes`
+    and `flows`, the graph id in the column of the model id. Rows of equal content, in the order they were packed,
+    are one graph, named after the first of them; no later step carries or compares the elements of a model.
+    """
+    first = small_side(written(models.groupBy("content").agg(F.min("row").alias("row")), "contents"))
+    graph_id = F.col("row").cast("string")
+    graphs = models.select("row", "nodes", "flows").join(first.select("row"), "row")
+    keys = models.select(PID, "n_processes", "n_own", "content").join(first, "content")
+    keys = keys.select(PID, graph_id.alias("graph_id"), "n_processes", "n_own")
+    return written(keys, "keys"), written(graphs.select(graph_id.alias(PID), "nodes", "flows"), "graphs")
 
 
 def graph_rules(models: DataFrame, *checks) -> DataFrame:
-    """Violations that the checks find in packed models; the id of a model takes no part in them.
+    """Violations that the checks find in packed models; the id of a model takes no part in them."""
+    return judged_graphs(*shared_graphs(models), *checks)
 
-    Rows that are equal in nodes (id, kind) and flows, in the order they were packed, are one
-    graph: each is judged once under a number of its own, and what was found is joined back.
-    """
-    graphs = models.select(_graph().alias("graph")).distinct()
-    graphs = written(graphs.withColumn(PID, F.monotonically_increasing_id().cast("string")), "graphs")
-    tables = (
-        graphs.select(PID), graphs.select(PID, F.inline("graph.nodes")), graphs.select(PID, F.inline("graph.flows"))
-    )
+
+def judged_graphs(keys: DataFrame, graphs: DataFrame, *checks) -> DataFrame:
+    """`graph_rules` of shared graphs: each is judged once under its own id, and what was found is joined back."""
+    tables = (graphs.select(PID), graphs.select(PID, F.inline("nodes")), graphs.select(PID, F.inline("flows")))
     found = checks[0](*tables)
     for check in checks[1:]:
         found = found.unionByName(check(*tables))
-    broken = found.groupBy(PID).agg(F.collect_list(F.struct("rule", "subject")).alias("_found"))
-    broken = written(graphs.join(broken, PID).select("graph", "_found"), "broken")
-    rows = models.select(PID, _graph().alias("graph")).join(small_side(broken), "graph").select(PID, F.inline("_found"))
+    broken = found.groupBy(F.col(PID).alias("graph_id")).agg(F.collect_list(F.struct("rule", "subject")).alias("_found"))
+    broken = small_side(written(broken, "broken"))
+    rows = keys.select(PID, "graph_id").join(broken, "graph_id").select(PID, F.inline("_found"))
     # these name the model itself
     own = F.when(F.col("rule").isin("has_tasks", "cycle"), F.col(PID)).otherwise(F.col("subject"))
     return rows.select(PID, "rule", own.alias("subject"))
 
 
+def _node_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    return node_rules(nodes)
+
+
 def _element_id_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return _id_rules(nodes.select(PID).limit(0), nodes, flows)
 
 
-def _model_id_rules(models: DataFrame) -> DataFrame:
+def _model_id_rules(keys: DataFrame) -> DataFrame:
     """invalid_id and duplicate_id of the id of a model, where its elements alone do not break them."""
-    mine = lambda items: F.size(F.filter(items, lambda x: x["id"].eqNullSafe(F.col(PID))))
-    named, own = F.col("n_processes"), mine("nodes") + mine("flows")
-    rows = models.select(PID, named.alias("_c"), own.alias("_own")).filter("_c > 0 and _own < 2")
+    rows = keys.filter("n_processes > 0 and n_own < 2")
     return _emit(
         rows,
-        ("invalid_id", (F.col("_own") == 0) & ~valid_id(PID), F.col(PID)),
-        ("duplicate_id", F.col("_c") + F.col("_own") > 1, F.col(PID)),
+        ("invalid_id", (F.col("n_own") == 0) & ~valid_id(PID), F.col(PID)),
+        ("duplicate_id", F.col("n_processes") + F.col("n_own") > 1, F.col(PID)),
     )
 
 
@@ -380,17 +397,17 @@ RULE_ORDER = (
 )
 
 
-def packed_violations(models: DataFrame) -> DataFrame:
+def packed_violations(keys: DataFrame, graphs: DataFrame) -> DataFrame:
     """Violations of every rule on nodes, flows and ids of packed models."""
-    graph = graph_rules(models, count_rules, _element_id_rules, _walk_rules)
-    return graph.unionByName(_model_id_rules(models))
+    graph = judged_graphs(keys, graphs, count_rules, _node_rules, _element_id_rules, _walk_rules)
+    return graph.unionByName(_model_id_rules(keys))
 
 
 def model_violations(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Violations of every rule."""
     models, listed = packed_models(processes, nodes, flows)
-    found = node_rules(nodes).unionByName(process_rules(processes)).unionByName(packed_violations(models))
-    return _with_oversize(found, listed, (processes, nodes, flows), count_rules, _id_rules)
+    found = process_rules(processes).unionByName(packed_violations(*shared_graphs(models)))
+    return _with_oversize(found, listed, (processes, nodes, flows), count_rules, _node_rules, _id_rules)
 
 
 def first_violation(violations: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Route resolution: waves walk a valid process model to an ordered list of steps.
 
-Waves that give the same values to a model's gateway variables take the same
-route, so each (model, values) pair is walked once and joined back to its waves.
+Waves that give the same values to a model's gateway variables take the same route, whichever
+model of that graph they name, so each (graph, values) pair is walked once and joined back to its waves.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
 from wavetrail.operators.process_models import (
-    END, GATEWAY, PID, START, TASK, document_refused, node_rules, packed_models, packed_violations, process_rules,
+    END, GATEWAY, PID, START, TASK, document_refused, packed_models, packed_violations, process_rules,
+    shared_graphs,
 )
 from wavetrail.session import small_side, written
 
@@ -23,8 +24,8 @@ def valid_input() -> Column:
     return valid_id("tenant_id") & valid_id("site_id") & valid_id("wave_id")
 
 
-def model_graphs(models: DataFrame) -> DataFrame:
-    """Per valid packed model: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
+def model_graphs(graphs: DataFrame) -> DataFrame:
+    """Per graph of a valid model: `graph`, `outgoing`, `start`, `variables`, `n_nodes`.
 
     `graph` maps a node id to its kind and step, `outgoing` a node id to its
     targets by branch value. A valid model has a bounded number of nodes, each id once.
@@ -36,8 +37,8 @@ def model_graphs(models: DataFrame) -> DataFrame:
     targets = lambda s: F.map_from_entries(F.transform(
         F.filter("flows", lambda f: f["source"] == s), lambda f: F.struct(f["value"], f["target"])
     ))
-    return models.select(
-        PID,
+    return graphs.select(
+        "graph_id",
         F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["id"], n))).alias("graph"),
         F.array_min(of_kind(START, "id")).alias("start"),
         F.array_sort(F.array_distinct(of_kind(GATEWAY, "variable"))).alias("variables"),
@@ -83,15 +84,16 @@ def _walk() -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.col("n_nodes")), first, hop)
 
 
-def _choices(waves: DataFrame, models: DataFrame) -> DataFrame:
-    """Waves with `choices`: the model's gateway variables and the wave's values."""
-    variables = models.select(PID, F.col("variables").alias("_names"))
+def _choices(waves: DataFrame, valid: DataFrame, walkable: DataFrame) -> DataFrame:
+    """Waves of a valid model with its graph and `choices`: the graph's gateway variables and the wave's values."""
+    variables = walkable.select("graph_id", F.col("variables").alias("_names"))
     given = F.coalesce(F.col("variables"), F.create_map().cast("map<string,string>"))
     values = F.transform("_names", lambda n: F.struct(n, F.coalesce(given[n], F.lit(""))))
     return (
         waves.filter(valid_input())
-        .join(small_side(variables), PID)
-        .select(*WAVE_KEY, PID, values.alias("choices"))
+        .join(small_side(valid), PID)
+        .join(small_side(variables), "graph_id")
+        .select(*WAVE_KEY, PID, "graph_id", values.alias("choices"))
     )
 
 
@@ -99,47 +101,50 @@ def named_models(
     waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
     document_violations: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Known models that some wave names, with `refused` (the model has a violation), and their packed rows.
+    """Known models that some wave names, with `refused` (the model has a violation) and `graph_id`, and their graphs.
 
     Both are materialised: nodes and flows are packed once, and every rule and the walk read the
-    written rows.
+    written graphs.
     """
     used = small_side(written(waves.select(PID).distinct(), "used"))
     models, listed = packed_models(processes, nodes, flows, used)
+    keys, graphs = shared_graphs(models)
     known = processes.join(used, PID, "left_semi")
     # a document is judged with all its processes, named by a wave or not
     whole = processes.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = packed_violations(models).unionByName(process_rules(whole))
-    found = found.unionByName(node_rules(models.select(PID, F.inline("nodes"))))
+    found = packed_violations(keys, graphs).unionByName(process_rules(whole))
     # an oversize model breaks the size rule
     for refused in (document_refused(whole, document_violations), listed):
         if refused is not None:
             found = found.select(PID).unionByName(refused.select(PID))
     broken = found.select(PID).distinct().withColumn("_broken", F.lit(True))
-    named = known.select(PID).distinct().join(broken, PID, "left")
-    return written(named.select(PID, F.coalesce("_broken", F.lit(False)).alias("refused")), "named"), models
+    named = known.select(PID).distinct().join(broken, PID, "left").join(keys.select(PID, "graph_id"), PID, "left")
+    refused = F.coalesce("_broken", F.lit(False)).alias("refused")
+    return written(named.select(PID, refused, "graph_id"), "named"), graphs
 
 
-def wave_routes(waves: DataFrame, named: DataFrame, models: DataFrame) -> DataFrame:
+def wave_routes(waves: DataFrame, named: DataFrame, graphs: DataFrame) -> DataFrame:
     """Per wave with valid input and a valid model of `named_models`: `status` and `steps`."""
-    valid = small_side(named.filter(~F.col("refused")).select(PID))
-    models = written(model_graphs(models.join(valid, PID, "left_semi")), "valid")
-    chosen = _choices(waves, models)
-    distinct = chosen.select(PID, "choices").distinct()
+    valid = named.filter(~F.col("refused")).select(PID, "graph_id")
+    walked = graphs.withColumnRenamed(PID, "graph_id")
+    walked = walked.join(small_side(valid.select("graph_id").distinct()), "graph_id", "left_semi")
+    walkable = written(model_graphs(walked), "walkable")
+    chosen = _choices(waves, valid, walkable)
+    distinct = chosen.select("graph_id", "choices").distinct()
     routes = (
-        distinct.join(models.drop("variables"), PID)
+        distinct.join(walkable.drop("variables"), "graph_id")
         .withColumn("_pairs", F.col("choices"))
         .withColumn("choices", F.map_from_entries("choices"))
         # a generator, unlike a projection, is not evaluated again in later filters
-        .select(PID, "_pairs", F.inline(F.array(_walk())))
+        .select("graph_id", "_pairs", F.inline(F.array(_walk())))
         .select(
-            PID,
+            "graph_id",
             F.col("_pairs").alias("choices"),
             F.when(F.col("status") == RUNNING, "hop_bound").otherwise(F.col("status")).alias("status"),
             "steps",
         )
     )
-    return chosen.join(small_side(written(routes, "routes")), [PID, "choices"]).drop("choices")
+    return chosen.join(small_side(written(routes, "routes")), ["graph_id", "choices"]).drop("graph_id", "choices")
 
 
 def resolve_routes(
@@ -147,8 +152,8 @@ def resolve_routes(
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Steps of every wave whose walk of a valid model reaches an end: (hop, step_id, aisle, alternative)."""
-    named, models = named_models(waves, processes, nodes, flows, document_violations)
-    done = wave_routes(waves, named, models).filter(F.col("status") == DONE)
+    named, graphs = named_models(waves, processes, nodes, flows, document_violations)
+    done = wave_routes(waves, named, graphs).filter(F.col("status") == DONE)
     return done.select(*WAVE_KEY, PID, F.posexplode("steps").alias("_pos", "_step")).select(
         *WAVE_KEY,
         PID,
@@ -164,13 +169,13 @@ def route_errors(
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Waves without a route and why: invalid_input, unknown_process, invalid_model or no_branch."""
-    named, models = named_models(waves, processes, nodes, flows, document_violations)
-    told = waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")).join(small_side(named), PID, "left")
+    named, graphs = named_models(waves, processes, nodes, flows, document_violations)
+    told = waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")).join(small_side(named.drop("graph_id")), PID, "left")
     reason = (
         F.when(~F.col("_ok"), "invalid_input")
         .when(F.col("refused").isNull(), "unknown_process")
         .when(F.col("refused"), "invalid_model")
     )
     early = told.select(*WAVE_KEY, PID, reason.alias("reason")).filter("reason is not null")
-    stopped = wave_routes(waves, named, models).filter(F.col("status") != DONE)
+    stopped = wave_routes(waves, named, graphs).filter(F.col("status") != DONE)
     return early.unionByName(stopped.select(*WAVE_KEY, PID, F.col("status").alias("reason")))

@@ -14,6 +14,7 @@ from wavetrail.operators import routes
 from wavetrail.plans.registry import table
 
 K = "o_orderkey"
+ORDERS_PER_TASK = 200_000
 
 
 def text(*parts) -> Column:
@@ -32,6 +33,17 @@ def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Orders in tasks of about `ORDERS_PER_TASK`, while they are thin.
+
+    An order becomes some twenty wide rows. What a task packs of them is sorted in its memory, so the
+    number of tasks has to grow with the orders and not with the bytes of their file.
+    """
+    tasks = max(-(-rows.count() // ORDERS_PER_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+    # packed in order of their model, the wide rows come to that sort in runs
+    return rows.repartition(tasks).sortWithinPartitions("process_id")
+
+
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape(spark, sf_dir)
     first = rows.select(
@@ -85,7 +97,7 @@ def _by_place(pick, chain, *fixed) -> Column:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shape(spark, sf_dir)
+    rows = _spread(shape(spark, sf_dir))
     k, d = F.col(K), F.col("d")
     more = F.when(d == 16, 7).when(d.isin(1, 9, 12), 6).otherwise(5)
     i, j = F.col("i"), F.col("j")
@@ -122,7 +134,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shape(spark, sf_dir)
+    rows = _spread(shape(spark, sf_dir))
     n, extra, d = F.col("n"), F.col("extra"), F.col("d")
     i, c, j = F.col("i"), F.col("c"), F.col("j")
     after_picks = F.when(extra > 0, "x1").otherwise("gate")
