@@ -264,8 +264,9 @@ PASS_TIMES = ("2000-01-01 00:00:00", "2000-01-01 00:00:01", "2000-01-01 00:00:10
 def dispatch_loop(spark, sf_dir):
     """Three passes as a stream of ticks, then the state of the outbox from its attempt log."""
     ticks, path, memory = (new_table_path(spark, n) for n in ("ticks", "attempts", "passes"))
-    times = spark.createDataFrame([(t,) for t in PASS_TIMES], "at string")
-    times.select(F.col("at").cast("timestamp_ntz")).repartitionByRange(len(PASS_TIMES), "at").write.parquet(ticks)
+    for t in PASS_TIMES:  # one after another: the stream takes files in the order of their modification
+        time = spark.createDataFrame([(t,)], "at string").select(F.col("at").cast("timestamp_ntz"))
+        time.coalesce(1).write.mode("append").parquet(ticks)
     alerts, number = stored.alerts(spark, sf_dir), F.substring_index("alert_id", "_", -1).cast("long")
 
     def signal(chosen):
