@@ -331,3 +331,26 @@ def test_orders_are_spread_before_they_become_models(spark, tmp_path, monkeypatc
     monkeypatch.setattr(plan, "ORDERS_PER_TASK", 25)
     assert plan.nodes(spark, str(tmp_path)).rdd.getNumPartitions() >= 40
     assert plan.flows(spark, str(tmp_path)).rdd.getNumPartitions() >= 40
+
+
+def test_models_are_told_apart_without_packing_them(spark, monkeypatch):
+    """Thin rows: order, names and copies of models do not count; nulls, places of values and repeated elements do."""
+    def task(pid, id_="a", aisle="A1", alternative="", variable=""):
+        return (pid, id_, "serviceTask", aisle, alternative, variable)
+
+    rows = [task("x"), task("x", "b"), task("y", "b"), task("y"), task(None), task(None, "b"), task("z"), task("z"), task("z", "b")]
+    rows += [task("n1", alternative=None, variable="v"), task("n2", alternative="v", variable=None), task("n3", None, "a"), task("n4", "a", None)]
+    nodes = spark.createDataFrame(rows, "process_id string, id string, kind string, aisle string, alternative string, variable string")
+    flows = spark.createDataFrame([], "process_id string, id string, source string, target string, value string")
+    processes = spark.createDataFrame([("d", "none", "true", 1)], "doc_id string, process_id string, is_executable string, n_bytes long")
+    models = pm.packed_models(processes, nodes, flows)[0]
+    assert not any(t.startswith(("array", "map", "struct")) for _, t in models.rows.dtypes)
+    found = []
+    for small in (True, False):
+        monkeypatch.setattr(pm, "is_small", lambda df, s=small: s)
+        keys, graphs = pm.shared_graphs(models)
+        elements = {r.process_id: sorted(map(str, r.nodes)) for r in graphs.collect()}
+        graph_of = {r.process_id: r.graph_id for r in keys.collect()}
+        assert graph_of["x"] == graph_of["y"] == graph_of[None] and len(elements) == 7 == len(set(graph_of.values()))
+        found.append({p: elements[g] for p, g in graph_of.items()})
+    assert found[0] == found[1] and len(found[0]["z"]) == 3 and found[0]["none"] == []

@@ -4,17 +4,19 @@ Inputs: `processes(doc_id, process_id, is_executable, n_bytes)`,
 `nodes(process_id, id, kind, aisle, alternative, variable)` and
 `flows(process_id, id, source, target, value)`. Absent attributes are empty.
 Every check yields `(process_id, rule, subject)`; a model without a violation
-is valid. The rows of a model are packed by one shuffle; graphs that are equal
-but for the id of their model are judged once, whatever number of models has them.
+is valid. Every model becomes a thin row with a digest of its elements; graphs that are
+equal but for the id of their model are packed and judged once, whatever number of models has them.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
-from wavetrail.session import cut, small_side, written
+from wavetrail.session import is_small, small_side, written
 
 # Element kinds and size limits.
 START, END, TASK, GATEWAY, FLOW = (
@@ -200,13 +202,6 @@ def _id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataF
 # --- walks ----------------------------------------------------------------
 
 
-def oversize_models(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Models with more elements than a document can hold; the size rule reports each of them."""
-    elements = nodes.select(PID).unionByName(flows.select(PID))
-    counts = elements.groupBy(PID).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > MAX_ELEMENTS).select(PID)
-
-
 def _walked(start: str, ids: list[str], edges: list[tuple[str, str]]) -> tuple[bool, list[str]]:
     """(a walk from `start` can repeat a node, ids that no walk reaches)."""
     follow: dict[str, list[str]] = {}
@@ -260,61 +255,91 @@ def _walk_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
 # --- equal graphs ---------------------------------------------------------
 
 _NODE, _FLOW = ("id", "kind", "aisle", "alternative", "variable"), ("id", "source", "target", "value")
+_DIGEST = tuple(f"digest_{i}" for i in range(4))
+_CONTENT = ("n_nodes", "n_flows", *_DIGEST)
+
+
+class Models(NamedTuple):
+    """Models as thin rows, and the tables that hold their elements."""
+
+    rows: DataFrame
+    nodes: DataFrame
+    flows: DataFrame
+    oversize: DataFrame | None
+
+
+def _element_digest(fields: tuple[str, ...], kind: int) -> list[Column]:
+    """Two 64-bit hashes of an element as four numbers below 2^32, whose sums do not overflow.
+
+    The hash skips nulls, so it takes the places of the nulls as a value of its own.
+    """
+    nulls = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(fields)), F.lit(kind << len(fields)))
+    hashes = [F.xxhash64(F.lit(seed), nulls, *fields) for seed in (1, 2)]
+    return [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
 
 
 def packed_models(
     processes: DataFrame, nodes: DataFrame, flows: DataFrame, used: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """One written row per model: `nodes`, `flows`, `n_processes`, `n_own` (elements named like the model), `content`
-    (a digest of nodes and flows) and `row`, its number; and the ids of oversize models, if there are any.
-
-    A model that holds most of all rows is oversize: its rows are counted with a partial
-    aggregation and dropped before the shuffle. What is left has the bound of a document per
-    model and is combined per task before it is shuffled. With `used`, only its models are kept.
+) -> tuple[Models, DataFrame | None]:
+    """One written thin row per model: `n_processes`, `n_own` (elements named like the model), the numbers of its
+    nodes and flows and the sums of their hashes; and the ids of oversize models, if there are any.
+
+    Models of the same numbers and sums (128 bits of hash per element) have the same nodes and flows, in any order.
+    Numbers and sums are plain sums, combined per task before the one shuffle, so no element is sorted or sent, whatever
+    number of them a model has. Models with more elements than a document can hold are listed; the size rule
+    reports each of them. With `used`, only its models are kept.
     """
-    listed = cut(oversize_models(nodes, flows))
-    if listed.isEmpty():
-        listed = None
-    else:
-        listed = small_side(listed)
-        processes, nodes, flows = (t.join(listed, PID, "left_anti") for t in (processes, nodes, flows))
-    none = F.lit(None)
-    node, flow = F.struct(*_NODE), F.struct(*_FLOW)
-    rows = nodes.select(PID, node.alias("_n"), none.alias("_f"), F.lit(0).alias("_p"))
-    rows = rows.unionByName(flows.select(PID, none.alias("_n"), flow.alias("_f"), F.lit(0).alias("_p")))
-    rows = rows.unionByName(processes.select(PID, none.alias("_n"), none.alias("_f"), F.lit(1).alias("_p")))
-    models = rows.groupBy(PID).agg(
-        F.collect_list("_n").alias("nodes"), F.collect_list("_f").alias("flows"), F.sum("_p").alias("n_processes")
+    own = F.col("id").eqNullSafe(F.col(PID)).cast("long")
+    zero = F.lit(0).cast("long")
+    row = lambda table, n_processes, n_own, n_nodes, n_flows, digest: table.select(
+        PID, F.lit(n_processes).cast("long").alias("n_processes"), n_own.alias("n_own"),
+        *[v.cast("long").alias(c) for c, v in zip(_CONTENT, (F.lit(n_nodes), F.lit(n_flows), *digest))],
     )
+    rows = row(nodes, 0, own, 1, 0, _element_digest(_NODE, 0))
+    rows = rows.unionByName(row(flows, 0, own, 0, 1, _element_digest(_FLOW, 1)))
+    rows = rows.unionByName(row(processes, 1, zero, 0, 0, [zero] * len(_DIGEST)))
+    models = rows.groupBy(PID).agg(*[F.sum(c).alias(c) for c in ("n_processes", "n_own", *_CONTENT)])
+    large = F.col(PID).isNotNull() & (F.col("n_nodes") + F.col("n_flows") > MAX_ELEMENTS)
+    # with `used` the size rule is asked of the other models too, which costs nothing more
+    models = written(models.withColumn("large", large), "models")
+    listed = models.filter("large").select(PID)
+    listed = None if listed.isEmpty() else small_side(listed)
+    models = models.filter(~F.col("large")).drop("large")
     if used is not None:
         models = models.join(used, PID, "left_semi")
-    mine = lambda items: F.size(F.filter(items, lambda x: x["id"].eqNullSafe(F.col(PID))))
-    whole = F.struct("nodes", "flows")
-    models = models.withColumns({
-        "n_own": mine("nodes") + mine("flows"),
-        # the text alone does not tell a separator inside a value, the hash alone skips nulls
-        "content": F.concat(F.sha2(whole.cast("string"), 256), F.hex(F.xxhash64(whole))),
-        "row": F.monotonically_increasing_id(),
-    })
-    return written(models, "models"), listed
+    return Models(models, nodes, flows, listed), listed
 
 
-def shared_graphs(models: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Packed models as two written tables, `keys` and `graphs`.
+def shared_graphs(models: Models) -> tuple[DataFrame, DataFrame]:
+    """Models as two written tables, `keys` and `graphs`.
 
     `keys`: per model its `graph_id`, `n_processes` and `n_own`. `graphs`: one row per different graph with `nodes`
-    and `flows`, the graph id in the column of the model id. Rows of equal content, in the order they were packed,
-    are one graph, named after the first of them; no later step carries or compares the elements of a model.
+    and `flows`, the graph id in the column of the model id. The elements of a graph are those of its first model;
+    the elements of the other models are never packed.
     """
-    first = small_side(written(models.groupBy("content").agg(F.min("row").alias("row")), "contents"))
-    graph_id = F.col("row").cast("string")
-    graphs = models.select("row", "nodes", "flows").join(first.select("row"), "row")
-    keys = models.select(PID, "n_processes", "n_own", "content").join(first, "content")
-    keys = keys.select(PID, graph_id.alias("graph_id"), "n_processes", "n_own")
-    return written(keys, "keys"), written(graphs.select(graph_id.alias(PID), "nodes", "flows"), "graphs")
-
-
-def graph_rules(models: DataFrame, *checks) -> DataFrame:
+    first = models.rows.groupBy(*_CONTENT).agg(F.min(PID).alias("_first"))
+    first = written(first.withColumn("graph_id", F.monotonically_increasing_id().cast("string")), "contents")
+    keys = models.rows.join(small_side(first.drop("_first")), list(_CONTENT)).select(PID, "graph_id", "n_processes", "n_own")
+    named, none = first.select(F.col("_first").alias(PID), "graph_id"), F.lit(None)
+    nodes, flows = models.nodes, models.flows
+    if is_small(named):
+        few = F.broadcast(first.select("_first"))
+        nodes, flows = (t.join(few, F.col(PID).eqNullSafe(F.col("_first")), "left_semi") for t in (nodes, flows))
+    elif models.oversize is not None:
+        # what is left has the bound of a document per model and is combined per task before it is shuffled
+        nodes, flows = (t.join(models.oversize, PID, "left_anti") for t in (nodes, flows))
+    node, flow = F.struct(*_NODE).alias("_n"), F.struct(*_FLOW).alias("_f")
+    rows = nodes.select(PID, none.cast("string").alias("graph_id"), node, none.alias("_f"))
+    rows = rows.unionByName(flows.select(PID, none.cast("string").alias("graph_id"), none.alias("_n"), flow))
+    # a graph may have no elements
+    rows = rows.unionByName(named.select(PID, "graph_id", none.alias("_n"), none.alias("_f")))
+    graphs = rows.groupBy(PID).agg(
+        F.max("graph_id").alias("graph_id"), F.collect_list("_n").alias("nodes"), F.collect_list("_f").alias("flows")
+    ).filter(F.col("graph_id").isNotNull())
+    return written(keys, "keys"), written(graphs.select(F.col("graph_id").alias(PID), "nodes", "flows"), "graphs")
+
+
+def graph_rules(models: Models, *checks) -> DataFrame:
     """Violations that the checks find in packed models; the id of a model takes no part in them."""
     return judged_graphs(*shared_graphs(models), *checks)
 
@@ -364,7 +389,7 @@ def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
     """Rules on an id within its model: invalid_id, duplicate_id, dangling,
     branch_value_scope, branch_values, degrees."""
     models, listed = packed_models(processes, nodes, flows)
-    found = graph_rules(models, _element_id_rules).unionByName(_model_id_rules(models))
+    found = graph_rules(models, _element_id_rules).unionByName(_model_id_rules(models.rows))
     return _with_oversize(found, listed, (processes, nodes, flows), _id_rules)
 
 

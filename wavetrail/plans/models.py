@@ -21,10 +21,11 @@ def text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Per order: key, defect number, number of picks and of extra chain tasks."""
     k = F.col(K)
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select(k)
+    return (_spread(orders) if spread else orders).select(
         k,
         (k % 41).cast("int").alias("d"),
         (k % 5 + 1).cast("int").alias("n"),
@@ -33,15 +34,14 @@ def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Orders in tasks of about `ORDERS_PER_TASK`, while they are thin.
+def _spread(keys: DataFrame) -> DataFrame:
+    """Order keys in tasks of about `ORDERS_PER_TASK`, before anything is made of them.
 
-    An order becomes some twenty wide rows. What a task packs of them is sorted in its memory, so the
+    An order becomes some twenty wide rows. What a task combines of them is held in its memory, so the
     number of tasks has to grow with the orders and not with the bytes of their file.
     """
-    tasks = max(-(-rows.count() // ORDERS_PER_TASK), rows.sparkSession.sparkContext.defaultParallelism)
-    # packed in order of their model, the wide rows come to that sort in runs
-    return rows.repartition(tasks).sortWithinPartitions("process_id")
+    tasks = max(-(-keys.count() // ORDERS_PER_TASK), keys.sparkSession.sparkContext.defaultParallelism)
+    return keys.repartition(tasks)
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def _by_place(pick, chain, *fixed) -> Column:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spread(shape(spark, sf_dir))
+    rows = shape(spark, sf_dir, spread=True)
     k, d = F.col(K), F.col("d")
     more = F.when(d == 16, 7).when(d.isin(1, 9, 12), 6).otherwise(5)
     i, j = F.col("i"), F.col("j")
@@ -134,7 +134,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spread(shape(spark, sf_dir))
+    rows = shape(spark, sf_dir, spread=True)
     n, extra, d = F.col("n"), F.col("extra"), F.col("d")
     i, c, j = F.col("i"), F.col("c"), F.col("j")
     after_picks = F.when(extra > 0, "x1").otherwise("gate")

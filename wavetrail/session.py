@@ -67,12 +67,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark `df` for broadcast only if a bounded read proves it small in rows and in bytes.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """A bounded read proves `df` small in rows and in bytes.
 
-    Bytes are measured on the text of the rows, nested values included. Beyond either bound the
-    side is returned unmarked: the join then shuffles and adaptive execution splits skewed keys.
+    Bytes are measured on the text of the rows, nested values included.
     """
     width = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
     size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if size[0] <= max_rows and size[1] <= max_bytes else df
+    return size[0] <= max_rows and size[1] <= max_bytes
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcast only if `is_small` says so.
+
+    Beyond its bounds the side is returned unmarked: the join then shuffles and adaptive execution
+    splits skewed keys.
+    """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
