@@ -72,3 +72,18 @@ def test_alerts_of_the_stream_are_those_of_the_batch(spark, tmp_path):
     batch = d.detect_congestion(spark.createDataFrame(rows, SCHEMA), baselines, CONFIG)
     fields = ["alert_id", "run_id", "mean_seconds"]
     assert sorted(map(tuple, sinks.alerts_of(log).select(fields).collect())) == sorted(map(tuple, batch.select(fields).collect()))
+
+
+def test_events_are_told_apart_without_python_state(spark, tmp_path):
+    """Copies in one slice, in several files and under several runs: the first to arrive passes, nulls first."""
+    def row(event, run, seq, minutes):
+        at = T0 + timedelta(minutes=minutes)
+        return ("t1", "s1", "A0", "w", run, "pick", event, 9.0, at, at, seq)
+
+    first = [row("e0", "late", 5, 1), row("e0", "r", 2, 0), row("e0", "none", None, 0), row("e1", "r", 1, 0)]
+    rows = first * 20 + [row(f"x{i}", "r", i, 2) for i in range(200)]
+    log, state = run(spark, tmp_path, [rows, [row("e1", "again", 0, 0), row("e2", "r", 9, 3)]])
+    got = log.select("event_id", "run_id").collect()
+    assert len(got) == 203 and {tuple(r) for r in got if r.event_id[0] == "e"} == {("e0", "none"), ("e1", "r"), ("e2", "r")}
+    names = {r.operatorName for r in spark.read.format("state-metadata").load(state).select("operatorName").collect()}
+    assert "dedupe" in names

@@ -1,14 +1,14 @@
 """The detector as a stream of two stateful stages.
 
 The first stage is keyed by (tenant, event) and lets the first copy of an event pass, whatever
-its run. The second is keyed by the window, (tenant, site, aisle, workflow, run), and keeps its
+its run; it is Spark's own deduplication, without Python state. The second is keyed by the window, (tenant, site, aisle, workflow, run), and keeps its
 last values, last alert and last arrival, so a hot run is spread over its windows. Rows of a
 micro-batch are taken in arrival order, so the answer equals that of the batch operator as long
 as micro-batches arrive in order; `read_span_stream` bounds a micro-batch in files or bytes.
 
 The watermark of the stream follows the arrival clock by `lateness`. It drops no row: it only says
 when a window has been idle for so long that its next row would begin a new session anyway, and the
-state of such windows is removed. Each event leaves one flag in the first stage, for good.
+state of such windows is removed. Each event leaves its key in the first stage, for good.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from wavetrail.operators import detector as d
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = timedelta(minutes=10)
 
-FLAG = T.StructType([T.StructField("seen", T.BooleanType())])
 WINDOW = T.StructType(
     [
         T.StructField("values", T.ArrayType(T.DoubleType())),
@@ -58,22 +57,34 @@ def _arrival(n: int):
     return lambda row: [(row[c] is not None, row[c]) for c in names]
 
 
-class FirstCopy(StatefulProcessor):
-    """The first copy of an event; later ones end here."""
+def _first_rows(batches: Iterator, key: tuple[str, ...], order: list[str]) -> Iterator:
+    """Of a task's rows of a micro-batch the first of each key in arrival order; nulls first, as in Spark."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def __init__(self, config: d.DetectorConfig):
-        self.arrival = _arrival(len(config.arrival))
+    held = list(batches)
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    del held
+    by = pc.sort_indices(rows.select(order), sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+    keys = rows.select(list(key)).take(by).append_column("_at", by)
+    # the first of each group, in one thread, which keeps the order of the rows
+    first = keys.group_by(list(key), use_threads=False).aggregate([("_at", "first")])["_at_first"]
+    yield from rows.take(first).to_batches(max_chunksize=10_000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", FLAG)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield min(rows, key=self.arrival)
+def first_copies(rows: DataFrame, n_arrival: int) -> DataFrame:
+    """Rows of a stream whose event no earlier micro-batch had: of its copies in this one, the first to arrive.
 
-    def close(self) -> None:
-        pass
+    A micro-batch is freed of copies in columns first, so that of the rows of a key at most one comes to
+    the deduplication of Spark, which keeps the keys in its own state and asks Python for nothing.
+    """
+    order = [f"_o{i}" for i in range(n_arrival)]
+    single = rows.repartition(*d.EVENT_KEY).mapInArrow(
+        lambda batches: _first_rows(batches, d.EVENT_KEY, order), rows.schema
+    )
+    return single.dropDuplicates(list(d.EVENT_KEY))
 
 
 class WindowDetector(StatefulProcessor):
@@ -159,12 +170,7 @@ def detect_congestion_stream(
         F.unix_micros(clock).alias("_o0"),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(config.arrival[1:], 1)],
     )
-    firsts = keyed.groupBy(*d.EVENT_KEY).transformWithState(
-        statefulProcessor=FirstCopy(config),
-        outputStructType=keyed.schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    firsts = first_copies(keyed, len(config.arrival))
     committed = firsts.groupBy(*d.WINDOW_KEY).transformWithState(
         statefulProcessor=WindowDetector(config),
         outputStructType=OUTPUT,
