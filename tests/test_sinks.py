@@ -67,3 +67,24 @@ def test_a_stream_reaches_both_sinks_once(spark, tmp_path):
         sinks.fan_out_stream(stream, archive, lambda rows: sinks.write_observation_log(rows, log), state)
     assert spark.read.parquet(archive).count() == 4
     assert sorted(r.event_id for r in spark.read.parquet(log).collect()) == ["e0", "e1", "e2"]
+
+
+def test_slices_are_appended_without_another_copy_of_the_log(spark, tmp_path, monkeypatch):
+    from tests.test_stream import CONFIG, SCHEMA, movements
+
+    from wavetrail import schemas
+    from wavetrail.operators import detector as d
+    from wavetrail.sources import incremental
+
+    def refused(_):
+        raise AssertionError("the joined log is materialised")
+
+    monkeypatch.setattr(sinks, "cut", refused)
+    baselines = spark.createDataFrame([("t1", "s1", f"A{i}", 10.0, 1.0) for i in range(3)], schemas.BASELINE)
+    rows, path = movements(90, 7), str(tmp_path / "log")
+    for part in (rows[:40], rows[40:], rows[40:]):
+        incremental.run_slice(spark.createDataFrame(part, SCHEMA), baselines, CONFIG, path)
+    log = spark.read.parquet(path)
+    assert log.count() == len({r[6] for r in rows})
+    whole = d.detect_congestion(spark.createDataFrame(rows, SCHEMA), baselines, CONFIG)
+    assert sorted(r.alert_id for r in sinks.alerts_of(log).collect()) == sorted(r.alert_id for r in whole.collect()) != []

@@ -26,7 +26,7 @@ from wavetrail.operators.ordered import (
     over_history,
     split_by_weight,
 )
-from wavetrail.session import cut, small_side
+from wavetrail.session import cut, small_side, written
 
 CLOCK = "received_at"
 ARRIVAL = (CLOCK, "export_id", "rs_pos", "ss_pos", "sp_pos")
@@ -417,7 +417,7 @@ def suppress_cooldown(
         plain = both.withColumnRenamed(SEED, "_known")
         return suppress_cooldown(plain, config).filter(~F.col("_known")).drop("_known")
     columns = breached.columns
-    rows = cut(breached)
+    rows = written(breached, "breaches")
     few = min(config.fold_rows, config.heavy_rows)
     is_small = rows.limit(few + 1).count() <= few
     light, heavy, n_heavy = (
@@ -438,7 +438,7 @@ def suppress_cooldown(
     if is_small:
         return _fold_bursts(bursts, config).select(*columns)
     keys = [*WINDOW_KEY, "_burst"]
-    bursts = cut(bursts)
+    bursts = written(bursts, "bursts")
     long_bursts = cut(heavy_groups(bursts, keys, config.fold_rows).select(*keys))
     if long_bursts.isEmpty():
         return _fold_bursts(bursts, config).select(*columns)

@@ -300,7 +300,6 @@ def packed_models(
     rows = rows.unionByName(row(processes, 1, zero, 0, 0, [zero] * len(_DIGEST)))
     models = rows.groupBy(PID).agg(*[F.sum(c).alias(c) for c in ("n_processes", "n_own", *_CONTENT)])
     large = F.col(PID).isNotNull() & (F.col("n_nodes") + F.col("n_flows") > MAX_ELEMENTS)
-    # with `used` the size rule is asked of the other models too, which costs nothing more
     models = written(models.withColumn("large", large), "models")
     listed = models.filter("large").select(PID)
     listed = None if listed.isEmpty() else small_side(listed)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from wavetrail.operators import detector as d
-from wavetrail.session import cut
-from wavetrail.sources.sinks import observation_log, stored_log, write_observation_log
+from wavetrail.session import written
+from wavetrail.sources.sinks import append_windows, stored_log
 
 
 def run_slice(
@@ -22,8 +22,9 @@ def run_slice(
     state = None
     if stored is not None:
         keys = d.gate_observations(observations)
-        state = cut(d.window_state(d.state_of_keys(stored, keys), config))
-    rolled = cut(d.committed_windows(observations, baselines, config, stored, state))
-    alerts = cut(d.alerts_of_windows(rolled, config, state))
-    write_observation_log(observation_log(rolled, alerts), path)
+        state = written(d.window_state(d.state_of_keys(stored, keys), config), "state")
+    # written tables: a checkpoint computes its rows twice, and later steps read only the columns they use
+    rolled = written(d.committed_windows(observations, baselines, config, stored, state), "rolled")
+    alerts = written(d.alerts_of_windows(rolled, config, state), "alerts")
+    append_windows(rolled, alerts, path)
     return alerts
