@@ -153,7 +153,7 @@ _ORDERED = ", ".join(f"'{r}'" for r in pm.RULE_ORDER)
     ),
 )
 def model_first_violation(spark, sf_dir):
-    return pm.first_violation(pm.model_violations(*_tables(spark, sf_dir)))
+    return pm.first_violations(*_tables(spark, sf_dir))
 
 
 @query(
