@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
 from wavetrail.operators.process_models import (
-    END, GATEWAY, PID, START, TASK, document_refused, packed_models, packed_violations, process_rules,
+    END, GATEWAY, PID, START, TASK, document_refused, packed_models, process_rules, refused_models,
     shared_graphs,
 )
 from wavetrail.session import small_side, written
 
 WAVE_KEY = ("tenant_id", "site_id", "wave_id")
+# a model that more waves name is broadcast to them, so that they do not meet in one task
+HOT_WAVES = 100_000
 DONE, RUNNING = "done", "running"
 
 
@@ -84,14 +86,24 @@ def _walk() -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.col("n_nodes")), first, hop)
 
 
+def _with_models(waves: DataFrame, models: DataFrame, how: str = "inner") -> DataFrame:
+    """Waves joined to what is known of their models (`n_used` is the number of waves that name one)."""
+    hot = written(models.filter(F.col("n_used") > HOT_WAVES), "hot")
+    if hot.isEmpty():
+        return waves.join(small_side(models), PID, how)
+    hot = small_side(hot)
+    rest = waves.join(hot.select(PID), PID, "left_anti")
+    others = small_side(models.filter(F.col("n_used") <= HOT_WAVES))
+    return rest.join(others, PID, how).unionByName(waves.join(hot, PID))
+
+
 def _choices(waves: DataFrame, valid: DataFrame, walkable: DataFrame) -> DataFrame:
     """Waves of a valid model with its graph and `choices`: the graph's gateway variables and the wave's values."""
     variables = walkable.select("graph_id", F.col("variables").alias("_names"))
     given = F.coalesce(F.col("variables"), F.create_map().cast("map<string,string>"))
     values = F.transform("_names", lambda n: F.struct(n, F.coalesce(given[n], F.lit(""))))
     return (
-        waves.filter(valid_input())
-        .join(small_side(valid), PID)
+        _with_models(waves.filter(valid_input()), valid)
         .join(small_side(variables), "graph_id")
         .select(*WAVE_KEY, PID, "graph_id", values.alias("choices"))
     )
@@ -101,35 +113,36 @@ def named_models(
     waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
     document_violations: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Known models that some wave names, with `refused` (the model has a violation) and `graph_id`, and their graphs.
+    """Known models that some wave names, with `refused` (the model has a violation), `graph_id` and `n_used` (the number
+    of their waves), and their graphs.
 
     Both are materialised: nodes and flows are packed once, and every rule and the walk read the
-    written graphs.
+    written graphs. What is known of a model, its waves included, meets in the one shuffle of its elements.
     """
-    used = small_side(written(waves.select(PID).distinct(), "used"))
-    models, listed = packed_models(processes, nodes, flows, used)
-    keys, graphs = shared_graphs(models)
-    known = processes.join(used, PID, "left_semi")
     # a document is judged with all its processes, named by a wave or not
-    whole = processes.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = packed_violations(keys, graphs).unionByName(process_rules(whole))
-    # an oversize model breaks the size rule
-    for refused in (document_refused(whole, document_violations), listed):
-        if refused is not None:
-            found = found.select(PID).unionByName(refused.select(PID))
-    broken = found.select(PID).distinct().withColumn("_broken", F.lit(True))
-    named = known.select(PID).distinct().join(broken, PID, "left").join(keys.select(PID, "graph_id"), PID, "left")
-    refused = F.coalesce("_broken", F.lit(False)).alias("refused")
-    return written(named.select(PID, refused, "graph_id"), "named"), graphs
+    refused = process_rules(processes.filter("doc_id is not null")).select(PID)
+    of_document = document_refused(processes, document_violations)
+    if of_document is not None:
+        refused = refused.unionByName(of_document)
+    models, listed = packed_models(processes, nodes, flows, waves.select(PID), refused)
+    keys, graphs = shared_graphs(models)
+    columns = (PID, "refused", "graph_id", "n_used")
+    named = refused_models(keys, graphs).filter("n_processes > 0").select(*columns)
+    if listed is not None:
+        # an oversize model breaks the size rule
+        large = listed.filter("n_processes > 0").withColumns({"refused": F.lit(True), "graph_id": F.lit(None).cast("string")})
+        named = named.unionByName(large.select(*columns))
+    return written(named, "named"), graphs
 
 
 def wave_routes(waves: DataFrame, named: DataFrame, graphs: DataFrame) -> DataFrame:
     """Per wave with valid input and a valid model of `named_models`: `status` and `steps`."""
-    valid = named.filter(~F.col("refused")).select(PID, "graph_id")
+    valid = named.filter(~F.col("refused")).select(PID, "graph_id", "n_used")
     walked = graphs.withColumnRenamed(PID, "graph_id")
     walked = walked.join(small_side(valid.select("graph_id").distinct()), "graph_id", "left_semi")
     walkable = written(model_graphs(walked), "walkable")
-    chosen = _choices(waves, valid, walkable)
+    # read twice: for the distinct routes, and with them
+    chosen = written(_choices(waves, valid, walkable), "chosen")
     distinct = chosen.select("graph_id", "choices").distinct()
     routes = (
         distinct.join(walkable.drop("variables"), "graph_id")
@@ -147,14 +160,18 @@ def wave_routes(waves: DataFrame, named: DataFrame, graphs: DataFrame) -> DataFr
     return chosen.join(small_side(written(routes, "routes")), ["graph_id", "choices"]).drop("graph_id", "choices")
 
 
-def resolve_routes(
+def resolved_waves(
     waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
-    """Steps of every wave whose walk of a valid model reaches an end: (hop, step_id, aisle, alternative)."""
+    """Every wave whose walk of a valid model reaches an end, with `steps`: (id, aisle, alternative) in order."""
     named, graphs = named_models(waves, processes, nodes, flows, document_violations)
-    done = wave_routes(waves, named, graphs).filter(F.col("status") == DONE)
-    return done.select(*WAVE_KEY, PID, F.posexplode("steps").alias("_pos", "_step")).select(
+    return wave_routes(waves, named, graphs).filter(F.col("status") == DONE).drop("status")
+
+
+def resolved_steps(resolved: DataFrame) -> DataFrame:
+    """The steps of `resolved_waves` as rows: (hop, step_id, aisle, alternative)."""
+    return resolved.select(*WAVE_KEY, PID, F.posexplode("steps").alias("_pos", "_step")).select(
         *WAVE_KEY,
         PID,
         (F.col("_pos") + 1).alias("hop"),
@@ -164,13 +181,21 @@ def resolve_routes(
     )
 
 
+def resolve_routes(
+    waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
+    document_violations: DataFrame | None = None,
+) -> DataFrame:
+    """Steps of every wave whose walk of a valid model reaches an end: (hop, step_id, aisle, alternative)."""
+    return resolved_steps(resolved_waves(waves, processes, nodes, flows, document_violations))
+
+
 def route_errors(
     waves: DataFrame, processes: DataFrame, nodes: DataFrame, flows: DataFrame,
     document_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Waves without a route and why: invalid_input, unknown_process, invalid_model or no_branch."""
     named, graphs = named_models(waves, processes, nodes, flows, document_violations)
-    told = waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")).join(small_side(named.drop("graph_id")), PID, "left")
+    told = _with_models(waves.select(*WAVE_KEY, PID, valid_input().alias("_ok")), named.drop("graph_id"), "left")
     reason = (
         F.when(~F.col("_ok"), "invalid_input")
         .when(F.col("refused").isNull(), "unknown_process")
