@@ -81,3 +81,19 @@ def test_runs_without_reroute_are_named(spark):
     steps, signals = frames(spark, STEPS, [signal(aisle="Z")])
     results = rr.run_results(steps, rr.accept_signals(steps, signals), F.lit(minute(9)))
     assert rr.reroute_missing(results).count() == 1
+
+
+def test_aisles_of_routes_as_arrays_are_those_of_their_steps(spark):
+    from wavetrail.operators import routes
+
+    waves = spark.createDataFrame(
+        [("t", "s", "w", "p", [("a", "A1", "B1"), ("b", "A1", ""), ("c", None, "C1"), ("d", "A2", None)]),
+         ("t", "s", "w", "p", [("a", "A1", "D1")]), ("t", "s", "v", "p", [])],
+        "tenant_id string, site_id string, wave_id string, process_id string,"
+        "steps array<struct<id:string,aisle:string,alternative:string>>",
+    )
+    runs = waves.withColumns({"workflow_id": F.col("wave_id"), "run_id": F.lit("r")})
+    steps = routes.resolved_steps(waves).withColumns({"workflow_id": F.col("wave_id"), "run_id": F.lit("r")})
+    got = sorted(map(tuple, rr.route_aisles(runs).collect()))
+    assert got == sorted(map(tuple, rr.allowed_aisles(steps).collect()))
+    assert [r[-1] for r in got] == ["A1", "A2", "B1", "C1", "D1"]

@@ -28,10 +28,22 @@ def allowed_aisles(steps: DataFrame) -> DataFrame:
     return both.filter(F.coalesce(F.col("aisle") != "", F.lit(False))).distinct()
 
 
+def route_aisles(runs: DataFrame) -> DataFrame:
+    """`allowed_aisles` of runs with their `steps` as arrays, of which only the different aisles become rows."""
+    both = F.array_union(F.transform("steps", lambda s: s["aisle"]), F.transform("steps", lambda s: s["alternative"]))
+    rows = runs.select(*RUN, F.explode(both).alias("aisle"))
+    return rows.filter(F.coalesce(F.col("aisle") != "", F.lit(False))).distinct()
+
+
 def accept_signals(steps: DataFrame, signals: DataFrame) -> DataFrame:
     """Signals of a run, for an aisle of its route; the first valid one per alert."""
+    return accept_allowed(allowed_aisles(steps), signals)
+
+
+def accept_allowed(allowed: DataFrame, signals: DataFrame) -> DataFrame:
+    """`accept_signals`, given the allowed aisles."""
     named = signals.filter(F.coalesce(F.length("alert_id") > 0, F.lit(False)))
-    valid = named.join(allowed_aisles(steps), [*RUN, "aisle"], "left_semi")
+    valid = named.join(allowed, [*RUN, "aisle"], "left_semi")
     return first_per(valid, [*RUN, "alert_id"], ["received_at", "aisle"])
 
 

@@ -186,14 +186,22 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEP_ORIGIN = "2024-01-01 00:00:00"
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Started steps of run r0 of every resolved wave; the last hops have not started."""
-    resolved = routes.resolve_routes(
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every resolved wave with its run (r0) and its steps as an array."""
+    rows = routes.resolved_waves(
         waves(spark, sf_dir), processes(spark, sf_dir), nodes(spark, sf_dir), flows(spark, sf_dir)
     )
+    return rows.withColumns({
+        "workflow_id": text("picking/", F.col("tenant_id"), "/", F.col("wave_id")), "run_id": F.lit("r0"),
+    })
+
+
+def steps(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
+    """Started steps of run r0 of every resolved wave; the last hops have not started."""
+    rows = routes.resolved_steps(resolved(spark, sf_dir) if runs is None else runs)
     origin = F.expr(f"timestamp_ntz '{STEP_ORIGIN}'")
     hours = F.expr("interval 1 hour")
-    return resolved.select(
+    return rows.select(
         "tenant_id", "site_id",
         text("picking/", F.col("tenant_id"), "/", F.col("wave_id")).alias("workflow_id"),
         F.lit("r0").alias("run_id"),

@@ -249,14 +249,20 @@ RUN_SQL = "tenant_id, site_id, workflow_id, run_id"
 
 
 def _accepted(spark, sf_dir):
-    """Steps and accepted signals as tables: both are read more than once."""
-    steps = written(models.steps(spark, sf_dir), "steps")
-    return steps, written(rr.accept_signals(steps, models.signals(spark, sf_dir)), "accepted")
+    """Steps and accepted signals: both are read more than once, so the runs and the signals are written."""
+    runs = written(models.resolved(spark, sf_dir), "runs")
+    accepted = rr.accept_allowed(rr.route_aisles(runs), models.signals(spark, sf_dir))
+    return models.steps(spark, sf_dir, runs), written(accepted, "accepted")
+
+
+def _accepted_once(spark, sf_dir):
+    """Accepted signals where nothing else is read: no table of them or of the runs is written."""
+    return rr.accept_allowed(rr.route_aisles(models.resolved(spark, sf_dir)), models.signals(spark, sf_dir))
 
 
 @query("allowed_aisles", _route_sql(f"select {RUN_SQL}, aisle from allowed where aisle <> ''"))
 def allowed_aisles(spark, sf_dir):
-    return rr.allowed_aisles(models.steps(spark, sf_dir))
+    return rr.route_aisles(models.resolved(spark, sf_dir))
 
 
 @query(
@@ -264,8 +270,7 @@ def allowed_aisles(spark, sf_dir):
     _route_sql(f"select {RUN_SQL}, alert_id, aisle, cast(received_at as varchar) as received_at from accepted"),
 )
 def accept_signals(spark, sf_dir):
-    _, accepted = _accepted(spark, sf_dir)
-    return accepted.select(
+    return _accepted_once(spark, sf_dir).select(
         *rr.RUN, "alert_id", "aisle", F.col("received_at").cast("string").alias("received_at")
     )
 
@@ -275,7 +280,7 @@ def accept_signals(spark, sf_dir):
     _route_sql(f"select {RUN_SQL}, aisle, cast(since as varchar) as since from blocked"),
 )
 def blocked_since(spark, sf_dir):
-    rows = rr.blocked_since(_accepted(spark, sf_dir)[1])
+    rows = rr.blocked_since(_accepted_once(spark, sf_dir))
     return rows.select(*rr.RUN, "aisle", F.col("since").cast("string").alias("since"))
 
 
