@@ -216,6 +216,47 @@ def test_walk_equals_depth_first_search(spark):
     assert got == want
 
 
+def long_model(spark):
+    """`m`: s, a chain of 40,000 nodes of which the last leads back to the first, and two nodes that no walk reaches.
+
+    With `calm`, of the same size and without a cycle or a lost node, both have more elements than a document can hold."""
+    last, names = 40_000, ("m", "calm")
+    each = F.explode(F.array(*[F.lit(n) for n in names])).alias("process_id")
+    node = spark.range(last + 3).select(each, F.concat(F.lit("n"), "id").alias("id"), F.col("id").alias("i"))
+    node = node.filter((F.col("process_id") == "m") | (F.col("i") <= last))
+    kind = F.when(F.col("i") == 0, "startEvent").otherwise("serviceTask").alias("kind")
+    nodes = node.select("process_id", "id", kind, F.lit("A").alias("aisle"), F.lit("").alias("alternative"), F.lit("").alias("variable"))
+    target = F.when(F.col("i") < last, F.concat(F.lit("n"), F.col("i") + 1)).when(F.col("i") == last, "n1").otherwise("n2")
+    flows = node.filter((F.col("process_id") == "m") | (F.col("i") < last)).select(
+        "process_id", F.concat(F.lit("f"), "i").alias("id"), F.col("id").alias("source"), target.alias("target"), F.lit("").alias("value"))
+    lost = {("m", "unreachable", f"n{last + 1}"), ("m", "unreachable", f"n{last + 2}")}
+    return nodes, flows, {("m", "cycle", "m")} | lost
+
+
+def test_models_of_any_size_are_walked(spark, monkeypatch):
+    nodes, flows, want = long_model(spark)
+    assert nodes.filter("process_id = 'calm'").count() + flows.filter("process_id = 'calm'").count() > pm.MAX_ELEMENTS
+    rows = [tuple(r) for r in pm.walk_rules(nodes, flows).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    # models as they come, walked either way
+    rng = random.Random(12)
+    node = lambda m, i, kind="serviceTask": (m, i, kind, "A", "", "")
+    nodes, flows = [node(None, "s", "startEvent"), node(None, "lost")], [(None, "f", "s", "s", "")]
+    for k in range(60):
+        ids = [None, *[f"n{j}" for j in range(rng.randrange(2, 9))]]
+        nodes += [node(f"m{k}", i) for i in rng.choices(ids, k=8)] + [node(f"m{k}", "n1", "startEvent")] * rng.choice([1, 1, 1, 0, 2])
+        nodes += [node(f"m{k}", None, "startEvent")] * rng.choice([0, 0, 1])
+        flows += [(f"m{k}", f"f{j}", rng.choice(ids), rng.choice([*ids, "gone"]), "") for j in range(rng.randrange(10))]
+        flows += [(f"m{k}", "g", "gone", "n1", "")] * rng.choice([0, 0, 2])
+    nodes = spark.createDataFrame(nodes, "process_id string, id string, kind string, aisle string, alternative string, variable string")
+    flows = spark.createDataFrame(flows, "process_id string, id string, source string, target string, value string")
+    found = []
+    for limit in (pm.MAX_ELEMENTS, 0):
+        monkeypatch.setattr(pm, "MAX_ELEMENTS", limit)
+        found.append(sorted(map(str, pm.walk_rules(nodes, flows).collect())))
+    assert found[0] == found[1] and sum("cycle" in r for r in found[0]) > 5 and len(found[0]) > 50
+
+
 def test_node_limit(spark):
     def chain(n):
         ids = [f"n{i}" for i in range(n)]

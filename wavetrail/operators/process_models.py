@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetrail.functions.identity import valid_id
+from wavetrail.operators.ordered import global_positions
 from wavetrail.session import is_small, small_side, written
 
 # Element kinds and size limits.
@@ -253,6 +254,132 @@ def _walk_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return packed.mapInArrow(_walk_batches, f"{PID} string, rule string, subject string")
 
 
+class _NumberedGraph:
+    """A graph of ids 0, 1, ..., given id by id with the targets of each; the targets stay in a temporary file."""
+
+    def __init__(self, first: int):
+        import tempfile
+        from array import array
+
+        self.first, self.start, self.offsets, self.n_edges = first, 0, array("q"), 0
+        self.targets = tempfile.TemporaryFile()
+
+    def add(self, ids, targets) -> None:
+        """Rows sorted by id: (id, `_ID` or `_ONLY_START`), then the edges of the id."""
+        import numpy as np
+
+        heads = targets < 0
+        before = np.cumsum(~heads)
+        self.offsets.frombytes((before[heads] + self.n_edges).astype("int64").tobytes())
+        self.n_edges += int(before[-1])
+        self.targets.write(targets[~heads].tobytes())
+        for start in ids[targets == _ONLY_START]:
+            self.start = int(start)
+
+    def walked(self):
+        """(a walk from the start can repeat an id, 1 for each id that a walk reaches)."""
+        import mmap
+        from array import array
+
+        import numpy as np
+
+        offsets = self.offsets
+        offsets.append(self.n_edges)
+        self.targets.flush()
+        targets = memoryview(mmap.mmap(self.targets.fileno(), 0, access=mmap.ACCESS_READ)).cast("q") if self.n_edges else ()
+        # 0: not reached, 1: on the path from the start, 2: done
+        state, at, path, cyclic = bytearray(len(offsets) - 1), array("q", offsets), array("q", [self.start]), False
+        state[self.start] = 1
+        while path:
+            id_ = path[-1]
+            edge = at[id_]
+            if edge == offsets[id_ + 1]:
+                state[path.pop()] = 2
+                continue
+            at[id_] = edge + 1
+            target = targets[edge]
+            if state[target] == 1:
+                cyclic = True
+            elif not state[target]:
+                state[target] = 1
+                path.append(target)
+        return cyclic, np.frombuffer(state, dtype="uint8") > 0
+
+
+_ID, _ONLY_START = -1, -2
+_FOUND_ROWS = 1 << 16
+
+
+def _numbered_walks(batches):
+    """Rows (first, id, target) of numbered graphs to (first, position): of a lost id, or null for a cycle."""
+    import numpy as np
+    import pyarrow as pa
+
+    def found(graph):
+        cyclic, reached = graph.walked()
+        rows = lambda positions: pa.RecordBatch.from_arrays(
+            [pa.array([graph.first] * len(positions), pa.int64()), pa.array(positions, pa.int64())], ["first", "position"]
+        )
+        if cyclic:
+            yield rows([None])
+        lost = np.flatnonzero(~reached) + graph.first
+        for i in range(0, len(lost), _FOUND_ROWS):
+            yield rows(lost[i : i + _FOUND_ROWS])
+
+    graph = None
+    for batch in batches:
+        firsts, ids, targets = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        cuts = [*(np.flatnonzero(np.diff(firsts)) + 1), len(firsts)] if len(firsts) else []
+        for a, b in zip([0, *cuts], cuts):
+            if graph is None or graph.first != firsts[a]:
+                if graph is not None:
+                    yield from found(graph)
+                graph = _NumberedGraph(int(firsts[a]))
+            graph.add(ids[a:b], targets[a:b])
+    if graph is not None:
+        yield from found(graph)
+
+
+IDS_PER_CHUNK = 1_000_000
+
+
+def large_walk_rules(_: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """`_walk_rules` for named models of any number of elements.
+
+    Ids of elements, those that only flows name included, get their place in the order of all ids by a distributed sort, and flows
+    become pairs of numbers by two joins. The pairs of a model then come to one task in sorted order, row by row:
+    it keeps 25 bytes per id in memory and the pairs in a temporary file, and walks each pair once.
+    """
+    none, single = F.lit(0).cast("long"), F.lit(1).cast("long")
+    is_start = ((F.col("kind") == START) & F.col("id").isNotNull()).cast("long")
+    edges = written(flows.select(PID, "source", "target").distinct(), "large_flows")
+    end = lambda c: F.struct(F.col(c).alias("id"), none.alias("_nodes"), none.alias("_starts"))
+    ids = nodes.select(PID, "id", single.alias("_nodes"), F.coalesce(is_start, none).alias("_starts")).unionByName(
+        edges.select(PID, F.inline(F.array(end("source"), end("target"))))
+    )
+    ids = written(ids.groupBy(PID, "id").agg(F.sum("_nodes").alias("_nodes"), F.sum("_starts").alias("_starts")), "large_ids")
+    placed = written(global_positions(ids, [PID, "id"], -(-ids.count() // IDS_PER_CHUNK)), "placed")
+    models = placed.groupBy(PID).agg(F.min("position").alias("first"), F.sum("_starts").alias("_starts"))
+    models = small_side(written(models.filter("_starts = 1").select(PID, "first"), "walkable"))
+    known = placed.join(models, PID)
+    place = F.col("position") - F.col("first")
+    heads = known.select("first", place.alias("s"), F.when(F.col("_starts") > 0, _ONLY_START).otherwise(_ID).cast("long").alias("t"))
+
+    def numbered(rows: DataFrame, end: str, name: str) -> DataFrame:
+        # a missing id is an id like any other
+        ends = placed.select(F.col(PID).alias("_pid"), F.col("id").alias("_id"), F.col("position").alias(name))
+        same = (F.col(PID) == F.col("_pid")) & F.col(end).eqNullSafe(F.col("_id"))
+        return rows.join(ends, same).drop("_pid", "_id", end)
+
+    pairs = numbered(numbered(edges.join(models, PID), "source", "s"), "target", "t")
+    pairs = pairs.select("first", (F.col("s") - F.col("first")).alias("s"), (F.col("t") - F.col("first")).alias("t"))
+    rows = heads.unionByName(pairs).repartition("first").sortWithinPartitions("first", "s", "t")
+    found = written(rows.mapInArrow(_numbered_walks, "first long, position long"), "walked")
+    cyclic = found.filter("position is null").join(models, "first").select(PID, F.lit("cycle").alias("rule"), F.col(PID).alias("subject"))
+    lost = found.join(placed.filter((F.col("_nodes") > 0) & F.col("id").isNotNull()), "position")
+    return cyclic.unionByName(lost.select(PID, F.lit("unreachable").alias("rule"), F.col("id").alias("subject")))
+
+
 # --- equal graphs ---------------------------------------------------------
 
 _NODE, _FLOW = ("id", "kind", "aisle", "alternative", "variable"), ("id", "source", "target", "value")
@@ -443,7 +570,8 @@ def id_rules(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFr
 def walk_rules(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Rules on what the start reaches, for models with one start: cycle, unreachable."""
     none = nodes.select(PID).limit(0)
-    return graph_rules(packed_models(none, nodes, flows)[0], _walk_rules)
+    models, listed = packed_models(none, nodes, flows)
+    return _with_oversize(graph_rules(models, _walk_rules), listed, (none, nodes, flows), large_walk_rules)
 
 
 # --- everything -----------------------------------------------------------
