@@ -257,6 +257,21 @@ def test_models_of_any_size_are_walked(spark, monkeypatch):
     assert found[0] == found[1] and sum("cycle" in r for r in found[0]) > 5 and len(found[0]) > 50
 
 
+def test_all_violations_of_a_model_of_any_size_are_reported(spark, monkeypatch):
+    nodes, flows, want = long_model(spark)
+    processes = spark.createDataFrame([(n, n, "true", 10) for n in ("m", "calm")], "doc_id string, process_id string, is_executable string, n_bytes long")
+    found = [tuple(r) for r in pm.model_violations(processes, nodes, flows).collect()]
+    assert {v for v in found if v[1] in ("cycle", "unreachable")} == want and len(found) == len(set(found))
+    assert {("m", "size", "elements"), ("calm", "size", "elements")} <= set(found)
+    # every rule finds the same in models that are not packed
+    tables, found = odd_models(spark), []
+    for limit in (pm.MAX_ELEMENTS, 0):
+        monkeypatch.setattr(pm, "MAX_ELEMENTS", limit)
+        rows = pm.model_violations(*tables).filter("subject <> 'elements' or rule <> 'size'")
+        found.append(sorted(map(str, rows.collect())))
+    assert found[0] == found[1] and any("cycle" in r for r in found[0])
+
+
 def test_node_limit(spark):
     def chain(n):
         ids = [f"n{i}" for i in range(n)]

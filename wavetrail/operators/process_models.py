@@ -617,7 +617,8 @@ def model_violations(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -
     """Violations of every rule."""
     models, listed = packed_models(processes, nodes, flows)
     found = process_rules(processes).unionByName(packed_violations(*shared_graphs(models)))
-    return _with_oversize(found, listed, (processes, nodes, flows), count_rules, _node_rules, _id_rules)
+    checks = (count_rules, _node_rules, _id_rules, large_walk_rules)
+    return _with_oversize(found, listed, (processes, nodes, flows), *checks)
 
 
 def _placed(rule: Column, subject: Column) -> Column:
@@ -633,7 +634,10 @@ def first_violation(violations: DataFrame) -> DataFrame:
 
 
 def first_violations(processes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """`first_violation` of all violations, of which only the first one of each graph goes to its models."""
+    """`first_violation` of all violations, of which only the first one of each graph goes to its models.
+
+    An oversize model is not walked: it breaks the size rule, which comes before those of the walk.
+    """
     models, listed = packed_models(processes, nodes, flows)
     keys, graphs = shared_graphs(models)
     found = found_in_graphs(graphs, *_GRAPH_CHECKS).withColumnRenamed("graph_id", PID)
