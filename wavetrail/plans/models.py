@@ -40,8 +40,12 @@ def _spread(keys: DataFrame) -> DataFrame:
     An order becomes some twenty wide rows. What a task combines of them is held in its memory, so the
     number of tasks has to grow with the orders and not with the bytes of their file.
     """
-    tasks = max(-(-keys.count() // ORDERS_PER_TASK), keys.sparkSession.sparkContext.defaultParallelism)
-    return keys.repartition(tasks)
+    return keys.repartition(tasks_of(keys, ORDERS_PER_TASK))
+
+
+def tasks_of(rows: DataFrame, per_task: int) -> int:
+    """Number of tasks of at most about `per_task` rows; each core gets one at least."""
+    return max(-(-rows.count() // per_task), rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:

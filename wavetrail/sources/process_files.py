@@ -42,11 +42,16 @@ _DOCUMENT = (
     + ",".join(f"{kind}:{_NODE}" for kind in NODE_KINDS)
     + f",{FLOW}:{_FLOW}>>, _corrupt_record string"
 )
+# the same elements where they are only counted
+_COUNTED = (
+    "process array<struct<" + ",".join(f"{kind}:array<struct<_id:string>>" for kind in (*NODE_KINDS, FLOW)) + ">>, _corrupt_record string"
+)
 
 # one tag, with quoted attribute values that may hold `>`
 # possessive quantifiers: a long tag is matched by a loop, not by recursion
 _TAG = r"""<([A-Za-z_][\w.:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _MARKUP = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|\s++"""
+_DECLARATION = r"\A<\?xml\b[^<>?]*+\?>"
 _ATTRIBUTE = r"""([A-Za-z_][\w.:-]*+)\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
 
 
@@ -77,18 +82,62 @@ def read_process_models(spark: SparkSession, path: str, extension_namespace: str
     return parse_process_models(read_process_documents(spark, path), extension_namespace)
 
 
-def _stripped(xml: Column) -> Column:
-    """Text without comments, processing instructions, documentation and diagrams."""
-    for pattern in (
-        r"(?s)<!--.*?-->",
-        r"(?s)<\?.*?\?>",
-        r"(?s)<([\w.-]+:)?documentation\b[^>]*?/>",
-        r"(?s)<(([\w.-]+:)?documentation)\b.*?</\1\s*>",
-        r"(?s)<([\w.-]+:)?BPMNDiagram\b[^>]*?/>",
-        r"(?s)<(([\w.-]+:)?BPMNDiagram)\b.*?</\1\s*>",
-    ):
-        xml = F.regexp_replace(xml, pattern, "")
-    return xml
+# what is left out of the checks: (text without which no pattern matches, patterns)
+_LEFT_OUT = (
+    ("<!--", (r"(?s)<!--.*?-->",)),
+    ("<?", (r"(?s)<\?.*?\?>",)),
+    *(
+        (name, (rf"(?s)<([\w.-]+:)?{name}\b[^>]*?/>", rf"(?s)<(([\w.-]+:)?{name})\b.*?</\1\s*>"))
+        for name in ("documentation", "BPMNDiagram")
+    ),
+)
+
+
+def _stripped(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with the text `name` without comments, processing instructions, documentation and diagrams.
+
+    One projection for each, so that a text is searched only for what it contains.
+    """
+    for part, patterns in _LEFT_OUT:
+        text = F.col(name)
+        for pattern in patterns:
+            text = F.regexp_replace(text, pattern, "")
+        rows = rows.withColumn(name, F.when(F.contains(name, F.lit(part)), text).otherwise(F.col(name)))
+    return rows
+
+
+def _plain_document(extension_namespace: str, prefixed: bool) -> str:
+    """A pattern of stripped documents that no check but that of well-formed XML can refuse.
+
+    One root bound to the namespaces, in it one process, in it empty elements with known attributes only; between
+    tags there is nothing but space. Group 1 is the prefix of the elements, where they have one. A document
+    that does not match may still be in order: the checks tell. All loops are possessive.
+    """
+    name, extension = r"[A-Za-z_][\w.-]*+", r"\2" if prefixed else r"\1"
+    is_, value = r"\s*+=\s*+", """(?:"[^"<]*+"|'[^'<]*+')"""
+    quoted = lambda text: rf"\Q{text.replace(r'\E', r'\E\\E\Q')}\E"
+    bound_to = lambda namespace: rf"""{is_}(?:"{quoted(namespace)}"|'{quoted(namespace)}')"""
+    root = rf"""\s++[A-Za-z_][\w.:-]*+{is_}(?:"[^"'<>]*+"|'[^"'<>]*+')"""
+
+    def first_bound(namespace: str, as_: str) -> str:
+        """The first attribute that binds a prefix to the namespace does so by this name."""
+        bound = bound_to(namespace)
+        return rf"(?=(?:(?!\s++xmlns[\w.:-]*+{bound}){root})*+\s++{as_}{bound})"
+
+    prefix = r"\1:" if prefixed else ""
+
+    def tag(kind: str) -> str:
+        known = [*PLAIN_ATTRIBUTES[kind], *(f"{extension}:{a}" for a in EXTENSION_ATTRIBUTES.get(kind, ()))]
+        return rf"{kind}(?:\s++(?:{'|'.join(known)}){is_}{value})*+\s*+"
+
+    elements = "|".join(rf"{tag(kind)}(?:/>|>\s*+</{prefix}{kind}\s*+>)" for kind in PLAIN_ATTRIBUTES if kind != "process")
+    return (
+        rf"\A\s*+<{f'({name}):' if prefixed else ''}definitions"
+        + first_bound(MODEL_NAMESPACE, r"xmlns:\1" if prefixed else "xmlns")
+        + first_bound(extension_namespace, rf"xmlns:({name})")
+        + rf"(?:{root})*+\s*+>\s*+<{prefix}{tag('process')}>\s*+(?:<{prefix}(?:{elements})\s*+)*+"
+        + rf"</{prefix}process\s*+>\s*+</{prefix}definitions\s*+>\s*+\z"
+    )
 
 
 def _tags(body: Column) -> Column:
@@ -98,11 +147,16 @@ def _tags(body: Column) -> Column:
     return F.arrays_zip(names.alias("name"), texts.alias("text"))
 
 
-def _read_tags(tags: Column) -> Column:
-    """Tags with `local`, the name without prefix, and `attributes`, their names: each check uses them."""
-    return F.transform(tags, lambda t: F.struct(
-        t["name"].alias("name"), t["text"].alias("text"), F.substring_index(t["name"], ":", -1).alias("local"),
-        F.regexp_extract_all(t["text"], F.lit(_ATTRIBUTE), F.lit(1)).alias("attributes"),
+def _tag_forms(tags: Column) -> Column:
+    """Different tags as (name, local, attributes), the name without prefix and the names of attributes; values do not count.
+
+    Names have no spaces, so a tag is one text while copies are left out.
+    """
+    told = F.transform(tags, lambda t: F.concat_ws(
+        " ", t["name"], F.regexp_extract_all(t["text"], F.lit(_ATTRIBUTE), F.lit(1))))
+    parts = F.transform(F.array_distinct(told), lambda s: F.split(s, " "))
+    return F.transform(parts, lambda p: F.struct(
+        p[0].alias("name"), F.substring_index(p[0], ":", -1).alias("local"), F.slice(p, 2, F.size(p)).alias("attributes"),
     ))
 
 
@@ -117,10 +171,11 @@ def _prefix(root: Column, namespace: str | Column) -> Column:
         F.arrays_zip(names.alias("n"), values.alias("v")),
         lambda x: (x["v"] == uri) & (F.startswith(x["n"], F.lit("xmlns"))),
     )
-    name = F.get(bound, F.lit(0))["n"]
-    return F.when(name == "xmlns", "").otherwise(
-        F.concat(F.regexp_replace(name, "^xmlns:", ""), F.lit(":"))
+    # told inside the array, which is made once
+    prefix = lambda x: F.when(x["n"] == "xmlns", "").otherwise(
+        F.concat(F.regexp_replace(x["n"], "^xmlns:", ""), F.lit(":"))
     )
+    return F.get(F.transform(F.slice(bound, 1, 1), prefix), F.lit(0))
 
 
 def _unknown_attributes(tag: Column, extension: Column) -> Column:
@@ -193,37 +248,66 @@ def parse_process_models(documents: DataFrame, extension_namespace: str) -> Mode
         F.transform(listed, as_node), F.transform(F.coalesce(F.col(f"_p.{FLOW}"), F.array().cast(_FLOW)), as_flow)
     )
     elements = found.select("process_id", F.explode(both).alias("_e")).select("process_id", "_e.*")
-    return ModelTables(processes, nodes, flows, _document_violations(parsed, extension_namespace), elements)
+    return ModelTables(processes, nodes, flows, _document_violations(documents, extension_namespace, options), elements)
 
 
-def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFrame:
-    """(doc_id, rule, subject) for everything the element schema cannot see."""
-    kinds = [*NODE_KINDS, FLOW]
-    known = ["definitions", "process", *kinds]
-    # named elements of every process, as read by the element schema
+def _seen_elements() -> Column:
+    """Number of named elements of every process of `_doc`, as read by the element schema."""
     per_process = lambda p: reduce(
-        lambda total, kind: total + F.coalesce(F.array_size(p[kind]), F.lit(0)), kinds, F.lit(0)
+        lambda total, kind: total + F.coalesce(F.array_size(p[kind]), F.lit(0)), [*NODE_KINDS, FLOW], F.lit(0)
     )
-    seen_elements = F.aggregate(
+    return F.aggregate(
         F.coalesce(F.transform("_doc.process", per_process), F.array().cast("array<int>")),
         F.lit(0),
         lambda a, b: a + b,
     )
-    rows = parsed.withColumn("_body", _stripped(F.coalesce("xml", F.lit(""))))
+
+
+def _doubtful_documents(documents: DataFrame, extension_namespace: str, options: dict[str, str]) -> DataFrame:
+    """Documents that are not told to be in order by `_plain_document`, with `_body`, their stripped text, and `_doc`, their
+    elements as far as they are counted.
+
+    A plain document has to be well-formed. Where nothing but an XML declaration was stripped, nothing is made of its
+    elements; else their number tells whether the parser reads the same elements as the pattern.
+    """
+    within, kept = F.col("n_bytes") <= MAX_BYTES, ("doc_id", "n_bytes", "xml")
+    text = F.when(F.col("n_bytes") > MAX_BYTES, "").otherwise(F.coalesce("xml", F.lit("")))
+    rows = _stripped(documents.select(*kept, text.alias("_body")), "_body")
+    plain = reduce(Column.__or__, [F.col("_body").rlike(_plain_document(extension_namespace, p)) for p in (True, False)])
+    rows = rows.withColumn("_plain", F.coalesce(within & plain, F.lit(False)))
+    bare = F.col("_plain") & (F.col("_body") == F.regexp_replace("xml", _DECLARATION, ""))
+    rows = rows.withColumn("_bare", F.coalesce(bare, F.lit(False)))
+    broken = F.from_xml(F.when(F.col("_bare"), F.col("xml")), "_corrupt_record string", options)["_corrupt_record"].isNotNull()
+    # a generator, unlike a filter, is not taken below the projections that strip the text
+    left = lambda in_order, *names: rows.select(
+        *kept, *names, F.explode(F.when(~in_order, F.array("_body"))).alias("_body"))
+    rows = left(F.col("_bare") & ~broken, "_plain")
+    rows = rows.withColumn("_doc", F.from_xml(F.when(within, F.col("xml")), _COUNTED, options))
+    # all tags of a plain document but the root and the process are elements
+    counted = F.regexp_count("_body", F.lit("<[A-Za-z_]")) - 2 == _seen_elements()
+    return left(F.col("_plain") & F.col("_doc._corrupt_record").isNull() & counted, "_doc")
+
+
+def _document_violations(documents: DataFrame, extension_namespace: str, options: dict[str, str]) -> DataFrame:
+    """(doc_id, rule, subject) for everything the element schema cannot see."""
+    kinds = [*NODE_KINDS, FLOW]
+    known = ["definitions", "process", *kinds]
+    rows = _doubtful_documents(documents, extension_namespace, options)
     rows = rows.withColumn("_tags", _tags(F.col("_body")))
-    rows = rows.withColumn("_tags", _read_tags(F.col("_tags")))
+    rows = rows.withColumn("_forms", _tag_forms(F.col("_tags")))
+    rows = rows.withColumn("_names", F.transform("_tags", lambda t: F.substring_index(t["name"], ":", -1)))
     root = F.get("_tags", F.lit(0))["text"]
     rows = rows.withColumn("_model", _prefix(root, MODEL_NAMESPACE))
     rows = rows.withColumn("_ext", _prefix(root, extension_namespace))
     local = lambda t: t["local"]
 
-    names = F.transform("_tags", local)
+    names = F.col("_names")
     foreign = F.filter(
-        "_tags",
+        "_forms",
         lambda t: (t["name"] != F.concat(F.coalesce(F.col("_model"), F.lit("?")), local(t)))
         | ~local(t).isin(*known),
     )
-    inner = F.filter("_tags", lambda t: local(t).isin("process", *kinds))
+    inner = F.filter("_forms", lambda t: local(t).isin("process", *kinds))
     unknown = F.flatten(
         F.transform(
             inner,
@@ -257,7 +341,7 @@ def _document_violations(parsed: DataFrame, extension_namespace: str) -> DataFra
         only_if(count_of("process") != 1, one("one_process")),
         only_if(F.col("_model").isNull(), one("namespace")),
         only_if(
-            F.col("_doc._corrupt_record").isNull() & (n_kind != seen_elements),
+            F.col("_doc._corrupt_record").isNull() & (n_kind != _seen_elements()),
             one("nested_element"),
         ),
         named("unknown_element", F.array_distinct(F.transform(foreign, lambda t: t["name"]))),
